@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meetlake.llm import exact_dedup, sentencepiece_bpe
+from meetlake.llm import exact_dedup, sentencepiece_bpe, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": exact_dedup.query,
+    "op5_toxicity": toxicity.query,
     "op6_sentencepiece": sentencepiece_bpe.query,
 }
 
