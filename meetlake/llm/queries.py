@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meetlake.llm import exact_dedup, sentencepiece_bpe, toxicity
+from meetlake.llm import exact_dedup, near_dedup, sentencepiece_bpe, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": exact_dedup.query,
     "op5_toxicity": toxicity.query,
     "op6_sentencepiece": sentencepiece_bpe.query,
+    "op9_near_dedup": near_dedup.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": exact_dedup.SQL,
+    "op9_near_dedup": near_dedup.SQL,
 }
