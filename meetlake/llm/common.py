@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Arrow batches that a Python stage hands back hold about so many bytes at most (one row may hold more).
@@ -70,24 +70,19 @@ def ascii_lower(text: str) -> bytes:
     return text.encode("utf-8", "replace").lower()
 
 
-def running_offsets(rows: DataFrame, group: str, order: Column, size: str, per_bucket: int = 20_000) -> DataFrame:
-    """Add ``offset``: the sum of ``size`` over all earlier rows of the same ``group``, in the order of ``order`` (a long hash,
-    ties by ``doc_id``).
+def running_offsets(rows: DataFrame, group: str, order: str, size: str, group_rows: str, per_bucket: int = 2_000) -> DataFrame:
+    """Add ``offset``: the sum of ``size`` over the earlier rows of the same ``group``, by the column ``order`` (a hash, as a
+    long), ties by ``doc_id``. ``group_rows`` is the column with the number of the group's rows.
 
-    No task holds a whole group: a group is cut into buckets by the upper bits of the order, as many as its rows call for;
-    buckets are summed, their sums are added up per group, and the rows run within their bucket only. Rows whose group is
-    null form one group. The prefix over bucket sums has one row for each ``per_bucket`` rows of a group.
+    No task holds a whole group: a group is cut into buckets by the upper bits of the order, as many as its rows call for; the
+    buckets' sums are added up per group (a row for each ``per_bucket`` rows), and the rows run within their bucket only.
     """
-    from pyspark.sql import Window
-
-    spread = F.col("_order").cast("double") / F.lit(2.0**64) + F.lit(0.5)
-    rows = rows.withColumn("_order", order).withColumn("_key", F.struct(F.col(group)))
-    counts = rows.groupBy("_key").agg(F.ceil(F.count("*") / F.lit(per_bucket)).alias("_buckets"))
-    rows = rows.join(counts, "_key").withColumn("_bucket", F.least(F.floor(spread * F.col("_buckets")), F.col("_buckets") - 1))
-    rows = rows.drop("_buckets")
-    sums = rows.groupBy("_key", "_bucket").agg(F.sum(size).alias("_sum"))
-    before = Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("_key", "_bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
-    within = Window.partitionBy("_key", "_bucket").orderBy("_order", "doc_id", size).rowsBetween(Window.unboundedPreceding, -1)
+    count = F.ceil(F.col(group_rows) / F.lit(per_bucket))
+    spread = F.col(order).cast("double") / F.lit(2.0**64) + F.lit(0.5)
+    rows = rows.withColumn("_bucket", F.greatest(F.lit(0), F.least(F.floor(spread * count), count - 1)))
+    sums = rows.groupBy(group, "_bucket").agg(F.sum(size).alias("_sum"))
+    before = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(group, "_bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    within = Window.partitionBy(group, "_bucket").orderBy(order, "doc_id", size).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_before", F.coalesce(F.sum(size).over(within), F.lit(0)))
-    return rows.join(starts, ["_key", "_bucket"]).withColumn("offset", F.col("_start") + F.col("_before")).drop("_key", "_bucket", "_order", "_before", "_start")
+    return rows.join(starts, [group, "_bucket"]).withColumn("offset", F.col("_start") + F.col("_before")).drop("_bucket", "_start", "_before")

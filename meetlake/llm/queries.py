@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meetlake.llm import exact_dedup, near_dedup, sentencepiece_bpe, toxicity
+from meetlake.llm import exact_dedup, mixing, near_dedup, sentencepiece_bpe, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_mixing": mixing.query,
     "op4_exact_dedup": exact_dedup.query,
     "op5_toxicity": toxicity.query,
     "op6_sentencepiece": sentencepiece_bpe.query,
+    "op7_sharding": sharding.query,
     "op9_near_dedup": near_dedup.query,
 }
 
