@@ -6,18 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meetlake.llm import exact_dedup, mixing, near_dedup, sentencepiece_bpe, sharding, toxicity
+from meetlake.llm import chat_format, exact_dedup, mixing, near_dedup, sentencepiece_bpe, sharding, telephony, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": mixing.query,
+    "op3_telephony": telephony.query,
     "op4_exact_dedup": exact_dedup.query,
     "op5_toxicity": toxicity.query,
     "op6_sentencepiece": sentencepiece_bpe.query,
     "op7_sharding": sharding.query,
+    "op8_chat_format": chat_format.query,
     "op9_near_dedup": near_dedup.query,
+    "op10_token_counts": token_counts.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": exact_dedup.SQL,
+    "op8_chat_format": chat_format.SQL,
     "op9_near_dedup": near_dedup.SQL,
 }
