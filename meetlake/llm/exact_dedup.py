@@ -214,6 +214,24 @@ def exact_duplicates(docs: DataFrame, keep: str = "smallest", trie_bytes: int =
     )
 
 
+def clean(docs: DataFrame) -> DataFrame:
+    """One row of each group, with all its columns: that of the smallest doc_id. Of repeated rows one stays; a null doc_id stays only
+    where its group has no other."""
+    found = exact_duplicates(docs)
+    dropped = found.where("not kept and doc_id is not null").select("doc_id").distinct()
+    left = docs.join(dropped, "doc_id", "left_anti")
+    # Rows that repeat an id, or have none, are told apart by their text.
+    odd = found.where("kept or doc_id is null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select("doc_id")
+    odd = settle(odd, "odd")
+    if odd.isEmpty():
+        return left
+    again = left.join(odd.withColumnRenamed("doc_id", "_odd"), F.col("doc_id").eqNullSafe(F.col("_odd"))).drop("_odd")
+    lower = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    groups = found.where("keep_id is not null").select(F.col("text_sha256").alias("_sha"), F.col("keep_id").alias("_keep")).distinct()
+    again = again.withColumn("_sha", F.sha2(lower, 256)).join(groups, "_sha", "left").where("_keep is null or _keep = doc_id")
+    return left.join(odd.withColumnRenamed("doc_id", "_odd"), F.col("doc_id").eqNullSafe(F.col("_odd")), "left_anti").unionByName(again.dropDuplicates(["_sha"]).drop("_sha", "_keep"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"), keep="largest")
 

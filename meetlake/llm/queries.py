@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meetlake.llm import chat_format, exact_dedup, mixing, near_dedup, sentencepiece_bpe, sharding, telephony, token_counts, toxicity
+from meetlake.llm import chat_format, exact_dedup, mixing, near_dedup, pii, sentencepiece_bpe, sharding, telephony, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": pii.query,
     "op2_mixing": mixing.query,
     "op3_telephony": telephony.query,
     "op4_exact_dedup": exact_dedup.query,
