@@ -6,8 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from meetlake.plans import retrieval, timeline
+
 FLAGSHIP = "hybrid_rrf_top3"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_ALL = {name: both for part in (retrieval, timeline) for name, both in part.QUERIES.items()}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: query for name, (query, _) in _ALL.items()}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {name: sql for name, (_, sql) in _ALL.items() if sql}
