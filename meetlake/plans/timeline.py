@@ -234,7 +234,7 @@ QUERIES = {
     "speaker_carry_over": (speaker_carry_over, CARRY),
     "clean_speech": (clean_speech, CLEAN),
     "stitch": (stitch, None),
-    "silence_cuts": (silence_cuts, f"WITH {CUTS} SELECT meeting_id, idx, "at", cut, total FROM cuts"),
+    "silence_cuts": (silence_cuts, f'WITH {CUTS} SELECT meeting_id, idx, "at", cut, total FROM cuts'),
     "time_restore": (time_restore, RESTORE),
     "turn_islands": (turn_islands, ISLANDS),
     "voiced_runs": (voiced_runs, VOICED),
