@@ -24,6 +24,12 @@ def clock(seconds: Column) -> Column:
     return F.when(s >= 3600, F.format_string("%d:%02d:%02d", (s / 3600).cast("int"), ((s % 3600) / 60).cast("int"), s % 60)).otherwise(short)
 
 
+def long_clock(seconds: Column) -> Column:
+    """Whole seconds as mm:ss, or h:mm:ss from an hour on."""
+    s = F.greatest(F.lit(0), F.floor(seconds)).cast("int")
+    return F.when(s >= 3600, clock(s)).otherwise(F.format_string("%02d:%02d", (s / 60).cast("int"), s % 60))
+
+
 def seconds_of(text: Column) -> Column:
     """m:ss or h:mm:ss as seconds; null if the text isn't of that form."""
     part = lambda k: F.regexp_extract(text, r"^(?:(\d+):)?(\d+):(\d\d)$", k)
@@ -38,8 +44,8 @@ def subtitle_clock(seconds: Column, separator: str) -> Column:
 
 
 def lyric_clock(seconds: Column) -> Column:
-    """mm:ss.cc, rounded to centiseconds."""
-    cs = F.greatest(F.lit(0), F.round(seconds * 100)).cast("long")
+    """mm:ss.cc, cut to centiseconds."""
+    cs = F.floor(F.greatest(F.lit(0.0), seconds) * 100)
     return F.format_string("%02d:%02d.%02d", F.floor(cs / 6000), F.floor(cs / 100) % 60, cs % 100)
 
 
@@ -149,6 +155,13 @@ def is_email(address: Column) -> Column:
     )
 
 
+def name_key(name: Column, fold_script=lambda c: c) -> Column:
+    """What two spellings of a name share: full-width signs as plain ones, lower case, single spaces."""
+    wide = "".join(map(chr, range(0xFF01, 0xFF5F))) + "\u3000"
+    plain = "".join(map(chr, range(0x21, 0x7F))) + " "
+    return F.trim(F.regexp_replace(F.lower(fold_script(F.translate(name, wide, plain))), r"\s+", " "))
+
+
 def is_person_name(name: Column) -> Column:
     """Not blank, and not a label like "Speaker 2"."""
-    return (F.trim(name) != "") & ~F.trim(name).rlike(r"(?i)^(speaker|说话人|說話人|发言人|發言人|話者)\s*\d+$")
+    return (F.trim(name) != "") & ~F.trim(name).rlike(r"(?i)^(speaker|語者|语者|說話人|说话人|說話者|说话者)\s*\d+$")

@@ -130,13 +130,13 @@ SELECT t.meeting_id, t.turn_id AS q_id, round(t.start_s, 3) AS t, round(t.start_
 
 def turn_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = S.turn_islands(A.probabilities(spark, sf_dir), 0.9)
-    return found.select("meeting_id", "speaker", "start_frame", "end_frame", F.round("confidence", 5).alias("confidence"))
+    return found.select("meeting_id", "speaker", "start_frame", "end_frame", F.round("confidence", 8).alias("confidence"))
 
 
 ISLANDS = f"""WITH {A.PROBS}, m AS (SELECT meeting_id, max(frame) AS last FROM probs GROUP BY ALL),
 r AS (SELECT *, frame - row_number() OVER (PARTITION BY meeting_id, speaker ORDER BY frame) AS run FROM probs WHERE prob >= 0.9),
 t AS (SELECT meeting_id, speaker, min(frame) AS a, max(frame) + 1 AS b, avg(prob) AS c FROM r GROUP BY meeting_id, speaker, run)
-SELECT t.meeting_id, speaker, greatest(0, a - 20) AS start_frame, least(last + 1, b + 20) AS end_frame, round(c, 5) AS confidence FROM t JOIN m ON m.meeting_id = t.meeting_id"""
+SELECT t.meeting_id, speaker, greatest(0, a - 20) AS start_frame, least(last + 1, b + 20) AS end_frame, round(c, 8) AS confidence FROM t JOIN m ON m.meeting_id = t.meeting_id"""
 
 
 def decibels(spark: SparkSession, sf_dir: str) -> DataFrame:
