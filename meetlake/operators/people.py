@@ -60,7 +60,9 @@ def mentioned(questions: DataFrame, names: DataFrame) -> DataFrame:
     starts = keyed.withColumn("_start", F.when(latin, first).when(F.char_length("_key") >= 2, F.substring("_key", 1, 2))).where("_start is not null")
     asked = questions.select("query_id", X.name_key(F.col("query")).alias("_q"))
     words = F.regexp_extract_all("_q", F.lit(r"[\p{IsAlphabetic}\p{N}]+"), F.lit(0))
-    keys = asked.withColumn("_start", F.explode(F.array_distinct(F.concat(words, X.pairs(F.col("_q"))))))
+    # Only a text with other letters than Latin ones can have a name without any.
+    parts = F.when(F.col("_q").rlike(r"[\p{IsAlphabetic}&&[^\p{IsLatin}]]"), X.pairs(F.col("_q"))).otherwise(F.array().cast("array<string>"))
+    keys = asked.withColumn("_start", F.explode(F.array_distinct(F.concat(words, parts))))
     pairs = keys.join(starts, "_start")
     bare = F.regexp_replace("_q", r"[^\p{IsAlphabetic}\p{N}]+", " ")
     plain = F.regexp_replace("_key", r"[^\p{IsAlphabetic}\p{N}]+", " ")
@@ -71,12 +73,13 @@ def mentioned(questions: DataFrame, names: DataFrame) -> DataFrame:
 def voices(exemplars: DataFrame, keys: list[str], dims: int) -> DataFrame:
     """Mean unit vectors weighted by seconds, of length one again: one sum for each dimension, so that partial sums are made before
     the shuffle. exemplars: keys, seconds, vector."""
-    length = F.sqrt(dot("vector", "vector", dims))
-    unit = exemplars.withColumn("_len", length).where("_len > 0")
-    sums = unit.groupBy(*keys).agg(*(F.sum(F.col("seconds") * F.col("vector")[i].cast("double") / F.col("_len")).alias(f"_{i}") for i in range(dims)), F.sum("seconds").alias("seconds"), F.count("*").alias("exemplars"))
-    total = F.sqrt(sum((F.col(f"_{i}") * F.col(f"_{i}") for i in range(1, dims)), F.col("_0") * F.col("_0")))
-    summed = sums.withColumn("_total", total).where("_total > 0")
-    return summed.select(*keys, "seconds", "exemplars", F.array(*(F.col(f"_{i}") / F.col("_total") for i in range(dims))).alias("vector"))
+    square = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    unit = exemplars.withColumn("_len", F.sqrt(square("vector"))).where("_len > 0")
+    whole = unit.groupBy(*keys).agg(F.sum("seconds").alias("seconds"), F.count("*").alias("exemplars"))
+    each = unit.select(*keys, (F.col("seconds") / F.col("_len")).alias("_w"), F.posexplode(F.slice("vector", 1, dims)).alias("_dim", "_x"))
+    sums = each.groupBy(*keys, "_dim").agg(F.sum(F.col("_w") * F.col("_x")).alias("_x"))
+    mean = sums.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_dim", "_x"))), lambda d: d["_x"]).alias("_v")).withColumn("_t", F.sqrt(square("_v"))).where("_t > 0")
+    return whole.join(mean, keys).select(*keys, "seconds", "exemplars", F.transform("_v", lambda x: x / F.col("_t")).alias("vector"))
 
 
 def suggested(speakers: DataFrame, people: DataFrame, dims: int, excluded: DataFrame | None = None, low: float = 0.5, high: float = 0.7, margin: float = 0.05, most: int = 3) -> DataFrame:

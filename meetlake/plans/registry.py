@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meetlake.plans import notes, passages, retrieval, timeline
+from meetlake.plans import notes, passages, people, retrieval, timeline
 
 FLAGSHIP = "hybrid_rrf_top3"
 
-_ALL = {name: both for part in (retrieval, timeline, passages, notes) for name, both in part.QUERIES.items()}
+_ALL = {name: both for part in (retrieval, timeline, passages, notes, people) for name, both in part.QUERIES.items()}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: query for name, (query, _) in _ALL.items()}
 
