@@ -224,7 +224,8 @@ def rewritten(text: str, kind: int, chance: random.Random) -> tuple[str, bool]:
     """A span in another form, and whether that is still personal data."""
     if kind == 0:
         at, dot = chance.choice([(" at ", " dot "), (" (at) ", " (dot) "), ("[at]", "[dot]"), (" @ ", " . "), ("(at)", "."), ("@", "[.]")])
-        return text.replace("@", at).replace(".", dot), True
+        local, _, domain = text.partition("@")
+        return local + at + domain.replace(".", dot), True
     if kind == 1:
         if chance.random() < 0.3:
             return ".".join(str(int(x) % 256 + 256) for x in text.split(".")), False

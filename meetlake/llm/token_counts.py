@@ -73,11 +73,13 @@ def token_counts(docs: DataFrame, model_path: str, cache: str) -> DataFrame:
     found = texts.join(owners.hint("shuffle_hash"), texts.doc_id.eqNullSafe(owners.owner) & (F.octet_length("text") == owners.n_bytes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(model.value, kind)
+        count, seen = counter(model.value, kind), set()  # repeated rows meet in one task; digests alone are kept
         for batch in slices(batches, "text", 4 << 20):
             own = [(d, t) for d, t in zip(batch.column("digest").to_pylist(), texts_of(batch.column("text")), strict=True) if hashlib.sha256(t.encode("utf-8", "replace")).digest() == d]
+            own = list({d: (d, t) for d, t in own if d not in seen}.values())
             if own:
                 digests, texts = zip(*own, strict=True)
+                seen.update(digests)
                 yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(count(list(texts)), pa.int64())], names=["digest", "n_tokens"])
 
     found.select("digest", "text").mapInArrow(run, CACHE).write.mode("append").parquet(path)

@@ -118,7 +118,7 @@ class Matcher:
         for end, (n, weight) in self.automaton.iter(folded):
             start = end + 1 - n
             if weight is None:
-                excepted.append((start, end + 1))
+                excepted.append((start, end))  # the space at its end may begin another term
             elif start not in hits or weight > hits[start][1]:
                 hits[start] = end + 1, weight
         return [(s, e, w) for s, (e, w) in sorted(hits.items()) if not any(a <= s < b for a, b in excepted)]
