@@ -98,7 +98,7 @@ def manifest(meetings: DataFrame, lines: DataFrame, links: DataFrame) -> DataFra
     spoken = lines.groupBy("meeting_id").agg(F.array_sort(F.collect_list(F.struct(F.col("utt_idx").alias("index"), F.col("start_s").alias("start"), F.col("end_s").alias("end"), "text", "speaker"))).alias("utterances"))
     names = links.groupBy("meeting_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("speaker").cast("string").alias("k"), F.struct("name", F.col("person_id").alias("person")).alias("v"))))).alias("speaker_names"))
     rows = meetings.join(spoken, "meeting_id", "left").join(names, "meeting_id", "left")
-    return rows.select("meeting_id", F.to_json(F.struct(F.lit(1).alias("primeminutes_version"), "title", "summary", "speaker_names", "utterances")).alias("manifest"))
+    return rows.select("meeting_id", F.to_json(F.struct(F.lit(1).alias("version"), "title", "summary", "speaker_names", "utterances")).alias("manifest"))
 
 
 MANIFEST = "title string, summary string, speaker_names map<string,struct<name:string,person:string>>, utterances array<struct<index:int,start:double,end:double,text:string,speaker:int>>"
