@@ -129,6 +129,24 @@ def features(strong, total, words):
     return np.log1p(strong), np.log1p(total), np.log1p(1000 * total / (words + 10))
 
 
+def weighed(matcher: Matcher, texts: list[str]) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
+    """Of each text the number of words, and its hits."""
+    words, found = [], []
+    for text in texts:
+        folded = fold(text)
+        words.append(folded.count(" ") - 1 if len(folded) > 2 else 0)
+        found.append(matcher.find(folded))
+    return np.array(words, float), found
+
+
+def curved(words: np.ndarray, found: list[list[tuple[int, int, float]]], curve: list[float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scores, and the weights that they come from: of strong terms, and of all."""
+    strong = np.array([sum(w for _, _, w in x if w >= STRONG) for x in found], float)
+    total = np.array([sum(w for _, _, w in x) for x in found], float)
+    x = np.column_stack(features(strong, total, words))
+    return 1 / (1 + np.exp(-np.clip(curve[0] + x @ np.array(curve[1:]), -30, 30))), strong, total
+
+
 def sampled(docs: DataFrame, labels: DataFrame, usable: Column, rows: int) -> DataFrame:
     """doc_id, toxic and text of at most ``rows`` labelled documents, by the hash of doc_id; of repeated labels the largest counts."""
     marked = labels.where("doc_id is not null and toxic is not null").where(usable).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -179,22 +197,28 @@ def scored(docs: DataFrame, weights: dict[str, float], curve: list[float]) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(terms.value)
         for batch in slices(batches, "text"):
-            words, strong, total, hits = [], [], [], []
-            for text in texts_of(batch.column("text")):
-                folded = fold(text)
-                found = matcher.find(folded)
-                words.append(folded.count(" ") - 1 if len(folded) > 2 else 0)
-                strong.append(sum(w for _, _, w in found if w >= STRONG))
-                total.append(sum(w for _, _, w in found))
-                hits.append([{"start": s, "end": e, "weight": w} for s, e, w in found])
-            x = np.column_stack(features(np.array(strong, float), np.array(total, float), np.array(words, float)))
-            scores = 1 / (1 + np.exp(-np.clip(curve[0] + x @ np.array(curve[1:]), -30, 30)))
-            columns = [pa.array(scores), pa.array(words, pa.int64()), pa.array(strong, pa.float64()), pa.array(total, pa.float64()), pa.array(hits, hit)]
+            words, found = weighed(matcher, texts_of(batch.column("text")))
+            scores, strong, total = curved(words, found, curve)
+            hits = [[{"start": s, "end": e, "weight": w} for s, e, w in x] for x in found]
+            columns = [pa.array(scores), pa.array(words.astype(np.int64)), pa.array(strong), pa.array(total), pa.array(hits, hit)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *columns], schema=schema)
 
     return docs.select("doc_id", "text").mapInArrow(run, kinds)
 
 
+def kept(docs: DataFrame, weights: dict[str, float], curve: list[float]) -> DataFrame:
+    """The rows that aren't toxic, with all their columns, in one pass."""
+    terms = docs.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(terms.value)
+        for batch in slices(batches, "text"):
+            words, found = weighed(matcher, texts_of(batch.column("text")))
+            yield batch.filter(pa.array(curved(words, found, curve)[0] < THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fit_curve(sample: DataFrame, weights: dict[str, float], ridge: float = 0.01) -> list[float]:
     """The logistic curve over the features, by Newton's method on the sample's rows (collected: four numbers each)."""
     plain = scored(sample, weights, [0.0] * 4).select("doc_id", "words", "strong", "total")
@@ -235,18 +259,16 @@ def held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
 
 
-def judged(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
-    """Scores of ``docs``, learned from the labelled rows of the table documents that aren't held out."""
-    weights, curve = learn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out())
-    return scored(docs, weights, curve)
+def taught(spark: SparkSession, sf_dir: str) -> tuple[dict[str, float], list[float]]:
+    """The lexicon and curve of the tables, from the labelled rows that aren't held out."""
+    return learn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out())
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = judged(spark, sf_dir, table(spark, sf_dir, "documents"))
+    found = scored(table(spark, sf_dir, "documents"), *taught(spark, sf_dir))
     return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that aren't toxic, with all their columns."""
-    bad = judged(spark, sf_dir, docs).where(F.col("score") >= THRESHOLD).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    return kept(docs, *taught(spark, sf_dir))

@@ -277,6 +277,8 @@ def test_toxicity_on_held_out_labels(spark, docs, empty):
     assert odd.count() == len(ROWS)
     assert all(0 <= r.score <= 1 and not r.predicted for r in odd.collect())
     assert toxicity.toxicity(empty, labels.where("false")).count() == 0
+    left = toxicity.kept(docs.unionByName(docs.where("doc_id is null").withColumn("text", F.lit("you IDIOT, ｍｏｒｏｎ and sсum"))), {" idiot ": 4.0, " moron ": 4.0, " scum ": 4.0}, [-3.0, 1.0, 0.5, 0.5])
+    assert left.columns == docs.columns and left.count() == len(ROWS)
 
 
 # 6: SentencePiece
@@ -324,6 +326,20 @@ def test_sharding_law_and_slots(docs, empty, spark):
     assert sharding.sharded(empty, sharding.default_tree(24)).count() == 0
 
 
+def test_running_offsets_across_buckets(spark):
+    chance = random.Random(9)
+    rows = [(i, i % 3, chance.randrange(-(2**63), 2**63), chance.randrange(9)) for i in range(900)]
+    rows += [(2000 + i, 1, 5, 2) for i in range(60)]  # ties
+    sizes = collections.Counter(g for _, g, _, _ in rows)
+    frame = spark.createDataFrame([(*r, sizes[r[1]]) for r in rows], "doc_id long, g int, o long, size long, n long")
+    found = {r.doc_id: r.offset for r in common.running_offsets(frame, "g", "o", "size", "n", per_bucket=40).collect()}
+    for g in range(3):
+        total = 0
+        for i, _, _, size in sorted((r for r in rows if r[1] == g), key=lambda r: (r[2], r[0])):
+            assert found[i] == total
+            total += size
+
+
 # 8: chat formatting
 
 
