@@ -105,10 +105,21 @@ def snippet(text: Column, found: Column) -> Column:
 
 
 def title_cut(text: Column) -> Column:
-    """At most 40 characters, or 60 up to a word's end."""
-    line = F.trim(text)
-    wide = F.regexp_extract(line, r"^(.{1,60})(?=\s)", 1)
-    return F.when(F.char_length(line) <= 40, line).when(F.char_length(wide) > 0, F.rtrim(wide)).otherwise(line.substr(1, 40))
+    """At most 40 characters; with spaces up to 60, longer ones cut at the last space."""
+    cut = F.regexp_replace(F.regexp_extract(text.substr(1, 61), r"(?s)^(.*) ", 1), r"[,;:\- ]+$", "")
+    return F.when(F.char_length(text) <= 40, text).when(~F.contains(text, F.lit(" ")), text.substr(1, 40)).when(F.char_length(text) <= 60, text).otherwise(cut)
+
+
+def clean_prose(text: Column, stop: str, least: int = 20) -> Column:
+    """A reply as prose: what is before the end mark, single spaces, no headings or bullets, paragraphs apart; one without the mark ends with its
+    last whole sentence; null if little is left."""
+    ended = F.contains(text, F.lit(stop))
+    body = F.regexp_replace(F.regexp_replace(F.substring_index(text, stop, 1), r"(?<=\S)[ \t]{2,}(?=\S)", " "), r"[ \t]+([。，、；：！？.,;:!?])", "$1")
+    lines = F.transform(F.split(body, r"\R"), lambda x: F.trim(F.regexp_replace(F.trim(x), "^#", "")))
+    whole = F.array_join(F.filter(lines, lambda x: ~x.rlike(r"^[-*]|^$")), "\n\n")
+    sentence = F.regexp_extract(whole, r"(?s)^(.*(?:[。！？!?](?:\s*\[\d+:\d{2}(?::\d{2})?\])?|\.(?=\s|$)))", 1)
+    kept = F.when(ended | (sentence == ""), whole).otherwise(F.trim(sentence))
+    return F.when(F.char_length(kept) >= least, kept)
 
 
 def escape_markup(text: Column) -> Column:

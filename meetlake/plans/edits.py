@@ -13,6 +13,8 @@ from meetlake.operators import mail as M
 from meetlake.operators import passages as P
 from meetlake.operators import render as D
 from meetlake.operators import voice as V
+from meetlake.operators.script import converted
+from meetlake.operators.snap import snapped_changes
 from meetlake.plans import adapters as A
 from meetlake.plans import notes as N
 from meetlake.plans import passages as Q
@@ -362,7 +364,42 @@ def md_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 MD = Q.TXT.replace("'[' ||", "'- `' ||").replace("'] '", "'` **'").replace("': '", "'** '")
 
+def script_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with German and French letters by a dictionary."""
+    words = spark.createDataFrame(list(zip("äöüéèêç", "aoueeec", strict=True)), "key string, to string")
+    found = converted(A.table(spark, sf_dir, "documents").select("doc_id", "text"), words, "doc_id", 4)
+    return found.select("doc_id", F.sha2("text", 256).alias("text_sha256"))
+
+
+SCRIPT = "SELECT doc_id, sha256(translate(text, 'äöüéèêç', 'aoueeec')) AS text_sha256 FROM documents"
+
+
+def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' first lines as titles."""
+    return A.table(spark, sf_dir, "documents").select("doc_id", X.title_cut(F.split_part("text", F.lit("\n"), F.lit(1))).alias("title"))
+
+
+TITLES = r"""WITH t AS (SELECT doc_id, split_part(text, chr(10), 1) AS t FROM documents)
+SELECT doc_id, CASE WHEN length(t) <= 40 THEN t WHEN NOT contains(t, ' ') THEN substring(t, 1, 40) WHEN length(t) <= 60 THEN t
+ELSE regexp_replace(regexp_extract(substring(t, 1, 61), '(?s)^(.*) ', 1), '[,;:\- ]+$', '') END AS title FROM t"""
+
+
+def speaker_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters of the conversations, labels late by three characters, moved to the turns' starts: how many have which label."""
+    lines = A.utterances(spark, sf_dir)
+    whole = lines.withColumn("_n", F.greatest(F.lit(1), F.char_length("text"))).select("meeting_id", "utt_idx", "speaker", "start_s", "end_s", "_n", F.posexplode(F.split("text", "")).alias("i", "ch")).where("ch <> ''")
+    step = (F.col("end_s") - F.col("start_s")) / F.col("_n")
+    pos = F.row_number().over(Window.partitionBy("meeting_id").orderBy("utt_idx", "i"))
+    chars = whole.select("meeting_id", pos.alias("pos"), "ch", (F.col("start_s") + F.col("i") * step).alias("start_s"), (F.col("start_s") + (F.col("i") + 1) * step).alias("end_s"), F.col("speaker").cast("string").alias("label"))
+    late = chars.withColumn("label", F.coalesce(F.lag("label", 3).over(Window.partitionBy("meeting_id").orderBy("pos")), "label"))
+    turns = lines.select("meeting_id", F.col("speaker").cast("string").alias("label"), F.greatest(F.lit(0.0), F.col("start_s") - 0.3).alias("start_s"), "end_s")
+    return snapped_changes(late, turns).groupBy("meeting_id", "label").agg(F.count("*").alias("characters"), F.sum(F.crc32("ch")).alias("digest"))
+
+
 QUERIES = {
+    "script_convert": (script_convert, SCRIPT),
+    "titles": (titles, TITLES),
+    "speaker_snap": (speaker_snap, None),
     "relabel": (relabel, RELABEL),
     "other_speakers": (other_speakers, OTHERS),
     "token_starts": (token_starts, TOKEN_STARTS),
