@@ -10,22 +10,28 @@ OTHER = r"[\x{3040}-\x{30FF}\x{AC00}-\x{D7A3}\x{1100}-\x{11FF}]"
 
 
 def converted(texts: DataFrame, dictionary: DataFrame, key: str = "id", longest: int = 16) -> DataFrame:
-    """Texts (key, text) with the dictionary's longest entries replaced from left to right. dictionary: key, to (renamed here), entries of
-    ``longest`` characters at most.
+    """Texts (key, text) with the dictionary's longest entries replaced from left to right. dictionary: key, to; entries of ``longest``
+    characters at most. Keys of texts are unique.
 
-    Every place of a text meets the entries that start with its character by that character, so the dictionary's size doesn't multiply the
-    texts; the longest entry at each place stays, and a fold over the found places drops those that an earlier one covers.
+    Entries apply only inside runs of characters that occur in entries (a script's characters, collected for a pattern). Texts are cut into
+    such runs and what lies between; each distinct run is converted once: its places meet the entries by their first character, the longest
+    at each place stays, and a fold drops those that an earlier one covers. Then the texts are put together again.
     """
-    entries = dictionary.select(F.col("key").alias("_k"), F.col("to").alias("_to"), F.substring("key", 1, 1).alias("_c")).where(F.char_length("_k") <= longest)
-    rows = texts.select(F.col(key).alias("_id"), "text").where(~F.col("text").rlike(OTHER))
-    places = rows.select("_id", F.posexplode(F.split("text", "")).alias("_p", "_c"), "text").where("_c <> ''").select("_id", "_p", "_c", F.col("text").substr(F.col("_p") + 1, F.lit(longest)).alias("_rest"))
-    found = places.join(entries, "_c").where(F.startswith("_rest", "_k"))
-    best = found.groupBy("_id", "_p").agg(F.max_by(F.struct(F.char_length("_k").alias("n"), F.col("_to").alias("to")), F.char_length("_k")).alias("m"))
-    listed = best.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("_p", "m.n", "m.to"))).alias("_m"))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    joined = texts.join(listed, F.col(key) == F.col("_id"), "left")
-    between = lambda a, b: F.col("text").substr(a + 1, b - a)
+    entries = dictionary.select(F.col("key").alias("_k"), F.col("to").alias("_to"), F.substring("key", 1, 1).alias("_c")).where(f"_k <> '' and char_length(_k) <= {longest}")
+    letters = sorted(r.c for r in entries.select(F.explode(F.split("_k", "")).alias("c")).where("c <> ''").distinct().collect())
+    if not letters:
+        return texts
+    kind = "".join(rf"\x{{{ord(c):X}}}" for c in letters)
+    rows = texts.where(~F.col("text").rlike(OTHER)).select(F.col(key).alias("_id"), F.posexplode(F.regexp_extract_all("text", F.lit(rf"[{kind}]+|[^{kind}]+"), F.lit(0))).alias("_n", "_part"))
+    runs = rows.where(F.col("_part").rlike(rf"^[{kind}]")).select(F.col("_part").alias("_run")).distinct()
+    places = runs.select("_run", F.posexplode(F.split("_run", "")).alias("_p", "_c")).where("_c <> ''")
+    found = places.join(entries, "_c").where(F.startswith(F.col("_run").substr(F.col("_p") + 1, F.lit(longest)), "_k"))
+    best = found.groupBy("_run", "_p").agg(F.max_by(F.struct(F.char_length("_k").alias("n"), F.col("_to").alias("to")), F.char_length("_k")).alias("m"))
+    listed = best.groupBy("_run").agg(F.array_sort(F.collect_list(F.struct("_p", "m.n", "m.to"))).alias("_m"))
+    between = lambda a, b: F.col("_run").substr(a + 1, b - a)
     step = lambda s, m: F.when(m["_p"] < s["at"], s).otherwise(F.struct((m["_p"] + m["n"]).alias("at"), F.concat(s["out"], between(s["at"], m["_p"]), m["to"]).alias("out")))
-    done = F.aggregate("_m", start, step)
-    out = F.concat(done["out"], between(done["at"], F.char_length("text")))
-    return joined.withColumn("text", F.when(F.col("_m").isNull(), F.col("text")).otherwise(out)).drop("_id", "_m")
+    done = F.aggregate("_m", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
+    new = listed.withColumn("_done", done).select("_run", F.concat("_done.out", between(F.col("_done.at"), F.char_length("_run"))).alias("_new"))
+    parts = rows.join(new, F.col("_part") == F.col("_run"), "left").select("_id", F.struct("_n", F.coalesce("_new", "_part").alias("_t")).alias("_x"))
+    whole = parts.groupBy("_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("_x")), lambda x: x["_t"]), "").alias("_whole"))
+    return texts.join(whole, F.col(key) == F.col("_id"), "left").withColumn("text", F.coalesce("_whole", "text")).drop("_id", "_whole")
