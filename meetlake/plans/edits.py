@@ -51,13 +51,13 @@ def timed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.token_starts(timed(spark, sf_dir)).select("meeting_id", "utt_idx", "k", "token", F.round("at", 3).alias("at"))
+    return E.token_starts(timed(spark, sf_dir)).select("meeting_id", "utt_idx", "k", "token", "at")
 
 
 _TOKENS = r"(?:^[^\p{L}\p{N}]+)?[\p{L}\p{N}]+[^\p{L}\p{N}]*|^[^\p{L}\p{N}]+$"
 TOKEN_STARTS = rf"""WITH {A.UTT}, t AS (SELECT *, regexp_extract_all(text, '{_TOKENS}') AS ts FROM utt), e AS (SELECT meeting_id, utt_idx, start_s, end_s, ts, unnest(range(len(ts))) AS k FROM t),
 v AS (SELECT *, ts[k + 1] AS token, greatest(1, length(regexp_replace(ts[k + 1], '[\s\x0B]', '', 'g'))) AS n FROM e)
-SELECT meeting_id, utt_idx, CAST(k AS INT) AS k, token, round(start_s + (end_s - start_s) * coalesce(sum(n) OVER (PARTITION BY meeting_id, utt_idx ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(n) OVER (PARTITION BY meeting_id, utt_idx), 3) AS at FROM v"""
+SELECT meeting_id, utt_idx, CAST(k AS INT) AS k, token, start_s + (end_s - start_s) * coalesce(sum(n) OVER (PARTITION BY meeting_id, utt_idx ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(n) OVER (PARTITION BY meeting_id, utt_idx) AS at FROM v"""
 
 
 def boundary_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
