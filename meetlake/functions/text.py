@@ -170,7 +170,8 @@ def name_key(name: Column, fold_script=lambda c: c) -> Column:
     """What two spellings of a name share: full-width signs as plain ones, lower case, single spaces."""
     wide = "".join(map(chr, range(0xFF01, 0xFF5F))) + "\u3000"
     plain = "".join(map(chr, range(0x21, 0x7F))) + " "
-    return F.trim(F.regexp_replace(F.lower(fold_script(F.translate(name, wide, plain))), r"\s+", " "))
+    narrow = F.when(name.rlike(r"[\x{FF01}-\x{FF5E}\x{3000}]"), F.translate(name, wide, plain)).otherwise(name)
+    return F.trim(F.regexp_replace(F.lower(fold_script(narrow)), r"\s+", " "))
 
 
 def is_person_name(name: Column) -> Column:

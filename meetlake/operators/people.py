@@ -62,12 +62,14 @@ def mentioned(questions: DataFrame, names: DataFrame) -> DataFrame:
     words = F.regexp_extract_all("_q", F.lit(r"[\p{IsAlphabetic}\p{N}]+"), F.lit(0))
     # Only a text with other letters than Latin ones can have a name without any.
     parts = F.when(F.col("_q").rlike(r"[\p{IsAlphabetic}&&[^\p{IsLatin}]]"), X.pairs(F.col("_q"))).otherwise(F.array().cast("array<string>"))
-    keys = asked.withColumn("_start", F.explode(F.array_distinct(F.concat(words, parts))))
-    pairs = keys.join(starts, "_start")
-    bare = F.regexp_replace("_q", r"[^\p{IsAlphabetic}\p{N}]+", " ")
+    keys = asked.select("query_id", F.explode(F.array_distinct(F.concat(words, parts))).alias("_start"))
+    # Texts stay out of this join: a question gets its candidates as one row, and is searched once.
     plain = F.regexp_replace("_key", r"[^\p{IsAlphabetic}\p{N}]+", " ")
-    whole = F.contains(F.concat(F.lit(" "), bare, F.lit(" ")), F.concat(F.lit(" "), plain, F.lit(" ")))
-    return pairs.where(F.when(latin, whole).otherwise(F.contains(F.col("_q"), F.col("_key")))).select("query_id", "person_id").distinct()
+    offered = starts.select("_start", F.struct("person_id", "_key", F.concat(F.lit(" "), plain, F.lit(" ")).alias("_plain"), latin.alias("_latin")).alias("_who"))
+    candidates = keys.join(offered, "_start").groupBy("query_id").agg(F.collect_set("_who").alias("_all"))
+    bare = asked.withColumn("_bare", F.concat(F.lit(" "), F.regexp_replace("_q", r"[^\p{IsAlphabetic}\p{N}]+", " "), F.lit(" ")))
+    held = lambda w: F.when(w["_latin"], F.contains(F.col("_bare"), w["_plain"])).otherwise(F.contains(F.col("_q"), w["_key"]))
+    return bare.join(candidates, "query_id").select("query_id", F.explode(F.filter("_all", held)).alias("_who")).select("query_id", "_who.person_id").distinct()
 
 
 def voices(exemplars: DataFrame, keys: list[str], dims: int) -> DataFrame:
