@@ -7,7 +7,7 @@
    are tied, with a wide margin below the threshold; ties within a task are thinned to a spanning forest.
 3. Classes that ties connect form a neighbourhood. It holds every document that one of its own could be linked with, so the
    exact similarity is needed inside neighbourhoods only. Each is read once, with whole texts, and linked on full shingle sets;
-   what is linked to a common document needs no comparison among itself. Large neighbourhoods are cut into blocks, and each two
+   only what already is in one group needs no comparison among itself. Large neighbourhoods are cut into blocks, and each two
    blocks meet in a task.
 4. Links, followed to their end, give the groups.
 """
@@ -197,9 +197,9 @@ def linked_sets(ids: np.ndarray, sets: list[np.ndarray], percent: int, forest: F
     """Links that connect what is linked among these sets, as a spanning forest.
 
     An inverted index over the sets gives one set's intersections with all others exactly, in one pass over its shingles'
-    postings. Sets are asked in the order of how typical their shingles are; a set is asked only if it isn't linked to an
-    asked one yet, and then against all. So two sets go uncompared only where both already are in one group, or where
-    an asked one of them was compared with the other.
+    postings. First, in the order of how typical their shingles are, those sets are asked that no asked one has been linked to.
+    Then all others are asked, too, but for those in the group that was the largest then. A set is asked against all. So two
+    sets go uncompared only where both already are in one group.
     """
     sizes = np.array([len(x) for x in sets])
     flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
@@ -209,10 +209,11 @@ def linked_sets(ids: np.ndarray, sets: list[np.ndarray], percent: int, forest: F
     ends = np.concatenate([[0], np.cumsum(sizes)])
     common = np.diff(begins)
     typical = np.add.reduceat(common[code], ends[:-1]) / sizes
-    grouped = np.zeros(len(sets), bool)
-    for i in np.argsort(-typical, kind="stable"):
-        if grouped[i]:
-            continue
+    turns = np.argsort(-typical, kind="stable").tolist()
+    grouped, asked = np.zeros(len(sets), bool), np.zeros(len(sets), bool)
+
+    def ask(i: int) -> Iterator[tuple[int, int]]:
+        asked[i] = True
         own = code[ends[i] : ends[i + 1]]
         shared = own[common[own] > 1]
         if len(shared):
@@ -224,6 +225,15 @@ def linked_sets(ids: np.ndarray, sets: list[np.ndarray], percent: int, forest: F
                 if forest.join(int(ids[i]), int(ids[j])):
                     yield int(ids[i]), int(ids[j])
 
+    for i in turns:
+        if not grouped[i]:
+            yield from ask(i)
+    roots, counts = np.unique([forest.root(int(x)) for x in ids], return_counts=True)
+    largest = int(roots[counts.argmax()])
+    for i in turns:
+        if not asked[i] and forest.root(int(ids[i])) != forest.root(largest):
+            yield from ask(i)
+
 
 def linked(words: int, percent: int):
     """Exact links among the rows (block, doc_id, text) of each block; a block's rows follow each other."""

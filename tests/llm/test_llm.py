@@ -390,6 +390,46 @@ def test_near_dedup_against_brute_force(spark, docs, empty, block, monkeypatch):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def linked_groups(sets: list[set], percent: int = 80) -> tuple[list[int], list[int]]:
+    """The smallest member of each set's group, as linked_sets has it and by comparing all pairs."""
+    found, plain = near_dedup.Forest(), near_dedup.Forest()
+    for a, b in near_dedup.linked_sets(np.arange(len(sets)), [np.array(sorted(x), np.uint64) for x in sets], percent, near_dedup.Forest()):
+        found.join(a, b)
+    for a in range(len(sets)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                plain.join(a, b)
+    return [found.root(x) for x in range(len(sets))], [plain.root(x) for x in range(len(sets))]
+
+
+def test_links_that_bridge_two_groups():
+    swap = lambda x, *spans: {v + 1000 if any(v in s for s in spans) else v for v in x}
+    own = lambda x, at, n: {v + 10_000 * (n + 1) if v in at else v for v in x}
+    d1, d2, d3 = range(6), range(6, 12), range(12, 18)
+    c1 = set(range(100))
+    c2 = swap(c1, d1, d2, d3)
+    j, k = own(swap(c1, d1), (20, 21), 0), own(swap(c1, d1, d2), (22, 23), 1)
+    sets = [c1, c2, j, k, *(own(c, (30 + n,), n) for n, c in enumerate([c1, c1, c1, c2, c2, c2], 2))]
+    found, plain = linked_groups(sets)
+    assert found == plain == [0] * 10
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_links_of_revision_chains(seed):
+    draw, fresh = random.Random(seed), iter(range(1000, 10**9))
+    sets = []
+    for _ in range(4):  # chains, whose revisions differ by some shingles each and have copies
+        now = set(range(100))
+        for _ in range(40):
+            for v in draw.sample(sorted(now), draw.randint(2, 11)):
+                now = (now - {v}) | {next(fresh)}
+            for _ in range(draw.choice([1, 1, 1, 4])):
+                sets.append((now - {draw.choice(sorted(now))}) | {next(fresh)})
+    draw.shuffle(sets)
+    found, plain = linked_groups(sets)
+    assert found == plain
+
+
 def test_components_of_long_chains(spark):
     ids = list(range(300))
     random.Random(2).shuffle(ids)
