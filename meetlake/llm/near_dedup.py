@@ -279,10 +279,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     classes = settle(classes, "classes")
 
     minimum = lambda i: F.substring("upper", 2 * int(i) + 1, 2)
-    orders = F.array(*(F.struct(F.lit(t).cast("short").alias("tree"), F.concat(*(minimum(i) for i in constants()["orders"][t][:DEPTH])).alias("key")) for t in range(ORDERS)))
-    stood = classes.select(F.explode(orders).alias("o"), "doc_id", "lower").select("o.tree", "o.key", "doc_id", "lower")
+    prefix = lambda t, depth: F.concat(*(minimum(i) for i in constants()["orders"][t][:depth]))
+    orders = F.array(*(F.struct(F.lit(t).cast("short").alias("tree"), prefix(t, LEAST_DEPTH).alias("bucket"), prefix(t, DEPTH).alias("key")) for t in range(ORDERS)))
+    stood = classes.select(F.explode(orders).alias("o"), "doc_id", "lower").select("o.tree", "o.bucket", "o.key", "doc_id", "lower")
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = stood.repartitionByRange(tasks, "tree", "key", "doc_id").sortWithinPartitions("tree", "key", "doc_id")
+    # A bucket has all rows of an order that may be compared and stays in one task, so no number of partitions parts neighbours.
+    ordered = stood.repartition(tasks, "tree", "bucket").drop("bucket").sortWithinPartitions("tree", "key", "doc_id")
     ties = ordered.mapInArrow(tied(percent / 100 - MARGIN), "a long, b long")
     near = components(ties)  # neighbourhoods
 

@@ -390,6 +390,20 @@ def test_near_dedup_against_brute_force(spark, docs, empty, block, monkeypatch):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("tasks", [1, 200])
+def test_near_dedup_with_any_number_of_partitions(spark, tasks):
+    rows = [(k, " ".join(f"{k // 2}w{w}" for w in range(60)) + (" end" if k % 2 else "")) for k in range(12)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", tasks)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {r.doc_id: r.component_id for r in found} == {k: k // 2 * 2 for k in range(12)}
+
+
 def linked_groups(sets: list[set], percent: int = 80) -> tuple[list[int], list[int]]:
     """The smallest member of each set's group, as linked_sets has it and by comparing all pairs."""
     found, plain = near_dedup.Forest(), near_dedup.Forest()
