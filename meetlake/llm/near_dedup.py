@@ -1,10 +1,12 @@
 """Near-duplicates by an LSH forest.
 
 1. Every whole text becomes its set of hashed word shingles and a MinHash signature. Documents with the same set are one class.
-2. The forest: each class stands in several orders, sorted by differently chosen minima of its signature. In every order a
-   class is a candidate with its neighbours whose prefix in common is longest: where many signatures agree, neighbours agree
-   to a great depth, elsewhere to a small one, so the depth follows the region. Neighbours whose signatures agree on most minima
-   are tied, with a wide margin below the threshold; ties within a task are thinned to a spanning forest.
+2. The forest: each class stands in several orders of differently chosen minima of its signature, in the bucket of those that
+   share its two leading minima. Classes of a bucket whose signatures agree on most minima are tied, with a wide margin below the
+   threshold; ties within a task are thinned to a spanning forest. In a small bucket all pairs are compared. A crowded one is
+   first sorted by all minima, so that neighbours agree to the greatest depth found there, and these are tied; then each class
+   outside the largest group so far is compared with all whose sizes allow the threshold. Very crowded buckets are cut into
+   blocks, and each two blocks meet in a task. So no cap on partners loses a pair that shares a bucket.
 3. Classes that ties connect form a neighbourhood. It holds every document that one of its own could be linked with, so the
    exact similarity is needed inside neighbourhoods only. Each is read once, with whole texts, and linked on full shingle sets;
    only what already is in one group needs no comparison among itself. Large neighbourhoods are cut into blocks, and each two
@@ -19,15 +21,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meetlake.llm.common import ascii_lower, settle, slices, table, texts_of
 
-#: Minima in a signature, orders of the forest, minima that each order sorts by, and neighbours compared to either side.
-MINIMA, ORDERS, DEPTH, NEIGHBOURS = 64, 16, 8, 10
-#: Neighbours share at least so many leading minima.
+#: Minima in a signature, orders of the forest, and neighbours that a crowded bucket ties first; a bucket of more rows is crowded.
+MINIMA, ORDERS, NEIGHBOURS = 64, 16, 10
+#: Rows of a bucket share so many leading minima.
 LEAST_DEPTH = 2
+#: A block of a bucket holds about so many rows.
+CROWD = 20_000
 #: Signatures are tied when they agree on this share of minima less than the threshold: over four standard deviations of the estimate.
 MARGIN = 0.22
 #: A block holds so many shingles at most (or one document).
@@ -145,26 +149,73 @@ class Forest:
 TIES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def tied(least: float):
-    """Ties between neighbours in sorted rows (order, key, doc_id, lower); a task keeps NEIGHBOURS rows and a forest of its ties."""
+def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many minima agree, row by row."""
+    return (a == b).view(U64).sum(axis=-1) * U64(0x0101010101010101) >> U64(56)
+
+
+def crowded(tree: int, ids: np.ndarray, sizes: np.ndarray, lower: np.ndarray, percent: int, least: float, forest: Forest) -> Iterator[tuple[int, int]]:
+    """Ties of a crowded bucket: between neighbours in the order of all minima, then of every class outside the largest group with
+    all classes whose sizes allow a link (similarity is at most the ratio of sizes)."""
+    deep = np.ascontiguousarray(lower[:, constants()["orders"][tree]]).view(f"S{MINIMA}").ravel()
+    order = np.argsort(deep, kind="stable")
+    for gap in range(1, min(NEIGHBOURS, len(ids) - 1) + 1):
+        a, b = order[:-gap], order[gap:]
+        at = agreeing(lower[a], lower[b]) >= least * MINIMA
+        yield from ((x, y) for x, y in zip(ids[a[at]].tolist(), ids[b[at]].tolist(), strict=True) if forest.join(x, y))
+    order = np.argsort(sizes, kind="stable")
+    ids, sizes, lower = ids[order], sizes[order], np.ascontiguousarray(lower[order])
+    begins, ends = np.searchsorted(100 * sizes, percent * sizes), np.searchsorted(percent * sizes, 100 * sizes, "right")
+    roots, counts = np.unique([forest.root(x) for x in ids.tolist()], return_counts=True)
+    largest = int(roots[counts.argmax()])
+    for i, x in enumerate(ids.tolist()):
+        if forest.root(x) != forest.root(largest):
+            span = slice(begins[i], ends[i])
+            at = agreeing(lower[span], lower[i]) >= least * MINIMA
+            yield from ((x, y) for y in ids[span][at].tolist() if forest.join(x, y))
+
+
+def tied(percent: int):
+    """Ties in sorted rows (tree, bucket, pair, doc_id, n, lower): rows of the same tree, bucket and pair of blocks follow each
+    other, and a task keeps one bucket's rows and a forest of its ties."""
+    least = percent / 100 - MARGIN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, order, held = Forest(), -1, None
+        forest = Forest()
+
+        def close(rows: tuple[np.ndarray, ...], starts: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+            bucket, tree, ids, sizes, lower = rows
+            pairs = []
+            small = np.repeat(size <= NEIGHBOURS + 1, size)
+            for gap in range(1, min(NEIGHBOURS, len(ids) - 1) + 1):
+                at = np.flatnonzero((bucket[:-gap] == bucket[gap:]) & small[gap:])
+                at = at[agreeing(lower[at], lower[at + gap]) >= least * MINIMA]
+                pairs += [(a, b) for a, b in zip(ids[at].tolist(), ids[at + gap].tolist(), strict=True) if forest.join(a, b)]
+            for k in np.flatnonzero(size > NEIGHBOURS + 1):
+                span = slice(starts[k], starts[k] + size[k])
+                pairs += crowded(int(tree[starts[k]]), ids[span], sizes[span], lower[span], percent, least, forest)
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*pairs, strict=True)], schema=TIES)
+
+        held, last, number = None, None, 0
         for batch in batches:
-            tree = batch.column("tree").to_numpy(zero_copy_only=False)
-            keys = np.frombuffer(b"".join(batch.column("key").to_pylist()), np.uint16).reshape(-1, DEPTH)
+            names = list(zip(batch.column("tree").to_pylist(), batch.column("bucket").to_pylist(), batch.column("pair").to_pylist(), strict=True))
+            if not names:
+                continue
+            new = np.array([x != y for x, y in zip(names, [last, *names], strict=False)])
+            bucket, last = number + np.cumsum(new), names[-1]
+            number = int(bucket[-1])
             lower = np.frombuffer(b"".join(batch.column("lower").to_pylist()), np.uint8).reshape(-1, MINIMA)
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            rows = (bucket, *(batch.column(x).to_numpy(zero_copy_only=False) for x in ("tree", "doc_id", "n")), lower)
             if held is not None:
-                tree, keys, lower, ids = (np.concatenate([x, y]) for x, y in zip(held, (tree, keys, lower, ids), strict=True))
-            for gap in range(1, min(NEIGHBOURS, len(ids) - 1) + 1):
-                deep = (keys[:-gap, :LEAST_DEPTH] == keys[gap:, :LEAST_DEPTH]).all(axis=1) & (tree[:-gap] == tree[gap:])
-                at = np.flatnonzero(deep)
-                at = at[(lower[at] == lower[at + gap]).sum(axis=1) >= least * MINIMA]
-                pairs = [(a, b) for a, b in zip(ids[at].tolist(), ids[at + gap].tolist(), strict=True) if forest.join(a, b)]
-                if pairs:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*pairs, strict=True)], schema=TIES)
-            held = tree[-NEIGHBOURS:], keys[-NEIGHBOURS:], lower[-NEIGHBOURS:], ids[-NEIGHBOURS:]
+                rows = tuple(np.concatenate([x, y]) for x, y in zip(held, rows, strict=True))
+            done = int(np.searchsorted(rows[0], number))
+            if done:
+                _, starts, size = np.unique(rows[0][:done], return_index=True, return_counts=True)
+                yield from close(tuple(x[:done] for x in rows), starts, size)
+            held = tuple(x[done:] for x in rows)
+        if held is not None:
+            yield from close(held, np.array([0]), np.array([len(held[0])]))
 
     return run
 
@@ -260,6 +311,13 @@ def linked(words: int, percent: int):
     return run
 
 
+def block_pairs(blocks: Column) -> Column:
+    """The pairs of blocks that a row of the block ``own`` goes to, so that each two blocks meet."""
+    return F.when(blocks == 1, F.array(F.lit("0"))).otherwise(
+        F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.concat_ws("-", F.least(k, F.col("own")), F.greatest(k, F.col("own"))))
+    )
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links) and kept (that is itself), one row per document.
 
@@ -268,8 +326,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     white space alone, has none and is linked with nothing. Repeated rows get the same result each; a null doc_id has a null
     component, isn't kept and links nothing. Other columns are not read. An empty table gives no rows.
 
-    What the forest could miss: a pair at the threshold that is no neighbour in any order. Each order gives a pair its
-    ``threshold ** depth`` chance to agree on its leading minima, independently for the first eight orders and nearly so for the rest.
+    What the forest could miss: a pair that shares no bucket, i.e. no two leading minima in any order. Each order gives a pair its
+    ``threshold ** 2`` chance to share one, independently for the first eight orders and nearly so for the rest.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     run, kind = signed(words)
@@ -279,13 +337,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     classes = settle(classes, "classes")
 
     minimum = lambda i: F.substring("upper", 2 * int(i) + 1, 2)
-    prefix = lambda t, depth: F.concat(*(minimum(i) for i in constants()["orders"][t][:depth]))
-    orders = F.array(*(F.struct(F.lit(t).cast("short").alias("tree"), prefix(t, LEAST_DEPTH).alias("bucket"), prefix(t, DEPTH).alias("key")) for t in range(ORDERS)))
-    stood = classes.select(F.explode(orders).alias("o"), "doc_id", "lower").select("o.tree", "o.bucket", "o.key", "doc_id", "lower")
+    bucket = lambda t: F.concat(*(minimum(i) for i in constants()["orders"][t][:LEAST_DEPTH]))
+    orders = F.array(*(F.struct(F.lit(t).cast("short").alias("tree"), bucket(t).alias("bucket")) for t in range(ORDERS)))
+    stood = classes.select(F.explode(orders).alias("o"), "doc_id", "n", "lower").select("o.tree", "o.bucket", "doc_id", "n", "lower")
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # A bucket has all rows of an order that may be compared and stays in one task, so no number of partitions parts neighbours.
-    ordered = stood.repartition(tasks, "tree", "bucket").drop("bucket").sortWithinPartitions("tree", "key", "doc_id")
-    ties = ordered.mapInArrow(tied(percent / 100 - MARGIN), "a long, b long")
+    full = stood.groupBy("tree", "bucket").agg(F.ceil(F.count("*") / CROWD).cast("int").alias("blocks")).where("blocks > 1")
+    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks").cast("long")).cast("int")
+    stood = stood.join(settle(full, "full"), ["tree", "bucket"], "left").withColumn("own", own)
+    stood = stood.select("tree", "bucket", F.explode(block_pairs(F.coalesce("blocks", F.lit(1)))).alias("pair"), "doc_id", "n", "lower")
+    # A bucket's pair of blocks stays in one task, so no number of partitions parts what is to be compared.
+    ordered = stood.repartition(tasks, "tree", "bucket", "pair").sortWithinPartitions("tree", "bucket", "pair")
+    ties = ordered.mapInArrow(tied(percent), "a long, b long")
     near = components(ties)  # neighbourhoods
 
     members = settle(near.join(classes.select(F.col("doc_id").alias("id"), "n"), "id").select("id", "component", "n"), "members")
@@ -293,10 +355,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     blocks = F.ceil(F.col("total") / BLOCK).cast("int")
     placed = members.join(totals.select("component", blocks.alias("blocks")), "component")
     own = F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int")
-    pairs = F.when(F.col("blocks") == 1, F.array(F.lit("0"))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.concat_ws("-", F.least(k, F.col("own")), F.greatest(k, F.col("own"))))
-    )
-    dealt = placed.withColumn("own", own).select("id", F.explode(pairs).alias("pair"), "component")
+    dealt = placed.withColumn("own", own).select("id", F.explode(block_pairs(F.col("blocks"))).alias("pair"), "component")
     dealt = dealt.select("id", F.concat_ws(":", "component", "pair").alias("block"))
     texts = slim.join(dealt, slim.doc_id == dealt.id).select("block", "doc_id", "text")
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

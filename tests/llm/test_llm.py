@@ -10,6 +10,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -390,6 +391,29 @@ def test_near_dedup_against_brute_force(spark, docs, empty, block, monkeypatch):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_ties_in_a_crowded_bucket():
+    """Two rows among 3,000 of a bucket agree on 45 minima, but not on those that the order sorts by first."""
+    draw, order = np.random.default_rng(3), near_dedup.constants()["orders"][0]
+    lower = draw.integers(0, 256, (3000, near_dedup.MINIMA), np.uint8)
+    lower[:, order[:8]] = 7
+    lower[2999, order[8:45]] = lower[0, order[8:45]]
+    lower[[0, 2999], order[8]] = 0, 255
+    lower[2999, order[45]] = lower[0, order[45]]
+    fields = {"tree": np.zeros(3000, np.int16), "bucket": [b"same"] * 3000, "key": [b"\7" * 16] * 3000, "pair": ["0"] * 3000, "doc_id": np.arange(3000), "n": np.full(3000, 100), "lower": [x.tobytes() for x in lower]}
+    batch = pa.RecordBatch.from_pydict(fields)
+    found = near_dedup.tied(80)(iter([batch.slice(0, 1700), batch.slice(1700)]))
+    assert [x for part in found for x in part.to_pylist()] in ([{"a": 0, "b": 2999}], [{"a": 2999, "b": 0}])
+
+
+def test_near_dedup_finds_a_pair_in_blocks_of_a_crowd(spark, monkeypatch):
+    """Half of every document is one passage, and two documents at either end of the ids are little more than that passage."""
+    monkeypatch.setattr(near_dedup, "CROWD", 500)
+    passage, n = " ".join(f"p{w}" for w in range(100)), 8000
+    rows = [(k, f"{passage} " + " ".join(f"{k}w{w}" for w in range(5 if k in (0, n) else 100))) for k in range(n + 1)]
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), 1, 90).where("not kept").collect()
+    assert [(r.doc_id, r.component_id) for r in found] == [(n, 0)]
+
+
 @pytest.mark.parametrize("tasks", [1, 200])
 def test_near_dedup_with_any_number_of_partitions(spark, tasks):
     rows = [(k, " ".join(f"{k // 2}w{w}" for w in range(60)) + (" end" if k % 2 else "")) for k in range(12)]
