@@ -97,9 +97,9 @@ SELECT m.person, c.seconds, c.exemplars, CAST(m.dim AS INT) AS dim, round(x / t,
 
 
 def voice_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every tenth vector as a speaker of its meeting, against the voices of the labels."""
+    """Every vector as a speaker of its meeting, against the voices of the labels."""
     people = O.voices(exemplars(spark, sf_dir), ["person"], A.DIMS).select("person", "vector")
-    speakers = A.vectors(spark, sf_dir).where("vec_id % 10 = 3").select("meeting_id", F.col("vec_id").alias("speaker"), "vector")
+    speakers = A.vectors(spark, sf_dir).select("meeting_id", F.col("vec_id").alias("speaker"), "vector")
     return O.suggested(speakers, people, A.DIMS, low=0.05, high=0.2, margin=0.01).withColumn("score", F.round("score", 6))
 
 

@@ -9,7 +9,7 @@ import os
 import duckdb
 import pytest
 
-from meetlake.plans import registry
+from meetlake.plans import people, registry
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,3 +43,11 @@ def test_query(spark, duck, name):
     assert sorted(want.columns) == columns
     order = [want.columns.index(c) for c in columns]
     assert rows == sorted(str([plain(r[i]) for i in order]) for r in want.fetchall())
+
+
+def test_voice_suggest_asks_in_every_meeting(spark, tmp_path):
+    """Forty vectors along eight axes: every meeting has speakers whose voice someone has."""
+    rows = [(k, f"p{k % 8}", [float(d == k % 8) for d in range(64)]) for k in range(40)]
+    spark.createDataFrame(rows, "vec_id long, label string, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = people.voice_suggest(spark, str(tmp_path)).where("rank = 1").collect()
+    assert {(r.meeting_id, r.speaker, r.person) for r in found} == {(k % 20, k, f"p{k % 8}") for k in range(40)}
