@@ -7,13 +7,14 @@ that it is compatible with its left neighbour, turns to shorter ones where it is
 marks positions from which the rest has failed, so none is tried twice and the time is linear in the text.
 
 Where the vocabulary shows that no piece holds a space mark after another character, a line feed, or a Latin letter next to
-another sign, a text falls into words, runs of other signs and line feeds, which are encoded independently and remembered. Texts
-of a model without these properties are encoded whole.
+another sign, a text falls into words, runs of other signs and line feeds, which are encoded independently: each distinct one of
+a batch once, its ids then gathered for all places. Texts of a model without these properties are encoded whole.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,12 +31,42 @@ SPACE = "▁"
 NEVER = float("-inf")
 #: Latin letters, the contents of a character class.
 LETTERS = "A-Za-z\u00c0-\u024f"
-#: Segments remembered by a Python worker, and the longest that is.
-REMEMBERED, LONGEST = 300_000, 200
+#: Segments that a Python worker remembers from one batch for the next, at most.
+REMEMBERED = 300_000
+#: Characters of a long text that are cut into segments at once.
+STRIDE = 1 << 20
+#: What a model's normalising must leave as it is: case, compatibility forms, accents apart, runs of spaces and other white space.
+PROBE = "  Aﬁ Ａ e\u0301  \t\n\u3000x  "
+
+
+class Segments(dict):
+    """Numbers of segments, given as they are first asked for; by number, a segment's ids (in ``flat``, up to ``ends``), and, where it isn't
+    the segment itself with spaces, what they decode to."""
+
+    def __init__(self, encoder: Encoder):
+        self.encoder, self.flat, self.ends, self.odd = encoder, array("i"), array("q", [0]), {}
+
+    def __missing__(self, text: str) -> int:
+        coder, number = self.encoder, len(self.ends) - 1
+        pieces = coder.cut_pieces(text)
+        try:
+            self.flat.extend([coder.ids[x] for x in pieces])
+        except KeyError:  # a character that is in no piece
+            ids = [i for x in pieces for i in ([coder.ids[x]] if x in coder.ids else [coder.byte_ids[b] for b in x.encode("utf-8", "replace")])]
+            self.flat.extend(ids)
+            if (spelled := coder.spell(ids)) != text.replace(SPACE, " "):
+                self.odd[number] = spelled
+        self.ends.append(len(self.flat))
+        self[text] = number
+        return number
 
 
 class Encoder:
-    """Encodes and decodes as the model's library does, without begin or end ids."""
+    """Encodes and decodes as the model's library does, without begin or end ids.
+
+    For models of the merge type with byte pieces, whose normalising puts a space mark first and for each space and changes nothing else;
+    any other model is refused.
+    """
 
     def __init__(self, model: bytes):
         lib = sentencepiece.SentencePieceProcessor(model_proto=model)
@@ -47,14 +78,17 @@ class Encoder:
         self.byte_of = {i: b for b, i in self.byte_ids.items()}
         if len(self.byte_ids) != 256:
             raise ValueError("the model has no byte pieces to fall back on")
+        if lib.normalize(PROBE) != (SPACE + PROBE).replace(" ", SPACE):
+            raise ValueError("the model normalises texts in a way that isn't supported")
         self.automaton = ahocorasick.Automaton()
         for piece in self.score:
             if len(piece) == 1 or self.merge(piece) == [piece]:  # a piece that merging never makes is no candidate
                 self.automaton.add_word(piece, len(piece))
         self.automaton.make_automaton()
+        self.shorter = {x: next((x[:n] for n in range(len(x) - 1, 0, -1) if x[:n] in self.automaton), "") for x in self.automaton}
         self.cut = self.boundaries()
         self.compatible = lru_cache(1 << 20)(self._compatible)
-        self.known: dict[str, tuple[bytes, int, str]] = {}
+        self.known = Segments(self)
 
     def boundaries(self) -> re.Pattern:
         """Matches the parts of a text that no piece reaches beyond, as the vocabulary shows."""
@@ -85,55 +119,91 @@ class Encoder:
         return parts
 
     def _compatible(self, left: str, right: str) -> bool:
-        return self.merge(left + right) == [left, right]
+        return left not in self.score or right not in self.score or self.merge(left + right) == [left, right]
+
+    def look_ahead(self, text: str, pos: int, ends: dict[int, int]) -> None:
+        """Add to ``ends`` where the longest piece from ``pos`` on ends, where the longest one from there on does, and so on, until they
+        meet one that is known."""
+        for end, n in self.automaton.iter_long(text, pos):
+            start = end + 1 - n
+            while pos < start:  # characters that are in no piece
+                ends[pos] = pos = pos + 1
+            if start in ends:
+                return
+            ends[start] = pos = end + 1
+        while pos < len(text) and pos not in ends:
+            ends[pos] = pos = pos + 1
 
     def cut_pieces(self, text: str) -> list[str]:
         """Pieces of a text; a character that is in no piece stands alone."""
-        lengths: list[list[int]] = [[] for _ in text]  # of the pieces that start here, ascending: a match's end grows with it
-        for end, n in self.automaton.iter(text):
-            lengths[end + 1 - n].append(n)
-        fine = bytearray(b"\x01") * (len(text) + 1)  # 0: the rest from here has failed
+        length, compatible, shorter = len(text), self.compatible, self.shorter
+        failed = bytearray(length // 8 + 1)  # a bit for each position: the rest from here has failed
+        ends: dict[int, int] = {}
         taken: list[str] = []
-        pos, choices = 0, [list(lengths[0]) or [1]] if text else []  # of each open position, what is left to try
-        while pos < len(text):
-            left = choices[-1]
-            last = taken[-1] if taken else ""
-            while left:
-                n = left.pop()
-                piece = text[pos : pos + n]
-                if fine[pos + n] and (not last or last not in self.score or piece not in self.score or self.compatible(last, piece)):
-                    taken.append(piece)
-                    pos += n
-                    if pos < len(text):
-                        choices.append(list(lengths[pos]) or [1])
+        pos, last, piece = 0, "", None  # piece: what is tried next; None: the longest
+        while pos < length:
+            if piece is None:
+                if pos not in ends:
+                    self.look_ahead(text, pos, ends)
+                piece = text[pos : ends[pos]]
+            while piece:
+                stop = pos + len(piece)
+                if not failed[stop >> 3] >> (stop & 7) & 1 and (not last or compatible(last, piece)):
                     break
+                piece = shorter.get(piece)
+            if piece:
+                taken.append(piece)
+                pos, last, piece = stop, piece, None
             else:
-                fine[pos] = 0
-                choices.pop()
-                pos -= len(taken.pop())
+                failed[pos >> 3] |= 1 << (pos & 7)
+                piece = taken.pop()
+                pos -= len(piece)
+                last, piece = taken[-1] if taken else "", shorter.get(piece, "")
         return taken
 
-    def segment(self, text: str) -> tuple[bytes, int, str]:
-        """Ids (as 32-bit bytes), their number, and the text that they decode to, with its spaces."""
-        found = self.known.get(text)
-        if found is None:
-            ids: list[int] = []
-            for piece in self.cut_pieces(text):
-                i = self.ids.get(piece)
-                ids.extend([i] if i is not None else [self.byte_ids[b] for b in piece.encode("utf-8", "replace")])
-            found = np.array(ids, "<i4").tobytes(), len(ids), self.spell(ids)
-            if len(text) <= LONGEST:
-                if len(self.known) >= REMEMBERED:
-                    self.known.clear()
-                self.known[text] = found
-        return found
-
-    def encode(self, text: str) -> tuple[bytes, int, str]:
-        """As segment(), of a whole text."""
-        if not text:
-            return b"", 0, ""
-        parts = [self.segment(x) for x in self.cut.findall(SPACE + text.replace(" ", SPACE))]
-        return b"".join([x[0] for x in parts]), sum([x[1] for x in parts]), "".join([x[2] for x in parts])[1:]
+    def segments(self, text: str) -> Iterator[list[str]]:
+        """The segments of a text, in lists of bounded length: a long text is cut a stride at a time."""
+        text, at = SPACE + text.replace(" ", SPACE), 0
+        while len(text) - at > STRIDE:
+            part = self.cut.findall(text, at, at + STRIDE)
+            if len(part) > 1:
+                part.pop()  # it may go on
+            else:
+                part = [self.cut.match(text, at)[0]]
+            at += sum(map(len, part))
+            yield part
+        yield self.cut.findall(text, at)
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """The ids of all texts in a row, where each text's end (0 first), and what they decode to."""
+        known, parts, counts = self.known, [], [0]
+        for text in texts:
+            found = [np.fromiter(map(known.__getitem__, x), np.int64, len(x)) for x in self.segments(text)] if text else []
+            parts.extend(found)
+            counts.append(counts[-1] + sum(map(len, found)))
+        codes = np.concatenate(parts) if parts else np.empty(0, np.int64)
+        ends, flat = np.array(known.ends), np.array(known.flat, np.int32)
+        sizes = ends[codes + 1] - ends[codes]
+        after = np.concatenate([[0], np.cumsum(sizes)])
+        ids = flat[np.repeat(ends[codes] - after[:-1], sizes) + np.arange(after[-1])]
+        decoded = [x.replace(SPACE, " ") for x in texts]
+        if known.odd:
+            odd = np.isin(codes, np.fromiter(known.odd, np.int64, len(known.odd)))
+            for k in np.unique(np.searchsorted(counts, np.flatnonzero(odd), "right") - 1).tolist():
+                own = (x for part in self.segments(texts[k]) for x in part)
+                decoded[k] = "".join([known.odd.get(known[x], x.replace(SPACE, " ")) for x in own])[1:]
+        if len(known) > REMEMBERED:  # keep what this batch had more than once
+            often = np.bincount(codes, minlength=len(known)) > 1
+            self.known = Segments(self)
+            for text, code in known.items():
+                if often[code]:
+                    self.known[text]
+        return ids, after[counts], decoded
+
+    def encode(self, text: str) -> tuple[list[int], str]:
+        """The ids of a text, and what they decode to."""
+        ids, _, decoded = self.encode_all([text])
+        return ids.tolist(), decoded[0]
 
     def spell(self, ids: list[int]) -> str:
         """Pieces put together; runs of byte pieces become UTF-8, what isn't valid in them U+FFFD."""
@@ -163,7 +233,7 @@ def encode_texts(docs: DataFrame, model_path: str) -> DataFrame:
 
     Ids are those of the library's encode() without begin or end ids; decoded is what its decode() makes of them. Null texts
     count as empty: no ids, an empty string. Repeated rows are each returned; a null doc_id stays null; other columns are not
-    read. The model file is read on the driver and broadcast (its size is a tokenizer's, not the data's).
+    read; an empty table gives no rows. Very long texts are cut a stride at a time. The model file is read on the driver and broadcast (its size is a tokenizer's, not the data's).
     """
     with open(model_path, "rb") as file:
         model = docs.sparkSession.sparkContext.broadcast(file.read())
@@ -172,12 +242,11 @@ def encode_texts(docs: DataFrame, model_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(model.value)
         for batch in slices(batches, "text", 4 << 20):
-            rows = [coder.encode(x) for x in texts_of(batch.column("text"))]
-            offsets = np.zeros(len(rows) + 1, np.int32)
-            np.cumsum([n for _, n, _ in rows], out=offsets[1:])
-            flat = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join([x[0] for x in rows]))])
-            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), ids, pa.array([x[2] for x in rows], pa.string())], schema=schema)
+            place: dict[str, int] = {}  # of each distinct text of the batch
+            rows = pa.array([place.setdefault(x, len(place)) for x in texts_of(batch.column("text"))], pa.int32())
+            ids, ends, decoded = coder.encode_all(list(place))
+            own = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), own.take(rows), pa.array(decoded, pa.string()).take(rows)], schema=schema)
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 

@@ -285,7 +285,7 @@ def test_toxicity_on_held_out_labels(spark, docs, empty):
 # 6: SentencePiece
 
 
-def test_encoding_equals_the_library(docs, empty):
+def test_encoding_equals_the_library(docs, empty, monkeypatch):
     import sentencepiece
 
     library, own = sentencepiece.SentencePieceProcessor(model_file=MODEL), sentencepiece_bpe.Encoder(open(MODEL, "rb").read())
@@ -293,11 +293,15 @@ def test_encoding_equals_the_library(docs, empty):
     texts = ["", " ", "   ", "a" * 3000, "=" * 70 + " " * 33 + "the", "<s> </s> <0x0A>", "é▁x", "\x00a"]
     texts += ["".join(chance.choice("ab eéß▁\n\t  漢字🙂12,-=_#*/\x00ﬁ") for _ in range(chance.randint(1, 120))) for _ in range(500)]
     texts += ["".join(chance.choice("etaoinshr dlu") for _ in range(chance.randint(1, 200))) for _ in range(500)]
-    for text in texts:
-        ids, n, decoded = own.encode(text)
-        want = library.encode(text)
-        assert np.frombuffer(ids, "<i4").tolist() == want and n == len(want)
-        assert decoded == library.decode(want) == own.decode(want)
+    monkeypatch.setattr(sentencepiece_bpe, "REMEMBERED", 500)
+    for stride in (sentencepiece_bpe.STRIDE, 40):
+        monkeypatch.setattr(sentencepiece_bpe, "STRIDE", stride)
+        for text in texts:
+            ids, decoded = own.encode(text)
+            assert ids == library.encode(text)
+            assert decoded == library.decode(ids) == own.decode(ids)
+        ids, ends, decoded = own.encode_all(texts)
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:], strict=False)] == library.encode(texts) and decoded == library.decode(library.encode(texts))
     for r in sentencepiece_bpe.encode_texts(docs, MODEL).join(docs.select("doc_id", "text"), "doc_id").collect():
         assert list(r.ids) == library.encode(r.text or "") and r.decoded == library.decode(list(r.ids))
     assert sentencepiece_bpe.encode_texts(empty, MODEL).count() == 0
