@@ -3,14 +3,16 @@
 1. Every whole text becomes its set of hashed word shingles and a MinHash signature. Documents with the same set are one class.
 2. The forest: each class stands in several orders of differently chosen minima of its signature, in the bucket of those that
    share its two leading minima. Classes of a bucket whose signatures agree on most minima are tied, with a wide margin below the
-   threshold; ties within a task are thinned to a spanning forest. In a small bucket all pairs are compared. A crowded one is
-   first sorted by all minima, so that neighbours agree to the greatest depth found there, and these are tied; then each class
-   outside the largest group so far is compared with all whose sizes allow the threshold. Very crowded buckets are cut into
-   blocks, and each two blocks meet in a task. So no cap on partners loses a pair that shares a bucket.
+   threshold; ties within a task are thinned to a spanning forest. The depth follows the region: in a small bucket two leading
+   minima are enough, and all pairs are compared; a crowded one is sorted by all its minima, so that the neighbours of a class are
+   those with the longest common prefixes, and these are tied first. Then each class outside the largest group so far is compared
+   with all whose sizes allow the threshold. Very crowded buckets are cut into blocks, and each two blocks meet in a task. So no cap
+   on partners loses a pair that shares a bucket.
 3. Classes that ties connect form a neighbourhood. It holds every document that one of its own could be linked with, so the
-   exact similarity is needed inside neighbourhoods only. Each is read once, with whole texts, and linked on full shingle sets;
-   only what already is in one group needs no comparison among itself. Large neighbourhoods are cut into blocks, and each two
-   blocks meet in a task.
+   exact similarity is needed inside neighbourhoods only. A small one is read once, with whole texts, and linked on full shingle
+   sets. A large one is cut into blocks, each with the same few leaders, and linked block by block; leaders bring together what
+   copies one text. What lies in the largest group then needs no comparison among itself; only the rest of the neighbourhood meets
+   all its blocks.
 4. Links, followed to their end, give the groups.
 """
 
@@ -21,7 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meetlake.llm.common import ascii_lower, settle, slices, table, texts_of
@@ -34,8 +36,8 @@ LEAST_DEPTH = 2
 CROWD = 20_000
 #: Signatures are tied when they agree on this share of minima less than the threshold: over four standard deviations of the estimate.
 MARGIN = 0.22
-#: A block holds so many shingles at most (or one document).
-BLOCK = 4_000_000
+#: A block of a neighbourhood holds about so many shingles and rows, and so many leaders besides.
+BLOCK, ROWS, LEADERS = 1_000_000, 400, 6
 U64 = np.uint64
 
 
@@ -244,8 +246,8 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def linked_sets(ids: np.ndarray, sets: list[np.ndarray], percent: int, forest: Forest) -> Iterator[tuple[int, int]]:
-    """Links that connect what is linked among these sets, as a spanning forest.
+def linked_sets(ids: np.ndarray, sets: list[np.ndarray], percent: int, forest: Forest, rest: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+    """Links that connect what is linked among these sets, as a spanning forest. With ``rest``, only these are asked.
 
     An inverted index over the sets gives one set's intersections with all others exactly, in one pass over its shingles'
     postings. First, in the order of how typical their shingles are, those sets are asked that no asked one has been linked to.
@@ -276,6 +278,10 @@ def linked_sets(ids: np.ndarray, sets: list[np.ndarray], percent: int, forest: F
                 if forest.join(int(ids[i]), int(ids[j])):
                     yield int(ids[i]), int(ids[j])
 
+    if rest is not None:
+        for i in np.flatnonzero(rest).tolist():
+            yield from ask(i)
+        return
     for i in turns:
         if not grouped[i]:
             yield from ask(i)
@@ -286,26 +292,34 @@ def linked_sets(ids: np.ndarray, sets: list[np.ndarray], percent: int, forest: F
             yield from ask(i)
 
 
-def linked(words: int, percent: int):
-    """Exact links among the rows (block, doc_id, text) of each block; a block's rows follow each other."""
+def linked(words: int, percent: int, again: bool = False):
+    """Exact links among the rows (block, doc_id, text) of each block; a block's rows follow each other. With ``again``, rows also have
+    their group so far and whether they are of the rest, and what is asked is how the rest links to other groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, sets = None, [], []
+        now, ids, sets, groups, rest = None, [], [], [], []
 
         def close() -> Iterator[pa.RecordBatch]:
-            pairs = list(linked_sets(np.array(ids), sets, percent, Forest())) if len(ids) > 1 else []
+            forest = Forest()
+            for x, y in zip(ids, groups, strict=False):
+                forest.join(x, y)
+            pairs = list(linked_sets(np.array(ids), sets, percent, forest, np.array(rest) if again else None)) if len(ids) > 1 else []
             if pairs:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*pairs, strict=True)], schema=TIES)
 
         for batch in slices(batches, "text", 4 << 20):
-            for block, doc_id, text in zip(batch.column("block").to_pylist(), batch.column("doc_id").to_pylist(), texts_of(batch.column("text")), strict=True):
+            more = [batch.column(x).to_pylist() for x in ("group", "rest")] if again else [[None] * batch.num_rows] * 2
+            for block, doc_id, text, group, odd in zip(batch.column("block").to_pylist(), batch.column("doc_id").to_pylist(), texts_of(batch.column("text")), *more, strict=True):
                 if block != now:
                     yield from close()
-                    now, ids, sets = block, [], []
+                    now, ids, sets, groups, rest = block, [], [], [], []
                 if ids and ids[-1] == doc_id:
                     continue  # a repeated row
                 ids.append(doc_id)
                 sets.append(shingles(text, words))
+                if again:
+                    groups.append(group)
+                    rest.append(odd)
         yield from close()
 
     return run
@@ -318,6 +332,42 @@ def block_pairs(blocks: Column) -> Column:
     )
 
 
+def exact_groups(docs: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
+    """id and component of the linked documents within neighbourhoods. members: id, component (the neighbourhood), n (shingles)."""
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def links(dealt: DataFrame, again: bool) -> DataFrame:
+        texts = docs.join(dealt, docs.doc_id == dealt.id).select("block", "doc_id", "text", *(["group", "rest"] if again else []))
+        return texts.repartition(tasks, "block").sortWithinPartitions("block", "doc_id").mapInArrow(linked(words, percent, again), "a long, b long")
+
+    def all_of(number: Column) -> Column:
+        return F.explode(F.sequence(F.lit(0), number - 1))
+
+    totals = members.groupBy("component").agg(F.greatest(F.ceil(F.sum("n") / BLOCK), F.ceil(F.count("*") / ROWS)).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int")
+    placed = settle(members.join(totals, "component").select("id", "component", "blocks", own.alias("own")), "placed")
+    large = placed.where("blocks > 1")
+    first = Window.partitionBy("component").orderBy(F.xxhash64("id", F.lit("leader")), "id")
+    leaders = large.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= LEADERS).withColumn("at", all_of(F.col("blocks"))).where("at <> own")
+    dealt = placed.select("id", "component", F.col("own").alias("at")).union(leaders.select("id", "component", "at"))
+    found = settle(links(dealt.select("id", F.concat_ws(":", "component", "at").alias("block")), False), "found")
+    groups = components(found)
+    if large.isEmpty():
+        return groups
+    groups = settle(groups, "groups")
+    grouped = large.join(groups.withColumnRenamed("component", "group"), "id", "left").withColumn("group", F.coalesce("group", "id"))
+    sizes = grouped.groupBy("component", "group").agg(F.count("*").alias("rows"))
+    main = sizes.groupBy("component").agg(F.max(F.struct("rows", "group"))["group"].alias("main"), (F.sum("rows") - F.max("rows")).alias("others"))
+    grouped = settle(grouped.join(main.where("others > 0"), "component"), "grouped").withColumn("rest", F.col("group") != F.col("main"))
+    parts = F.ceil(F.col("others") / ROWS).cast("int")
+    grouped = grouped.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id", F.lit("rest")), F.col("parts").cast("long")).cast("int"))
+    name = F.concat_ws(":", "component", "i", "j").alias("block")
+    every = grouped.withColumn("i", all_of(F.col("parts"))).withColumn("j", F.col("own")).where("not rest or i <> part")
+    rest = grouped.where("rest").withColumn("i", F.col("part")).withColumn("j", all_of(F.col("blocks")))
+    asked = every.select("id", name, "group", F.lit(False).alias("rest")).union(rest.select("id", name, "group", F.lit(True).alias("rest")))
+    return components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links(asked, True)))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links) and kept (that is itself), one row per document.
 
@@ -351,16 +401,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     near = components(ties)  # neighbourhoods
 
     members = settle(near.join(classes.select(F.col("doc_id").alias("id"), "n"), "id").select("id", "component", "n"), "members")
-    totals = members.groupBy("component").agg(F.sum("n").alias("total"))
-    blocks = F.ceil(F.col("total") / BLOCK).cast("int")
-    placed = members.join(totals.select("component", blocks.alias("blocks")), "component")
-    own = F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int")
-    dealt = placed.withColumn("own", own).select("id", F.explode(block_pairs(F.col("blocks"))).alias("pair"), "component")
-    dealt = dealt.select("id", F.concat_ws(":", "component", "pair").alias("block"))
-    texts = slim.join(dealt, slim.doc_id == dealt.id).select("block", "doc_id", "text")
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    grouped = texts.repartition(tasks, "block").sortWithinPartitions("block", "doc_id")
-    groups = components(grouped.mapInArrow(linked(words, percent), "a long, b long"))
+    groups = exact_groups(slim, members, words, percent)
 
     leaders = classes.select("set", F.col("doc_id").alias("id"))
     led = leaders.join(groups, "id", "left").select("set", F.coalesce("component", "id").alias("component"))

@@ -377,9 +377,10 @@ def test_chat_round_trip(spark):
 # 9: near dedup
 
 
-@pytest.mark.parametrize("block", [near_dedup.BLOCK, 3000])
-def test_near_dedup_against_brute_force(spark, docs, empty, block, monkeypatch):
+@pytest.mark.parametrize(("block", "size"), [(near_dedup.BLOCK, near_dedup.ROWS), (3000, 400), (near_dedup.BLOCK, 7)])
+def test_near_dedup_against_brute_force(spark, docs, empty, block, size, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "ROWS", size)
     rows = generated(11, 400)
     for words, percent in ((4, 80), (5, 80)):
         want = components_of(rows, words, percent)
@@ -472,6 +473,23 @@ def test_links_of_revision_chains(seed):
     assert found == plain
 
 
+def test_recall_of_pairs_at_the_threshold(spark):
+    """20,000 documents, 300 pairs of which are just similar enough; a third of the documents begins with one passage."""
+    chance, fresh, rows = random.Random(8), iter(range(10**9)), []
+    passage = [f"p{k}" for k in range(40)]
+    for i in range(19_700):
+        rows.append((i, (passage if i % 3 == 0 else []) + [f"w{next(fresh)}" for _ in range(54)]))
+    for i in range(300):  # a changed word costs five of each one's shingles: 90 - 10 of 90 + 10
+        other = list(rows[i][1]) if len(rows[i][1]) == 94 else list(rows[i][1]) + [f"w{next(fresh)}" for _ in range(40)]
+        rows[i] = (i, list(other))
+        for place in (45, 60):
+            other[place] = f"w{next(fresh)}"
+        rows.append((19_700 + i, other))
+    chance.shuffle(rows)
+    found = near_dedup.near_duplicates(spark.createDataFrame([(i, " ".join(x)) for i, x in rows], "doc_id long, text string")).where("not kept").collect()
+    assert {(r.doc_id, r.component_id) for r in found} == {(19_700 + i, i) for i in range(300)}
+
+
 def test_components_of_long_chains(spark):
     ids = list(range(300))
     random.Random(2).shuffle(ids)
