@@ -2,12 +2,14 @@
 
 Texts are equal when they are identical after lower-casing A-Z. Each task puts the full byte strings of its input rows into a
 compressed radix trie, whose terminal nodes store the number of rows and the identifier that stays. A task thereby sends one
-owner for each distinct text on, however often the text repeats: hot groups shrink before anything is shuffled. Owners then meet
-by length and content hash. A length-and-hash that only one owner has is settled; the full texts of the others go to the
-partition of their length and hash, into a trie again, which merges equal ones byte by byte.
+owner for each distinct text on, however often the text repeats: hot groups shrink before anything is shuffled, and no task holds
+its rows. Owners then meet by length and content hash. A length-and-hash that only one owner has is settled; the full texts of the
+others go to the partition of their length and hash, into that partition's trie, which merges equal ones byte by byte. Where very many
+tasks own a text, their owners are merged in groups first.
 
 A trie that outgrows its budget spills by subtree: the heaviest child of the root hands its terminals to the output and is
-forgotten. Equal texts that come later get another owner, and the second trie joins the two.
+forgotten. Equal texts that come later in an input task get another owner, which the partition's trie joins to the first; there
+the texts are sorted by length and hash, and a spill waits for the next of these, so it parts no group.
 """
 
 from __future__ import annotations
@@ -21,19 +23,24 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meetlake.llm.common import ascii_lower, settle, slices, table, texts_of
+from meetlake.llm.common import BATCH_BYTES, ascii_lower, settle, slices, table, texts_of
 
-#: A task's trie spills a subtree when its labels hold more bytes than this.
+#: A task's trie spills subtrees when it holds more bytes than this.
 TRIE_BYTES = 96 << 20
+#: Owners of one length and hash that are merged in one task.
+FAN = 256
+#: Bytes that a node takes besides its label.
+NODE = 400
 
 
 class Node:
-    """A trie node: the bytes on the edge above it, its children by their first byte, and the slot of the text ending here."""
+    """A trie node: the bytes on the edge above it, its children by their first byte, and for a text that ends here its owners (the first
+    stands for the text), the identifier that stays and the number of rows."""
 
-    __slots__ = ("children", "label", "slot")
+    __slots__ = ("best", "children", "label", "n", "owners")
 
-    def __init__(self, label: bytes, slot: int | None = None):
-        self.label, self.slot, self.children = label, slot, {}
+    def __init__(self, label: bytes):
+        self.label, self.children, self.owners, self.best, self.n = label, {}, None, None, 0
 
 
 def common(a: bytes, b: bytes) -> int:
@@ -52,50 +59,52 @@ def common(a: bytes, b: bytes) -> int:
 
 
 class Trie:
-    """A compressed radix trie over byte strings; ``slot(text)`` gives equal texts the same number and others a new one."""
+    """A compressed radix trie over byte strings."""
 
     def __init__(self):
-        self.root, self.bytes, self.slots = Node(b""), 0, 0
+        self.root, self.bytes = Node(b""), 0
 
-    def slot(self, text: bytes) -> int:
+    def end(self, text: bytes) -> Node:
+        """The node where a text ends."""
         node, rest = self.root, text
         while rest:
             child = node.children.get(rest[0])
             if child is None:
                 child = node.children[rest[0]] = Node(rest)
-                self.bytes += len(rest) + 200
-                node, rest = child, b""
-                break
+                self.bytes += len(rest) + NODE
+                return child
             n = common(child.label, rest)
             if n < len(child.label):  # split the edge
                 upper = Node(child.label[:n])
                 child.label = child.label[n:]
                 upper.children[child.label[0]] = child
                 node.children[rest[0]] = child = upper
-                self.bytes += 200
+                self.bytes += NODE
             node, rest = child, rest[n:]
-        if node.slot is None:
-            node.slot, self.slots = self.slots, self.slots + 1
-        return node.slot
-
-    def spill(self) -> list[int]:
-        """Forget the heaviest subtree below the root (and the empty text, if alone); return the slots that it held."""
-        if not self.root.children:
-            return []
-        weights = {}
-        for first, child in self.root.children.items():
-            weight, slots, todo = 0, [], [child]
-            while todo:
-                node = todo.pop()
-                weight += len(node.label) + 200
-                if node.slot is not None:
-                    slots.append(node.slot)
-                todo.extend(node.children.values())
-            weights[first] = weight, slots
-        first = max(weights, key=lambda k: weights[k][0])
-        del self.root.children[first]
-        self.bytes -= weights[first][0]
-        return weights[first][1]
+        return node
+
+    def spill(self, limit: int) -> Iterator[tuple[bytes, Node]]:
+        """Forget the heaviest subtrees below the root until no more than ``limit`` bytes are held; the texts and nodes that end there."""
+        if not limit:
+            if self.root.owners is not None:
+                yield b"", self.root
+            self.root.owners, self.root.best, self.root.n = None, None, 0
+        weights = {first: sum(len(x.label) + NODE for _, x in walked(child)) for first, child in self.root.children.items()}
+        for first in sorted(weights, key=lambda k: -weights[k]):
+            if self.bytes <= limit:
+                return
+            yield from ((text, x) for text, x in walked(self.root.children.pop(first), True) if x.owners is not None)
+            self.bytes -= weights[first]
+
+
+def walked(top: Node, whole: bool = False) -> Iterator[tuple[bytes, Node]]:
+    """All nodes of a subtree; with ``whole``, each with the bytes down to it."""
+    todo = [(b"", top)]
+    while todo:
+        above, node = todo.pop()
+        above = above + node.label if whole else above
+        yield above, node
+        todo.extend((above, x) for x in node.children.values())
 
 
 def better(a: int | None, b: int | None, largest: bool) -> int | None:
@@ -114,76 +123,80 @@ def record(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
 
-LOCAL = "doc_id long, owner long, best long, n long, length long, hash long, sha binary, first boolean"
-MERGED = "owner long, keep_id long, group_size long"
+def place(text: bytes) -> tuple[int, int]:
+    """A text's length and content hash."""
+    return len(text), xxhash.xxh3_64_intdigest(text) - (1 << 63)
+
+
+LOCAL = "row boolean, doc_id long, owner long, best long, n long, length long, hash long, sha binary, text binary"
+MERGED = "child long, owner long, best long, n long, length long, hash long, text binary"
+
+
+def recorded(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows, the last field of which is a text or null, in batches of bounded size."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += 100 + len(row[-1] or b"")
+        if size > BATCH_BYTES:
+            yield record(held, schema)
+            held, size = [], 0
+    if held:
+        yield record(held, schema)
 
 
 def local_owners(largest: bool, budget: int):
-    """A task's rows, each with the key of its owner (unique to task and text), the owner's best identifier and number of rows."""
+    """A task's rows as they come, each with its owner (unique to task and text, until that is spilled), and in the end, or when they are spilled, the
+    owners with the best identifier, the number of rows, and the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema, base = typed(LOCAL), TaskContext.get().partitionId() << 36
-        trie, rows, facts = Trie(), [], {}
-
-        def flush(gone: set[int] | None) -> Iterator[pa.RecordBatch]:
-            """Emit the rows of these slots, or all."""
-            keep, out = [], []
-            for doc_id, slot in rows:
-                if gone is not None and slot not in gone:
-                    keep.append((doc_id, slot))
-                    continue
-                fact = facts[slot]
-                out.append((doc_id, base + slot, *fact[:5], fact[5]))
-                fact[5] = False
-                if len(out) >= 50_000:
-                    yield record(out, schema)
-                    out = []
-            rows[:] = keep
-            if out:
-                yield record(out, schema)
+        schema, number, trie = typed(LOCAL), TaskContext.get().partitionId() << 36, Trie()
+
+        def spilled(limit: int) -> Iterator[pa.RecordBatch]:
+            return recorded(((False, None, x.owners[0], x.best, x.n, *place(text), hashlib.sha256(text).digest(), text) for text, x in trie.spill(limit)), schema)
 
         for batch in slices(batches, "text"):
+            owners = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text")), strict=True):
-                data = ascii_lower(text)
-                slot = trie.slot(data)
-                rows.append((doc_id, slot))
-                if (fact := facts.get(slot)) is None:
-                    facts[slot] = [doc_id, 1, len(data), xxhash.xxh3_64_intdigest(data) - (1 << 63), hashlib.sha256(data).digest(), True]
-                else:
-                    fact[0], fact[1] = better(fact[0], doc_id, largest), fact[1] + 1
+                node = trie.end(ascii_lower(text))
+                if node.owners is None:
+                    node.owners, number = [number], number + 1
+                node.best, node.n = better(node.best, doc_id, largest), node.n + 1
+                owners.append(node.owners[0])
+            none = [pa.nulls(len(owners), x) for x in schema.types[3:]]
+            yield pa.RecordBatch.from_arrays([pa.array([True] * len(owners)), batch.column("doc_id").cast(pa.int64()), pa.array(owners, pa.int64()), *none], schema=schema)
             if trie.bytes > budget:
-                gone: set[int] = set()
-                while trie.bytes > budget // 2 and (more := trie.spill()):
-                    gone.update(more)
-                yield from flush(gone)
-                for slot in gone:
-                    del facts[slot]
-        yield from flush(None)
+                yield from spilled(budget // 2)
+        yield from spilled(0)
 
     return run
 
 
-def merge_owners(largest: bool):
-    """Owners of one length and hash follow each other; those with equal texts become one. A trie is held for one length and hash
-    at a time, and has each distinct text once. A row whose text isn't the owner's (a repeated doc_id) is passed over."""
+def merge_owners(largest: bool, budget: int, texts: bool):
+    """Each owner (child) with the one that stands for its text, the best identifier and the number of rows, of rows sorted by length and
+    hash; with ``texts`` the first of them has the text, too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema, key, trie, slots, facts = typed(MERGED), None, Trie(), {}, {}
+        schema, key, trie = typed(MERGED), None, Trie()
+
+        def spilled(limit: int) -> Iterator[pa.RecordBatch]:
+            ended = ((place(text), text if texts else None, x) for text, x in trie.spill(limit))
+            return recorded(((child, x.owners[0], x.best, x.n, *at, None if k else text) for at, text, x in ended for k, child in enumerate(x.owners)), schema)
+
         for batch in slices(batches, "text"):
-            columns = [batch.column(x).to_pylist() for x in ("length", "hash", "owner", "best", "n", "sha")]
-            for length, digest, owner, best, n, sha, text in zip(*columns, texts_of(batch.column("text")), strict=True):
+            columns = [batch.column(x).to_pylist() for x in ("length", "hash", "owner", "best", "n", "text")]
+            for length, digest, owner, best, n, text in zip(*columns, strict=True):
                 if (length, digest) != key:
-                    if slots:
-                        yield record([(owner_, *facts[slot]) for owner_, slot in slots.items()], schema)
-                    key, trie, slots, facts = (length, digest), Trie(), {}, {}
-                data = ascii_lower(text)
-                if owner in slots or hashlib.sha256(data).digest() != sha:
-                    continue
-                slots[owner] = slot = trie.slot(data)
-                keep, total = facts.get(slot, (None, 0))
-                facts[slot] = better(keep, best, largest), total + n
-        if slots:
-            yield record([(owner_, *facts[slot]) for owner_, slot in slots.items()], schema)
+                    if trie.bytes > budget:
+                        yield from spilled(budget // 2)
+                    key = length, digest
+                node = trie.end(text)
+                if node.owners is None:
+                    node.owners = []
+                node.owners.append(owner)
+                trie.bytes += 40
+                node.best, node.n = better(node.best, best, largest), node.n + n
+        yield from spilled(0)
 
     return run
 
@@ -194,24 +207,33 @@ def exact_duplicates(docs: DataFrame, keep: str = "smallest", trie_bytes: int =
     keep: "smallest" or "largest" doc_id stays. Null texts count as empty ones, so null and empty texts form one group. Of
     repeated rows (same id, same text) each counts in group_size and each is returned, kept alike; a repeated id with different
     texts belongs to a group by each text. A null doc_id is kept only where its group has no other. Other columns, whatever
-    their names, are not read. An empty table gives no rows.
+    their names, are not read. An empty table gives no rows. Very long texts are one edge of a trie each.
     """
     if keep not in ("smallest", "largest"):
         raise ValueError("keep must be 'smallest' or 'largest'")
-    largest, slim = keep == "largest", docs.select("doc_id", "text")
-    local = settle(slim.mapInArrow(local_owners(largest, trie_bytes), LOCAL), "owners")
-    owners = local.where("first").select("owner", "best", "n", "length", "hash", "sha")
-    met = owners.groupBy("length", "hash").agg(F.count("*").alias("owners")).where("owners > 1")
-    again = owners.join(met.drop("owners"), ["length", "hash"])
-    # Only texts whose length and hash another task has seen too move, each to the partition of its length and hash.
-    text = slim.withColumn("_length", F.octet_length(F.coalesce("text", F.lit(""))).cast("long"))
-    moved = text.join(again, text.doc_id.eqNullSafe(again.best) & (text["_length"] == again["length"]))
-    dealt = moved.select("length", "hash", "owner", "best", "n", "sha", "text").repartition("length", "hash").sortWithinPartitions("length", "hash")
-    merged = dealt.mapInArrow(merge_owners(largest), MERGED)
-    keep_id = F.coalesce("keep_id", "best")
-    return local.join(merged, "owner", "left").select(
-        "doc_id", keep_id.alias("keep_id"), F.coalesce("group_size", "n").alias("group_size"), F.col("doc_id").eqNullSafe(keep_id).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
-    )
+    largest, key = keep == "largest", ["length", "hash"]
+    local = settle(docs.select("doc_id", "text").mapInArrow(local_owners(largest, trie_bytes), LOCAL), "owners")
+    owners = local.where("not row").select("owner", "best", "n", "sha", *key)
+    met = settle(owners.groupBy(*key).agg(F.count("*").alias("owners")).where("owners > 1"), "met")
+    # Only texts whose length and hash another task has seen, too, move: each to the partition of its length and hash.
+    again = local.where("not row").select("owner", "best", "n", "text", *key).join(met, key)
+
+    def merged(rows: DataFrame, texts: bool, *salt: str) -> DataFrame:
+        return rows.repartition(*key, *salt).sortWithinPartitions(*key, *salt).mapInArrow(merge_owners(largest, trie_bytes, texts), MERGED)
+
+    if met.where(F.col("owners") > FAN).isEmpty():
+        found = merged(again, False).select("child", "best", "n")
+    else:
+        salt = F.pmod(F.xxhash64("owner"), F.ceil(F.col("owners") / FAN))
+        first = settle(merged(again.where(F.col("owners") > FAN).withColumn("salt", salt), True, "salt"), "first")
+        fewer = first.where("child = owner").select("owner", "best", "n", "text", *key)
+        last = settle(merged(again.where(F.col("owners") <= FAN).select(*fewer.columns).unionByName(fewer), False).select("child", "best", "n"), "last")
+        through = first.where("child <> owner").select("child", "owner").join(last.withColumnRenamed("child", "owner"), "owner")
+        found = last.unionByName(through.select("child", "best", "n"))
+    found = found.select(F.col("child").alias("owner"), F.col("best").alias("_best"), F.col("n").alias("_n"))
+    facts = owners.join(found, "owner", "left").select("owner", F.coalesce("_best", "best").alias("keep_id"), F.coalesce("_n", "n").alias("group_size"), F.lower(F.hex("sha")).alias("text_sha256"))
+    rows = local.where("row").select("doc_id", "owner").join(facts, "owner")
+    return rows.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def clean(docs: DataFrame) -> DataFrame:

@@ -209,9 +209,10 @@ def test_telephony_round_trip(docs, empty):
 # 4: exact dedup
 
 
-@pytest.mark.parametrize("budget", [exact_dedup.TRIE_BYTES, 2000])
+@pytest.mark.parametrize(("budget", "fan"), [(exact_dedup.TRIE_BYTES, exact_dedup.FAN), (2000, 2)])
 @pytest.mark.parametrize("keep", ["largest", "smallest"])
-def test_exact_dedup_against_brute_force(spark, docs, empty, budget, keep):
+def test_exact_dedup_against_brute_force(spark, docs, empty, budget, fan, keep, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "FAN", fan)
     lower = lambda t: (t or "").translate({c: c + 32 for c in range(65, 91)})
     for rows in (docs, spark.createDataFrame(generated(3, 300), "doc_id long, text string").repartition(5)):
         groups = collections.defaultdict(list)
@@ -232,12 +233,15 @@ def test_exact_dedup_against_brute_force(spark, docs, empty, budget, keep):
 def test_trie_splits_edges_and_spills():
     trie, chance = exact_dedup.Trie(), random.Random(1)
     texts = [bytes(chance.choice(b"ab") for _ in range(chance.randint(0, 12))) for _ in range(2000)]
-    slots = {}
-    for t in texts:
-        assert slots.setdefault(t, trie.slot(t)) == trie.slot(t)
-    assert len(set(slots.values())) == len(slots)
-    gone = set(trie.spill())
-    assert gone and trie.spill() and gone < set(slots.values())
+    for k, t in enumerate(texts):
+        node = trie.end(t)
+        node.owners, node.best, node.n = node.owners or [k], exact_dedup.better(node.best, k, False), node.n + 1
+    held = trie.bytes
+    some = [(t, x.best, x.n) for t, x in trie.spill(held * 2 // 3)]
+    assert some and trie.bytes <= held * 2 // 3 and len({t[:1] for t, _, _ in some}) == 1
+    rest = [(t, x.best, x.n) for t, x in trie.spill(0)]
+    assert trie.bytes == 0
+    assert sorted(some + rest) == sorted((t, texts.index(t), n) for t, n in collections.Counter(texts).items())
 
 
 def test_exact_clean_keeps_one_row_of_each_text(docs):
