@@ -70,9 +70,9 @@ def ascii_lower(text: str) -> bytes:
     return text.encode("utf-8", "replace").lower()
 
 
-def running_offsets(rows: DataFrame, group: str, order: str, size: str, group_rows: str, per_bucket: int = 2_000) -> DataFrame:
+def running_offsets(rows: DataFrame, group: str, order: str, size: str, group_rows: str, *ties: str, per_bucket: int = 2_000) -> DataFrame:
     """Add ``offset``: the sum of ``size`` over the earlier rows of the same ``group``, by the column ``order`` (a hash, as a
-    long), ties by ``doc_id``. ``group_rows`` is the column with the number of the group's rows.
+    long), ties by ``doc_id``, ``size`` and the columns ``ties``. ``group_rows`` is the column with the number of the group's rows.
 
     No task holds a whole group: a group is cut into buckets by the upper bits of the order, as many as its rows call for; the
     buckets' sums are added up per group (a row for each ``per_bucket`` rows), and the rows run within their bucket only.
@@ -83,6 +83,6 @@ def running_offsets(rows: DataFrame, group: str, order: str, size: str, group_ro
     sums = rows.groupBy(group, "_bucket").agg(F.sum(size).alias("_sum"))
     before = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(group, "_bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
-    within = Window.partitionBy(group, "_bucket").orderBy(order, "doc_id", size).rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy(group, "_bucket").orderBy(order, "doc_id", size, *ties).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_before", F.coalesce(F.sum(size).over(within), F.lit(0)))
     return rows.join(starts, [group, "_bucket"]).withColumn("offset", F.col("_start") + F.col("_before")).drop("_bucket", "_start", "_before")

@@ -1,14 +1,15 @@
 """Sharding by a hierarchical tree of weighted hash draws.
 
-Each document descends from the root over regions and racks to a shard. At each node every child draws a number from the hash of
-doc_id and the child, an exponential variable with the child's weight as its rate, and the smallest draw wins: a child is
-chosen in proportion to its weight, and raising one child's weight moves documents into that child only. When a tree changes, only
-documents of subtrees whose weights change move. A shard that opens a region of its own takes documents only into itself.
+Each document descends from the root over regions and racks to a shard. A shard draws a number from the hash of doc_id and shard,
+an exponential variable with its weight as its rate; a rack's draw is the smallest of its shards', a region's the smallest of its
+racks', so each node's draw has the sum of the weights below it as its rate. At every level the child with the smallest draw is
+taken: in proportion to its weight. As draws below a node depend on that node's shards alone, a change of weights moves documents only
+into or out of the subtrees that it touches, and one more shard, wherever it stands, takes documents only into itself.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meetlake.llm.common import running_offsets, settle, table
@@ -29,47 +30,34 @@ def default_tree(shards: int) -> Tree:
     return tree
 
 
-def drawn(key: Column, level: str, weights: dict[int, float]) -> Column:
-    """The child with the smallest draw; ties (of equal hashes) go to the smaller number. Children without weight take no part."""
-    children = []
-    for child, weight in sorted(weights.items()):
-        if weight > 0:
-            uniform = (F.xxhash64(key, F.lit(level), F.lit(child)).cast("double") + F.lit(2.0**63 + 1)) / F.lit(2.0**64 + 2048)
-            children.append(F.struct((-F.log(uniform) / F.lit(float(weight))).alias("draw"), F.lit(child).alias("child")))
-    return F.array_min(F.array(*children))["child"]
-
-
-def by_parent(parent: Column, choices: dict[int, Column]) -> Column:
-    """The choice made below the parent that was drawn."""
-    found = None
-    for node, choice in sorted(choices.items()):
-        found = F.when(parent == node, choice) if found is None else found.when(parent == node, choice)
-    return found
+def leaves(tree: Tree) -> list[tuple[int, int, int, float]]:
+    """Region, rack, shard and weight of the shards that take part."""
+    return [(region, rack, shard, float(w)) for region, racks in sorted(tree.items()) for rack, shards in sorted(racks.items()) for shard, w in sorted(shards.items()) if w > 0]
 
 
 def assigned(docs: DataFrame, tree: Tree, region: str, rack: str, shard: str) -> DataFrame:
-    """Add the three columns; a null doc_id is a key like any other."""
-    key = F.col("doc_id")
-    weigh = lambda node: sum(map(weigh, node.values())) if isinstance(node, dict) else node
-    racks = {k: v for children in tree.values() for k, v in children.items()}
-    docs = docs.withColumn(region, drawn(key, "region", {k: weigh(v) for k, v in tree.items()}))
-    docs = docs.withColumn(rack, by_parent(F.col(region), {r: drawn(key, "rack", {k: weigh(v) for k, v in tree[r].items()}) for r in tree}))
-    return docs.withColumn(shard, by_parent(F.col(rack), {k: drawn(key, "shard", v) for k, v in racks.items()}))
+    """Add the three columns; a null doc_id is a key like any other. Ties (of equal hashes) go to the smaller numbers."""
+    shards = F.array(*(F.struct(*map(F.lit, x)) for x in leaves(tree)))
+    uniform = lambda k: (F.xxhash64("doc_id", F.lit("shard"), k).cast("double") + F.lit(2.0**63 + 1)) / F.lit(2.0**64 + 2048)
+    draws = F.transform(shards, lambda x: F.struct((-F.log(uniform(x["col3"])) / x["col4"]).alias("draw"), x["col1"].alias("region"), x["col2"].alias("rack"), x["col3"].alias("shard")))
+    # The smallest draw of a region, of its racks and of their shards is one number, so the descent ends at the smallest of all.
+    docs = docs.withColumn("_way", F.array_min(draws))
+    return docs.withColumns({region: F.col("_way.region"), rack: F.col("_way.rack"), shard: F.col("_way.shard")}).drop("_way")
 
 
 def sharded(docs: DataFrame, tree: Tree, grown: Tree | None = None) -> DataFrame:
     """doc_id, size, text_crc32, region, rack, shard, slot (from 0 in each shard without gaps) and grown_shard, one row per document.
 
     The law is "key": the doc_id and the tree decide alone, so copies of a text go where their ids send them. size is the text's
-    bytes in UTF-8 plus 8; a null text has no bytes. Repeated rows share their shard and have slots of their own. Other columns
-    are not read; an empty table gives no rows.
+    bytes in UTF-8 plus 8; a null text has no bytes. Repeated rows share their shard and have slots of their own, in an order that their
+    texts' checksums decide. Very long texts are rows like any other. Other columns are not read; an empty table gives no rows.
     """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     rows = settle(assigned(rows, tree, "region", "rack", "shard"), "shards")
     counts = settle(rows.groupBy("shard").agg(F.count("*").alias("shard_rows")), "counts")
     rows = rows.join(counts, "shard").withColumn("order", F.xxhash64("doc_id", F.lit("slot"))).withColumn("one", F.lit(1).cast("long"))
-    rows = running_offsets(rows, "shard", "order", "one", "shard_rows").withColumnRenamed("offset", "slot")
+    rows = running_offsets(rows, "shard", "order", "one", "shard_rows", "size", "text_crc32").withColumnRenamed("offset", "slot")
     if grown is None:
         return rows.withColumn("grown_shard", F.lit(None).cast("int"))
     return assigned(rows, grown, "grown_region", "grown_rack", "grown_shard")
