@@ -79,12 +79,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     for one more round that the target may break off. Null texts have no words; a null source is a source, the last; repeated
     rows are rows of their own; a null doc_id takes part; other columns are not read. An empty table gives an empty mix.
     """
-    sizes = docs.select("doc_id", "source", F.regexp_count(text_col(), F.lit(WORD)).cast("long").alias("size"))
+    sizes = docs.select("doc_id", "source", F.regexp_count(text_col(), F.lit(WORD)).cast("long").alias("size"), F.xxhash64("source", "text").alias("print"))
     sizes = settle(sizes.withColumn("row", F.monotonically_increasing_id()), "sizes")
     sources = settle(source_targets(sizes, weights, share), "sources")
     own = sizes.join(sources.withColumnRenamed("source", "name"), F.col("source").eqNullSafe(F.col("name"))).drop("name")
     own = own.withColumn("order", F.xxhash64("doc_id", F.lit("mix")))
-    placed = settle(running_offsets(own, "s", "order", "size", "source_rows").drop("order"), "placed")
+    placed = settle(running_offsets(own, "s", "order", "size", "source_rows", "print").drop("order"), "placed")
     passes = F.sequence(F.lit(0).cast("long"), F.floor((F.col("want") - F.col("offset") - 1) / F.col("source_size")))
     parts = placed.where("size > 0 and offset < want").withColumn("pass", F.explode(passes))
     parts = parts.withColumn("start", F.col("offset") + F.col("pass") * F.col("source_size")).withColumn("stop", F.least(F.col("start") + F.col("size"), F.col("want")))
@@ -106,8 +106,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The documents of the mix, whole, each as often as the mix takes its words, rounded; without words: once. All columns stay."""
-    counts = taken(docs).select(F.col("doc_id").alias("_id"), F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("_times"))
-    counts = counts.groupBy("_id").agg(F.max("_times").alias("_times"))
-    repeated = docs.join(counts, F.col("doc_id").eqNullSafe(F.col("_id"))).where("_times > 0")
-    return repeated.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_id", "_times", "_time")
+    """The documents of the mix, whole, each as often as the mix takes its words, rounded. All columns stay.
+
+    Documents without words (null, empty or blank texts) stay once each. Of an id that repeats with other texts or sources each row has its
+    own count; rows that repeat in all three are taken alike, as often as the one that is taken most. A null doc_id takes part; an empty
+    table gives no rows.
+    """
+    times = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int")
+    counts = taken(docs).groupBy(F.col("doc_id").alias("_id"), F.col("print").alias("_print")).agg(F.max(times).alias("_times"))
+    repeated = docs.withColumn("_own", F.xxhash64("source", "text")).join(counts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_print"))).where("_times > 0")
+    return repeated.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)

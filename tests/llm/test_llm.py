@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import importlib.util
+import math
 import random
 import re
 import zlib
@@ -152,7 +153,27 @@ def test_mixing_meets_targets_and_limits(spark, docs, empty):
     assert {s: own[0].target for s, own in by.items()} == {"a": 10_000, "b": 21_250, "c": 0, None: 1000}
     assert mixing.taken(docs).count() == len(ROWS)
     assert mixing.taken(empty).count() == 0
-    assert mixing.mixed(docs).columns == docs.columns
+    left = mixing.mixed(docs)
+    assert left.columns == docs.columns
+    assert {3, 4, 5} <= {r.doc_id for r in left.collect()}
+    twice = [(1, "a b c d " * 50, "s"), (1, "x", "s"), (1, "x", "s"), *((k, "w " * 40, "t") for k in range(2, 9))]
+    again = collections.Counter((r.doc_id, r.text) for r in mixing.mixed(spark.createDataFrame(twice, "doc_id long, text string, source string")).collect())
+    assert again[1, "x"] in (0, 2, 4) and again[1, "a b c d " * 50] <= 2
+
+
+def test_taken_words_against_a_plain_walk(spark):
+    """Each source's words stand in a hashed order and are walked until its target is met."""
+    chance = random.Random(4)
+    rows = [(i, " ".join(["w"] * chance.choice([0, 1, 7, 300, 3000])), chance.choice(["a", "b", "b", "b", None])) for i in range(200)]
+    found = mixing.taken(spark.createDataFrame(rows, "doc_id long, text string, source string")).withColumn("at", F.xxhash64("doc_id", F.lit("mix"))).collect()
+    for source in ("a", "b", None):
+        own = sorted((r for r in found if r.source == source), key=lambda r: r.at)
+        left, want = round(own[0].target), dict.fromkeys((r.doc_id for r in own), 0)
+        while left:
+            for r in own:
+                want[r.doc_id] += min(left, r.size)
+                left -= min(left, r.size)
+        assert {r.doc_id: r.taken for r in own} == want
 
 
 def test_schedule_is_even_in_every_stretch(spark):
@@ -327,6 +348,14 @@ def test_sharding_law_and_slots(docs, empty, spark):
     sizes = [len(slots[k]) for k in range(24)]
     assert min(sizes) > 80 and max(sizes) < 175
     assert 60 < sum(r.grown_shard == 24 for r in found) < 190
+    for n in (1, 7, 25, 30):
+        assert all(r.grown_shard in (r.shard, n) for r in sharding.sharded(many, sharding.default_tree(n), sharding.default_tree(n + 1)).collect())
+    tree = {0: {0: {0: 1.0, 1: 0.5}, 1: {2: 2.0}}, 1: {2: {3: 1.0, 4: 0.0}}}
+    for r in sharding.sharded(many, tree).select("*", *(F.xxhash64("doc_id", F.lit("shard"), F.lit(s)).alias(f"h{s}") for s in range(5))).collect():
+        draw = lambda node, s=None: min(draw(x, k) for k, x in node.items()) if isinstance(node, dict) else -math.log((r[f"h{s}"] + 2.0**63 + 1) / (2.0**64 + 2048)) / node if node else math.inf
+        region = min(tree, key=lambda k: draw(tree[k]))
+        rack = min(tree[region], key=lambda k: draw(tree[region][k]))
+        assert (r.region, r.rack, r.shard) == (region, rack, min(tree[region][rack], key=lambda k: draw(tree[region][rack][k], k)))
     heavy = {0: {0: {0: 1.0, 1: 3.0}}, 1: {1: {2: 1.0}}}
     heavier = {0: {0: {0: 1.0, 1: 3.0}}, 1: {1: {2: 2.0}}}
     moved = sharding.sharded(many, heavy, heavier).collect()
@@ -517,6 +546,11 @@ def test_token_counts_and_their_cache(docs, empty, spark, tmp_path):
         assert all((r.n_tokens, r.n_bytes) == (len(library.encode(texts[r.doc_id])), len(texts[r.doc_id].encode())) for r in found)
     stored = spark.read.parquet(cache)
     assert stored.count() == len(set(texts.values()))
+    spark.createDataFrame([(hashlib.sha256(b"short").digest(), "another version", 99)], token_counts.CACHE).write.mode("append").partitionBy("version").parquet(cache)
+    marked = spark.createDataFrame([(1, "short \u2581x"), (1, "short  x"), (2, "short")], "doc_id long, text string")
+    assert [r.n_tokens for r in token_counts.token_counts(marked, MODEL, cache).orderBy("doc_id").collect()] == [len(library.encode(x)) for x in ("short \u2581x", "short  x", "short")]
+    stored = spark.read.parquet(cache)
+    assert stored.count() == len(set(texts.values())) + 2  # the other version's row, and one for both spellings
     more = docs.select("doc_id", F.concat("text", F.lit(" more")).alias("text")).where("doc_id = 1")
     token_counts.token_counts(more, MODEL, cache)
     assert spark.read.parquet(cache).count() == stored.count() + 1
