@@ -2,8 +2,9 @@ r"""Personal data by a semi-Markov conditional random field.
 
 Four patterns find plain e-mail addresses, IP addresses, card and phone numbers. The field finds more: obfuscated addresses, numbers
 with other separators, phones without a plus. It scores candidate segments as wholes (digits, groups, separators, checksum, octets,
-what stands around them), and a dynamic programme over segments of at most LONGEST tokens chooses boundaries and types of a stretch
-of text jointly. Pattern spans are fixed; the field decides about what lies outside them.
+what stands around them) and each type after the one before it, and a dynamic programme over segments of at most LONGEST tokens and
+WIDEST characters chooses boundaries and types of a stretch of text jointly. What it returns is the best cut of the stretch, where each
+segment has to outweigh ADDED. Pattern spans are fixed: they part the segments, and their types count as what stood before.
 
 The field is trained where it runs: on stretches around digits and at-signs of a bounded sample of documents, labelled by the
 patterns, and on rewritten copies of these in which the spans are obfuscated or, with spoilt digits, no personal data any more.
@@ -13,7 +14,9 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +27,10 @@ from meetlake.llm.common import settle, slices, table, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 OUTSIDE = len(KINDS)
-#: Tokens of a segment at most; characters that a stretch has before and after what makes it one.
-LONGEST, AROUND = 24, 24
-#: Documents sampled and stretches trained on, at most; passes over these; the log odds from which a span is added.
-SAMPLE, STRETCHES, PASSES, ADDED = 4_000, 400, 6, 2.0
+#: Tokens and characters of a segment at most; characters that a stretch has before and after what makes it one.
+LONGEST, WIDEST, AROUND = 24, 320, 24
+#: Documents sampled and stretches trained on, at most, and their length; passes over these; the log odds that a span has to outweigh.
+SAMPLE, STRETCHES, TRAINED, PASSES, ADDED = 4_000, 400, 400, 6, 2.0
 
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -73,7 +76,7 @@ def base_spans(text: str) -> list[list[tuple[int, int]]]:
 
 TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\S")
 #: What a stretch lies around: at-signs, written-out ones, or runs of signs with digits.
-SPARK = re.compile(r"@|[\[({<] ?at ?[\])}>]| at [A-Za-z0-9-]{1,40} dot |[0-9][0-9 ().\[\]/-]{5,80}[0-9]")
+SPARK = re.compile(r"@|[\[({<] ?at ?[\])}>]| at [A-Za-z0-9-]++ dot |[0-9][0-9 ().\[\]/-]{6,}+")
 
 
 def stretches(text: str) -> Iterator[tuple[int, int]]:
@@ -100,19 +103,19 @@ def bucket(n: int) -> str:
     return str(n) if n < 20 else "20"
 
 
-def kinds_of(span: str) -> list[int]:
-    """Types that a segment can have at all."""
-    n = len(digits_of(span))
+def kinds_of(span: str, digits: int, letters: int, ats: int) -> list[int]:
+    """Types that a segment can have at all, with the numbers of digits, letters, and at-signs or words "at" in it."""
     found = []
-    if ADDRESS.fullmatch(span):
+    if ats and ADDRESS.fullmatch(span):
         found.append(0)
-    if span[0].isdigit() and OCTETS.fullmatch(span):
-        found.append(1)
-    if not re.search("[A-Za-z]", span) and span[-1].isdigit():
-        if span[0].isdigit() and 13 <= n <= 19:
-            found.append(2)
-        if 7 <= n <= 15 and span[0] in "+(0123456789":
-            found.append(3)
+    if "0" <= span[-1] <= "9":
+        if 4 <= digits <= 16 and "0" <= span[0] <= "9" and OCTETS.fullmatch(span):
+            found.append(1)
+        if not letters:
+            if "0" <= span[0] <= "9" and 13 <= digits <= 19:
+                found.append(2)
+            if 7 <= digits <= 15 and span[0] in "+(0123456789":
+                found.append(3)
     return found
 
 
@@ -131,28 +134,40 @@ def span_features(text: str, start: int, end: int) -> list[str]:
     ]
 
 
-def candidates(text: str, start: int, end: int, fixed: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int, int, list[str]]]]:
-    """Tokens of a stretch outside the fixed spans, and segments of them: first token, one past the last, type, features."""
-    tokens = [m.span() for m in TOKEN.finditer(text, start, end) if not any(a < m.end() and m.start() < b for a, b in fixed)]
-    segments = []
-    useful = [text[a].isalnum() or text[a] in "+(" for a, _ in tokens]
+def candidates(text: str, start: int, end: int, fixed: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int, int, list[str]]], dict[int, int]]:
+    """Tokens of a stretch outside the fixed spans (start, end, type; sorted, apart from each other), segments of them (first token, one past the
+    last, type, features), and by the token that follows it the type of a fixed span."""
+    tokens, segments, forced, at = [], [], {}, 0
+    for m in TOKEN.finditer(text, start, end):
+        while at < len(fixed) and fixed[at][1] <= m.start():
+            forced[len(tokens)] = fixed[at][2]
+            at += 1
+        if at == len(fixed) or m.end() <= fixed[at][0]:
+            tokens.append(m.span())
+    for _, _, kind in fixed[at:]:
+        forced[len(tokens)] = kind
+    shown = [text[a:b] for a, b in tokens]
+    digits = list(accumulate((len(x) if "0" <= x[0] <= "9" else 0 for x in shown), initial=0))
+    letters = list(accumulate((len(x) if x[0].isascii() and x[0].isalpha() else 0 for x in shown), initial=0))
+    ats = list(accumulate((x in ("@", "at") for x in shown), initial=0))
+    joined = [k > 0 and k not in forced and a - tokens[k - 1][1] <= 2 and "\n" not in text[tokens[k - 1][1] : a] for k, (a, _) in enumerate(tokens)]
     for i, (a, _) in enumerate(tokens):
-        if not useful[i] or a and text[a - 1].isalnum() and text[a].isalnum():
+        if not (shown[i][0].isalnum() or shown[i] in "+(") or a and text[a - 1].isalnum() and shown[i][0].isalnum():
             continue
         for j in range(i, min(i + LONGEST, len(tokens))):
             b = tokens[j][1]
-            if j > i and (tokens[j][0] - tokens[j - 1][1] > 2 or "\n" in text[tokens[j - 1][1] : tokens[j][0]] or any(x >= tokens[j - 1][1] and y <= tokens[j][0] for x, y in fixed)):
+            if j > i and not joined[j] or b - a > WIDEST or digits[j + 1] - digits[i] > 19 and ats[j + 1] == ats[i] and not letters[j + 1] - letters[i]:
                 break
-            if text[b - 1].isalnum() and not text[b : b + 1].isalnum() and b - a >= 7:
-                kinds = kinds_of(text[a:b])
+            if b - a >= 7 and shown[j][-1].isalnum() and not text[b : b + 1].isalnum():
+                kinds = kinds_of(text[a:b], digits[j + 1] - digits[i], letters[j + 1] - letters[i], ats[j + 1] - ats[i])
                 if kinds:
                     seen = span_features(text, a, b)
                     segments.extend((i, j + 1, k, seen) for k in kinds)
-    return tokens, segments
+    return tokens, segments, forced
 
 
 class Field:
-    """Weights by type and feature, and of one type after another; OUTSIDE tokens weigh nothing."""
+    """Weights by type and feature, and of one type (column) after another (row; OUTSIDE: none before). Tokens outside weigh nothing."""
 
     def __init__(self, weights: dict[tuple[int, str], float] | None = None, after: np.ndarray | None = None):
         self.weights = weights if weights is not None else {}
@@ -161,43 +176,62 @@ class Field:
     def score(self, kind: int, seen: list[str]) -> float:
         return sum([self.weights.get((kind, x), 0.0) for x in seen])
 
-    def run(self, n: int, segments: list, scores: list[float], best: bool):
-        """By position and type of the segment that ends there: the best score (and what leads to it), or the log of the sum."""
+    def ahead(self, n: int, segments: list, scores: list[float]) -> np.ndarray:
+        """By position and type of the last segment before it: the log of the sum over all cuts up to there."""
         table = np.full((n + 1, OUTSIDE + 1), -np.inf)
         table[0, OUTSIDE] = 0.0
-        back: dict[tuple[int, int], tuple[int, int, int]] = {}
-        ending: dict[int, list[int]] = {}
-        for s, x in enumerate(segments):
-            ending.setdefault(x[1], []).append(s)
-        gather = np.max if best else np.logaddexp.reduce
+        ending = by_place(segments, 1)
         for j in range(1, n + 1):
-            step = table[j - 1] + self.after[:, OUTSIDE]
-            table[j, OUTSIDE] = gather(step)
-            if best:
-                back[j, OUTSIDE] = j - 1, int(np.argmax(step)), -1
+            table[j] = table[j - 1]
             for s in ending.get(j, ()):
                 i, _, kind, _ = segments[s]
-                step = table[i] + self.after[:, kind]
-                value = gather(step) + scores[s]
-                if best and value > table[j, kind]:
-                    table[j, kind] = value
-                    back[j, kind] = i, int(np.argmax(step)), s
-                elif not best:
-                    table[j, kind] = np.logaddexp(table[j, kind], value)
-        return table, back
-
-    def decode(self, n: int, segments: list) -> list[int]:
-        """The segments of the best cut that beat leaving their tokens outside by ADDED."""
-        scores = [self.score(x[2], x[3]) for x in segments]
-        if not segments or max(scores) <= 0:
+                table[j, kind] = np.logaddexp(table[j, kind], np.logaddexp.reduce(table[i] + self.after[:, kind]) + scores[s])
+        return table
+
+    def behind(self, n: int, segments: list, scores: list[float]) -> np.ndarray:
+        """The same over all cuts from a position on, after a type."""
+        table = np.zeros((n + 1, OUTSIDE + 1))
+        starting = by_place(segments, 0)
+        for i in range(n - 1, -1, -1):
+            table[i] = table[i + 1]
+            for s in starting.get(i, ()):
+                _, j, kind, _ = segments[s]
+                table[i] = np.logaddexp(table[i], self.after[:, kind] + scores[s] + table[j, kind])
+        return table
+
+    def decode(self, n: int, segments: list, forced: dict[int, int] | None = None) -> list[int]:
+        """The segments of the best cut, each of which counts ADDED less than it scores."""
+        forced = forced or {}
+        scores = [self.score(x[2], x[3]) - ADDED for x in segments]
+        if not segments or max(scores) + 2 * np.ptp(self.after) <= 0:
             return []
-        table, back = self.run(n, segments, scores, True)
-        at, kind, found = n, int(np.argmax(table[n])), []
-        while at > 0:
-            i, before, s = back[at, kind]
-            if s >= 0 and scores[s] >= ADDED:
-                found.append(s)
-            at, kind = i, before
+        table, after = [[-np.inf] * OUTSIDE + [0.0]], self.after.tolist()
+        back: dict[tuple[int, int], tuple[int, int, int]] = {}  # by position and type: the position and type before, and the segment
+        ending = by_place(segments, 1)
+        for j in range(n + 1):
+            row = list(table[-1]) if j else table.pop()
+            for s in ending.get(j, ()):
+                i, _, kind, _ = segments[s]
+                value, before = max((table[i][p] + after[p][kind], p) for p in range(OUTSIDE + 1))
+                if value + scores[s] > row[kind]:
+                    row[kind] = value + scores[s]
+                    back[j, kind] = i, before, s
+            if j in forced:
+                kind = forced[j]
+                value, before = max((row[p] + after[p][kind], p) for p in range(OUTSIDE + 1))
+                row = [-np.inf] * (OUTSIDE + 1)
+                row[kind] = value
+                back[j, -1] = j, before, -1
+            table.append(row)
+        at, kind, found = n, max(range(OUTSIDE + 1), key=lambda p: table[n][p]), []
+        while at >= 0:
+            if (step := back.pop((at, -1), None)) is not None:
+                kind = step[1]
+            if (step := back.get((at, kind))) is not None:
+                at, kind = step[0], step[1]
+                found.append(step[2])
+            else:
+                at -= 1
         return found[::-1]
 
     def learn(self, examples: list[tuple[int, list, set[int]]], passes: int = PASSES, rate: float = 0.3) -> None:
@@ -207,17 +241,28 @@ class Field:
             order.shuffle(examples)
             for n, segments, true in examples:
                 scores = [self.score(x[2], x[3]) for x in segments]
-                ahead, _ = self.run(n, segments, scores, False)
-                turned = [(n - j, n - i, kind, seen) for i, j, kind, seen in segments]
-                mirror = Field(self.weights, self.after.T.copy())
-                behind, _ = mirror.run(n, turned, scores, False)
-                total = np.logaddexp.reduce(ahead[n])
+                ahead, behind = self.ahead(n, segments, scores), self.behind(n, segments, scores)
+                total, last, step = np.logaddexp.reduce(ahead[n]), OUTSIDE, rate / (1 + k)
+                moves = np.zeros_like(self.after)
+                for s in sorted(true, key=lambda s: segments[s][0]):
+                    moves[last, segments[s][2]] += 1
+                    last = segments[s][2]
                 for s, (i, j, kind, seen) in enumerate(segments):
-                    inner = np.logaddexp.reduce(ahead[i] + self.after[:, kind]) + scores[s] + np.logaddexp.reduce(behind[n - j] + self.after[kind, :])
-                    step = rate / (1 + k) * ((s in true) - float(np.exp(min(0.0, inner - total))))
-                    if abs(step) > 1e-4:
+                    chance = np.exp(np.minimum(0.0, ahead[i] + self.after[:, kind] + scores[s] + behind[j, kind] - total))
+                    moves[:, kind] -= chance
+                    move = step * ((s in true) - float(chance.sum()))
+                    if abs(move) > 1e-4:
                         for x in seen:
-                            self.weights[kind, x] = self.weights.get((kind, x), 0.0) * (1 - 1e-4) + step
+                            self.weights[kind, x] = self.weights.get((kind, x), 0.0) * (1 - 1e-4) + move
+                self.after = self.after * (1 - 1e-4) + step * moves
+
+
+def by_place(segments: list, end: int) -> dict[int, list[int]]:
+    """Numbers of segments by where they start (0) or end (1)."""
+    found: dict[int, list[int]] = {}
+    for s, x in enumerate(segments):
+        found.setdefault(x[end], []).append(s)
+    return found
 
 
 def rewritten(text: str, kind: int, chance: random.Random) -> tuple[str, bool]:
@@ -255,7 +300,7 @@ def examples_of(text: str, chance: random.Random) -> Iterator[tuple[int, list, s
                 gold.append((len(shown), len(shown) + len(new), k))
             shown, end = shown + new, b
         shown += text[end:]
-        tokens, segments = candidates(shown, 0, len(shown), [])
+        tokens, segments, _ = candidates(shown, 0, len(shown), [])
         place = {(tokens[i][0], tokens[j - 1][1], k): s for s, (i, j, k, _) in enumerate(segments)}
         if segments:
             yield len(tokens), segments, {place[g] for g in gold if g in place}
@@ -264,11 +309,12 @@ def examples_of(text: str, chance: random.Random) -> Iterator[tuple[int, list, s
 
 
 def train(docs: DataFrame, sample: int = SAMPLE, stretches_: int = STRETCHES) -> Field:
-    """A field from the stretches (``stretches_`` at most, by hash) of ``sample`` documents at most, by the hash of doc_id."""
+    """A field from the stretches (``stretches_`` at most, by hash, of up to TRAINED characters) of ``sample`` documents at most, by the hash of
+    doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            found = sorted({text[a:b] for text in texts_of(batch.column("text")) for a, b in stretches(text) if b - a <= 400})
+            found = sorted({text[a:b] for text in texts_of(batch.column("text")) for a, b in stretches(text) if b - a <= TRAINED})
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["stretch"])
 
     chosen = settle(docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "sample")
@@ -280,13 +326,17 @@ def train(docs: DataFrame, sample: int = SAMPLE, stretches_: int = STRETCHES) ->
 
 def found_spans(text: str, field: Field) -> tuple[list[list[tuple[int, int]]], list[tuple[int, int, int]]]:
     """The patterns' spans by kind, and those that the field adds (kind, start, end)."""
-    base = base_spans(text)
-    fixed = sorted(x for spans in base for x in spans)
-    added = []
+    base, fixed, added = base_spans(text), [], []
+    for a, b, k in sorted((a, b, k) for k, spans in enumerate(base) for a, b in spans):
+        if fixed and a < fixed[-1][1]:  # patterns of two kinds may cross
+            fixed[-1] = (fixed[-1][0], max(b, fixed[-1][1]), k)
+        else:
+            fixed.append((a, b, k))
+    starts, ends = [x[0] for x in fixed], [x[1] for x in fixed]
     for start, end in stretches(text):
-        own = [(a, b) for a, b in fixed if a < end and start < b]
-        tokens, segments = candidates(text, start, end, own)
-        added.extend((segments[s][2], tokens[segments[s][0]][0], tokens[segments[s][1] - 1][1]) for s in field.decode(len(tokens), segments))
+        own = fixed[bisect_right(ends, start) : bisect_left(starts, end)]
+        tokens, segments, forced = candidates(text, start, end, own)
+        added.extend((segments[s][2], tokens[segments[s][0]][0], tokens[segments[s][1] - 1][1]) for s in field.decode(len(tokens), segments, forced))
     return base, added
 
 
@@ -294,7 +344,8 @@ def personal_data(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """doc_id and spans (array of kind, start, end, base), by kind and start, one row per document.
 
     Places are code points, ends exclusive. Null and empty texts have no spans. Repeated rows are each searched; a null doc_id stays
-    null; other columns are not read. An empty table trains an empty field, which adds nothing.
+    null; other columns are not read. An empty table trains an empty field, which adds nothing, and gives no rows. The work grows in
+    proportion to a text, so very long ones are searched whole.
     """
     field = train(docs) if field is None else field
     weights = docs.sparkSession.sparkContext.broadcast((field.weights, field.after))  # bounded by the training sample

@@ -8,6 +8,7 @@ import importlib.util
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -96,27 +97,53 @@ def test_pii_patterns_against_plain_regular_expressions():
         assert pii.base_spans(text) == [[m.span() for m in re.finditer(p, text) if fine(k, m[0])] for k, p in enumerate(plain)]
 
 
-def test_pii_field_decodes_like_brute_force():
-    text = "write to ann at mail dot org or 4111.1111.1111.1111 x"
-    tokens, segments = pii.candidates(text, 0, len(text), [])
-    chance = random.Random(1)
-    field = pii.Field({(k, x): chance.uniform(-1, 2) for _, _, k, seen in segments for x in seen}, np.random.default_rng(1).normal(0, 0.3, (5, 5)))
-    scores = [field.score(k, seen) for _, _, k, seen in segments]
-    best = (-1e9, [])
+@pytest.mark.parametrize("seed", range(4))
+def test_pii_field_decodes_like_brute_force(seed):
+    text = "ann at mail dot org, 10.1.2.3 or 4111.1111.1111.1111 and 555 123 4567 x"
+    fixed = [(text.index("10."), text.index(" or 4"), 1)] if seed % 2 else []
+    tokens, segments, forced = pii.candidates(text, 0, len(text), fixed)
+    assert list(forced.values()) == [1] * len(fixed)
+    chance = random.Random(seed)
+    field = pii.Field({(k, x): chance.uniform(-0.5, 1) for _, _, k, seen in segments for x in seen}, np.random.default_rng(seed).normal(0, 1.5, (5, 5)))
+    scores, best = [field.score(k, seen) - pii.ADDED for _, _, k, seen in segments], (-1e9, [])
 
     def walk(at, last, total, taken):
         nonlocal best
+        if at in forced:
+            total, last = total + field.after[last, forced[at]], forced[at]
         if at == len(tokens):
             best = max(best, (total, taken))
             return
-        walk(at + 1, pii.OUTSIDE, total + field.after[last, pii.OUTSIDE], taken)
+        walk(at + 1, last, total, taken)
         for s, (i, j, k, _) in enumerate(segments):
             if i == at:
                 walk(j, k, total + field.after[last, k] + scores[s], [*taken, s])
 
     walk(0, pii.OUTSIDE, 0.0, [])
-    assert segments
-    assert field.decode(len(tokens), segments) == [s for s in best[1] if scores[s] >= pii.ADDED]
+    assert segments and best[1]
+    assert field.decode(len(tokens), segments, forced) == best[1]
+    total = np.logaddexp.reduce(field.ahead(len(tokens), segments, scores)[-1])
+    assert total == pytest.approx(field.behind(len(tokens), segments, scores)[0, pii.OUTSIDE])
+
+
+def test_pii_learns_from_the_type_before():
+    """The same number is a card after an address and nothing after a card; only what stands before it tells."""
+    one, two = (0, 2, 0, ["address"]), (0, 2, 2, ["first"])
+    number = (3, 6, 2, ["number"])
+    field = pii.Field()
+    field.learn([(6, [one, number], {0, 1}), (6, [two, number], {0})] * 40)
+    assert field.after[0, 2] > 1 > field.after[2, 2]
+    assert 1 in field.decode(6, [one, number]) and 1 not in field.decode(6, [two, number])
+    assert 0 in field.decode(4, [(0, 3, 2, ["number"])], {0: 0}) and not field.decode(4, [(0, 3, 2, ["number"])], {0: 2})
+
+
+def test_pii_in_a_very_long_text():
+    field = pii.Field({(3, "bias"): 3.0})
+    texts = [" ".join(f"user{i}@mail{i}.org" for i in range(50_000)), "12 345 " * 20_000, "7" * 1_000_000, "a@" * 300_000, " at x" * 200_000]
+    start = time.monotonic()
+    base = [pii.found_spans(x, field)[0] for x in texts]
+    assert [len(x[0]) for x in base] == [50_000, 0, 0, 0, 0]
+    assert time.monotonic() - start < 240
 
 
 def test_pii_finds_more_than_patterns_and_keeps_theirs(spark, docs, empty):
