@@ -1,7 +1,7 @@
 """Toxicity by a weighted lexicon.
 
 Texts are folded first: compatibility forms, accents and look-alike letters become plain ones, and digits or signs inside words
-become the letters that they stand for. An Aho-Corasick automaton over the folded words finds the lexicon's terms (whole words and
+become the letters that they stand for; a word with accents is also read with them, as they may tell it from a harmless one. An Aho-Corasick automaton over the folded words finds the lexicon's terms (whole words and
 word beginnings) and its exception phrases; terms inside an exception don't count. The weights that are found, as a sum and as a
 share of the text's length, give the score through a logistic curve.
 
@@ -78,6 +78,14 @@ def plain_letters() -> dict[int, str | None]:
     return found | {c: None for c in (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, *range(0x300, 0x370))}
 
 
+@lru_cache(1)
+def accents() -> tuple[dict[int, str | None], dict[int, str | None]]:
+    """plain_letters() without the accented Latin letters, and these alone."""
+    every = plain_letters()
+    return {k: v for k, v in every.items() if not 0xDF < k < 0x250}, {k: v for k, v in every.items() if 0xDF < k < 0x250}
+
+
+ACCENTED = re.compile("\\w*[\u00e0-\u024f]\\w*")
 MIXED = re.compile(r"(?<![a-z0-9@$!|])[a-z]*+[0-9@$!|][a-z0-9@$!|]*")
 APART = re.compile(r"[\W_]+")
 READINGS = str.maketrans(STAND_INS), str.maketrans(STAND_INS | {"1": "l", "!": "l", "|": "l"})
@@ -93,10 +101,11 @@ def read_mixed(match: re.Match) -> str:
 
 
 def fold(text: str) -> str:
-    """The folded words of a text, a space before, between and after them."""
+    """The folded words of a text, a space before, between and after them; a word with accents stands twice, without and with them."""
     text = text.casefold()
     if not text.isascii():
-        text = text.translate(plain_letters())
+        others, latin = accents()
+        text = ACCENTED.sub(lambda m: f"{m[0].translate(latin)} {m[0]}", text.translate(others))
     return f" {APART.sub(' ', MIXED.sub(read_mixed, text)).strip()} "
 
 
@@ -207,7 +216,8 @@ def scored(docs: DataFrame, weights: dict[str, float], curve: list[float]) -> Da
 
 
 def kept(docs: DataFrame, weights: dict[str, float], curve: list[float]) -> DataFrame:
-    """The rows that aren't toxic, with all their columns, in one pass."""
+    """The rows that aren't toxic (score under THRESHOLD), with all their columns, in one pass. Null and empty texts have no hits and stay;
+    repeated rows are judged alike; an empty table gives no rows."""
     terms = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +259,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, usable: Column | None = None, r
 
     Null and empty texts have no hits and get the curve's lowest score. Documents without a label count in no way; without any
     labels the fixed terms and a fixed curve serve. Repeated rows are each scored; a null doc_id stays null and teaches nothing;
-    other columns are not read.
+    other columns are not read; very long texts are scored whole; an empty table gives no rows.
     """
     weights, curve = learn(docs, labels, F.lit(True) if usable is None else usable, rows)
     return scored(docs, weights, curve).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
@@ -270,5 +280,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that aren't toxic, with all their columns."""
+    """The documents that aren't toxic, as kept(), by a lexicon learned from the tables in ``sf_dir``."""
     return kept(docs, *taught(spark, sf_dir))

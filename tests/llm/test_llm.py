@@ -303,12 +303,33 @@ def test_exact_clean_keeps_one_row_of_each_text(docs):
 
 
 def test_folding():
-    assert toxicity.fold("Yоu are an 1d10t, a M0R0N and $tup!d! Ünïté ＩＤＩＯＴ mo​ron") .split()[3:] == ["idiot", "ldlot", "a", "moron", "and", "stupid", "stupld", "unite", "idiot", "moron"]
+    assert toxicity.fold("Yоu are an 1d10t, a M0R0N and $tup!d! Ünïté ＩＤＩＯＴ mo​ron") .split()[3:] == ["idiot", "ldlot", "a", "moron", "and", "stupid", "stupld", "unite", "ünïté", "idiot", "moron"]
     assert toxicity.fold("455 in 1999") == " 455 in 1999 "
     matcher = toxicity.Matcher({" trash": 2.0, " trash ": 5.0, " idiot ": 3.0})
     assert [w for _, _, w in matcher.find(toxicity.fold("a trash can, trash, trashy idiot"))] == [5.0, 2.0, 3.0]
 
 
+def test_toxicity_scores_against_a_plain_matcher():
+    """Every term at every place, the heaviest at a place counts, none inside an exception."""
+    chance, weights = random.Random(3), {" ab": 1.0, " ab ": 5.0, " abc": 6.0, " b": 0.5, " trash ": 4.0, " can ": 2.0}
+    matcher, curve = toxicity.Matcher(weights), [-3.0, 1.0, 0.5, 0.25]
+    texts = ["", "   ", "trash can trash"] + [" ".join(chance.choice(["ab", "abc", "b", "x", "ba", "trash", "can", "Éb"]) for _ in range(chance.randint(1, 30))) for _ in range(300)]
+    words, found = toxicity.weighed(matcher, texts)
+    scores, _, _ = toxicity.curved(words, found, curve)
+    for text, n, score in zip(texts, words, scores, strict=True):
+        own = toxicity.fold(text).split()
+        shown, total, strong = f" {' '.join(own)} ", 0.0, 0.0
+        shut = {i for phrase in toxicity.EXCEPTIONS for i in range(len(shown)) if shown.startswith(f" {phrase} ", i)}
+        shut = {k for i in shut for phrase in toxicity.EXCEPTIONS if shown.startswith(f" {phrase} ", i) for k in range(i, i + len(phrase) + 1)}
+        for i in range(len(shown)):
+            fit = [w for t, w in weights.items() if shown.startswith(t, i)]
+            if fit and i not in shut:
+                total, strong = total + max(fit), strong + max(fit) * (max(fit) >= toxicity.STRONG)
+        assert n == len(own)
+        x = curve[0] + math.log1p(strong) * curve[1] + math.log1p(total) * curve[2] + math.log1p(1000 * total / (len(own) + 10)) * curve[3]
+        assert score == pytest.approx(1 / (1 + math.exp(-x)))
+
+
 def test_toxicity_on_held_out_labels(spark, docs, empty):
     chance = random.Random(7)
     bad = ["grumbolt", "zorkish", "fleemed"]
