@@ -416,7 +416,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """One document of each group, with all its columns; the pipeline's shingles take five words."""
+    """One document of each group, that of the smallest doc_id, with all its columns; the pipeline's shingles take five words. Documents
+    without words or doc_id stay; rows that repeat an id stay or go together; an empty table gives no rows."""
     dropped = near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti")
 

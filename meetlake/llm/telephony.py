@@ -132,7 +132,7 @@ def telephony(docs: DataFrame, resampled: bool = True) -> DataFrame:
 
     The payload is the text in UTF-8, with bytes 0 up to a positive multiple of 64; null counts as empty, so both give one unit of
     silence. The payload's checksum chooses the codec, so equal texts give equal files. Repeated rows are each converted; a null
-    doc_id stays null; other columns are not read.
+    doc_id stays null; other columns are not read; very long texts are converted whole; an empty table gives no rows.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("codec", pa.string()), ("media", pa.binary()), ("payload", pa.binary()), ("pcm", pa.binary()), ("feature", pa.string())])
 

@@ -613,6 +613,37 @@ def test_token_counts_and_their_cache(docs, empty, spark, tmp_path):
 # the pipeline
 
 
+def plain_targets(sizes: dict) -> dict:
+    """By source: the share by weight of one and a half times all sizes, what exceeds twice a size being shared out again."""
+    weights = dict(zip(sorted(sizes, key=lambda s: (s is None, s or "")), [3, 1, 2] * len(sizes), strict=False))
+    left, found = 1.5 * sum(sizes.values()), {}
+    while len(found) < len(sizes):
+        level = left / sum(w for s, w in weights.items() if s not in found)
+        full = [s for s in sizes if s not in found and level * weights[s] > 2 * sizes[s]]
+        found |= {s: 2 * sizes[s] for s in full} if full else {s: level * weights[s] for s in sizes if s not in found}
+        left = 1.5 * sum(sizes.values()) - sum(found.values())
+    return found
+
+
+def plain_mix(spark, rows: list[tuple]) -> collections.Counter:
+    """How often each (doc_id, text) of rows (doc_id, text, source) is in the mix of whole documents."""
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    at = {r.i: r.h for r in spark.createDataFrame([(i,) for i, *_ in rows], "i long").select("i", F.xxhash64("i", F.lit("mix")).alias("h")).distinct().collect()}
+    sizes, found = collections.Counter(), collections.Counter()
+    for _, t, source in rows:
+        sizes[source] += size(t)
+    for source, target in plain_targets(sizes).items():
+        own = sorted(((at[i], size(t), i, t) for i, t, s in rows if s == source), key=lambda x: x[:2])
+        left, taken = int(target + 0.5), [0] * len(own)
+        while left and any(x[1] for x in own):
+            for k, x in enumerate(own):
+                taken[k] += min(left, x[1])
+                left -= min(left, x[1])
+        for k, (_, n, i, t) in enumerate(own):
+            found[i, t] += 1 if not n else int(taken[k] / n + 0.5)
+    return +found
+
+
 @pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="no pipeline")
 def test_pipeline_against_brute_force(spark, tmp_path):
     import sentencepiece
@@ -621,29 +652,64 @@ def test_pipeline_against_brute_force(spark, tmp_path):
 
     rows = [(i, f"{t} only {i % 5}", "en", f"s{i % 3}", len(t)) for i, t in generated(21, 160)]
     rows += [(1000 + k, f"you stupid idiot moron number {k} " + " ".join(f"z{k}x{j}" for j in range(12)), "en", "s0", 0) for k in range(8)]
+    rows += [(500 + (r[0] or 200), *r[1:], 0) for r in ROWS] + [(None, "no id, another text", None, None, 0)]
     folder = f"file://{tmp_path}"
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
-    spark.createDataFrame([(i, 1, int(i >= 1000)) for i, *_ in rows], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
-    docs, left = spark.read.parquet(f"{folder}/documents.parquet"), {}
-    columns = docs.columns
-    for name, stage in corpus_pipeline.STAGES:
-        before = [(r.doc_id, r.text) for r in docs.collect()]
-        docs = common.settle(stage(spark, docs, folder), name.replace(" ", "_"))
-        after = docs.collect()
-        left[name] = sorted(r.doc_id for r in after)
-        if name == "toxicity":
-            assert left[name] == sorted(i for i, *_ in rows if i < 1000)
-        elif name == "exact dedup":
-            first = {}
-            for i, t in sorted(before):
-                first.setdefault(t.lower(), i)
-            assert left[name] == sorted(first.values())
-        elif name == "near dedup":
-            assert left[name] == sorted(i for i, (_, c) in components_of(before, 5, 80).items() if i == c)
-        elif name == "mixing":
-            assert 0 < len(left[name]) <= 2 * len(before)
-        if name != "encoding":
-            assert docs.columns == columns
-    library, texts = sentencepiece.SentencePieceProcessor(model_file=MODEL), dict((i, t) for i, t, *_ in rows)
-    assert all(r.n_tokens == len(library.encode(texts[r.doc_id])) and r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest() for r in after)
-    assert left["encoding"] == left["mixing"]
+    spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, size long, owner long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i >= 1000)) for i, *_ in rows if i is not None], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    assert all(stage(spark, docs.where("false"), folder).columns == docs.columns for _, stage in corpus_pipeline.STAGES[:-1])
+    clean = sorted({(i if i is not None else 10**9, t) for i, t, *_ in rows if i is None or i < 1000}, key=lambda x: (x[0], x[1] or ""))
+    source, first = {(i if i is not None else 10**9, t): s for i, t, _, s, _ in rows}, {}
+    for i, t in clean:
+        first.setdefault((t or "").lower(), (i, t))
+    near = components_of(list(first.values()), 5, 80)
+    kept = [(None if i == 10**9 else i, t, source[i, t]) for i, t in first.values() if near[i][1] == i]
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    want = collections.Counter()
+    for (i, t), n in plain_mix(spark, kept).items():
+        ids = library.encode(t or "")
+        want[i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest()] += n
+    assert collections.Counter(map(tuple, corpus_pipeline.run(spark, folder).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect())) == want
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "exact dedup", "near dedup", "mixing", "encoding"]
+
+
+def test_queries_on_odd_rows(spark, docs, tmp_path):
+    """Each query over tables with nulls, empties, long texts, repeats and clashing columns, against plain versions."""
+    import sentencepiece
+
+    from meetlake.llm import queries
+
+    folder, sha = f"file://{tmp_path}", lambda x: hashlib.sha256(x).hexdigest()
+    more = docs.unionByName(docs.where("doc_id = 6").withColumn("text", F.lit("another text under a repeated id")))
+    more.write.parquet(f"{folder}/documents.parquet")
+    more.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")).write.parquet(f"{folder}/labels.parquet")
+    turns = [(1, 0, "user", "x " * 9000, 1), (1, 1, "assistant", None, 1), (1, 1, "assistant", None, 1), (None, None, None, "<|im_end|>", 1)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string, pos long").write.parquet(f"{folder}/conversations.parquet")
+    found = {name: query(spark, folder).collect() for name, query in queries.QUERIES.items()}
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    rows = [(r.doc_id, r.text or "") for r in more.select("doc_id", "text").collect()]
+    plain = collections.defaultdict(collections.Counter)
+    for i, t in rows:
+        data, ids = t.encode(), library.encode(t)
+        spans = [f"{k}:{a}:{b}" for k, own in zip(pii.KINDS, pii.base_spans(t), strict=True) for a, b in own]
+        plain["op1_pii"][i, sha(",".join(spans).encode())] += 1
+        payload = data + b"\0" * (-len(data) % 64 if data else 64)
+        plain["op3_telephony"][i, len(data), len(payload), sha(payload), zlib.crc32(payload[-64:])] += 1
+        plain["op4_exact_dedup"][i, sha(data.lower())] += 1
+        plain["op6_sentencepiece"][i, len(ids), sha(",".join(map(str, ids)).encode()), sha(library.decode(ids).encode())] += 1
+        plain["op7_sharding"][i, len(data) + 8, zlib.crc32(data), "key"] += 1
+        plain["op9_near_dedup"][i, len(sets_of(t, 4))] += 1
+        plain["op10_token_counts"][i, len(data), len(ids), len(ids) > 4096] += 1
+        plain["op2_mixing"][i, len(re.findall(r"[^\x20\x09-\x0D]+", t))] += 1
+        plain["op5_toxicity"][i, None if i is None else zlib.crc32(str(i).encode()) % 3 == 1, 0] += 1
+    names = {
+        "op1_pii": ["doc_id", "base_sha256"], "op2_mixing": ["doc_id", "size"], "op3_telephony": ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32"], "op4_exact_dedup": ["doc_id", "text_sha256"],
+        "op5_toxicity": ["doc_id", "held_out", "predicted"], "op6_sentencepiece": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"], "op7_sharding": ["doc_id", "size", "text_crc32", "law"],
+        "op9_near_dedup": ["doc_id", "n_shingles"], "op10_token_counts": ["doc_id", "n_bytes", "n_tokens", "over_limit"],
+    }
+    for name, columns in names.items():
+        assert collections.Counter(tuple(r[c] for c in columns) for r in found[name]) == plain[name], name
+    assert {r.spans for r in found["op1_pii"] if r.doc_id == 10} == {"email:9:15,phone:20:37"}
+    assert {(r.conv_id, r.n_turns, r.loss_chars) for r in found["op8_chat_format"]} == {(1, 3, 0), (None, 1, 0), (-1, 2, 34)}
+    masked = chat_format.windows(spark.read.parquet(f"{folder}/conversations.parquet")).where("conv_id = 1")
+    assert sum(len(r.formatted) for r in masked.collect()) == next(r.formatted_chars for r in found["op8_chat_format"] if r.conv_id == 1)
