@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The characters that each rule counts as Chinese, Japanese or Korean; the rules differ.
 SEARCH_CJK = r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{F900}-\x{FAFF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}\x{1100}-\x{11FF}\x{3130}-\x{318F}"
@@ -71,6 +75,11 @@ def terms(text: Column) -> Column:
     return F.flatten(F.transform(runs, paired))
 
 
+def has_all(text: Column, words: Column) -> Column:
+    """Whether a text has every word of an array, anywhere in it. Both are folded."""
+    return F.forall(words, lambda w: F.contains(text, w))
+
+
 def simple_terms(text: Column) -> Column:
     """terms() of texts that are known to have no CJK characters: without the step that pairs them."""
     return F.regexp_extract_all(text, F.lit(r"[\p{IsAlphabetic}\p{N}]+"), F.lit(0))
@@ -177,3 +186,63 @@ def name_key(name: Column, fold_script=lambda c: c) -> Column:
 def is_person_name(name: Column) -> Column:
     """Not blank, and not a label like "Speaker 2"."""
     return (F.trim(name) != "") & ~F.trim(name).rlike(r"(?i)^(speaker|語者|语者|說話人|说话人|說話者|说话者)\s*\d+$")
+
+
+@F.pandas_udf(T.StringType())
+def _nfkc(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+
+
+def nfkc(text: Column) -> Column:
+    """Compatibility forms as plain ones; ASCII texts don't leave the JVM for it."""
+    return F.when(text.rlike(r"[^\x00-\x7F]"), _nfkc(text)).otherwise(text)
+
+
+def email_plain(address: Column) -> Column:
+    """An address as typed: compatibility forms plain, no blanks at its ends, lower case."""
+    return F.lower(F.trim(nfkc(address)))
+
+
+def fnv1a64(text: Column) -> Column:
+    """The FNV-1a hash of a text's bytes in UTF-8, as 16 hexadecimal digits. The product is put together from halves, so nothing overflows."""
+    low, high = (1 << 32) - 1, lambda h: F.shiftrightunsigned(h, 32)
+    octets = F.transform(F.filter(F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit("(..)"), F.lit(1)), lambda x: x != ""), lambda x: F.conv(x, 16, 10).cast("long"))
+
+    def step(h: Column, octet: Column) -> Column:
+        h = h.bitwiseXOR(octet)
+        below = h.bitwiseAND(F.lit(low)) * 0x1B3
+        above = (high(h) * 0x1B3 + high(below) + F.shiftleft(h.bitwiseAND(F.lit((1 << 24) - 1)), 8)).bitwiseAND(F.lit(low))
+        return F.shiftleft(above, 32).bitwiseOR(below.bitwiseAND(F.lit(low)))
+
+    return F.lpad(F.hex(F.aggregate(octets, F.lit(0xCBF29CE484222325 - (1 << 64)).cast("long"), step)), 16, "0")
+
+
+# Signs that end what another speaker said when a piece begins with them, and sentence ends.
+LEADING, PIECE_ENDS = "，。、？！；：,.?!;: ", "。？！.?!"
+
+
+def leading_marks(text: Column) -> Column:
+    """The punctuation and spaces that a text begins with."""
+    return F.regexp_extract(text, f"^[{LEADING}]*", 0)
+
+
+def ends_sentence(text: Column) -> Column:
+    return F.rtrim(text).rlike(f"[{PIECE_ENDS}]$")
+
+
+def chunk_line(text: Column, name: Column) -> Column:
+    """A line as it stands in a passage: with the speaker's name, if there is one."""
+    return F.when(F.coalesce(F.trim(name), F.lit("")) != "", F.concat(name, F.lit(": "), text)).otherwise(text)
+
+
+def kept_title(title: Column, first_line: Column, placeholders: list[str]) -> Column:
+    """A title that somebody gave: not blank, no placeholder, not the first line's first 20 characters; else null."""
+    own = F.trim(title)
+    return F.when((own != "") & ~own.isin(*placeholders) & F.coalesce(own != F.substring(first_line, 1, 20), F.lit(True)), own)
+
+
+def answer_language(characters: Column, words: Column, ui: str, least: int = 4) -> Column:
+    """The language that a question is answered in: its own, where it has ``least`` Latin words or CJK characters (Chinese in the interface's
+    script, if that is Chinese, else in traditional characters); the interface's otherwise."""
+    chinese = ui if ui.startswith("zh") else "zh-Hant"
+    return F.when(characters + words < least, ui).when(words > characters, "en").otherwise(chinese)

@@ -23,8 +23,9 @@ def finalised(meetings: DataFrame, default: str = "Meeting") -> DataFrame:
 
 def upserted(rows: DataFrame, updates: DataFrame, gone: DataFrame, key: str = "meeting_id", version: str = "version") -> DataFrame:
     """The latest version of each row that isn't deleted."""
-    both = rows.unionByName(updates)
-    latest = both.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(version)))).where("_r = 1").drop("_r")
+    both = rows.withColumn("_new", F.lit(0)).unionByName(updates.withColumn("_new", F.lit(1)))  # of equal versions the update counts, then the larger row
+    order = [F.desc(version), F.desc("_new"), *(F.desc(c) for c in rows.columns)]
+    latest = both.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_r = 1").drop("_r", "_new")
     return latest.join(gone, key, "left_anti")
 
 

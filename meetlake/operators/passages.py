@@ -82,3 +82,14 @@ def fingerprints(lines: DataFrame) -> DataFrame:
     row = F.concat_ws("|", F.col("utt_idx").cast("string"), F.col("speaker").cast("string"), "text")
     rows = lines.select("meeting_id", "utt_idx", row.alias("row")).groupBy("meeting_id").agg(F.array_sort(F.collect_list(F.struct("utt_idx", "row"))).alias("rows"))
     return rows.select("meeting_id", F.sha2(F.array_join(F.transform("rows", lambda x: x["row"]), "\n"), 256).alias("fingerprint"))
+
+
+def units(notes: DataFrame, chunks_: DataFrame, meetings: DataFrame, cut: int = 200, least: int = 6) -> DataFrame:
+    """What an index holds of each meeting: notes of ``least`` characters and more, chunks, and the meeting itself by its title or its summary's
+    first line; texts are cut. notes: meeting_id, note_idx, text; chunks: meeting_id, a, b, text; meetings: meeting_id, title, summary.
+    Returns meeting_id, kind, a, b, text."""
+    note = notes.where(F.char_length("text") >= least).select("meeting_id", F.lit("note").alias("kind"), F.col("note_idx").cast("long").alias("a"), F.col("note_idx").cast("long").alias("b"), "text")
+    chunk = chunks_.select("meeting_id", F.lit("chunk").alias("kind"), F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "text")
+    shown = F.coalesce(F.nullif(F.trim("title"), F.lit("")), F.nullif(F.trim(F.substring_index(F.regexp_replace("summary", r"^\s+", ""), "\n", 1)), F.lit("")))
+    whole = meetings.select("meeting_id", F.lit("meeting").alias("kind"), F.lit(-1).cast("long").alias("a"), F.lit(-1).cast("long").alias("b"), shown.alias("text")).where("text is not null")
+    return note.unionByName(chunk).unionByName(whole).withColumn("text", F.substring("text", 1, cut))

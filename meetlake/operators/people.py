@@ -90,7 +90,7 @@ def suggested(speakers: DataFrame, people: DataFrame, dims: int, excluded: DataF
     speakers: meeting_id, speaker, vector; people: person, vector. The people's voices are a stated set that all speakers are held against."""
     from meetlake.operators.timeline import one_to_one
 
-    pairs = speakers.crossJoin(people.select("person", F.col("vector").alias("voice"))).withColumn("score", F.round(dot("vector", "voice", dims), 9)).drop("vector", "voice")
+    pairs = speakers.crossJoin(people.select("person", F.col("vector").alias("voice"))).withColumn("score", F.round(dot("vector", "voice"), 9)).drop("vector", "voice")
     if excluded is not None:
         pairs = pairs.join(excluded, ["meeting_id", "speaker", "person"], "left_anti")
     w = Window.partitionBy("meeting_id", "speaker").orderBy(F.desc("score"), "person")
@@ -117,3 +117,25 @@ def merged(people: DataFrame, merges: DataFrame) -> DataFrame:
     name = F.col("rows")[0]["name"]
     every = F.flatten(F.transform("rows", lambda r: F.concat(F.array(r["name"]), r["aliases"])))
     return rows.select(F.col("_id").alias("person_id"), name.alias("name"), F.filter(F.array_distinct(every), lambda a: a != name).alias("aliases"), "created", "last_used")
+
+
+def named_speakers(mentions: DataFrame, links: DataFrame) -> DataFrame:
+    """Of each question the meetings with people that it names, and these people's speakers there. mentions: query_id, person_id; links: meeting_id,
+    speaker, person_id."""
+    met = mentions.join(links.where("person_id is not null"), "person_id")
+    return met.groupBy("query_id", "meeting_id").agg(F.array_sort(F.collect_set("speaker")).alias("speakers"))
+
+
+def relinked(links: DataFrame, edits: DataFrame) -> DataFrame:
+    """Links after edits of the directory, with ``changed``. edits: seq, kind, person_id, meeting_id, value: rename (to value), merge (into value), split
+    (one meeting's links go to the person value), delete (the name stays) and clear (it goes, too). Of each kind a person's last edit counts;
+    a split comes before a merge, and this before names. links: meeting_id, speaker, name, person_id."""
+    last = lambda kinds, *keys: edits.where(F.col("kind").isin(*kinds)).groupBy("person_id", *keys).agg(F.max_by(F.struct("kind", "value"), "seq").alias("_e"))
+    was = links.withColumn("_was", F.struct("name", "person_id"))
+    for kinds, keys in ((["split"], ["meeting_id"]), (["merge"], [])):
+        was = was.join(last(kinds, *keys), ["person_id", *keys], "left").withColumn("person_id", F.coalesce("_e.value", "person_id")).drop("_e")
+    named = was.join(last(["rename"]), "person_id", "left").withColumn("name", F.coalesce("_e.value", "name")).drop("_e")
+    gone = named.join(last(["delete", "clear"]), "person_id", "left")
+    name = F.when(F.coalesce(F.col("_e.kind") == "clear", F.lit(False)), None).otherwise(F.col("name"))
+    after = gone.select("meeting_id", "speaker", name.alias("name"), F.when(F.col("_e").isNull(), F.col("person_id")).alias("person_id"), "_was")
+    return after.withColumn("changed", ~(F.col("name").eqNullSafe(F.col("_was.name")) & F.col("person_id").eqNullSafe(F.col("_was.person_id")))).drop("_was")

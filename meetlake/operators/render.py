@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meetlake.functions import text as X
 
 
+# Signs that end a sentence or a part of one.
+SENTENCE, COMMA = frozenset("。？！?!."), frozenset("，、,；;：:")
+WIDE = re.compile("[" + re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m[1], 16)), X.WIDE) + "]")
+
+
 def joined(rows: DataFrame, keys: list[str], order: str, line: Column, separator: str, name: str) -> DataFrame:
     """Lines of each key in order, as one text."""
     rows = rows.select(*keys, F.struct(F.col(order).alias("o"), line.alias("line")).alias("_x"))
@@ -27,26 +35,29 @@ def lyrics(lines: DataFrame) -> DataFrame:
     return joined(lines.where(text != ""), ["meeting_id"], "utt_idx", line, "\n", "lyrics")
 
 
+def cut_cue(text: str | None, soft: int, hard: int) -> list[str]:
+    """A text cut after a sentence's end, after a comma from ``soft`` cells on, and at ``hard`` cells back at the last space."""
+    found, start, cells, space = [], 0, 0, -1  # space: the last one from start on
+    for i, ch in enumerate(text or ""):
+        cells += 2 if WIDE.match(ch) else 1
+        space = i if ch == " " else space
+        if ch in SENTENCE or cells >= soft and ch in COMMA or cells >= hard and (space <= start or text[start] == " "):
+            found.append(text[start : i + 1])
+            start, cells, space = i + 1, 0, -1
+        elif cells >= hard:
+            found.append(text[start:space])
+            start, cells = space, sum(2 if WIDE.match(c) else 1 for c in text[space : i + 1])
+    return [*found, text[start:]] if start < len(text or "") else found
+
+
 def cues(lines: DataFrame, soft: int = 32, hard: int = 64) -> DataFrame:
-    """Cues of a line: cut after a sentence's end, after a comma from ``soft`` cells on, and at ``hard`` cells back at the last space; times
-    by share of characters. lines: meeting_id, utt_idx, start_s, end_s, name, text. A fold over a line's characters."""
-    def step(s: Column, ch: Column) -> Column:
-        text, cells = F.concat(s["text"], ch), s["cells"] + F.when(ch.rlike(f"[{X.WIDE}]"), 2).otherwise(1)
-        ends = ch.rlike("[。？！?!.]") | (ch.rlike("[，、,；;：:]") & (cells >= soft))
-        at = F.char_length(text) - F.instr(F.reverse(text), " ")  # characters before the last space
-        spaced = (cells >= hard) & (F.instr(text, " ") > 1) & (at > 0)
-        whole = lambda done: F.struct(F.lit("").alias("text"), F.lit(0).alias("cells"), done.alias("done"))
-        rest = text.substr(at + 1, F.char_length(text))
-        return (
-            F.when(ends, whole(F.concat(s["done"], F.array(text))))
-            .when(spaced, F.struct(rest.alias("text"), X.width(rest).alias("cells"), F.concat(s["done"], F.array(text.substr(F.lit(1), at))).alias("done")))
-            .when(cells >= hard, whole(F.concat(s["done"], F.array(text))))
-            .otherwise(F.struct(text.alias("text"), cells.alias("cells"), s["done"].alias("done")))
-        )
-
-    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("cells"), F.expr("cast(array() as array<string>)").alias("done"))
-    folded = lines.withColumn("_s", F.aggregate(F.filter(F.split("text", ""), lambda c: c != ""), start, step))
-    pieces = folded.withColumn("_p", F.when(F.col("_s.text") != "", F.concat("_s.done", F.array("_s.text"))).otherwise(F.col("_s.done")))
+    """Cues of a line, as cut_cue() cuts it; times by share of characters. lines: meeting_id, utt_idx, start_s, end_s, name, text."""
+
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: cut_cue(x, soft, hard))
+
+    pieces = lines.withColumn("_p", cut("text"))
     each = pieces.select(*lines.columns, F.posexplode("_p").alias("cue", "piece"))
     w = Window.partitionBy("meeting_id", "utt_idx")
     n = F.char_length("piece")

@@ -2,50 +2,84 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from meetlake.functions.text import terms
+from meetlake.functions.text import fold, has_all, pairs, terms
+from meetlake.sources.settled import settle
 
 K1, B, RANK = 1.2, 0.75, 60
 
 
-def postings(passages: DataFrame, key: str, text: str, wanted: DataFrame | None = None, split=terms) -> tuple[DataFrame, DataFrame]:
-    """Term counts (key, term, tf) and lengths (key, length) of passages; only of ``wanted`` terms, if given: the join with
-    these comes before the counting, so nothing else is shuffled."""
+def postings(passages: DataFrame, key: str, text: str, wanted: DataFrame | None = None, split=terms) -> DataFrame:
+    """Term counts (key, term, tf) with the passage's length; only of ``wanted`` terms, if given: the join with these comes before the
+    counting, so nothing else is shuffled."""
     cut = passages.select(key, split(F.col(text)).alias("_terms"))
-    each = cut.select(key, F.explode("_terms").alias("term"))
+    each = cut.select(key, F.size("_terms").alias("length"), F.explode("_terms").alias("term"))
     if wanted is not None:
         each = each.join(wanted.select("term").distinct(), "term")
-    return each.groupBy(key, "term").agg(F.count("*").alias("tf")), cut.select(key, F.size("_terms").alias("length"))
+    return each.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
 def bm25(passages: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", split=terms) -> DataFrame:
-    """query_id, the passage's key and score, of passages that share a term. queries: query_id, query. Empty passages count."""
-    asked = queries.select("query_id", F.explode(F.array_distinct(split(F.col("query")))).alias("term"))
-    tf, lengths = postings(passages, key, text, asked, split)
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    size = lengths.agg(F.count("*").alias("n"), F.greatest(F.lit(1.0), F.coalesce(F.sum("length") / F.count("*"), F.lit(0.0))).alias("mean"))
+    """query_id, the passage's key and score, of passages that share a term. queries: query_id, query. Empty passages count.
+
+    Postings are dealt by passage before terms are looked up: where the questions' terms are few enough to be broadcast (Spark decides by
+    their size), a passage's scores for all questions are added up where its postings are, without another shuffle.
+    """
+    asked = settle(queries.select("query_id", F.explode(F.array_distinct(split(F.col("query")))).alias("term")), "asked")
+    tf = settle(postings(passages, key, text, asked, split), "postings")
+    df = settle(tf.groupBy("term").agg(F.count("*").alias("df")), "df")
+    length = F.size(split(F.col(text)))
+    size = passages.agg(F.count("*").alias("n"), F.greatest(F.lit(1.0), F.coalesce(F.sum(length) / F.count("*"), F.lit(0.0))).alias("mean"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     # One row with the corpus's size joins every posting.
-    scored = tf.join(df, "term").join(lengths, key).crossJoin(size).join(asked, "term")
-    return scored.groupBy("query_id", key).agg(F.sum(weight).alias("score"))
+    weighed = tf.repartition(key).join(df, "term").crossJoin(settle(size, "size")).select(key, "term", weight.alias("_w"))
+    return weighed.join(asked, "term").groupBy("query_id", key).agg(F.sum("_w").alias("score"))
+
+
+def dot(a: str, b: str) -> Column:
+    """The inner product of two arrays."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
+def dense(passages: DataFrame, queries: DataFrame, floor: float = 0.45, block: int = 2_000) -> DataFrame:
+    """query_id, passages' columns without the vector, and cosine (to nine places), of all passages at or above the floor. Vectors of length one.
 
+    A stated set of queries against all passages, in blocks: both sides are packed in rows of about ``block`` vectors, each two blocks meet in
+    one row, and its products are one matrix product. Only what reaches the floor leaves a task.
+    """
+    fields = [c for c in passages.columns if c != "vector"]
 
-def dot(a: str, b: str, dims: int) -> Column:
-    """The inner product, unrolled so that it is compiled."""
-    total = F.lit(0.0)
-    for i in range(dims):
-        total = total + F.col(a)[i].cast("double") * F.col(b)[i].cast("double")
-    return total
+    def packed(rows: DataFrame, name: str) -> tuple[DataFrame, int]:
+        blocks = max(1, math.ceil(rows.count() / block))
+        number = F.pmod(F.xxhash64(*(c for c in rows.columns if c != "vector")), F.lit(blocks)).cast("int")
+        return rows.groupBy(number.alias(f"_{name}")).agg(F.collect_list(F.struct(*rows.columns)).alias(name)), blocks
 
+    left, n = packed(passages.select(*fields, "vector"), "passages")
+    right, m = packed(queries.where("vector is not null").select("query_id", "vector"), "queries")
+    found = T.StructType([*(passages.schema[c] for c in fields), queries.schema["query_id"], T.StructField("cosine", T.DoubleType())])
 
-def dense(passages: DataFrame, queries: DataFrame, dims: int, floor: float = 0.45) -> DataFrame:
-    """query_id, passages' columns without the vector, and cosine, of all passages at or above the floor. Vectors of length one.
-    A stated set of queries against all passages: Spark broadcasts the queries if their size allows, else it deals both in blocks."""
-    pairs = passages.crossJoin(queries.select("query_id", F.col("vector").alias("query_vector")))
-    return pairs.withColumn("cosine", dot("vector", "query_vector", dims)).where(F.col("cosine") >= floor).drop("vector", "query_vector")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def vectors(rows: pa.StructArray) -> np.ndarray:
+            return np.asarray(rows.field("vector").flatten(), float).reshape(len(rows), -1)
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                rows, asked = (batch.column(x).slice(k, 1).flatten() for x in ("passages", "queries"))
+                cosine = np.round(vectors(rows) @ vectors(asked).T, 9)
+                i, j = np.nonzero(cosine >= floor)
+                own = [rows.field(c).take(pa.array(i)) for c in fields]
+                yield pa.RecordBatch.from_arrays([*own, asked.field("query_id").take(pa.array(j)), pa.array(cosine[i, j])], names=found.names)
+
+    return left.crossJoin(right).repartition(n * m, "_passages", "_queries").select("passages", "queries").mapInArrow(run, found)
 
 
 def quantised(vector: Column) -> Column:
@@ -76,3 +110,49 @@ def routed(dense_hits: DataFrame, keyword_hits: DataFrame, n: int = 2) -> DataFr
 
     both = fused([(by_meeting(dense_hits, 3.0), 1.0), (by_meeting(keyword_hits, 1.0), 1.0)], ["query_id", "meeting_id"])
     return top(both, ["query_id"], [F.desc(F.round("score", 9)), "meeting_id"], n)
+
+
+def fused_library(dense_hits: DataFrame, keyword_hits: DataFrame, weight: float = 0.3, depth: int = 3) -> DataFrame:
+    """Meetings of each query by their best fused passage, plus a little for the number of passages. The best ``depth`` passages of each meeting
+    (dense: at most one of the kind "meeting") are ranked from 0 over all meetings, the lexical list with its weight.
+    Hits: query_id, meeting_id, kind, passage, score."""
+    def ranked(hits: DataFrame, one_meeting: bool) -> DataFrame:
+        best = per_meeting(hits, depth) if one_meeting else top(hits, ["query_id", "meeting_id"], [F.desc("score"), "kind", "passage"], depth)
+        return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "kind", "passage")))
+
+    both = fused([(ranked(dense_hits, True), 1.0), (ranked(keyword_hits, False), weight)], ["query_id", "meeting_id", "kind", "passage"], first_rank=0)
+    meetings = both.groupBy("query_id", "meeting_id").agg(F.max("score").alias("best"), F.count("*").alias("passages"))
+    return meetings.withColumn("score", F.col("best") + 0.1 * F.log("passages"))
+
+
+def per_meeting(hits: DataFrame, depth: int = 3) -> DataFrame:
+    """The best ``depth`` passages of each query and meeting, with ``rank``; of the kind "meeting" only the best counts.
+    hits: query_id, meeting_id, kind, passage, score."""
+    whole = F.col("kind") == "meeting"
+    place = F.row_number().over(Window.partitionBy("query_id", "meeting_id", whole).orderBy(F.desc("score"), "kind", "passage"))
+    return top(hits.withColumn("_k", place).where(~whole | (F.col("_k") == 1)).drop("_k"), ["query_id", "meeting_id"], [F.desc("score"), "kind", "passage"], depth)
+
+
+def lexical(texts: DataFrame, queries: DataFrame, depth: int = 3) -> DataFrame:
+    """Texts that have every word of a query, folded: titles score 1, summary lines and notes 0.9, lines of the open meeting 0.8; the best
+    ``depth`` of each meeting, with ``rank``. texts: meeting_id, kind (title, summary, note, line), pos, text; queries: query_id, query,
+    open_meeting.
+
+    Words may lie inside others, so texts and queries meet on pairs of characters: on the query's first word's first pair, or its
+    only character.
+    """
+    tiers = {"title": 1.0, "summary": 0.9, "note": 0.9, "line": 0.8}
+    score = F.coalesce(*(F.when(F.col("kind") == k, v) for k, v in tiers.items()))
+    words = F.filter(F.split(F.trim(fold(F.col("query"))), " +"), lambda w: w != "")
+    asked = queries.select("query_id", "open_meeting", words.alias("_words")).where(F.size("_words") > 0).withColumn("_meet", F.substring(F.col("_words")[0], 1, 2))
+    shown = texts.withColumn("_text", fold(F.col("text"))).withColumn("score", score)
+    places = F.array_distinct(F.concat(F.array_distinct(F.filter(F.split("_text", ""), lambda c: c != "")), pairs(F.col("_text"))))
+    met = shown.withColumn("_meet", F.explode(places)).join(asked, "_meet")
+    found = met.where(has_all(F.col("_text"), F.col("_words"))).where((F.col("kind") != "line") | (F.col("meeting_id") == F.col("open_meeting")))
+    return top(found.select("query_id", "meeting_id", "kind", "pos", "text", "score"), ["query_id", "meeting_id"], [F.desc("score"), "kind", "pos"], depth)
+
+
+def containing(texts: DataFrame, words: DataFrame, text: str, word: str) -> DataFrame:
+    """Texts joined with the words (two characters and more) that they contain, anywhere. They meet on the word's first two characters."""
+    asked = words.where(F.char_length(word) >= 2).withColumn("_meet", F.substring(word, 1, 2))
+    return texts.withColumn("_meet", F.explode(pairs(F.col(text)))).join(asked, "_meet").where(F.contains(text, word)).drop("_meet")

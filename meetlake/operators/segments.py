@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meetlake.functions import text as X
+
 
 def turn_islands(probs: DataFrame, at_least: float = 0.5, pad: int = 20, frames: int = 1) -> DataFrame:
     """Turns: runs of frames of a speaker at or above a probability, padded on both sides within the meeting's frames, if long
@@ -97,3 +99,45 @@ def speaker_changes(lines: DataFrame) -> DataFrame:
     """Lines that another speaker's line precedes, with that speaker."""
     before = F.lag("speaker").over(Window.partitionBy("meeting_id").orderBy("utt_idx"))
     return lines.withColumn("before", before).where("before <> speaker").select("meeting_id", "utt_idx", "before", "speaker", F.col("start_s").alias("at"))
+
+
+def closed_segments(pieces: DataFrame, seconds: float = 10.0) -> DataFrame:
+    """Segments of one speaker each, closed before a piece of the same speaker that comes ``seconds`` or more after their start and a
+    sentence's end, or twice as long after it; untagged pieces stay in the open segment and close none.
+
+    Punctuation at the head of another speaker's piece goes back to the open segment; a piece of nothing else changes no speaker.
+    pieces: meeting_id, pos, speaker (null: untagged), start_s, end_s, text (not empty). A fold over each speaker's run.
+    """
+    w = Window.partitionBy("meeting_id").orderBy("pos")
+    head = X.leading_marks(F.col("text"))
+    bare = (head == F.col("text")) & (F.row_number().over(w) > 1)
+    rows = pieces.withColumn("_bare", bare).withColumn("_open", F.last(F.when(~F.col("_bare"), F.col("speaker")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    starts = F.row_number().over(w) > 1
+    turns = starts & F.col("speaker").isNotNull() & ~F.col("speaker").eqNullSafe(F.col("_open"))
+    rows = rows.withColumn("_turns", turns).withColumn("_head", F.when(F.col("_turns"), head).otherwise(""))
+    # What is handed back stands as a row of its own before the piece, without a speaker or times.
+    part = lambda k, speaker, text, a, b: F.struct(F.lit(k).alias("k"), speaker.alias("speaker"), text.alias("text"), a.alias("start_s"), b.alias("end_s"))
+    none = F.lit(None)
+    back = F.when(F.col("_head") != "", part(0, none.cast(pieces.schema["speaker"].dataType), F.col("_head"), none.cast("double"), none.cast("double")))
+    own = F.when(F.char_length("_head") < F.char_length("text"), part(1, F.col("speaker"), F.col("text").substr(F.char_length("_head") + 1, F.char_length("text")), F.col("start_s"), F.col("end_s")))
+    each = rows.select("meeting_id", "pos", F.explode(F.filter(F.array(back, own), lambda x: x.isNotNull())).alias("x")).select("meeting_id", "pos", "x.*")
+    w = Window.partitionBy("meeting_id").orderBy("pos", "k")
+    tagged = each.withColumn("_s", F.coalesce("speaker", F.last("speaker", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))))
+    opens = F.coalesce(F.col("_s") != F.lag("_s").over(w), F.col("_s").isNotNull() | F.lag("pos").over(w).isNull()).cast("int")
+    runs = tagged.withColumn("_new", opens).withColumn("run", F.sum("_new").over(w)).groupBy("meeting_id", "run")
+    runs = runs.agg(F.first("_s", ignorenulls=True).alias("speaker"), F.array_sort(F.collect_list(F.struct("pos", "k", F.col("speaker").isNotNull().alias("own"), "text", "start_s", "end_s"))).alias("rows"))
+
+    def step(s: Column, x: Column) -> Column:
+        long = s["b"] - s["a"]
+        shut = x["own"] & s["text"].isNotNull() & (((long >= seconds) & X.ends_sentence(s["text"])) | (long >= 2 * seconds))
+        fresh = s["text"].isNull() | shut
+        made = F.struct(s["first"].alias("first"), s["a"].alias("start_s"), s["b"].alias("end_s"), s["text"].alias("text"))
+        done = F.when(shut, F.concat(s["done"], F.array(made))).otherwise(s["done"])
+        a = F.when(fresh, x["start_s"]).otherwise(s["a"])
+        return F.struct(F.when(fresh, x["pos"].cast("long")).otherwise(s["first"]).alias("first"), a.alias("a"), F.when(fresh, x["end_s"]).otherwise(F.greatest(s["b"], x["end_s"])).alias("b"), F.when(fresh, x["text"]).otherwise(F.concat(s["text"], x["text"])).alias("text"), done.alias("done"))
+
+    start = F.expr("named_struct('first', cast(null as bigint), 'a', cast(null as double), 'b', cast(null as double), 'text', cast(null as string), 'done', cast(array() as array<struct<first:bigint,start_s:double,end_s:double,text:string>>))")
+    folded = runs.withColumn("s", F.aggregate("rows", start, step))
+    last = F.struct(F.col("s.first").alias("first"), F.col("s.a").alias("start_s"), F.col("s.b").alias("end_s"), F.col("s.text").alias("text"))
+    found = folded.select("meeting_id", "run", "speaker", F.posexplode(F.concat("s.done", F.array(last))).alias("part", "x")).select("meeting_id", "run", "part", "speaker", "x.*")
+    return found.withColumn("segment", F.row_number().over(Window.partitionBy("meeting_id").orderBy("run", "part"))).drop("run", "part")

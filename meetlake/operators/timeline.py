@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], left_span: tuple[str, str], right_span: tuple[str, str], bucket: float | None = None) -> DataFrame:
+#: Seconds of a bucket in which spans of a meeting meet.
+BUCKET = 300.0
+
+
+def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], left_span: tuple[str, str], right_span: tuple[str, str], bucket: float | None = BUCKET) -> DataFrame:
     """Pairs of the same keys whose spans overlap, with ``overlap``. The two sides' other columns must differ.
 
     With ``bucket`` (in the unit of the spans) rows meet only within buckets of time that both touch, which spreads
@@ -17,8 +21,8 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], left_span:
         pairs = left.join(right, keys)
     else:
         touched = lambda span: F.explode(F.sequence(F.floor(F.col(span[0]) / bucket), F.floor(F.col(span[1]) / bucket)))
-        pairs = left.withColumn("_b", touched(left_span)).join(right.withColumn("_b", touched(right_span)), [*keys, "_b"])
-        pairs = pairs.where(F.col("_b") == F.floor(start / bucket)).drop("_b")
+        pairs = left.withColumn("_bucket", touched(left_span)).join(right.withColumn("_bucket", touched(right_span)), [*keys, "_bucket"])
+        pairs = pairs.where(F.col("_bucket") == F.floor(start / bucket)).drop("_bucket")
     return pairs.where(f"{left_span[0]} < {right_span[1]} and {right_span[0]} < {left_span[1]}").withColumn("overlap", end - start)
 
 
@@ -70,12 +74,10 @@ def carry_over(old: DataFrame, new: DataFrame, of_new: float = 0.6, of_old: floa
 
 
 def clean_speech(lines: DataFrame, trim: float = 0.1, least: float = 1.5) -> DataFrame:
-    """Lines that no other speaker's line overlaps, trimmed at both ends, if long enough. Lines: meeting_id, utt_idx, speaker, start_s, end_s.
-
-    """
+    """Lines that no other speaker's line overlaps, trimmed at both ends, if long enough. Lines: meeting_id, utt_idx, speaker, start_s, end_s."""
     others = lines.select("meeting_id", F.col("speaker").alias("_s"), F.col("start_s").alias("_a"), F.col("end_s").alias("_b"))
-    crossed = (F.col("_s") != F.col("speaker")) & (F.col("_a") < F.col("end_s")) & (F.col("start_s") < F.col("_b"))
-    alone = lines.alias("l").join(others, (F.col("l.meeting_id") == others.meeting_id) & crossed, "left_anti")
+    crossed = overlap_join(lines, others, ["meeting_id"], ("start_s", "end_s"), ("_a", "_b")).where("_s <> speaker").select("meeting_id", "utt_idx").distinct()
+    alone = lines.join(crossed, ["meeting_id", "utt_idx"], "left_anti")
     trimmed = alone.withColumn("start_s", F.col("start_s") + trim).withColumn("end_s", F.col("end_s") - trim)
     return trimmed.where(F.col("end_s") - F.col("start_s") >= least)
 
@@ -158,3 +160,34 @@ def stitch(prior: DataFrame, fresh: DataFrame, seam: DataFrame) -> DataFrame:
     late = late.join(most, "meeting_id", "left").join(fresh_ids, ["meeting_id", "speaker"], "left")
     late = late.withColumn("speaker", F.coalesce(F.col("old_speaker"), F.coalesce("_most", F.lit(-1)) + F.col("_new")))
     return prior.select("meeting_id", "utt_idx", "speaker", "start_s", "end_s", F.lit(False).alias("resumed")).unionByName(late.select("meeting_id", "utt_idx", F.col("speaker").cast(prior.schema["speaker"].dataType).alias("speaker"), "start_s", "end_s", F.lit(True).alias("resumed")))
+
+
+def sample_starts(lines: DataFrame, clean: DataFrame) -> DataFrame:
+    """Where each speaker is best heard: the start of the longest clean span (the earliest of equals), else of the first line.
+    lines and clean: meeting_id, speaker, start_s, end_s."""
+    best = clean.groupBy("meeting_id", "speaker").agg(F.min_by("start_s", F.struct(F.col("start_s") - F.col("end_s"), "start_s")).alias("_best"))
+    firsts = lines.groupBy("meeting_id", "speaker").agg(F.min("start_s").alias("_first"))
+    return firsts.join(best, ["meeting_id", "speaker"], "left").select("meeting_id", "speaker", F.coalesce("_best", "_first").alias("start_s"), F.col("_best").isNotNull().alias("clean"))
+
+
+def carried_names(links: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Names and people of re-numbered speakers: each gets those of the one that it was, if it was one. links: meeting_id, speaker, name, person_id; mapping:
+    meeting_id, old_speaker, new_speaker (as carry_over() returns it)."""
+    old = links.withColumnRenamed("speaker", "old_speaker")
+    return mapping.join(old, ["meeting_id", "old_speaker"]).select("meeting_id", F.col("new_speaker").alias("speaker"), "name", "person_id")
+
+
+def resume_points(lines: DataFrame, every: float = 60.0, behind: float = 10.0) -> DataFrame:
+    """What a run that stops could start again from: at every minute of a meeting the lines that end ``behind`` seconds before it, their number,
+    and the last one's end (the seam). lines: meeting_id, start_s, end_s. One sort of lines and minutes, no pairs."""
+    counted = lines.select("meeting_id", F.col("end_s").alias("seam_s")).withColumn("lines", F.count("*").over(Window.partitionBy("meeting_id").orderBy("seam_s").rangeBetween(Window.unboundedPreceding, 0)))
+    last = lines.groupBy("meeting_id").agg(F.max("end_s").alias("_last"))
+    ticks = last.where(F.col("_last") >= every).select("meeting_id", F.explode(F.sequence(F.lit(1).cast("long"), F.floor(F.col("_last") / every))).alias("tick"))
+    asked = ticks.withColumn("_t", F.col("tick") * every - behind)
+    return asof_join(asked, counted, ["meeting_id"], "_t", "seam_s", ["seam_s", "lines"], ["tick"]).drop("_t").where("lines is not null")
+
+
+def resumed_from(saved: DataFrame) -> DataFrame:
+    """The transcript that each meeting goes on from: a complete one, else the partial one with the latest seam. saved: meeting_id, transcript, complete, seam_s."""
+    best = F.max_by(F.struct("transcript", "complete", "seam_s"), F.struct("complete", "seam_s", "transcript"))
+    return saved.groupBy("meeting_id").agg(best.alias("b")).select("meeting_id", "b.*")

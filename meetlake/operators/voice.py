@@ -53,7 +53,7 @@ def synced(links: DataFrame, people: DataFrame, vectors: DataFrame, old: DataFra
     centre = voices(old.where("confirmed"), ["person"], dims).select("person", F.col("vector").alias("_voice"))
     before = old.select("person", "meeting_id", F.col("confirmed").alias("_was"))
     found = one.join(centre, "person", "left").join(before, ["person", "meeting_id"], "left")
-    near = dot("vector", "_voice", dims) / F.sqrt(F.greatest(F.lit(1e-12), dot("vector", "vector", dims))) >= outlier
+    near = dot("vector", "_voice") / F.sqrt(F.greatest(F.lit(1e-12), dot("vector", "vector"))) >= outlier
     return found.select("person", "meeting_id", "speaker", "seconds", (F.coalesce("_was", F.lit(False)) | F.col("_voice").isNull() | F.coalesce(near, F.lit(False))).alias("confirmed"))
 
 

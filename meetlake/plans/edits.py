@@ -12,6 +12,7 @@ from meetlake.operators import library as L
 from meetlake.operators import mail as M
 from meetlake.operators import passages as P
 from meetlake.operators import render as D
+from meetlake.operators import retrieval as T
 from meetlake.operators import voice as V
 from meetlake.operators.script import converted
 from meetlake.operators.snap import snapped_changes
@@ -84,15 +85,15 @@ def long_line_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sentence_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = A.lines(spark, sf_dir).select("meeting_id", F.col("utt_idx").alias("pos"), (F.col("utt_idx") % 3).alias("speaker"), F.when(F.col("utt_idx") % 2 == 0, F.concat(F.substring("text", 1, 20), F.lit("! so"))).otherwise(F.col("text")).alias("text"))
+    lines = A.lines(spark, sf_dir).select("meeting_id", F.col("utt_idx").alias("pos"), (F.col("utt_idx") % 3).alias("speaker"), F.when(F.col("utt_idx") % 2 == 0, F.concat("text", F.lit("! so"))).otherwise(F.col("text")).alias("text"))
     return E.sentence_snapped(lines)
 
 
-SNAPPED = f"""WITH {A.LINES}, p AS (SELECT meeting_id, utt_idx AS pos, CASE WHEN utt_idx % 2 = 0 THEN substring(text, 1, 20) || '! so' ELSE text END AS text, lead(utt_idx) OVER (PARTITION BY meeting_id ORDER BY utt_idx) AS nx FROM lines),
-c AS (SELECT *, pos % 2 = 0 AND nx IS NOT NULL AS cut FROM p)
-SELECT c.meeting_id, CAST(c.pos AS BIGINT) AS pos, CASE WHEN coalesce(b.cut, false) THEN ' so' ELSE '' END || CASE WHEN c.cut THEN left(c.text, -3) ELSE c.text END AS text
-FROM c LEFT JOIN c b ON b.meeting_id = c.meeting_id AND b.pos = c.pos - 1
-WHERE NOT regexp_matches(c.text, '(?s)[。？！?!].{{1,3}}$') OR c.pos % 2 = 0"""
+_END = "[。？！?!]"
+SNAPPED = f"""WITH RECURSIVE {A.LINES}, p AS (SELECT meeting_id, CAST(utt_idx AS BIGINT) AS pos, CASE WHEN utt_idx % 2 = 0 THEN text || '! so' ELSE text END AS text, lead(utt_idx) OVER (PARTITION BY meeting_id ORDER BY utt_idx) IS NOT NULL AS more FROM lines),
+s AS (SELECT meeting_id, pos, text AS t, more FROM p WHERE pos = 0
+  UNION ALL SELECT p.meeting_id, p.pos, CASE WHEN s.more AND regexp_matches(s.t, '(?s){_END}.{{1,3}}$') THEN regexp_extract(s.t, '(?s)^(.*{_END})(.{{1,3}})$', 2) ELSE '' END || p.text, p.more FROM s JOIN p ON p.meeting_id = s.meeting_id AND p.pos = s.pos + 1)
+SELECT meeting_id, pos, CASE WHEN more AND regexp_matches(t, '(?s){_END}.{{1,3}}$') THEN regexp_extract(t, '(?s)^(.*{_END})(.{{1,3}})$', 1) ELSE t END AS text FROM s"""
 
 
 def offsets(lines: DataFrame) -> DataFrame:
@@ -143,8 +144,11 @@ SELECT query_id, rank, passage, meeting_id, routed, round(score, 6) AS score FRO
 def excerpt_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Excerpts chosen from candidates that stand for chunks of conversations."""
     found = ask_candidates(spark, sf_dir).where("rank <= 40")
-    lines = Q.counted(spark, sf_dir).select((F.col("meeting_id") % 20).alias("m"), "meeting_id", "utt_idx", "text", "tokens").where("meeting_id < 20").select("meeting_id", F.col("utt_idx").cast("int").alias("utt_idx"), "text", "tokens")
-    a = (F.col("passage") % 5).cast("int")
+    lines = Q.counted(spark, sf_dir).select("meeting_id", F.col("utt_idx").cast("int").alias("utt_idx"), "text", "tokens")
+    size = lines.groupBy("meeting_id").agg(F.count("*").alias("n"))
+    meetings = size.agg(F.count("*").alias("m"), F.min("meeting_id").alias("o"))
+    found = found.crossJoin(meetings).withColumn("meeting_id", F.col("o") + F.col("passage") % F.col("m")).join(size, "meeting_id")  # a passage stands for two lines of a conversation
+    a = (F.floor(F.col("passage") / F.col("m")) % F.col("n")).cast("int")
     spans = found.select("query_id", "rank", "meeting_id", a.alias("a"), (a + 1).alias("b"), "score")
     texts = P.span_texts(spans, lines.withColumn("start_s", F.lit(0.0))).withColumn("tokens", X.token_estimate(F.col("text")))
     return K.selected(texts.drop("start_s"), lines).withColumn("score", F.round("score", 6))
@@ -185,15 +189,16 @@ SELECT c.conversation, c.cite_id, c.meeting_id, arg_min(p.sec, row(abs(p.sec - c
 def in_meeting_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes and lines with a word, and passages near it, in order, for each of the words."""
     words = A.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lower(F.split_part("text", F.lit(" "), F.lit(2))).alias("q")).where("char_length(q) >= 4")
-    lines = A.lines(spark, sf_dir).where("meeting_id < 40 and text <> ''").withColumn("pos", F.col("meeting_id") * 1000 + F.col("utt_idx"))
-    notes = lines.where("utt_idx % 2 = 0").join(words, F.contains(F.lower("text"), "q")).select("query_id", "pos", (F.col("utt_idx") * 10).alias("t"), "text")
-    said = lines.where("utt_idx % 2 = 1").join(words, F.contains(F.lower("text"), "q")).select("query_id", F.col("pos").alias("utt_idx"))
+    lines = A.lines(spark, sf_dir).where("text <> ''").withColumn("pos", F.col("meeting_id") * 1_048_576 + F.col("utt_idx"))
+    found = T.containing(lines.withColumn("t", F.lower("text")), words, "t", "q")
+    notes = found.where("utt_idx % 2 = 0").select("query_id", "pos", (F.col("utt_idx") * 10).alias("t"), "text")
+    said = found.where("utt_idx % 2 = 1").select("query_id", F.col("pos").alias("utt_idx"))
     vec = A.table(spark, sf_dir, "embeddings")
     near = vec.select((F.col("vec_id") % 40).alias("query_id"), (F.col("vec_id") % 2 == 0).alias("is_note"), (F.col("vec_id") % 30).alias("t"), F.col("vec_id").alias("a"), (F.col("vec_id") + 900).alias("b"), F.concat(F.lit("vec "), F.col("vec_id").cast("string")).alias("text"))
     return K.in_meeting(notes, said, near).select("query_id", "rank", "kind", "at", "text", "by_meaning")
 
 
-IN_MEETING = f"""WITH {A.LINES}, w AS (SELECT item_id AS query_id, lower(split_part(text, ' ', 2)) AS q FROM benchmark), l AS (SELECT *, meeting_id * 1000 + utt_idx AS pos FROM lines WHERE meeting_id < 40 AND text <> ''),
+IN_MEETING = f"""WITH {A.LINES}, w AS (SELECT item_id AS query_id, lower(split_part(text, ' ', 2)) AS q FROM benchmark), l AS (SELECT *, meeting_id * 1048576 + utt_idx AS pos FROM lines WHERE text <> ''),
 h AS (SELECT query_id, utt_idx, pos, text FROM l JOIN w ON contains(lower(text), q) WHERE length(q) >= 4),
 nt AS (SELECT query_id, pos, utt_idx * 10 AS t, text FROM h WHERE utt_idx % 2 = 0), ln AS (SELECT query_id, pos FROM h WHERE utt_idx % 2 = 1),
 v AS (SELECT vec_id % 40 AS query_id, vec_id % 2 = 0 AS is_note, vec_id % 30 AS t, vec_id AS a, vec_id + 900 AS b, 'vec ' || vec_id AS text FROM embeddings),
@@ -249,7 +254,7 @@ LAST_SHARE = """SELECT user_id % 50 AS meeting_id, arg_max(value, event_id) AS "
 def meeting_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents' notes as mails that fit 1,500 characters where they can."""
     docs = A.table(spark, sf_dir, "documents").where("text <> ''")
-    meetings = docs.select(F.col("doc_id").alias("meeting_id"), F.concat(F.lit("Minutes "), F.col("doc_id").cast("string")).alias("title"), F.concat(F.lit("Language: "), "lang").alias("facts"), F.concat(F.substring("text", 1, 200), F.lit("\n\n"), F.substring("text", 201, 200)).alias("summary"))
+    meetings = docs.select(F.col("doc_id").alias("meeting_id"), F.concat(F.lit("Minutes "), F.col("doc_id").cast("string")).alias("title"), F.concat(F.lit("Language: "), "lang").alias("facts"), F.col("text").alias("summary"))
     return M.mails(meetings, N.notes(spark, sf_dir), spark.createDataFrame(N.SECTIONS, "ord int, heading string, tag string"), 1500)
 
 
@@ -288,12 +293,12 @@ KNOWN = f"WITH {A.VECTORS} SELECT person, count(DISTINCT meeting_id) AS meetings
 
 
 def voice_leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    meetings = spark.range(5).select(F.col("id").alias("for_meeting"))
+    meetings = learned(spark, sf_dir).select(F.col("meeting_id").alias("for_meeting")).distinct()
     return V.without_meeting(learned(spark, sf_dir), meetings, A.DIMS).withColumn("x", F.round("x", 6))
 
 
 LEAVE = f"""WITH {A.VECTORS}, e AS (SELECT person, meeting_id, 1.0::DOUBLE + vec_id % 50 AS s, vector, sqrt(list_dot_product(vector, vector)) AS l FROM vecs WHERE vec_id % 9 <> 0),
-d AS (SELECT person, meeting_id, s, l, unnest(vector) AS v, unnest(range(64)) AS dim FROM e), f AS (SELECT DISTINCT meeting_id AS m, person FROM e WHERE meeting_id < 5),
+d AS (SELECT person, meeting_id, s, l, unnest(vector) AS v, unnest(range(64)) AS dim FROM e), f AS (SELECT DISTINCT meeting_id AS m, person FROM e),
 x AS (SELECT f.m, f.person, dim, sum(s * v / l) AS x FROM f JOIN d ON d.person = f.person AND d.meeting_id <> f.m GROUP BY ALL)
 SELECT m AS for_meeting, person, CAST(dim AS INT) AS dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY m, person)), 6) AS x FROM x"""
 
@@ -407,7 +412,7 @@ QUERIES = {
     "line_splits": (line_splits, None),
     "edit_log": (edit_log, None),
     "long_line_split": (long_line_split, None),
-    "sentence_snap": (sentence_snap, None),
+    "sentence_snap": (sentence_snap, SNAPPED),
     "enrolment_clips": (enrolment_clips, None),
     "enrolment_map": (enrolment_map, None),
     "unindexed_chunks": (unindexed_chunks, UNINDEXED),

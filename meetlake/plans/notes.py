@@ -19,12 +19,12 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = A.lines(spark, sf_dir).where("text <> ''")
     tag = F.element_at(F.array(*map(F.lit, TAGS)), (1 + (F.col("meeting_id") * 7 + F.col("utt_idx") * 5 + F.char_length("text")) % 6).cast("int"))
     words = F.when((F.col("meeting_id") + F.col("utt_idx")) % 9 == 0, F.lit("we decided, maybe: ")).when((F.col("meeting_id") + F.col("utt_idx")) % 3 == 0, F.lit("maybe ")).otherwise("")
-    rows = rows.withColumn("tag", tag).withColumn("text", F.concat(words, F.substring("text", 1, 60)))
+    rows = rows.withColumn("tag", tag).withColumn("text", F.concat(words, "text"))
     return rows.select("meeting_id", F.col("utt_idx").cast("long").alias("pos"), X.clock(F.col("utt_idx") * 37).alias("ts"), "tag", "text", F.floor(F.col("utt_idx") / 20).alias("window"))
 
 
 NOTES = f"""{A.LINES}, nt AS (SELECT meeting_id, CAST(utt_idx AS BIGINT) AS pos, CASE WHEN utt_idx * 37 >= 3600 THEN printf('%d:%02d:%02d', utt_idx * 37 // 3600, utt_idx * 37 % 3600 // 60, utt_idx * 37 % 60) ELSE printf('%d:%02d', utt_idx * 37 // 60, utt_idx * 37 % 60) END AS ts,
-  {_TAG_SQL} AS tag, CASE WHEN (meeting_id + utt_idx) % 9 = 0 THEN 'we decided, maybe: ' WHEN (meeting_id + utt_idx) % 3 = 0 THEN 'maybe ' ELSE '' END || substring(text, 1, 60) AS text, utt_idx // 20 AS "window", (meeting_id + utt_idx) % 3 = 0 AND (meeting_id + utt_idx) % 9 <> 0 AS cue0
+  {_TAG_SQL} AS tag, CASE WHEN (meeting_id + utt_idx) % 9 = 0 THEN 'we decided, maybe: ' WHEN (meeting_id + utt_idx) % 3 = 0 THEN 'maybe ' ELSE '' END || text AS text, utt_idx // 20 AS "window", (meeting_id + utt_idx) % 3 = 0 AND (meeting_id + utt_idx) % 9 <> 0 AS cue0
   FROM lines WHERE text <> ''),
 rc AS (SELECT *, CASE WHEN tag IN ('DECISION', 'ACTION') AND regexp_matches(text, '(?i)\\b(maybe|perhaps|possibly|we could|could we|should we|shall we|how about|what if|let''?s think about|think about|propos(e|es|ed|ing|al)|suggest(s|ed|ing|ion)?|not sure|unsure|undecided|consider(s|ed|ing)?)\\b|\\?')
   AND NOT regexp_matches(text, '(?i)\\b(agreed|agrees|decided|confirmed|approved|accepted|settled|finali[sz]ed|will go with|going with|chose|chosen)\\b') THEN 'PROPOSAL' ELSE tag END AS tag2 FROM nt)"""
@@ -105,11 +105,11 @@ SELECT meeting_id, array_to_string(list_sort(kept), ',') AS kept, n - len(kept)
 
 
 def near_duplicate_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = A.lines(spark, sf_dir).where("text <> ''").select("meeting_id", F.col("utt_idx").alias("pos"), F.substring("text", 1, 80).alias("text"))
+    rows = A.lines(spark, sf_dir).where("text <> ''").select("meeting_id", F.col("utt_idx").alias("pos"), "text")
     return N.near_copies(rows)
 
 
-NEAR = f"""WITH {A.LINES}, n AS (SELECT meeting_id, utt_idx AS pos, substring(text, 1, 80) AS text, row_number() OVER (PARTITION BY meeting_id ORDER BY utt_idx) AS i FROM lines WHERE text <> ''),
+NEAR = f"""WITH {A.LINES}, n AS (SELECT meeting_id, utt_idx AS pos, text, row_number() OVER (PARTITION BY meeting_id ORDER BY utt_idx) AS i FROM lines WHERE text <> ''),
 b AS (SELECT *, CASE WHEN length(text) >= 2 THEN list_distinct(list_transform(range(1, length(text)), lambda k: text[k:k+1])) ELSE [] END AS p FROM n),
 j AS (SELECT a.meeting_id, a.pos, o.pos AS other, len(list_intersect(a.p, o.p)) AS x, len(a.p) AS u, len(o.p) AS v FROM b a JOIN b o ON o.meeting_id = a.meeting_id AND o.i < a.i AND o.i >= a.i - 30)
 SELECT meeting_id, pos, min(other) AS first_like, CAST(count(*) AS INT) AS n_like FROM j WHERE x / greatest(1, u + v - x) > 0.6 GROUP BY ALL"""

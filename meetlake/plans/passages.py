@@ -9,6 +9,7 @@ from meetlake.functions import text as X
 from meetlake.operators import passages as P
 from meetlake.operators import people as O
 from meetlake.operators import render as N
+from meetlake.operators import retrieval as R
 from meetlake.plans import adapters as A
 
 #: token_estimate() of texts without CJK characters, in SQL.
@@ -138,11 +139,12 @@ def substring_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of conversations that contain the second word of a benchmark text, without case."""
     asked = A.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lower(F.split_part("text", F.lit(" "), F.lit(2))).alias("q")).where("char_length(q) >= 4")
     lines = A.utterances(spark, sf_dir).select("meeting_id", "utt_idx", F.lower("text").alias("t"))
-    return lines.join(asked, F.contains("t", "q")).select("query_id", "meeting_id", "utt_idx", F.instr("t", F.col("q")).alias("at"))
+    found = R.containing(lines, asked, "t", "q")
+    return found.select("query_id", "meeting_id", "utt_idx", F.instr("t", F.col("q")).alias("at"), X.snippet(F.col("t"), F.col("q")).alias("snippet"))
 
 
 SUBSTRING = f"""WITH {A.UTT}, q AS (SELECT item_id AS query_id, lower(split_part(text, ' ', 2)) AS q FROM benchmark)
-SELECT query_id, meeting_id, utt_idx, CAST(instr(lower(text), q) AS INT) AS at FROM utt JOIN q ON contains(lower(text), q) WHERE length(q) >= 4"""
+SELECT query_id, meeting_id, utt_idx, CAST(instr(lower(text), q) AS INT) AS at, CASE WHEN instr(lower(text), q) > 25 THEN '…' || substring(lower(text), instr(lower(text), q) - 24) ELSE lower(text) END AS snippet FROM utt JOIN q ON contains(lower(text), q) WHERE length(q) >= 4"""
 
 
 READ_WINDOWS, READ_WINDOWS_SQL = parts_of(300)

@@ -42,12 +42,11 @@ RESOLVE = f"WITH {LINKS}, {PEOPLE} SELECT lk.meeting_id, lk.speaker, coalesce(pp
 
 
 def entity_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    people = directory(spark, sf_dir).where("length(person_id) <= 3")
-    found = O.bootstrap(order_links(spark, sf_dir), people)
+    found = O.bootstrap(order_links(spark, sf_dir), directory(spark, sf_dir))
     return found.withColumn("last_used", F.col("last_used").cast("string"))
 
 
-BOOTSTRAP = f"""WITH {LINKS}, {PEOPLE}, p AS (SELECT {KEY} AS key, min(person_id) AS person_id, arg_min(name, person_id) AS name, max(last_used) AS used FROM pp WHERE length(person_id) <= 3 GROUP BY 1),
+BOOTSTRAP = f"""WITH {LINKS}, {PEOPLE}, p AS (SELECT {KEY} AS key, min(person_id) AS person_id, arg_min(name, person_id) AS name, max(last_used) AS used FROM pp GROUP BY 1),
 u AS (SELECT {KEY} AS key, trim(name) AS spelling, * FROM lk WHERE NOT regexp_matches(trim(name), '(?i)^speaker\\s*\\d+$')),
 n AS (SELECT key, arg_min(spelling, row(-epoch(date), meeting_id, speaker)) AS spelling, max(date) AS newest, count(DISTINCT meeting_id) AS meetings FROM u GROUP BY key)
 SELECT coalesce(p.person_id, substring(sha256(n.key), 1, 16)) AS person_id, coalesce(p.name, n.spelling) AS name, CAST(greatest(p.used, n.newest) AS VARCHAR) AS last_used, coalesce(meetings, 0) AS meetings, p.key IS NULL AS created

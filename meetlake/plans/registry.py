@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meetlake.plans import edits, notes, passages, people, retrieval, streaming, timeline
+from meetlake.plans import edits, library, notes, passages, people, retrieval, streaming, timeline
 
 FLAGSHIP = "hybrid_rrf_top3"
 
-_ALL = {name: both for part in (retrieval, timeline, passages, notes, people, streaming, edits) for name, both in part.QUERIES.items()}
+_ALL = {name: both for part in (retrieval, timeline, passages, notes, people, streaming, edits, library) for name, both in part.QUERIES.items()}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: query for name, (query, _) in _ALL.items()}
 

@@ -17,9 +17,9 @@ PERSON = "struct<id:string,name:string,note:string,aliases:array<string>,created
 
 
 def library(spark: SparkSession, path: str) -> DataFrame:
-    """A folder of meeting documents, one JSON file each; unreadable ones are passed over."""
+    """A folder of meeting documents, one JSON file each, newest first; unreadable ones are passed over."""
     rows = spark.read.schema(MEETING).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
-    return rows.where("_corrupt_record is null and id is not null").drop("_corrupt_record")
+    return rows.where("_corrupt_record is null and id is not null").drop("_corrupt_record").orderBy(F.desc("date"), "id")
 
 
 def utterances(meetings: DataFrame) -> DataFrame:
@@ -123,3 +123,21 @@ def script_dictionary(spark: SparkSession, path: str, reverse: bool = False) ->
     rows = rows.select("_n", F.split_part("value", F.lit("\t"), F.lit(1)).alias("key"), F.split(F.split_part("value", F.lit("\t"), F.lit(2)), " ").alias("values"))
     rows = rows.select("_n", F.explode("values").alias("key"), F.col("key").alias("to")) if reverse else rows.select("_n", "key", F.col("values")[0].alias("to"))
     return rows.where("key <> to and key <> ''").groupBy("key").agg(F.min_by("to", "_n").alias("to"))
+
+
+def cards(spark: SparkSession, path: str, fields: list[str], lines: bool = False) -> DataFrame:
+    """Configuration documents (one a file, or with ``lines`` one a line) as one row for each card and language: what the language doesn't set is the card's own. Fields are texts;
+    languages: an object of such fields by language. The card itself has the language null."""
+    own = ", ".join(f"`{f}` string" for f in fields)
+    rows = spark.read.option("multiLine", not lines).schema(f"id string, {own}, languages map<string, struct<{own.replace(' string', ':string')}>>").json(path).where("id is not null")
+    each = rows.select("id", *fields, F.explode(F.map_concat(F.create_map(F.lit(""), F.lit(None).cast(rows.schema["languages"].dataType.valueType)), F.coalesce("languages", F.create_map().cast(rows.schema["languages"].dataType)))).alias("language", "_own"))
+    return each.select("id", F.nullif("language", F.lit("")).alias("language"), *(F.coalesce(F.col("_own")[f], F.col(f)).alias(f) for f in fields))
+
+
+def directory_documents(people: DataFrame) -> DataFrame:
+    """People as documents (person_id, document): their fields, null ones left out, and the keys that are not ours as they were read, in ``extra`` (a JSON
+    object or null); where both have a key ours counts."""
+    entries = lambda c: F.from_json(c, "map<string,variant>")
+    own = entries(F.to_json(F.struct(F.col("person_id").alias("id"), *(c for c in people.columns if c not in ("person_id", "extra")))))
+    rest = F.map_filter(F.coalesce(entries("extra"), F.create_map().cast("map<string,variant>")), lambda k, v: ~F.map_contains_key(own, k))
+    return people.select("person_id", F.to_json(F.map_concat(own, rest)).alias("document"))
