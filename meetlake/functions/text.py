@@ -72,7 +72,7 @@ def terms(text: Column) -> Column:
     paired = lambda run: F.when(
         run.rlike(f"^[{SEARCH_CJK}]") & (F.char_length(run) > 1), F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length(run) - 1)), lambda k: F.substring(run, k, F.lit(2)))
     ).otherwise(F.array(run))
-    return F.flatten(F.transform(runs, paired))
+    return F.when(text.rlike(f"[{SEARCH_CJK}]"), F.flatten(F.transform(runs, paired))).otherwise(runs)
 
 
 def has_all(text: Column, words: Column) -> Column:
