@@ -337,6 +337,7 @@ def exact_groups(docs: DataFrame, members: DataFrame, words: int, percent: int)
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def links(dealt: DataFrame, again: bool) -> DataFrame:
+        dealt = settle(dealt, "dealt")  # its size is then known: while it is small, only its documents' texts move
         texts = docs.join(dealt, docs.doc_id == dealt.id).select("block", "doc_id", "text", *(["group", "rest"] if again else []))
         return texts.repartition(tasks, "block").sortWithinPartitions("block", "doc_id").mapInArrow(linked(words, percent, again), "a long, b long")
 
@@ -359,13 +360,16 @@ def exact_groups(docs: DataFrame, members: DataFrame, words: int, percent: int)
     sizes = grouped.groupBy("component", "group").agg(F.count("*").alias("rows"))
     main = sizes.groupBy("component").agg(F.max(F.struct("rows", "group"))["group"].alias("main"), (F.sum("rows") - F.max("rows")).alias("others"))
     grouped = settle(grouped.join(main.where("others > 0"), "component"), "grouped").withColumn("rest", F.col("group") != F.col("main"))
+    if grouped.isEmpty():  # one group each
+        return groups
     parts = F.ceil(F.col("others") / ROWS).cast("int")
     grouped = grouped.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id", F.lit("rest")), F.col("parts").cast("long")).cast("int"))
     name = F.concat_ws(":", "component", "i", "j").alias("block")
     every = grouped.withColumn("i", all_of(F.col("parts"))).withColumn("j", F.col("own")).where("not rest or i <> part")
     rest = grouped.where("rest").withColumn("i", F.col("part")).withColumn("j", all_of(F.col("blocks")))
     asked = every.select("id", name, "group", F.lit(False).alias("rest")).union(rest.select("id", name, "group", F.lit(True).alias("rest")))
-    return components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links(asked, True)))
+    more = settle(links(asked, True), "more")
+    return groups if more.isEmpty() else components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
