@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,6 +101,59 @@ def near_copies(notes: DataFrame, back: int = 30, above: float = 0.6) -> DataFra
     return before.withColumn("_alike", alike).where(F.size("_alike") > 0).select("meeting_id", "pos", F.col("_alike")[0]["pos"].alias("first_like"), F.size("_alike").alias("n_like"))
 
 
+def journal(notes: DataFrame, keep: int = 12, back: int = 30, above: float = 0.6) -> DataFrame:
+    """What becomes of each note (meeting_id, window, pos, fate): ``duplicate`` where its pairs of UTF-16 units are like those of one of the last ``back``
+    notes, which are those kept in earlier windows and this window's that aren't copies; ``cap`` where its window has ``keep`` better ones, ranked as by
+    capped(); else ``kept``. Null texts are empty, and empty ones are like nothing. notes: meeting_id, window, pos, tag, text.
+
+    Every decision rests on those before it, so a task walks its meetings' notes in order; it holds ``back`` sets of pairs and one window, however long
+    the meeting is.
+    """
+    first = {"DECISION": 0, "ACTION": 0, "NUMBER": 1, "OPEN-ISSUE": 2}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, kept, open_notes, out = object(), [], [], []
+
+        def pairs(text: str) -> set[bytes]:
+            units = text.encode("utf-16-le", "surrogatepass")
+            return {units[i : i + 4] for i in range(0, len(units) - 2, 2)}
+
+        def close() -> None:
+            ranks = [first.get((tag or "").upper(), 3) for _, tag, _ in open_notes]
+            best = set(sorted(range(len(ranks)), key=lambda i: (ranks[i], i if ranks[i] else -i))[:keep])
+            out.extend((*at, pos, "kept" if i in best else "cap") for i, (pos, _, _) in enumerate(open_notes))
+            kept[:] = [*kept, *(own for i, (_, _, own) in enumerate(open_notes) if i in best)][-back:]
+            open_notes.clear()
+
+        def handed() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_pylist([dict(zip(schema.names, row, strict=True)) for row in out], schema)
+            out.clear()
+            return batch
+
+        schema = None
+        for batch in batches:
+            schema = schema or pa.schema([*(batch.schema.field(c) for c in ("meeting_id", "window", "pos")), pa.field("fate", pa.string())])
+            for meeting, window, pos, tag, text in zip(*(batch.column(c).to_pylist() for c in ("meeting_id", "window", "pos", "tag", "text")), strict=True):
+                if (meeting, window) != at:
+                    close()
+                    kept[:] = kept if isinstance(at, tuple) and at[0] == meeting else []
+                    at = (meeting, window)
+                own = pairs(text or "")
+                seen = [*kept, *(x for _, _, x in open_notes)][-back:]
+                if any(len(own & x) / max(1, len(own | x)) > above for x in seen):
+                    out.append((meeting, window, pos, "duplicate"))
+                else:
+                    open_notes.append((pos, tag, own))
+            yield handed()
+        close()
+        if out:
+            yield handed()
+
+    rows = notes.select("meeting_id", "window", "pos", "tag", "text").repartition("meeting_id").sortWithinPartitions("meeting_id", "window", "pos")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in notes.select("meeting_id", "window", "pos").schema)
+    return rows.mapInArrow(run, f"{kinds}, fate string")
+
+
 def snapped(cites: DataFrame, known: DataFrame, within: int = 30) -> DataFrame:
     """Cited times moved to the closest known time of the meeting (the earliest of equals), where one is near enough.
     cites: meeting_id, cite_id, t; known: meeting_id, k (whole seconds). Known times are met by buckets of ``within`` seconds."""

@@ -13,6 +13,8 @@ from meetlake.functions import text as X
 
 # Signs that end a sentence or a part of one.
 SENTENCE, COMMA = frozenset("。？！?!."), frozenset("，、,；;：:")
+# An export's headings of transcript, summary, actions and notes.
+HEADINGS = ("Transcript", "Summary", "Action items", "Agent")
 WIDE = re.compile("[" + re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m[1], 16)), X.WIDE) + "]")
 
 
@@ -29,7 +31,37 @@ def transcript(lines: DataFrame, markdown: bool = False) -> DataFrame:
     return joined(lines.where(text != ""), ["meeting_id"], "utt_idx", line, "\n", "transcript")
 
 
-def lyrics(lines: DataFrame) -> DataFrame:
+def rendered_notes(notes: DataFrame) -> DataFrame:
+    """meeting_id and its notes as lines, in order. notes: meeting_id, note_id, ts, tag, text."""
+    line = F.concat(F.lit("#"), F.col("note_id").cast("string"), F.lit(" ["), "ts", F.lit("] "), F.coalesce(F.concat(F.lit("("), "tag", F.lit(") ")), F.lit("")), "text")
+    return notes.groupBy("meeting_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("note_id", line.alias("line")))), lambda x: x["line"]).alias("notes"))
+
+
+def exported(lines: DataFrame, heads: DataFrame, markdown: bool = False, headings: tuple[str, ...] = HEADINGS) -> DataFrame:
+    """Whole exports: title, summary, action items, notes and transcript; what is null or empty is left out with its heading. A meeting without lines or
+    without a head has an export too. heads: meeting_id, title, summary, actions, notes (lines, as of rendered_notes())."""
+    whole, summary, actions, notes = headings
+    both = transcript(lines, markdown).join(heads, "meeting_id", "full")
+    listed, title = F.coalesce("notes", F.array().cast("array<string>")), F.coalesce("title", F.lit(""))
+
+    def part(text: Column, before: str, after: str = "\n\n") -> Column:
+        return F.when(F.coalesce(text, F.lit("")) == "", "").otherwise(F.concat(F.lit(before), text, F.lit(after)))
+
+    if markdown:
+        head = F.concat(F.lit("# "), F.when(title == "", whole).otherwise(title), F.lit("\n\n"))
+        parts = [part(F.col("summary"), f"## {summary}\n\n"), part(F.col("actions"), f"## {actions}\n\n"), part(F.array_join(F.transform(listed, lambda x: F.concat(F.lit("- "), x)), "\n"), f"## {notes}\n\n")]
+        text = F.concat(head, *parts, F.lit(f"## {whole}\n\n"), F.coalesce("transcript", F.lit("")), F.lit("\n"))
+    else:
+        parts = [part(F.col("summary"), ""), part(F.col("actions"), f"{actions}\n"), part(F.array_join(listed, "\n"), "")]
+        text = F.concat(title, F.lit("\n\n"), *parts, F.coalesce("transcript", F.lit("")))
+    return both.select("meeting_id", text.alias("export"))
+
+
+def lyrics(lines: DataFrame, titles: DataFrame | None = None) -> DataFrame:
+    """Lines that aren't blank as lyrics; with titles (meeting_id, title) after a tag of the title, where there is one."""
+    if titles is not None:
+        tag = F.when(F.coalesce("title", F.lit("")) != "", F.concat(F.lit("[ti:"), "title", F.lit("]\n"))).otherwise("")
+        return lyrics(lines).join(titles, "meeting_id", "left").select("meeting_id", F.concat(tag, "lyrics").alias("lyrics"))
     text = F.trim(F.replace("text", F.lit("\n"), F.lit(" ")))
     line = F.concat(F.lit("["), X.lyric_clock(F.col("start_s")), F.lit("]"), "name", F.lit(": "), text)
     return joined(lines.where(text != ""), ["meeting_id"], "utt_idx", line, "\n", "lyrics")

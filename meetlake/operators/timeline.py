@@ -104,9 +104,10 @@ def talk_time(lines: DataFrame) -> DataFrame:
     return seconds.withColumn("percent", F.when(whole > 0, 100 * F.col("seconds") / whole).otherwise(0.0))
 
 
-def attribute(spans: DataFrame, turns: DataFrame, tolerance: float = 0.0) -> DataFrame:
+def attribute(spans: DataFrame, turns: DataFrame, tolerance: float = 0.0, previous: bool = False) -> DataFrame:
     """The turn that a span of audio belongs to: the one with the most overlap (the earliest of equals), else the nearest (within the
-    tolerance, 0: any), marked as ``snapped``. spans: meeting_id, span_id, start_s, end_s; turns: meeting_id, turn_id, speaker, t_start, t_end.
+    tolerance, 0: any), marked as ``snapped``. With ``previous`` whoever spoke last goes on instead: the last turn that has ended by the span's end,
+    else the meeting's first. spans: meeting_id, span_id, start_s, end_s; turns: meeting_id, turn_id, speaker, t_start, t_end.
 
     The nearest turn is the last that ends by the start or the first that starts from the end on: two sorted passes, no pairs.
     """
@@ -114,6 +115,11 @@ def attribute(spans: DataFrame, turns: DataFrame, tolerance: float = 0.0) -> Dat
     best = pairs.groupBy("meeting_id", "span_id").agg(F.min_by(F.struct("turn_id", "speaker"), F.struct(-F.col("overlap"), "t_start", "turn_id")).alias("t"))
     found = best.select("meeting_id", "span_id", "t.turn_id", "t.speaker", F.lit(False).alias("snapped"))
     rest = spans.join(best, ["meeting_id", "span_id"], "left_anti")
+    if previous:
+        earliest = F.min_by(F.struct("turn_id", "speaker"), F.struct("t_start", "turn_id"))
+        ended = turns.groupBy("meeting_id", F.col("t_end").alias("p_end")).agg(earliest.alias("p"))
+        rest = asof_join(rest, ended, ["meeting_id"], "end_s", "p_end", ["p"], ["span_id"]).join(turns.groupBy("meeting_id").agg(earliest.alias("_first")), "meeting_id")
+        return found.unionByName(rest.withColumn("t", F.coalesce("p", "_first")).select("meeting_id", "span_id", "t.turn_id", "t.speaker", F.lit(True).alias("snapped")))
     late = turns.select("meeting_id", F.col("t_end").alias("p_end"), F.col("turn_id").alias("p_id"), F.col("speaker").alias("p_speaker"))
     rest = asof_join(rest, late, ["meeting_id"], "start_s", "p_end", ["p_end", "p_id", "p_speaker"], ["span_id"])
     early = turns.select("meeting_id", (-F.col("t_start")).alias("n_start"), F.col("turn_id").alias("n_id"), F.col("speaker").alias("n_speaker"))

@@ -369,6 +369,33 @@ def md_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 MD = Q.TXT.replace("'[' ||", "'- `' ||").replace("'] '", "'` **'").replace("': '", "'** '")
 
+def full_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as the meetings of the documents with their ids: a document's source is the title, its first line the summary, its lines are the notes."""
+    lines, rows = Q.named(spark, sf_dir), N.notes(spark, sf_dir)
+    numbered = rows.withColumn("note_id", F.row_number().over(Window.partitionBy("meeting_id").orderBy("pos")))
+    notes = D.rendered_notes(numbered.withColumn("tag", F.when(F.col("tag") != "OTHER", F.col("tag"))))
+    summary = rows.groupBy("meeting_id").agg(F.min_by("text", "pos").alias("summary"))
+    titles = A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("meeting_id"), F.when(F.col("doc_id") % 5 > 0, F.col("source")).alias("title"))
+    heads = titles.join(summary, "meeting_id", "left").join(N.actions(spark, sf_dir), "meeting_id", "left").join(notes, "meeting_id", "left")
+    heads = heads.join(lines.select("meeting_id").distinct(), "meeting_id", "left_semi")
+    plain = D.exported(lines, heads).withColumnRenamed("export", "txt")
+    return plain.join(D.exported(lines, heads, markdown=True).withColumnRenamed("export", "md"), "meeting_id").join(D.lyrics(lines, titles), "meeting_id", "left")
+
+
+_ACTS = N.ACTIONS[N.ACTIONS.index("d AS (SELECT meeting_id, string_agg") : N.ACTIONS.rindex("SELECT meeting_id, actions")].rstrip()
+FULL = f"""WITH {N.NOTES}, {_ACTS}, ac AS (SELECT * FROM b WHERE actions IS NOT NULL), tx AS ({Q.TXT}), mx AS ({MD}), lx AS ({Q.LRC}),
+nn AS (SELECT meeting_id, '#' || row_number() OVER (PARTITION BY meeting_id ORDER BY pos) || ' [' || ts || '] ' || CASE WHEN tag <> 'OTHER' THEN '(' || tag || ') ' ELSE '' END || text AS line, pos, text FROM nt),
+nj AS (SELECT meeting_id, string_agg(line, chr(10) ORDER BY pos) AS plain, string_agg('- ' || line, chr(10) ORDER BY pos) AS listed, arg_min(text, pos) AS summary FROM nn GROUP BY ALL),
+ti AS (SELECT doc_id AS meeting_id, CASE WHEN doc_id % 5 > 0 THEN source ELSE '' END AS title FROM documents),
+ms AS (SELECT DISTINCT conv_id AS meeting_id FROM conversations)
+SELECT m.meeting_id, coalesce(title, '') || chr(10) || chr(10) || coalesce(summary || chr(10) || chr(10), '') || coalesce('Action items' || chr(10) || actions || chr(10) || chr(10), '') || coalesce(plain || chr(10) || chr(10), '') || coalesce(tx.transcript, '') AS txt,
+  '# ' || coalesce(nullif(title, ''), 'Transcript') || chr(10) || chr(10) || coalesce('## Summary' || chr(10) || chr(10) || summary || chr(10) || chr(10), '') || coalesce('## Action items' || chr(10) || chr(10) || actions || chr(10) || chr(10), '')
+  || coalesce('## Agent' || chr(10) || chr(10) || listed || chr(10) || chr(10), '') || '## Transcript' || chr(10) || chr(10) || coalesce(mx.transcript, '') || chr(10) AS md,
+  coalesce('[ti:' || nullif(title, '') || ']' || chr(10), '') || lyrics AS lyrics
+FROM ms m LEFT JOIN ti ON ti.meeting_id = m.meeting_id LEFT JOIN nj ON nj.meeting_id = m.meeting_id LEFT JOIN ac ON ac.meeting_id = m.meeting_id
+LEFT JOIN tx ON tx.meeting_id = m.meeting_id LEFT JOIN mx ON mx.meeting_id = m.meeting_id LEFT JOIN lx ON lx.meeting_id = m.meeting_id"""
+
+
 def script_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with German and French letters by a dictionary."""
     words = spark.createDataFrame(list(zip("äöüéèêç", "aoueeec", strict=True)), "key string, to string")
@@ -438,4 +465,5 @@ QUERIES = {
     "stale_summaries": (stale_summaries, STALE_SUMMARIES),
     "unprocessed": (unprocessed, UNPROCESSED),
     "md_export": (md_export, MD),
+    "full_exports": (full_exports, FULL),
 }

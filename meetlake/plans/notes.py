@@ -115,6 +115,10 @@ j AS (SELECT a.meeting_id, a.pos, o.pos AS other, len(list_intersect(a.p, o.p))
 SELECT meeting_id, pos, min(other) AS first_like, CAST(count(*) AS INT) AS n_like FROM j WHERE x / greatest(1, u + v - x) > 0.6 GROUP BY ALL"""
 
 
+def journal_fates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.journal(notes(spark, sf_dir))
+
+
 def language_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.language(A.lines(spark, sf_dir))
 
@@ -188,6 +192,7 @@ QUERIES = {
     "note_cap": (note_cap, CAP),
     "journal_compaction": (journal_compaction, COMPACT),
     "near_duplicate_notes": (near_duplicate_notes, NEAR),
+    "journal_fates": (journal_fates, None),
     "language_detect": (language_detect, LANGUAGE),
     "timestamp_snap": (timestamp_snap, SNAP),
     "anchors": (anchors, ANCHORS),

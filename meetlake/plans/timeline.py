@@ -57,6 +57,17 @@ SELECT meeting_id, span_id, speaker, false AS snapped FROM o
 UNION ALL SELECT meeting_id, span_id, CASE WHEN r IS NULL OR (l IS NOT NULL AND start_s - l[2] <= r[2] - end_s) THEN l[1] ELSE r[1] END, true FROM e WHERE l IS NOT NULL OR r IS NOT NULL"""
 
 
+def turn_attribution_previous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, where whoever spoke last goes on in what no turn covers."""
+    spans, turns = pieces(spark, sf_dir)
+    return T.attribute(spans, turns, previous=True).select("meeting_id", "span_id", "speaker", "snapped")
+
+
+PREVIOUS = f"""{ATTRIBUTION[:ATTRIBUTION.index("e AS (")]}
+e AS (SELECT meeting_id, span_id, arg_min(speaker, row(-b, a, turn_id)) FILTER (WHERE b <= end_s) AS l, arg_min(speaker, row(a, turn_id)) AS f FROM p ANTI JOIN o USING (meeting_id, span_id) GROUP BY ALL)
+SELECT meeting_id, span_id, speaker, false AS snapped FROM o UNION ALL SELECT meeting_id, span_id, coalesce(l, f), true FROM e"""
+
+
 def renumbered(turns: DataFrame) -> DataFrame:
     return turns.withColumn("speaker", (F.col("speaker") * 3 + 1) % 8).withColumn("start_s", F.round(F.col("start_s") + 1, 3))
 
@@ -231,6 +242,7 @@ QUERIES = {
     "talk_time_share": (talk_time_share, TALK),
     "asof_note_line": (asof_note_line, ASOF),
     "turn_attribution": (turn_attribution, ATTRIBUTION),
+    "turn_attribution_previous": (turn_attribution_previous, PREVIOUS),
     "speaker_carry_over": (speaker_carry_over, CARRY),
     "clean_speech": (clean_speech, CLEAN),
     "stitch": (stitch, None),

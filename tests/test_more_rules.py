@@ -10,6 +10,8 @@ from meetlake.functions.amounts import amount, amounts_in_digits, in_digits
 from meetlake.operators import ask as K
 from meetlake.operators import edits as E
 from meetlake.operators import mail as M
+from meetlake.operators import notes as N
+from meetlake.operators import render as D
 from meetlake.operators import snap as Z
 from meetlake.operators import voice as V
 from meetlake.operators.script import converted
@@ -140,3 +142,50 @@ def test_recipients_and_scrubbing(spark):
 def test_sparse_lines_belong_to_nobody(spark):
     lines = spark.createDataFrame([("m", 0, 0, 0.0, 10.0, "x" * 50), ("m", 1, 1, 10.0, 20.0, "y" * 60), ("m", 2, 1, 20.0, 60.0, "hm")], "meeting_id string, utt_idx int, speaker int, start_s double, end_s double, text string")
     assert [r.speaker for r in V.voice_lines(lines).orderBy("utt_idx").collect()] == [0, 1, V.NOBODY]
+
+
+def plain_fates(rows, keep, back, above):
+    """The fate of each note (meeting, window, pos, tag, text), meeting by meeting, with all kept notes at hand."""
+    rank = {"DECISION": 0, "ACTION": 0, "NUMBER": 1, "OPEN-ISSUE": 2}
+    found, kept = {}, {}
+    for meeting, window in sorted({r[:2] for r in rows}):
+        mine = []
+        for _, _, pos, tag, text in sorted((r for r in rows if r[:2] == (meeting, window)), key=lambda r: r[2]):
+            pairs = {text[i : i + 2] for i in range(len(text or "") - 1)}
+            seen = (kept.get(meeting, [])[-back:] + [p for *_, p in mine])[-back:]
+            if any(len(pairs & s) / max(1, len(pairs | s)) > above for s in seen):
+                found[meeting, pos] = "duplicate"
+            else:
+                mine.append((rank.get(tag, 3), pos, pairs))
+        best = sorted(mine, key=lambda n: (n[0], n[1] if n[0] else -n[1]))[:keep]
+        found |= {(meeting, n[1]): "kept" if n in best else "cap" for n in mine}
+        kept.setdefault(meeting, []).extend(n[2] for n in mine if n in best)
+    return found
+
+
+def test_journal_of_notes(spark):
+    """Copies of copies, of capped notes and of notes long past; null, empty and long texts; a table without rows."""
+    words = ["budget", "agreed", "release", "moved", "hiring", "friday"]
+    rows = []
+    for meeting in (1, 2):
+        for pos in range(90):
+            text = " ".join(words[(pos * k * meeting + pos // 7) % 6] for k in (1, 2, 3)) + str(pos // 4)
+            rows.append((meeting, pos // 9, pos, [None, "ACTION", "NUMBER", "decision", "DECISION"][pos % 5], None if pos == 11 else "" if pos == 12 else text * (400 if pos == 40 else 1)))
+    schema = "meeting_id long, window long, pos long, tag string, text string"
+    found = {(r.meeting_id, r.pos): r.fate for r in N.journal(spark.createDataFrame(rows, schema), 3, 10).collect()}
+    want = plain_fates([(*r[:3], (r[3] or "").upper(), r[4]) for r in rows], 3, 10, 0.6)
+    assert found == want
+    assert set(found.values()) == {"kept", "cap", "duplicate"}
+    assert N.journal(spark.createDataFrame([], schema)).collect() == []
+
+
+def test_whole_exports(spark):
+    lines = spark.createDataFrame([("m", 0, 1.0, "Ann", " hi "), ("m", 1, 3725.0, "Bo", " "), ("n", 0, 2.0, "Bo", "ho")], "meeting_id string, utt_idx int, start_s double, name string, text string")
+    notes = D.rendered_notes(spark.createDataFrame([("m", 2, "0:09", None, "later"), ("m", 1, "0:01", "ACTION", "do it")], "meeting_id string, note_id int, ts string, tag string, text string"))
+    heads = spark.createDataFrame([("m", "T", "S", "- do it [0:01]"), ("o", None, "", None)], "meeting_id string, title string, summary string, actions string").join(notes, "meeting_id", "left")
+    plain = {r.meeting_id: r.export for r in D.exported(lines, heads).collect()}
+    marked = {r.meeting_id: r.export for r in D.exported(lines, heads, markdown=True).collect()}
+    assert plain == {"m": "T\n\nS\n\nAction items\n- do it [0:01]\n\n#1 [0:01] (ACTION) do it\n#2 [0:09] later\n\n[00:01] Ann: hi", "n": "\n\n[00:02] Bo: ho", "o": "\n\n"}
+    assert marked["m"] == "# T\n\n## Summary\n\nS\n\n## Action items\n\n- do it [0:01]\n\n## Agent\n\n- #1 [0:01] (ACTION) do it\n- #2 [0:09] later\n\n## Transcript\n\n- `00:01` **Ann** hi\n"
+    assert marked["o"] == "# Transcript\n\n## Transcript\n\n\n"
+    assert {r.meeting_id: r.lyrics for r in D.lyrics(lines, heads).collect()} == {"m": "[ti:T]\n[00:01.00]Ann: hi", "n": "[00:02.00]Bo: ho"}

@@ -100,6 +100,9 @@ def test_attribution(spark):
     found = {r.span_id: (r.speaker, r.snapped) for r in T.attribute(spans, turns).collect()}
     assert found == {1: (0, False), 2: (1, True), 3: (2, True), 4: (0, False)}
     assert 3 not in {r.span_id for r in T.attribute(spans, turns, 3.5).collect()}
+    early = spans.unionByName(spark.createDataFrame([("m", 5, -3.0, -1.0)], spans.schema))
+    found = {r.span_id: (r.speaker, r.snapped) for r in T.attribute(early, turns, previous=True).collect()}
+    assert found == {1: (0, False), 2: (1, True), 3: (1, True), 4: (0, False), 5: (0, True)}
 
 
 def test_chunks_share_a_line(spark):
