@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -93,12 +94,30 @@ def compacted(notes: DataFrame, budget: int, overhead: int = 24) -> DataFrame:
 
 
 def near_copies(notes: DataFrame, back: int = 30, above: float = 0.6) -> DataFrame:
-    """Notes whose character pairs are like those of one of the ``back`` notes before; notes: meeting_id, pos (gapless), text."""
-    w = Window.partitionBy("meeting_id").orderBy("pos").rowsBetween(-back, -1)
-    before = notes.withColumn("_pairs", X.pairs(F.col("text"))).withColumn("_before", F.collect_list(F.struct("pos", "_pairs")).over(w))
-    share = lambda p: F.size(F.array_intersect(p["_pairs"], F.col("_pairs"))) / F.greatest(F.lit(1), F.size(F.array_union(p["_pairs"], F.col("_pairs"))))
-    alike = F.filter("_before", lambda p: share(p) > above)
-    return before.withColumn("_alike", alike).where(F.size("_alike") > 0).select("meeting_id", "pos", F.col("_alike")[0]["pos"].alias("first_like"), F.size("_alike").alias("n_like"))
+    """Notes whose character pairs are like those of one of the ``back`` notes before; notes: meeting_id, pos, text. Null texts are empty, and empty ones are
+    like nothing. A task walks its meetings' notes in order and holds ``back`` sets of pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = object(), deque(maxlen=back)
+        for batch in batches:
+            out = []
+            for meeting, pos, text in zip(*(batch.column(c).to_pylist() for c in ("meeting_id", "pos", "text")), strict=True):
+                if meeting != at:
+                    at = meeting
+                    held.clear()
+                own = {text[i : i + 2] for i in range(len(text or "") - 1)}
+                least = above * len(own)  # two sets can't be alike if one is smaller than this share of the other
+                like = [p for p, x in held if len(x) >= least and above * len(x) <= len(own) and len(own & x) / max(1, len(own | x)) > above]
+                if like:
+                    out.append((meeting, pos, like[0], len(like)))
+                held.append((pos, own))
+            kinds = (batch.schema.field("meeting_id").type, batch.schema.field("pos").type, batch.schema.field("pos").type, pa.int32())
+            columns = zip(*out, strict=True) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["meeting_id", "pos", "first_like", "n_like"])
+
+    rows = notes.select("meeting_id", "pos", "text").repartition("meeting_id").sortWithinPartitions("meeting_id", "pos")
+    meeting, pos = (notes.schema[c].dataType.simpleString() for c in ("meeting_id", "pos"))
+    return rows.mapInArrow(run, f"meeting_id {meeting}, pos {pos}, first_like {pos}, n_like int")
 
 
 def journal(notes: DataFrame, keep: int = 12, back: int = 30, above: float = 0.6) -> DataFrame:

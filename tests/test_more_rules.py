@@ -189,3 +189,15 @@ def test_whole_exports(spark):
     assert marked["m"] == "# T\n\n## Summary\n\nS\n\n## Action items\n\n- do it [0:01]\n\n## Agent\n\n- #1 [0:01] (ACTION) do it\n- #2 [0:09] later\n\n## Transcript\n\n- `00:01` **Ann** hi\n"
     assert marked["o"] == "# Transcript\n\n## Transcript\n\n\n"
     assert {r.meeting_id: r.lyrics for r in D.lyrics(lines, heads).collect()} == {"m": "[ti:T]\n[00:01.00]Ann: hi", "n": "[00:02.00]Bo: ho"}
+
+
+def test_near_copies(spark):
+    """Against all pairs within reach; null, empty and one-letter texts; a table without rows."""
+    texts = [None, "", "a", "the budget moved", "the budget moves", "release on friday", "the budget moved", "hiring " * 2000, "release on fridays", "", "the budget moved"]
+    rows = [(m, p, texts[(p * m) % len(texts)]) for m in (1, 3) for p in range(25)]
+    schema = "meeting_id long, pos long, text string"
+    pairs = {r[:2]: {r[2][i : i + 2] for i in range(len(r[2] or "") - 1)} for r in rows}
+    like = {(m, p): [q for q in range(max(0, p - 6), p) if len(pairs[m, p] & pairs[m, q]) / max(1, len(pairs[m, p] | pairs[m, q])) > 0.6] for m, p in pairs}
+    found = {(r.meeting_id, r.pos): (r.first_like, r.n_like) for r in N.near_copies(spark.createDataFrame(rows, schema), 6).collect()}
+    assert found == {k: (v[0], len(v)) for k, v in like.items() if v}
+    assert N.near_copies(spark.createDataFrame([], schema)).collect() == []
