@@ -3,7 +3,7 @@
 1. Every whole text becomes its set of hashed word shingles and a MinHash signature. Documents with the same set are one class.
 2. The forest: each class stands in several orders of differently chosen minima of its signature, in the bucket of those that
    share its two leading minima. Classes of a bucket whose signatures agree on most minima are tied, with a wide margin below the
-   threshold; ties within a task are thinned to a spanning forest. The depth follows the region: in a small bucket two leading
+   threshold; a task hands on each class with the smallest it is tied to. The depth follows the region: in a small bucket two leading
    minima are enough, and all pairs are compared; a crowded one is sorted by all its minima, so that the neighbours of a class are
    those with the longest common prefixes, and these are tied first. Then each class outside the largest group so far is compared
    with all whose sizes allow the threshold. Very crowded buckets are cut into blocks, and each two blocks meet in a task. So no cap
@@ -147,6 +147,13 @@ class Forest:
         self.parent[max(a, b)] = min(a, b)
         return True
 
+    def stars(self) -> Iterator[pa.RecordBatch]:
+        """Every key that isn't a root with its root: as few pairs as a spanning forest has, and the fewest rounds to follow."""
+        keys = list(self.parent)
+        for start in range(0, len(keys), 100_000):
+            part = keys[start : start + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([self.root(x) for x in part], pa.int64())], schema=TIES)
+
 
 TIES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -156,15 +163,16 @@ def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a == b).view(U64).sum(axis=-1) * U64(0x0101010101010101) >> U64(56)
 
 
-def crowded(tree: int, ids: np.ndarray, sizes: np.ndarray, lower: np.ndarray, percent: int, least: float, forest: Forest) -> Iterator[tuple[int, int]]:
-    """Ties of a crowded bucket: between neighbours in the order of all minima, then of every class outside the largest group with
+def crowded(tree: int, ids: np.ndarray, sizes: np.ndarray, lower: np.ndarray, percent: int, least: float, forest: Forest) -> None:
+    """Adds a crowded bucket's ties to the forest: between neighbours in the order of all minima, then of every class outside the largest group with
     all classes whose sizes allow a link (similarity is at most the ratio of sizes)."""
     deep = np.ascontiguousarray(lower[:, constants()["orders"][tree]]).view(f"S{MINIMA}").ravel()
     order = np.argsort(deep, kind="stable")
     for gap in range(1, min(NEIGHBOURS, len(ids) - 1) + 1):
         a, b = order[:-gap], order[gap:]
         at = agreeing(lower[a], lower[b]) >= least * MINIMA
-        yield from ((x, y) for x, y in zip(ids[a[at]].tolist(), ids[b[at]].tolist(), strict=True) if forest.join(x, y))
+        for x, y in zip(ids[a[at]].tolist(), ids[b[at]].tolist(), strict=True):
+            forest.join(x, y)
     order = np.argsort(sizes, kind="stable")
     ids, sizes, lower = ids[order], sizes[order], np.ascontiguousarray(lower[order])
     begins, ends = np.searchsorted(100 * sizes, percent * sizes), np.searchsorted(percent * sizes, 100 * sizes, "right")
@@ -174,7 +182,8 @@ def crowded(tree: int, ids: np.ndarray, sizes: np.ndarray, lower: np.ndarray, pe
         if forest.root(x) != forest.root(largest):
             span = slice(begins[i], ends[i])
             at = agreeing(lower[span], lower[i]) >= least * MINIMA
-            yield from ((x, y) for y in ids[span][at].tolist() if forest.join(x, y))
+            for y in ids[span][at].tolist():
+                forest.join(x, y)
 
 
 def tied(percent: int):
@@ -185,19 +194,17 @@ def tied(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
 
-        def close(rows: tuple[np.ndarray, ...], starts: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def close(rows: tuple[np.ndarray, ...], starts: np.ndarray, size: np.ndarray) -> None:
             bucket, tree, ids, sizes, lower = rows
-            pairs = []
             small = np.repeat(size <= NEIGHBOURS + 1, size)
             for gap in range(1, min(NEIGHBOURS, len(ids) - 1) + 1):
                 at = np.flatnonzero((bucket[:-gap] == bucket[gap:]) & small[gap:])
                 at = at[agreeing(lower[at], lower[at + gap]) >= least * MINIMA]
-                pairs += [(a, b) for a, b in zip(ids[at].tolist(), ids[at + gap].tolist(), strict=True) if forest.join(a, b)]
+                for x, y in zip(ids[at].tolist(), ids[at + gap].tolist(), strict=True):
+                    forest.join(x, y)
             for k in np.flatnonzero(size > NEIGHBOURS + 1):
                 span = slice(starts[k], starts[k] + size[k])
-                pairs += crowded(int(tree[starts[k]]), ids[span], sizes[span], lower[span], percent, least, forest)
-            if pairs:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*pairs, strict=True)], schema=TIES)
+                crowded(int(tree[starts[k]]), ids[span], sizes[span], lower[span], percent, least, forest)
 
         held, last, number = None, None, 0
         for batch in batches:
@@ -214,10 +221,11 @@ def tied(percent: int):
             done = int(np.searchsorted(rows[0], number))
             if done:
                 _, starts, size = np.unique(rows[0][:done], return_index=True, return_counts=True)
-                yield from close(tuple(x[:done] for x in rows), starts, size)
+                close(tuple(x[:done] for x in rows), starts, size)
             held = tuple(x[done:] for x in rows)
         if held is not None:
-            yield from close(held, np.array([0]), np.array([len(held[0])]))
+            close(held, np.array([0]), np.array([len(held[0])]))
+        yield from forest.stars()
 
     return run
 
@@ -304,7 +312,9 @@ def linked(words: int, percent: int, again: bool = False):
             for x, y in zip(ids, groups, strict=False):
                 forest.join(x, y)
             pairs = list(linked_sets(np.array(ids), sets, percent, forest, np.array(rest) if again else None)) if len(ids) > 1 else []
-            if pairs:
+            if pairs and not again:
+                yield from forest.stars()
+            elif pairs:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*pairs, strict=True)], schema=TIES)
 
         for batch in slices(batches, "text", 4 << 20):
