@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meetlake.llm import chat_format, exact_dedup, mixing, near_dedup, pii, sentencepiece_bpe, sharding, telephony, token_counts, toxicity
+from meetlake.llm import chat_format, exact_dedup, importance, mixing, near_dedup, pii, quality, sentencepiece_bpe, sharding, telephony, token_counts, toxicity, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.query,
@@ -19,10 +19,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": chat_format.query,
     "op9_near_dedup": near_dedup.query,
     "op10_token_counts": token_counts.query,
+    "op11_quality": quality.query,
+    "op12_whitening": whitening.query,
+    "op13_importance": importance.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": exact_dedup.SQL,
     "op8_chat_format": chat_format.SQL,
     "op9_near_dedup": near_dedup.SQL,
+    "op13_importance": importance.SQL,
 }

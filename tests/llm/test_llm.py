@@ -683,6 +683,8 @@ def test_queries_on_odd_rows(spark, docs, tmp_path):
     more = docs.unionByName(docs.where("doc_id = 6").withColumn("text", F.lit("another text under a repeated id")))
     more.write.parquet(f"{folder}/documents.parquet")
     more.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")).write.parquet(f"{folder}/labels.parquet")
+    more.limit(2).selectExpr("doc_id AS item_id", "text").write.parquet(f"{folder}/benchmark.parquet")
+    more.selectExpr("doc_id AS vec_id", "CASE WHEN text <> '' THEN transform(array(1, 2, 3), x -> cast(length(text) % (x + 5) as float)) END AS embedding").write.parquet(f"{folder}/embeddings.parquet")
     turns = [(1, 0, "user", "x " * 9000, 1), (1, 1, "assistant", None, 1), (1, 1, "assistant", None, 1), (None, None, None, "<|im_end|>", 1)]
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string, pos long").write.parquet(f"{folder}/conversations.parquet")
     found = {name: query(spark, folder).collect() for name, query in queries.QUERIES.items()}
@@ -702,7 +704,13 @@ def test_queries_on_odd_rows(spark, docs, tmp_path):
         plain["op10_token_counts"][i, len(data), len(ids), len(ids) > 4096] += 1
         plain["op2_mixing"][i, len(re.findall(r"[^\x20\x09-\x0D]+", t))] += 1
         plain["op5_toxicity"][i, None if i is None else zlib.crc32(str(i).encode()) % 3 == 1, 0] += 1
+        plain["op11_quality"][i, None if i is None else zlib.crc32(str(i).encode()) % 3 == 1, 1] += 1
+        plain["op13_importance"][i, len(re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", t.translate({c: c + 32 for c in range(65, 91)})))] += 1
+        if t:
+            for k in range(1, 1 + len({r.component for r in found["op12_whitening"]})):
+                plain["op12_whitening"][i, k] += 1
     names = {
+        "op11_quality": ["doc_id", "held_out", "predicted"], "op12_whitening": ["vec_id", "component"], "op13_importance": ["doc_id", "n_features"],
         "op1_pii": ["doc_id", "base_sha256"], "op2_mixing": ["doc_id", "size"], "op3_telephony": ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32"], "op4_exact_dedup": ["doc_id", "text_sha256"],
         "op5_toxicity": ["doc_id", "held_out", "predicted"], "op6_sentencepiece": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"], "op7_sharding": ["doc_id", "size", "text_crc32", "law"],
         "op9_near_dedup": ["doc_id", "n_shingles"], "op10_token_counts": ["doc_id", "n_bytes", "n_tokens", "over_limit"],
