@@ -54,8 +54,8 @@ def windows(turns: DataFrame, stride: int = STRIDE, history: int = HISTORY) -> D
     ``formatted`` under the mask, in code points), one row per window.
 
     Turns go by their number, nulls first, ties by role and text; each counts one word at least. The system turn is a
-    conversation's first, if that is its role. Null texts and roles are written empty; a null conv_id is a conversation; other
-    columns are not read; an empty table gives no rows.
+    conversation's first, if that is its role. Null texts and roles are written empty; a null conv_id is a conversation; repeated
+    rows are turns of their own; a turn is never cut, however long its text; other columns are not read; an empty table gives no rows.
     """
     slim = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     ordered = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
@@ -64,11 +64,13 @@ def windows(turns: DataFrame, stride: int = STRIDE, history: int = HISTORY) -> D
     by_pos = Window.partitionBy("conv_id").orderBy("pos")
     begun = F.coalesce(F.sum("words").over(by_pos.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     slim = slim.withColumn("begun", begun).withColumn("window", F.floor(F.col("begun") / stride))
-    later = Window.partitionBy("conv_id").orderBy("window").rangeBetween(1, Window.unboundedFollowing)
-    following = F.min(F.struct("window", "begun")).over(later)
-    first = F.first(F.when(F.col("role") == "system", F.struct("role", "text"))).over(by_pos.rowsBetween(Window.unboundedPreceding, 0))
     opens = F.coalesce(F.lag("window").over(by_pos) < F.col("window"), F.lit(False))
-    slim = slim.withColumn("next", following).withColumn("system", F.when(opens, first)).withColumn("is_system", (F.col("pos") == 1) & (F.col("role") == "system"))
+    slim = slim.withColumn("opens", opens)
+    # The next window's first turn, from the last turn back: a running value, where a frame up to the end would be read anew for each turn
+    from_end = Window.partitionBy("conv_id").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
+    following = F.last(F.when(F.col("opens"), F.struct("window", "begun")), ignorenulls=True).over(from_end)
+    first = F.first(F.when(F.col("role") == "system", F.struct("role", "text"))).over(by_pos.rowsBetween(Window.unboundedPreceding, 0))
+    slim = slim.withColumn("next", following).withColumn("system", F.when(F.col("opens"), first)).withColumn("is_system", (F.col("pos") == 1) & (F.col("role") == "system"))
     copy = lambda window, kind, pos, role, text: F.struct(window.alias("window"), F.lit(kind).alias("kind"), pos.alias("pos"), role.alias("role"), text.alias("text"))
     near = ~F.col("is_system") & (F.col("next.begun") - F.col("begun") <= history)
     copies = F.array(
@@ -99,7 +101,11 @@ def read_turns(formatted: Column) -> Column:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256 and formatted_chars, from the windows alone."""
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256 and formatted_chars, from the windows alone, one row per conversation.
+
+    Texts and roles that were null come back empty; a null conv_id is one conversation; repeated rows were turns of their own and are read
+    as such. A conversation's texts meet in one row, as its digest needs them all; other columns are not read; without windows no rows.
+    """
     own = F.slice(F.col("turns"), F.col("repeated") + 1, F.size("turns"))
     masked = F.transform("loss", lambda s: unescaped(F.col("formatted").substr(s["start"] + 1, s["length"])))
     read = formatted.withColumn("turns", read_turns(F.col("formatted"))).select(
