@@ -238,7 +238,7 @@ def exact_duplicates(docs: DataFrame, keep: str = "smallest", trie_bytes: int =
 
 def clean(docs: DataFrame) -> DataFrame:
     """One row of each group, with all its columns: that of the smallest doc_id. Of repeated rows one stays; a null doc_id stays only
-    where its group has no other."""
+    where its group has no other. Null and empty texts are one group; texts are compared whole, however long; an empty table gives no rows."""
     found = exact_duplicates(docs)
     dropped = found.where("not kept and doc_id is not null").select("doc_id").distinct()
     left = docs.join(dropped, "doc_id", "left_anti")

@@ -3,8 +3,8 @@
 Slots are numbered; slot i takes the fractional part of i times the golden ratio as its point, and the point falls into the source
 whose share of the cumulative weights covers it. Sources thereby alternate as evenly as their weights allow in every stretch
 of the mix. Slots are ranked within their source, and rank k takes the k-th block of equally many words from the source's
-documents, which stand in a hashed order and start over when they are used up. A source that the schedule leaves short of its
-target gets its last blocks at the end.
+documents, which stand in a hashed order and start over when they are used up. A source that the points leave short of its
+target gets its last blocks in slots at the end.
 
 Everything is DataFrame expressions. Ranks and running word counts are taken in buckets, so that no task holds a source.
 """
@@ -53,7 +53,11 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
 
 
 def schedule(sources: DataFrame, block: int = BLOCK) -> DataFrame:
-    """s, k (rank within the source) and slot. Sources (settled, with s and want) get as many slots as their weight calls for."""
+    """s, k (rank within the source) and slot, one row for each block of each source (settled, with s and want), all slots different.
+
+    Points fall as the weights call for. A source may get a few more of them than it has blocks, whose slots stay empty, or a few
+    less; its last blocks then follow in slots behind all points, source by source.
+    """
     spark = sources.sparkSession
     slots = F.ceil(F.col("want") / block)
     n, total = sources.agg(F.count("*"), F.coalesce(F.sum(slots), F.lit(0))).first()
@@ -67,15 +71,20 @@ def schedule(sources: DataFrame, block: int = BLOCK) -> DataFrame:
     before = Window.partitionBy("s").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("s", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     ranked = dealt.withColumn("own", F.row_number().over(Window.partitionBy("s", "chunk").orderBy("slot")) - 1)
-    return ranked.join(starts, ["s", "chunk"]).select("s", (F.col("start") + F.col("own")).alias("k"), "slot")
+    ranked = ranked.join(starts, ["s", "chunk"]).select("s", (F.col("start") + F.col("own")).alias("k"), "slot")
+    blocks = sources.select("s", slots.alias("blocks"))
+    short = blocks.join(counts.groupBy("s").agg(F.sum("n").alias("got")), "s", "left").withColumn("left", F.greatest(F.lit(0), F.col("blocks") - F.coalesce("got", F.lit(0))))
+    behind = F.sum("left").over(Window.orderBy("s")) - F.col("left")
+    short = short.withColumn("behind", behind).where("left > 0").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("left") - 1)))
+    last = short.select("s", (F.col("blocks") - F.col("left") + F.col("i")).alias("k"), (F.lit(int(total)) + F.col("behind") + F.col("i")).alias("slot"))
+    return ranked.join(blocks, "s").where("k < blocks").select("s", "k", "slot").union(last)
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """The documents with sizes and targets, and the mix.
 
     Documents: row (unique), doc_id, source, size (words), s, source_size, target, want, offset (words before it in its source's
-    order). Mix: slot, row, doc_id, pass, from_word, to_word: the words of documents in the order of the slots, null for the
-    blocks at the end. A source's words in the mix are its target, rounded; each of its words is taken as often as any other, but
+    order). Mix: slot, row, doc_id, pass, from_word, to_word: the words of documents in the order of the slots. A source's words in the mix are its target, rounded; each of its words is taken as often as any other, but
     for one more round that the target may break off. Null texts have no words; a null source is a source, the last; repeated
     rows are rows of their own; a null doc_id takes part; other columns are not read. An empty table gives an empty mix.
     """
@@ -83,7 +92,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     sizes = settle(sizes.withColumn("row", F.monotonically_increasing_id()), "sizes")
     sources = settle(source_targets(sizes, weights, share), "sources")
     own = sizes.join(sources.withColumnRenamed("source", "name"), F.col("source").eqNullSafe(F.col("name"))).drop("name")
-    own = own.withColumn("order", F.xxhash64("doc_id", F.lit("mix")))
+    own = own.withColumn("order", F.xxhash64("doc_id", F.lit("mix"), "print"))
     placed = settle(running_offsets(own, "s", "order", "size", "source_rows", "print").drop("order"), "placed")
     passes = F.sequence(F.lit(0).cast("long"), F.floor((F.col("want") - F.col("offset") - 1) / F.col("source_size")))
     parts = placed.where("size > 0 and offset < want").withColumn("pass", F.explode(passes))
@@ -91,28 +100,35 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     parts = parts.withColumn("k", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("stop") - 1) / block))))
     first, last = F.greatest("start", F.col("k") * block), F.least(F.col("stop"), (F.col("k") + 1) * block)
     pieces = parts.select("s", "k", "row", "doc_id", "pass", (first - F.col("start")).alias("from_word"), (last - F.col("start")).alias("to_word"))
-    return placed, pieces.join(schedule(sources, block), ["s", "k"], "left").select("slot", "row", "doc_id", "pass", "from_word", "to_word")
+    return placed, pieces.join(schedule(sources, block), ["s", "k"]).select("slot", "row", "doc_id", "pass", "from_word", "to_word")
 
 
 def taken(docs: DataFrame) -> DataFrame:
-    """The documents of mix(), with the words that the mix takes of each."""
+    """The documents of mix(), with what their slots take of each: taken (words), first_slot and last_slot (null where none does), slot_sum (the
+    sum of its words' slots) and passes (number and first slot of each time that it is begun, in order)."""
     placed, pieces = mix(docs)
-    sums = pieces.groupBy("row").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
+    words = F.col("to_word") - F.col("from_word")
+    begun = pieces.groupBy("row", "pass").agg(F.sum(words).alias("words"), F.min("slot").alias("slot"), F.max("slot").alias("last"), F.sum(words * F.col("slot")).alias("sum"))
+    sums = begun.groupBy("row").agg(
+        F.sum("words").alias("taken"), F.min("slot").alias("first_slot"), F.max("last").alias("last_slot"), F.sum("sum").alias("slot_sum"), F.array_sort(F.collect_list(F.struct("pass", "slot"))).alias("passes")
+    )
     return placed.join(sums, "row", "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("long")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return taken(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return taken(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "first_slot", "last_slot", "slot_sum")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The documents of the mix, whole, each as often as the mix takes its words, rounded. All columns stay.
+    """The documents of the mix, whole, each as often as the mix takes its words, rounded, in the order of the slots in which they begin.
 
-    Documents without words (null, empty or blank texts) stay once each. Of an id that repeats with other texts or sources each row has its
-    own count; rows that repeat in all three are taken alike, as often as the one that is taken most. A null doc_id takes part; an empty
-    table gives no rows.
+    All columns stay. Documents without words (null, empty or blank texts) stay once each, at the end. Of an id that repeats with other texts
+    or sources each row has its own count; rows that repeat in all three are taken alike, as often as the one that is taken most. A null doc_id
+    takes part; texts are counted whole; an empty table gives no rows.
     """
     times = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int")
-    counts = taken(docs).groupBy(F.col("doc_id").alias("_id"), F.col("print").alias("_print")).agg(F.max(times).alias("_times"))
-    repeated = docs.withColumn("_own", F.xxhash64("source", "text")).join(counts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_print"))).where("_times > 0")
-    return repeated.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    best = F.max(F.struct(times.alias("times"), F.transform("passes", lambda x: x["slot"]).alias("slots")))
+    counts = taken(docs).groupBy(F.col("doc_id").alias("_id"), F.col("print").alias("_print")).agg(best.alias("_best"))
+    repeated = docs.withColumn("_own", F.xxhash64("source", "text")).join(counts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_print"))).where("_best.times > 0")
+    each = repeated.withColumn("_time", F.explode(F.sequence(F.lit(0), F.col("_best.times") - 1))).withColumn("_slot", F.get("_best.slots", F.col("_time")))
+    return each.orderBy(F.col("_slot").asc_nulls_last(), "_id", "_own").select(*docs.columns)

@@ -192,7 +192,7 @@ def test_taken_words_against_a_plain_walk(spark):
     """Each source's words stand in a hashed order and are walked until its target is met."""
     chance = random.Random(4)
     rows = [(i, " ".join(["w"] * chance.choice([0, 1, 7, 300, 3000])), chance.choice(["a", "b", "b", "b", None])) for i in range(200)]
-    found = mixing.taken(spark.createDataFrame(rows, "doc_id long, text string, source string")).withColumn("at", F.xxhash64("doc_id", F.lit("mix"))).collect()
+    found = mixing.taken(spark.createDataFrame(rows, "doc_id long, text string, source string")).withColumn("at", F.xxhash64("doc_id", F.lit("mix"), "print")).collect()
     for source in ("a", "b", None):
         own = sorted((r for r in found if r.source == source), key=lambda r: r.at)
         left, want = round(own[0].target), dict.fromkeys((r.doc_id for r in own), 0)
@@ -206,7 +206,7 @@ def test_taken_words_against_a_plain_walk(spark):
 def test_schedule_is_even_in_every_stretch(spark):
     sources = common.settle(spark.createDataFrame([(0, 30 * 1024), (1, 10 * 1024), (2, 60 * 1024)], "s int, want long"), "sources")
     slots = sorted((r.slot, r.s, r.k) for r in mixing.schedule(sources).collect())
-    assert len(slots) == 100
+    assert len({x for x, _, _ in slots}) == 100 and max(x for x, _, _ in slots) < 103
     for s, share in ((0, 0.3), (1, 0.1), (2, 0.6)):
         own = [(slot, k) for slot, t, k in slots if t == s]
         assert [k for _, k in own] == list(range(len(own)))
@@ -214,6 +214,58 @@ def test_schedule_is_even_in_every_stretch(spark):
             assert abs(sum(slot < stop for slot, _ in own) - share * stop) < 3
 
 
+def walked(found, block: int, golden: float) -> dict:
+    """What the slots take of each document: words, first, last and summed slots, one slot after the other; found: rows of taken()."""
+    sources = sorted({(r.s, r.want) for r in found})
+    blocks = {s: -(-want // block) for s, want in sources}
+    own = {s: [r for r in sorted(found, key=lambda r: r.at) if r.s == s] for s, _ in sources}
+    total, out = sum(blocks.values()), collections.defaultdict(lambda: [0, None, None, 0])
+    endless = lambda rows: ((r.doc_id, r.print) for _ in range(3) for r in rows for _ in range(r.size))
+    words, left = {s: endless(rows) for s, rows in own.items()}, dict(sources)
+
+    def take(s: int, slot: int) -> None:
+        for _ in range(min(block, left[s])):
+            w = out[next(words[s])]
+            w[:] = [w[0] + 1, slot if w[1] is None else w[1], slot, w[3] + slot]
+        left[s] -= min(block, left[s])
+
+    for slot in range(total):
+        x, low = (slot + 1) * golden % 1.0, 0
+        for s, _ in sources:
+            if low / total <= x < (low + blocks[s]) / total:
+                take(s, slot)
+            low += blocks[s]
+    slot = total
+    for s, _ in sources:
+        while left[s]:
+            take(s, slot)
+            slot += 1
+    return out
+
+
+@pytest.mark.parametrize("golden", [mixing.GOLDEN, 2**0.5 - 1])
+def test_slots_against_a_plain_walk(spark, golden, monkeypatch):
+    """The schedule decides the rows: another sequence of points gives others, and each agrees with its walk."""
+    monkeypatch.setattr(mixing, "GOLDEN", golden)
+    chance = random.Random(4)
+    rows = [(i, " ".join(["w"] * chance.choice([0, 1, 7, 300, 3000])), chance.choice(["a", "b", "b", "b", None])) for i in range(100)]
+    found = mixing.taken(spark.createDataFrame(rows, "doc_id long, text string, source string")).withColumn("at", F.xxhash64("doc_id", F.lit("mix"), "print")).collect()
+    want = walked(found, mixing.BLOCK, golden)
+    for r in found:
+        assert [r.taken, r.first_slot, r.last_slot, r.slot_sum] == (want[r.doc_id, r.print] if r.taken else [0, None, None, None])
+
+
+def test_mix_stands_in_the_order_of_its_slots(spark):
+    rows = spark.createDataFrame([(i, "w " * (i * 37 % 900), "abc"[i % 3]) for i in range(200)], "doc_id long, text string, source string")
+    slots = {r.doc_id: [x.slot for x in r.passes or []] for r in mixing.taken(rows).collect()}
+    seen, last = collections.Counter(), -1
+    for r in mixing.mixed(rows).collect():
+        at = slots[r.doc_id][seen[r.doc_id]] if slots[r.doc_id] else 10**9
+        seen[r.doc_id] += 1
+        assert at >= last
+        last = at
+
+
 # 3: telephony
 
 
@@ -386,7 +438,7 @@ def test_encoding_equals_the_library(docs, empty, monkeypatch):
 def test_sharding_law_and_slots(docs, empty, spark):
     many = spark.range(3000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
     for rows, n in ((docs, len(ROWS)), (many, 3000)):
-        found = sharding.sharded(rows, sharding.default_tree(24), sharding.default_tree(25)).collect()
+        found = sharding.sharded(rows, sharding.default_tree(24), sharding.grown(sharding.default_tree(24), 24)).collect()
         assert len(found) == n
         slots = collections.defaultdict(list)
         for r in found:
@@ -396,18 +448,32 @@ def test_sharding_law_and_slots(docs, empty, spark):
     sizes = [len(slots[k]) for k in range(24)]
     assert min(sizes) > 80 and max(sizes) < 175
     assert 60 < sum(r.grown_shard == 24 for r in found) < 190
-    for n in (1, 7, 25, 30):
-        assert all(r.grown_shard in (r.shard, n) for r in sharding.sharded(many, sharding.default_tree(n), sharding.default_tree(n + 1)).collect())
-    tree = {0: {0: {0: 1.0, 1: 0.5}, 1: {2: 2.0}}, 1: {2: {3: 1.0, 4: 0.0}}}
-    for r in sharding.sharded(many, tree).select("*", *(F.xxhash64("doc_id", F.lit("shard"), F.lit(s)).alias(f"h{s}") for s in range(5))).collect():
-        draw = lambda node, s=None: min(draw(x, k) for k, x in node.items()) if isinstance(node, dict) else -math.log((r[f"h{s}"] + 2.0**63 + 1) / (2.0**64 + 2048)) / node if node else math.inf
-        region = min(tree, key=lambda k: draw(tree[k]))
-        rack = min(tree[region], key=lambda k: draw(tree[region][k]))
-        assert (r.region, r.rack, r.shard) == (region, rack, min(tree[region][rack], key=lambda k: draw(tree[region][rack][k], k)))
+    for n in (1, 7, 24, 25, 30):
+        tree = sharding.default_tree(n)
+        moved = sharding.sharded(many, tree, sharding.grown(tree, n)).collect()
+        assert all(r.grown_shard in (r.shard, n) for r in moved) and 0.6 < sum(r.grown_shard == n for r in moved) * (n + 1) / 3000 < 1.4
+        twice = sharding.sharded(many, sharding.grown(tree, n), sharding.grown(sharding.grown(tree, n), n + 1)).collect()
+        assert all(r.grown_shard in (r.shard, n + 1) for r in twice)
+    # the tree decides: the same shards under other nodes
+    flat = {0: {0: {s: 1.0 for s in range(24)}}}
+    assert sum(x.shard != y.shard for x, y in zip(*(sorted(sharding.sharded(many, t).collect(), key=lambda r: r.doc_id) for t in (flat, sharding.default_tree(24))), strict=True)) > 2000
+    tree = {0: {0: {0: 1.0, 1: 0.5}, 1: {2: 2.0}}, 1: {2: {3: 1.0, 4: 0.0}}, 2: {3: {5: 0.0}}, "+7": 0.5}
+    names = [x["name"] for x in sharding.nodes_of(tree)]
+    for r in sharding.sharded(many, tree).select("*", *(F.xxhash64("doc_id", F.lit("shard"), F.lit(x)).alias(f"h{x}") for x in names)).collect():
+        name, node, way = "", tree, []
+        while isinstance(node, dict):  # draws among the children of the node that is reached
+            weights = {k: sharding.weight_of(x) for k, x in node.items()}
+            way.append(min((k for k in node if weights[k]), key=lambda k: -math.log((r[f"h{name}/{k}"] + 2.0**63 + 1) / (2.0**64 + 2048)) / weights[k]))
+            name, node = f"{name}/{way[-1]}", node[way[-1]]
+        assert (r.region, r.rack, r.shard) == (tuple(way) if len(way) == 3 else (None, None, 7))
     heavy = {0: {0: {0: 1.0, 1: 3.0}}, 1: {1: {2: 1.0}}}
     heavier = {0: {0: {0: 1.0, 1: 3.0}}, 1: {1: {2: 2.0}}}
     moved = sharding.sharded(many, heavy, heavier).collect()
     assert all(r.grown_shard in (r.shard, 2) for r in moved)
+    inside = {0: {0: {0: 1.0, 1: 3.0}, 1: {2: 1.0}}, 1: {2: {3: 1.0, 4: 2.0}, 3: {5: 1.0}}}
+    other = {0: {0: {0: 1.0, 1: 3.0}, 1: {2: 1.0}}, 1: {2: {3: 1.0, 4: 4.0}, 3: {5: 1.0}}}
+    for r in sharding.sharded(many, inside, other).collect():  # from the other region into this one, and within it into the heavier rack
+        assert r.grown_shard == r.shard or (r.region, r.grown_region) == (0, 1) or r.region == 1 and r.grown_shard in (3, 4)
     assert 0.6 * 2250 < sum(r.shard == 1 for r in moved) < 1.4 * 2250 * 4 / 5 * 1.1
     assert sharding.sharded(empty, sharding.default_tree(24)).count() == 0
 
@@ -455,6 +521,23 @@ def test_chat_round_trip(spark):
     assert chat_format.windows(rows.where("false")).count() == 0
 
 
+def test_a_long_conversation_is_read_in_proportion(spark):
+    """Repeated turns and thousands of others; twice the turns take about twice the time, not four times."""
+
+    def rows(n):
+        turns = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("some words of turn "), F.col("id")).alias("text"))
+        return turns.union(turns.where("turn < 2"))
+
+    took = []
+    for n in (10_000, 10_000, 40_000):
+        start = time.perf_counter()
+        found = chat_format.read_back(chat_format.windows(rows(n))).collect()
+        took.append(time.perf_counter() - start)
+        masked = "".join(f"some words of turn {t}" for t in sorted([*range(n), 0, 1]) if t % 2)
+        assert [(r.n_turns, r.loss_chars, r.loss_sha256) for r in found] == [(n + 2, len(masked), hashlib.sha256(masked.encode()).hexdigest())]
+    assert took[2] < 8 * took[1] + 5
+
+
 # 9: near dedup
 
 
