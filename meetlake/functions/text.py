@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 SEARCH_CJK = r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{F900}-\x{FAFF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}\x{1100}-\x{11FF}\x{3130}-\x{318F}"
 TOKEN_CJK = r"\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}\x{F900}-\x{FAFF}\x{20000}-\x{2FA1F}"
 LANGUAGE_CJK = r"\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{2FFFF}\x{3040}-\x{30FF}\x{31F0}-\x{31FF}\x{FF66}-\x{FF9D}"
-WIDE = r"\x{1100}-\x{115F}\x{2E80}-\x{A4CF}\x{AC00}-\x{D7A3}\x{F900}-\x{FAFF}\x{FE30}-\x{FE6F}\x{FF00}-\x{FF60}\x{FFE0}-\x{FFE6}"
+WIDE = r"\x{2E80}-\x{9FFF}\x{AC00}-\x{D7A3}\x{F900}-\x{FAFF}\x{FF00}-\x{FF60}"
 SENTENCE_ENDS = "。？！?!"
 
 
@@ -137,7 +137,7 @@ def escape_markup(text: Column) -> Column:
 
 def one_cue(text: Column) -> Column:
     """A text for a cue: no blank lines, ends trimmed."""
-    return F.trim(F.regexp_replace(text, r"\s*\n\s*", "\n"))
+    return F.regexp_replace(F.regexp_replace(text, r"\n\s*\n+", "\n"), r"^\s+|\s+$", "")
 
 
 def file_name(text: Column) -> Column:

@@ -40,15 +40,6 @@ def kept_audio(gone: DataFrame, audio: DataFrame) -> DataFrame:
     return theirs.join(audio.join(gone, "meeting_id", "left_anti"), "audio", "left_anti")
 
 
-def edited(people: DataFrame, edits: DataFrame) -> DataFrame:
-    """People after edits in order: the last name, the last voice switch; deleted ones are gone. edits: person_id, seq, kind, value."""
-    last = lambda c, when: F.max_by(F.when(when, c), F.when(when, F.col("seq")))
-    voice = F.col("kind").isin("voice_on", "voice_off")
-    byperson = edits.groupBy("person_id").agg(last(F.col("value"), F.col("kind") == "rename").alias("_name"), last(F.col("kind"), voice).alias("_voice"), F.bool_or(F.col("kind") == "delete").alias("_gone"))
-    found = people.join(byperson, "person_id", "left").where("not coalesce(_gone, false)")
-    return found.select("person_id", F.coalesce("_name", "name").alias("name"), F.coalesce(F.col("_voice") == "voice_on", F.lit(True)).alias("voice_enabled"))
-
-
 def days(meetings: DataFrame) -> DataFrame:
     """Meetings by day, with how many are done and the last one's number."""
     return meetings.groupBy(F.to_date("date").alias("day")).agg(F.count("*").alias("meetings"), F.count_if("done").alias("done"), F.max("meeting_id").alias("last_meeting"))

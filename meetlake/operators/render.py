@@ -58,46 +58,57 @@ def exported(lines: DataFrame, heads: DataFrame, markdown: bool = False, heading
 
 
 def lyrics(lines: DataFrame, titles: DataFrame | None = None) -> DataFrame:
-    """Lines that aren't blank as lyrics; with titles (meeting_id, title) after a tag of the title, where there is one."""
+    """Lines that aren't blank as lyrics, each ended by a line feed; with titles (meeting_id, title) after a tag of the title, where there is one."""
     if titles is not None:
         tag = F.when(F.coalesce("title", F.lit("")) != "", F.concat(F.lit("[ti:"), "title", F.lit("]\n"))).otherwise("")
         return lyrics(lines).join(titles, "meeting_id", "left").select("meeting_id", F.concat(tag, "lyrics").alias("lyrics"))
     text = F.trim(F.replace("text", F.lit("\n"), F.lit(" ")))
     line = F.concat(F.lit("["), X.lyric_clock(F.col("start_s")), F.lit("]"), "name", F.lit(": "), text)
-    return joined(lines.where(text != ""), ["meeting_id"], "utt_idx", line, "\n", "lyrics")
+    return joined(lines.where(text != ""), ["meeting_id"], "utt_idx", F.concat(line, F.lit("\n")), "", "lyrics")
 
 
-def cut_cue(text: str | None, soft: int, hard: int) -> list[str]:
-    """A text cut after a sentence's end, after a comma from ``soft`` cells on, and at ``hard`` cells back at the last space."""
-    found, start, cells, space = [], 0, 0, -1  # space: the last one from start on
-    for i, ch in enumerate(text or ""):
+def cut_cue(text: str, soft: int, hard: int) -> list[str]:
+    """A text without a sentence's end inside, cut after a comma from ``soft`` cells on, and at ``hard`` cells back at the last space, which goes."""
+    found, start, cells = [], 0, 0
+    for i, ch in enumerate(text):
         cells += 2 if WIDE.match(ch) else 1
-        space = i if ch == " " else space
-        if ch in SENTENCE or cells >= soft and ch in COMMA or cells >= hard and (space <= start or text[start] == " "):
-            found.append(text[start : i + 1])
-            start, cells, space = i + 1, 0, -1
+        if ch in SENTENCE or cells >= soft and ch in COMMA:
+            stop, after = i + 1, i + 1
         elif cells >= hard:
-            found.append(text[start:space])
-            start, cells = space, sum(2 if WIDE.match(c) else 1 for c in text[space : i + 1])
-    return [*found, text[start:]] if start < len(text or "") else found
+            space = text.rfind(" ", start + 1, i + 1)
+            stop, after = (space, space + 1) if space > start else (i + 1, i + 1)
+        else:
+            continue
+        found.append(text[start:stop])
+        start, cells = after, sum(2 if WIDE.match(c) else 1 for c in text[after : i + 1])
+    return [*found, text[start:]]
 
 
 def cues(lines: DataFrame, soft: int = 32, hard: int = 64) -> DataFrame:
-    """Cues of a line, as cut_cue() cuts it; times by share of characters. lines: meeting_id, utt_idx, start_s, end_s, name, text."""
+    """Cues of each line: a line of up to ``hard`` cells is one; a longer one is cut after each sentence's end, and what is left with ``soft`` cells or
+    more as cut_cue() cuts it. Pieces are trimmed, empty ones go, and times follow their shares of characters; a line that doesn't end after
+    its start lasts a second. lines: meeting_id, utt_idx, start_s, end_s, name, text."""
 
     @F.pandas_udf("array<string>")
     def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: cut_cue(x, soft, hard))
-
-    pieces = lines.withColumn("_p", cut("text"))
-    each = pieces.select(*lines.columns, F.posexplode("_p").alias("cue", "piece"))
+        return texts.map(lambda x: None if x is None else cut_cue(x, soft, hard))
+
+    text = X.one_cue(F.col("text"))
+    end = F.when(F.col("end_s") > F.col("start_s"), F.col("end_s")).otherwise(F.col("start_s") + 1)
+    shown = lines.select("meeting_id", "utt_idx", "name", "start_s", end.alias("end_s"), text.alias("_text")).where("_text <> ''")
+    ended = F.split("_text", f"(?<=[{''.join(sorted(SENTENCE))}])")
+    parts = shown.select("*", F.posexplode(F.when(X.width(F.col("_text")) <= hard, F.array("_text")).otherwise(ended)).alias("_s", "_part"))
+    whole_ = (F.col("_part") == F.col("_text")) & (X.width(F.col("_text")) <= hard)
+    fine = whole_ | (X.width(F.col("_part")) < soft)
+    pieces = parts.withColumn("_cut", cut(F.when(~fine, F.col("_part")))).select("*", F.posexplode(F.coalesce("_cut", F.array("_part"))).alias("_c", "_piece"))
+    pieces = pieces.withColumn("_piece", F.when(whole_, F.col("_piece")).otherwise(F.regexp_replace("_piece", r"^[ \t]+|[ \t]+$", ""))).where("_piece <> ''")
     w = Window.partitionBy("meeting_id", "utt_idx")
-    n = F.char_length("piece")
-    before, whole = F.coalesce(F.sum(n).over(w.orderBy("cue").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), F.sum(n).over(w)
+    ordered, n = w.orderBy("_s", "_c"), F.char_length("_piece")
+    used, whole = F.sum(n).over(ordered), F.sum(n).over(w)
     long = F.col("end_s") - F.col("start_s")
-    each = each.withColumn("_a", F.col("start_s") + long * before / whole).withColumn("_b", F.col("start_s") + long * (before + n) / whole)
-    timed = each.withColumn("_b", F.when(F.col("_b") <= F.col("_a"), F.col("_a") + 1).otherwise(F.col("_b"))).where(F.trim("piece") != "")
-    return timed.select("meeting_id", "utt_idx", "cue", "name", F.col("_a").alias("start_s"), F.col("_b").alias("end_s"), F.trim("piece").alias("text"))
+    return pieces.select(
+        "meeting_id", "utt_idx", (F.row_number().over(ordered) - 1).alias("cue"), "name", (F.col("start_s") + long * (used - n) / whole).alias("start_s"), (F.col("start_s") + long * used / whole).alias("end_s"), F.col("_piece").alias("text")
+    )
 
 
 def subtitles(cue_rows: DataFrame, vtt: bool = False) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,32 +18,87 @@ from meetlake.sources.settled import settle
 K1, B, RANK = 1.2, 0.75, 60
 
 
+#: Of a question's terms so many pairs are sent to every task at most; beyond that, postings and questions are joined.
+SHARED = 2_000_000
+#: Scores that a task holds at once.
+CELLS = 4_000_000
+#: Scores closer than this count as ties when a task drops what can't be among the best.
+CLOSE = 2e-6
+
+
 def postings(passages: DataFrame, key: str, text: str, wanted: DataFrame | None = None, split=terms) -> DataFrame:
     """Term counts (key, term, tf) with the passage's length; only of ``wanted`` terms, if given: the join with these comes before the
-    counting, so nothing else is shuffled."""
-    cut = passages.select(key, split(F.col(text)).alias("_terms"))
-    each = cut.select(key, F.size("_terms").alias("length"), F.explode("_terms").alias("term"))
+    counting, so nothing else is shuffled. A row with the term null stands for each passage itself, whether it has terms or not."""
+    cut = passages.select(key, split(F.coalesce(F.col(text), F.lit(""))).alias("_terms"))
+    each = cut.select(key, F.size("_terms").alias("length"), F.explode(F.concat(F.col("_terms"), F.array(F.lit(None).cast("string")))).alias("term"))
     if wanted is not None:
-        each = each.join(wanted.select("term").distinct(), "term")
+        known = wanted.select("term").distinct().withColumn("_known", F.lit(True))
+        each = each.join(known, "term", "left").where("_known or term is null").drop("_known")
     return each.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
-def bm25(passages: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", split=terms) -> DataFrame:
-    """query_id, the passage's key and score, of passages that share a term. queries: query_id, query. Empty passages count.
+def bm25(passages: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", split=terms, best: int | None = None, per: str | None = None) -> DataFrame:
+    """query_id, the passage's key (and ``per``) and score, of passages that share a term. queries: query_id, query. Empty passages count.
+    A key is a long and has one passage; query_id is a long.
 
-    Postings are dealt by passage before terms are looked up: where the questions' terms are few enough to be broadcast (Spark decides by
-    their size), a passage's scores for all questions are added up where its postings are, without another shuffle.
+    Passages are split once. Their postings are gathered by passage, and each task adds up the scores of its passages for all questions at
+    once. With ``best`` it hands on only what can be among the ``best`` of a question, or of a question and a value of ``per`` (a column of
+    passages, a long); ties at a few millionths are kept, so that ranks over the result are those over all scores.
     """
-    asked = settle(queries.select("query_id", F.explode(F.array_distinct(split(F.col("query")))).alias("term")), "asked")
-    tf = settle(postings(passages, key, text, asked, split), "postings")
-    df = settle(tf.groupBy("term").agg(F.count("*").alias("df")), "df")
-    length = F.size(split(F.col(text)))
-    size = passages.agg(F.count("*").alias("n"), F.greatest(F.lit(1.0), F.coalesce(F.sum(length) / F.count("*"), F.lit(0.0))).alias("mean"))
+    asked = settle(queries.select(F.col("query_id").cast("long"), F.explode(F.array_distinct(split(F.col("query")))).alias("term")), "asked")
+    own = passages.withColumn("_key", F.struct(F.col(key).cast("long").alias("key"), (F.col(per).cast("long") if per else F.lit(0).cast("long")).alias("per")))
+    tf = settle(postings(own, "_key", text, asked, split), "postings")
+    df = settle(tf.where("term is not null").groupBy("term").agg(F.count("*").alias("df")), "df")
+    size = tf.where("term is null").agg(F.count("*").alias("n"), F.greatest(F.lit(1.0), F.coalesce(F.sum("length") / F.count("*"), F.lit(0.0))).alias("mean"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     # One row with the corpus's size joins every posting.
-    weighed = tf.repartition(key).join(df, "term").crossJoin(settle(size, "size")).select(key, "term", weight.alias("_w"))
-    return weighed.join(asked, "term").groupBy("query_id", key).agg(F.sum("_w").alias("score"))
+    weighed = tf.where("term is not null").join(df, "term").crossJoin(settle(size, "size")).select("_key", "term", weight.alias("_w"))
+    names = ["query_id", key, *([per] if per else [])]
+    if asked.limit(SHARED + 1).count() > SHARED:
+        sums = weighed.join(asked, "term").groupBy("query_id", "_key").agg(F.sum("_w").alias("score"))
+        return sums.select("query_id", F.col("_key.key").alias(key), *([F.col("_key.per").alias(per)] if per else []), "score")
+    gathered = weighed.groupBy("_key").agg(F.collect_list("term").alias("terms"), F.collect_list("_w").alias("weights")).select("_key.key", "_key.per", "terms", "weights")
+    found = gathered.mapInArrow(added(passages.sparkSession.sparkContext.broadcast(asked.toArrow()), best), "query_id long, key long, per long, score double")
+    return found.select("query_id", F.col("key").alias(key), *([F.col("per").alias(per)] if per else []), "score").select(*names, "score")
+
+
+def added(asked, best: int | None):
+    """Scores of passages (key, per, terms, weights) for all questions, a broadcast Arrow table of query_id and term."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries, number = np.unique(asked.value["query_id"].to_numpy(), return_inverse=True)
+        vocabulary = asked.value["term"].combine_chunks().dictionary_encode()
+        place = {x: i for i, x in enumerate(vocabulary.dictionary.to_pylist())}
+        code = vocabulary.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(code, kind="stable")
+        askers, ends = number[order], np.cumsum(np.bincount(code, minlength=len(place)))
+        starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+        rows = max(1, CELLS // max(1, len(queries)))
+        for whole in batches:
+            for start in range(0, whole.num_rows, rows):
+                batch = whole.slice(start, rows)
+                lists = batch.column("terms")
+                term = np.array([place[x] for x in lists.flatten().to_pylist()], np.int64)
+                owner = np.repeat(np.arange(len(lists)), np.asarray(pc.list_value_length(lists)))
+                many = ends[term] - starts[term] if len(term) else term
+                at = np.repeat(starts[term] - np.cumsum(many) + many, many) + np.arange(many.sum()) if len(term) else term
+                cell = np.repeat(owner, many) * len(queries) + askers[at]
+                sums = np.bincount(cell, np.repeat(batch.column("weights").flatten().to_numpy(), many), minlength=len(lists) * len(queries))
+                held = np.flatnonzero(sums)
+                doc, query, score = held // len(queries), held % len(queries), sums[held]
+                per = batch.column("per").to_numpy()
+                if best is not None and len(held):
+                    by = np.lexsort((-score, per[doc], query))
+                    doc, query, score = doc[by], query[by], score[by]
+                    first = np.flatnonzero(np.concatenate([[True], (np.diff(query) != 0) | (np.diff(per[doc]) != 0)]))
+                    group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(query))))
+                    last = np.minimum(first + best, np.append(first[1:], len(query))) - 1
+                    keep = score >= score[last][group] - CLOSE
+                    doc, query, score = doc[keep], query[keep], score[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(queries[query], pa.int64()), batch.column("key").take(pa.array(doc)), pa.array(per[doc], pa.int64()), pa.array(score)], names=["query_id", "key", "per", "score"])
+
+    return run
 
 
 def dot(a: str, b: str) -> Column:
@@ -113,16 +169,24 @@ def routed(dense_hits: DataFrame, keyword_hits: DataFrame, n: int = 2) -> DataFr
 
 
 def fused_library(dense_hits: DataFrame, keyword_hits: DataFrame, weight: float = 0.3, depth: int = 3) -> DataFrame:
-    """Meetings of each query by their best fused passage, plus a little for the number of passages. The best ``depth`` passages of each meeting
-    (dense: at most one of the kind "meeting") are ranked from 0 over all meetings, the lexical list with its weight.
-    Hits: query_id, meeting_id, kind, passage, score."""
-    def ranked(hits: DataFrame, one_meeting: bool) -> DataFrame:
-        best = per_meeting(hits, depth) if one_meeting else top(hits, ["query_id", "meeting_id"], [F.desc("score"), "kind", "passage"], depth)
-        return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "kind", "passage")))
+    """query_id, meeting_id, best, passages and score: meetings by their best fused passage, plus a little for the number of passages.
 
-    both = fused([(ranked(dense_hits, True), 1.0), (ranked(keyword_hits, False), weight)], ["query_id", "meeting_id", "kind", "passage"], first_rank=0)
+    In either list the meetings stand by their best hit, and within one its best ``depth`` passages (dense: at most one of the kind "meeting") by
+    score; ranks run through from 0. The lexical list has its weight. A query without dense hits keeps its lexical ones as they are, a
+    meeting's score being its best hit's. Hits: query_id, meeting_id, kind, passage, score.
+    """
+    def ranked(hits: DataFrame, one_meeting: bool) -> DataFrame:
+        own = per_meeting(hits, depth) if one_meeting else top(hits, ["query_id", "meeting_id"], [F.desc("score"), "kind", "passage"], depth)
+        led = own.withColumnRenamed("rank", "_inside").withColumn("_lead", F.max("score").over(Window.partitionBy("query_id", "meeting_id")))
+        return led.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("_lead"), "meeting_id", "_inside")))
+
+    near = settle(ranked(dense_hits, True).select("query_id", "meeting_id", "kind", "passage", "rank"), "near")
+    words = settle(ranked(keyword_hits, False).select("query_id", "meeting_id", "kind", "passage", "rank", "_lead"), "words")
+    semantic = near.select("query_id").distinct()
+    both = fused([(near, 1.0), (words.join(semantic, "query_id", "left_semi"), weight)], ["query_id", "meeting_id", "kind", "passage"], first_rank=0)
     meetings = both.groupBy("query_id", "meeting_id").agg(F.max("score").alias("best"), F.count("*").alias("passages"))
-    return meetings.withColumn("score", F.col("best") + 0.1 * F.log("passages"))
+    alone = words.join(semantic, "query_id", "left_anti").groupBy("query_id", "meeting_id").agg(F.max("_lead").alias("best"), F.count("*").alias("passages"))
+    return meetings.withColumn("score", F.col("best") + 0.1 * F.log("passages")).union(alone.withColumn("score", F.col("best")))
 
 
 def per_meeting(hits: DataFrame, depth: int = 3) -> DataFrame:

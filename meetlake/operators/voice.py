@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meetlake.operators.people import voices
 from meetlake.operators.retrieval import dot
+from meetlake.sources.settled import settle
 
 NOBODY = -9
 
@@ -41,23 +41,72 @@ def without_meeting(exemplars: DataFrame, meetings: DataFrame, dims: int) -> Dat
     return left.withColumn("_n", norm).where("_n > 1e-9").select("for_meeting", "person", "dim", (F.col("x") / F.col("_n")).alias("x"))
 
 
-def synced(links: DataFrame, people: DataFrame, vectors: DataFrame, old: DataFrame, dims: int, least: float = 10.0, outlier: float = 0.35) -> DataFrame:
-    """Exemplars that follow the links: one for each linked person and meeting, if the voice may be learned and there is enough speech.
-    Confirmed is what was confirmed before, the first voice of a person, or one near enough to the person's others.
+def sums(exemplars: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, total and n: sums of unit vectors weighted by seconds (a thousandth at least), and how many there are."""
+    length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    weight = F.greatest(F.col("seconds").cast("double"), F.lit(1e-3)) / F.when(F.col("_l") > 0, F.col("_l")).otherwise(1.0)
+    each = exemplars.withColumn("_l", length).select(*keys, F.posexplode(F.transform("vector", lambda x: x.cast("double"))).alias("_d", "_x"), weight.alias("_w"))
+    parts = each.groupBy(*keys, "_d").agg(F.sum(F.col("_x") * F.col("_w")).alias("_x"), F.count("*").alias("n"))
+    return parts.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_d", "_x"))), lambda x: x["_x"]).alias("total"), F.max("n").alias("n"))
 
-    links: meeting_id, speaker, person; people: person, voice_enabled; vectors: meeting_id, speaker, seconds, vector; old: person, meeting_id, seconds,
-    confirmed, vector.
+
+def cosine(a: str, b: str) -> Column:
+    """0 where a vector has no length or lengths differ."""
+    size = F.sqrt(dot(a, a) * dot(b, b))
+    return F.when((F.size(a) == F.size(b)) & (size > 0), dot(a, b) / F.nullif(size, F.lit(0.0))).otherwise(0.0)
+
+
+def synced(links: DataFrame, people: DataFrame, vectors: DataFrame, old: DataFrame, least: float = 10.0, outlier: float = 0.35, dates: DataFrame | None = None, cap: int = 30) -> DataFrame:
+    """Exemplars (person, meeting_id, speaker, seconds, confirmed, vector) that follow the links of every meeting in ``links``.
+
+    An old exemplar goes if its speaker is linked to somebody else now, or nobody. Each linked speaker of a person whose voice may be learned,
+    with enough speech, gives the exemplar of that person and meeting; of several speakers the last one's vector stays. Confirmed is what the old
+    exemplar that stayed was; without one, whether the first of these speakers is near enough to the person's confirmed exemplars of other
+    meetings, or there are none. Those are the sums of all less the meeting's own, so nothing is summed for each meeting anew. Every meeting is
+    held against the exemplars as they were before. With ``dates`` (meeting_id, date) the newest ``cap`` of a person stay.
+
+    links: meeting_id, speaker, person; people: person, voice_enabled; vectors: meeting_id, speaker, seconds, vector; old: as the result.
+    """
+    fields = ["person", "meeting_id", "speaker", "seconds", "confirmed", "vector"]
+    touched = links.select("meeting_id").distinct()
+    elsewhere = old.join(touched, "meeting_id", "left_anti").select(fields)
+    stayed = old.join(touched, "meeting_id", "left_semi").join(links.select("meeting_id", "speaker", "person"), ["meeting_id", "speaker", "person"], "left_semi").select(fields)
+    usable = people.where("voice_enabled").select("person")
+    wanted = links.join(usable, "person").join(vectors, ["meeting_id", "speaker"]).where(F.col("seconds") >= least).select("person", "meeting_id", "speaker", "seconds", "vector")
+    one = wanted.groupBy("person", "meeting_id").agg(F.min_by("vector", "speaker").alias("_first"), F.max_by(F.struct("speaker", "seconds", "vector"), "speaker").alias("_last"))
+    sure = old.where("confirmed")
+    whole = sums(sure, ["person"]).select("person", F.col("total").alias("_all"), F.col("n").alias("_n"))
+    own = sums(sure.join(touched, "meeting_id", "left_semi"), ["person", "meeting_id"]).select("person", "meeting_id", F.col("total").alias("_own"), F.col("n").alias("_m"))
+    before = stayed.groupBy("person", "meeting_id").agg(F.min_by("confirmed", "speaker").alias("_was"))
+    found = one.join(whole, "person", "left").join(own, ["person", "meeting_id"], "left").join(before, ["person", "meeting_id"], "left")
+    others = F.when(F.col("_own").isNull(), F.col("_all")).otherwise(F.zip_with("_all", "_own", lambda a, b: a - b))
+    alone = F.coalesce("_n", F.lit(0)) - F.coalesce("_m", F.lit(0)) <= 0
+    fits = alone | (F.round(cosine("_first", "_others"), 9) >= outlier)
+    put = found.withColumn("_others", others).select("person", "meeting_id", "_last.speaker", "_last.seconds", F.coalesce("_was", fits).alias("confirmed"), "_last.vector")
+    result = elsewhere.unionByName(stayed.join(put, ["person", "meeting_id"], "left_anti")).unionByName(put)
+    if dates is None:
+        return result
+    newest = Window.partitionBy("person").orderBy(F.desc_nulls_last("date"), "meeting_id", "speaker")
+    return result.join(dates, "meeting_id", "left").withColumn("_r", F.row_number().over(newest)).where(F.col("_r") <= cap).select(fields)
+
+
+def followed(exemplars: DataFrame, edits: DataFrame) -> DataFrame:
+    """Exemplars after directory edits in the order of ``seq``: a meeting, a person, or a person's exemplar of a meeting is removed; a person's
+    exemplars, or the one of a meeting, move to another person.
+
+    edits: seq, kind (remove or move), person (null: anybody), meeting_id (null: any), to. Each round applies to every exemplar the first edit
+    that concerns it after its last one, so rounds are as many as an exemplar has moves.
     """
-    wanted = links.join(people.where("voice_enabled").select("person"), "person").join(vectors, ["meeting_id", "speaker"]).where(F.col("seconds") >= least)
-    one = wanted.groupBy("person", "meeting_id").agg(F.max_by(F.struct("speaker", "seconds", "vector"), "speaker").alias("v")).select("person", "meeting_id", "v.*")
-    centre = voices(old.where("confirmed"), ["person"], dims).select("person", F.col("vector").alias("_voice"))
-    before = old.select("person", "meeting_id", F.col("confirmed").alias("_was"))
-    found = one.join(centre, "person", "left").join(before, ["person", "meeting_id"], "left")
-    near = dot("vector", "_voice") / F.sqrt(F.greatest(F.lit(1e-12), dot("vector", "vector"))) >= outlier
-    return found.select("person", "meeting_id", "speaker", "seconds", (F.coalesce("_was", F.lit(False)) | F.col("_voice").isNull() | F.coalesce(near, F.lit(False))).alias("confirmed"))
-
-
-def moved(exemplars: DataFrame, edits: DataFrame) -> DataFrame:
-    """Exemplars after directory edits: a person's go to another, or are removed. edits: person, to (null: removed)."""
-    found = exemplars.join(edits.withColumnRenamed("to", "_to").withColumn("_edit", F.lit(True)), "person", "left")
-    return found.where("_edit is null or _to is not null").withColumn("person", F.coalesce("_to", "person")).drop("_to", "_edit")
+    rows = settle(exemplars.withColumn("_row", F.monotonically_increasing_id()), "exemplars")
+    state = rows.select("_row", "person", "meeting_id", F.lit(-1).cast("long").alias("_at"))
+    log = settle(edits.select(F.col("seq").cast("long").alias("seq"), "kind", F.col("person").alias("_p"), F.col("meeting_id").alias("_m"), "to"), "edits")
+    after = F.col("seq") > F.col("_at")
+    while True:
+        by_person = state.join(log.where("_p is not null"), F.col("person") == F.col("_p")).where(after & (F.col("_m").isNull() | (F.col("_m") == F.col("meeting_id"))))
+        by_meeting = state.join(log.where("_p is null and _m is not null"), F.col("meeting_id") == F.col("_m")).where(after)
+        hits = by_person.unionByName(by_meeting).groupBy("_row").agg(F.min_by(F.struct("seq", "kind", "to"), "seq").alias("_e"))
+        hits = settle(hits, "hits")
+        if hits.isEmpty():
+            return rows.drop("person").join(state.select("_row", "person"), "_row").select(*exemplars.columns)
+        moved = state.join(hits, "_row", "left").where("_e is null or _e.kind = 'move'")
+        state = settle(moved.select("_row", F.coalesce("_e.to", "person").alias("person"), "meeting_id", F.coalesce("_e.seq", "_at").alias("_at")), "state")

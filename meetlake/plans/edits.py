@@ -21,6 +21,7 @@ from meetlake.plans import notes as N
 from meetlake.plans import passages as Q
 from meetlake.plans import people as O
 from meetlake.plans import retrieval as R
+from meetlake.sources.settled import settle
 
 
 def relabel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,9 +122,11 @@ UNINDEXED = Q.PASSAGE_TEXT.replace("1, 200)", "1, 1200)")
 
 
 def ask_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = R.dense_hits(spark, sf_dir).select("query_id", "meeting_id", F.col("vec_id").alias("passage"), "cosine", (F.col("vec_id") % 3 == 0).alias("is_note"), (F.col("vec_id") % 7 == 0).alias("named"))
-    words = R.keyword_hits(spark, sf_dir).select("query_id", (F.col("doc_id") % 20).alias("meeting_id"), F.col("doc_id").alias("passage"), F.round("score", 6).alias("score"))
-    return K.candidates(near, words, R.meeting_routing(spark, sf_dir).select("query_id", "meeting_id"))
+    """Hits by meaning and by words are found once, for the routing and for the candidates."""
+    near = settle(R.dense_hits(spark, sf_dir).select("query_id", "meeting_id", F.col("vec_id").alias("passage"), "cosine", (F.col("vec_id") % 3 == 0).alias("is_note"), (F.col("vec_id") % 7 == 0).alias("named")), "near")
+    words = settle(R.keyword_hits(spark, sf_dir, 16, "meeting_id").select("query_id", "meeting_id", F.col("doc_id").alias("passage"), F.round("score", 6).alias("score")), "words")
+    routed = T.routed(near.select("query_id", "meeting_id", F.col("cosine").alias("score")), words.select("query_id", "meeting_id", "score"))
+    return K.candidates(near, words, routed.select("query_id", "meeting_id"))
 
 
 def ask_fusion_routed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,7 +168,7 @@ POOL = f"""WITH x AS ({R.HYBRID}) SELECT CAST(query_id // 4 AS BIGINT) AS conver
 
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers that cite excerpts by number, with places put in and runs collapsed."""
-    pool = pool_numbers(spark, sf_dir).select("conversation", "k", F.col("doc_id").alias("meeting_id"), (F.col("doc_id") % 100).alias("sec"))
+    pool = settle(pool_numbers(spark, sf_dir).select("conversation", "k", F.col("doc_id").alias("meeting_id"), (F.col("doc_id") % 100).alias("sec")), "pool")
     answers = pool.select("conversation").distinct().withColumn("answer", F.concat(F.lit("As said [[1]], [[1]] and [2], [[2]], [[3]] but not [[99]] of "), F.col("conversation").cast("string")))
     return K.expanded(answers, pool).select("conversation", K.collapsed(F.col("expanded")).alias("answer"))
 
@@ -303,20 +306,13 @@ x AS (SELECT f.m, f.person, dim, sum(s * v / l) AS x FROM f JOIN d ON d.person =
 SELECT m AS for_meeting, person, CAST(dim AS INT) AS dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY m, person)), 6) AS x FROM x"""
 
 
-def exemplar_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = learned(spark, sf_dir)
-    links = rows.select("meeting_id", F.col("vec_id").alias("speaker"), "person")
-    people = rows.select("person").distinct().withColumn("voice_enabled", F.col("person") % 3 != 0)
-    return V.synced(links, people, rows.select("meeting_id", F.col("vec_id").alias("speaker"), "seconds", "vector"), rows.where("meeting_id < 10").select("person", "meeting_id", "seconds", "confirmed", "vector"), A.DIMS, outlier=0.1).withColumnRenamed("speaker", "vec_id").dropDuplicates(["person", "meeting_id"])
-
-
 def first_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first line of each speaker of a meeting."""
     lines = A.utterances(spark, sf_dir)
-    return lines.groupBy("meeting_id", "speaker").agg(F.min_by(F.struct("utt_idx", "text"), F.struct("start_s", "utt_idx")).alias("l")).select("meeting_id", "speaker", "l.utt_idx", F.substring("l.text", 1, 60).alias("text"))
+    return lines.groupBy("meeting_id", "speaker").agg(F.min_by(F.struct("utt_idx", "text"), F.struct("start_s", "utt_idx")).alias("l")).select("meeting_id", "speaker", "l.utt_idx", "l.text")
 
 
-FIRST_LINE = f"WITH {A.UTT} SELECT meeting_id, speaker, arg_min(utt_idx, row(start_s, utt_idx)) AS utt_idx, substring(arg_min(text, row(start_s, utt_idx)), 1, 60) AS text FROM utt GROUP BY ALL"
+FIRST_LINE = f"WITH {A.UTT} SELECT meeting_id, speaker, arg_min(utt_idx, row(start_s, utt_idx)) AS utt_idx, arg_min(text, row(start_s, utt_idx)) AS text FROM utt GROUP BY ALL"
 
 
 def picker_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -458,7 +454,6 @@ QUERIES = {
     "sparse_lines": (sparse_lines, SPARSE),
     "voice_known": (voice_known, KNOWN),
     "voice_leave_one_out": (voice_leave_one_out, LEAVE),
-    "exemplar_sync": (exemplar_sync, None),
     "first_line": (first_line, FIRST_LINE),
     "picker_sections": (picker_sections, PICKER),
     "same_contact": (same_contact, SAME),

@@ -20,18 +20,18 @@ from meetlake.sources.settled import fresh_path
 
 
 def passage_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as passages: every third line is a note, too; assistants' lines stand with their name; half of the meetings have titles."""
+    """Conversations as passages: every third line is a note, too, every ninth of them nothing but a short word; assistants' lines stand with their name; half of the meetings have titles."""
     lines = A.utterances(spark, sf_dir)
     shown = lines.withColumn("text", X.chunk_line(F.col("text"), F.when(F.col("speaker") == 2, "Assistant")))
     chunks = P.span_texts(P.chunks(Q.counted(spark, sf_dir)), shown)
-    notes = lines.where("utt_idx % 3 = 0").select("meeting_id", F.col("utt_idx").alias("note_idx"), F.substring("text", F.lit(1), (F.col("meeting_id") % 12).cast("int")).alias("text"))
+    notes = lines.where("utt_idx % 3 = 0").select("meeting_id", F.col("utt_idx").alias("note_idx"), F.when(F.col("utt_idx") % 9 == 0, "noted").otherwise(F.col("text")).alias("text"))
     title = F.when(F.col("meeting_id") % 2 == 0, F.concat(F.lit("Meeting "), F.col("meeting_id").cast("string"))).otherwise(" ")
     meetings = lines.where("utt_idx = 0").select("meeting_id", title.alias("title"), F.concat(F.lit("\n "), "text", F.lit("\nmore")).alias("summary"))
     return P.units(notes, chunks, meetings)
 
 
 UNITS = f"""WITH RECURSIVE {Q.CHUNKS}, l AS (SELECT *, CASE speaker WHEN 2 THEN 'Assistant: ' || text ELSE text END AS line FROM utt),
-u AS (SELECT meeting_id, 'note' AS kind, utt_idx AS a, utt_idx AS b, substring(text, 1, CAST(meeting_id % 12 AS INT)) AS text FROM utt WHERE utt_idx % 3 = 0 AND length(substring(text, 1, CAST(meeting_id % 12 AS INT))) >= 6
+u AS (SELECT meeting_id, 'note' AS kind, utt_idx AS a, utt_idx AS b, text FROM utt WHERE utt_idx % 3 = 0 AND utt_idx % 9 <> 0 AND length(text) >= 6
   UNION ALL SELECT ch.meeting_id, 'chunk', ch.i, ch.b, string_agg(line, ' ' ORDER BY utt_idx) FROM ch JOIN l ON l.meeting_id = ch.meeting_id AND l.utt_idx BETWEEN ch.i AND ch.b GROUP BY ch.meeting_id, ch.chunk, ch.i, ch.b
   UNION ALL SELECT meeting_id, 'meeting', -1, -1, CASE meeting_id % 2 WHEN 0 THEN 'Meeting ' || meeting_id ELSE trim(split_part(ltrim(chr(10) || ' ' || text, chr(10) || ' '), chr(10), 1)) END FROM utt WHERE utt_idx = 0)
 SELECT meeting_id, kind, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, substring(text, 1, 200) AS text FROM u"""
@@ -73,7 +73,7 @@ def page_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 PAGES = r"""WITH b AS (SELECT *, list_transform(range(octet_length(encode(url))), lambda i: CAST('0x' || substring(hex(encode(url)), CAST(2 * i + 1 AS INT), 2) AS HUGEINT)) AS bytes FROM pages),
 k AS (SELECT *, list_reduce(list_prepend(14695981039346656037::HUGEINT, bytes), lambda h, x: xor(h, x) * 1099511628211 % 18446744073709551616::HUGEINT) AS h FROM b)
 SELECT page_id, printf('%016X', CAST(h AS UBIGINT)) AS key, 'mp3' AS extension, regexp_replace(url, '[/\\:*?"<>|\x00-\x1f]+', '-', 'g') AS name,
-sha256(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS escaped, sha256(trim(regexp_replace(html, '[\s\x0B]*\n[\s\x0B]*', chr(10), 'g'))) AS cue,
+sha256(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS escaped, sha256(regexp_replace(regexp_replace(html, '\n[\s\x0B]*\n+', chr(10), 'g'), '^[\s\x0B]+|[\s\x0B]+$', '', 'g')) AS cue,
 CASE WHEN page_id * 37 >= 3600 THEN printf('%d:%02d:%02d', page_id * 37 // 3600, page_id * 37 % 3600 // 60, page_id * 37 % 60) ELSE printf('%d:%02d', page_id * 37 // 60, page_id * 37 % 60) END AS duration FROM k"""
 
 
@@ -89,16 +89,16 @@ EMAILS = """SELECT c_custkey, 'c' || c_custkey || '@mail' || c_nationkey || '.or
 
 
 def answer_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First words of benchmark texts as questions on a Chinese interface, every third in Han script, cut to few and many words."""
-    rows = A.table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(F.split("text", " "), F.lit(1), F.col("item_id").cast("int") % 6 + 1), " ").alias("q"))
-    rows = rows.withColumn("q", F.when(F.col("item_id") % 3 == 0, F.translate(F.lower("q"), "abcdefghijklmnopqrstuvwxyz", HAN)).otherwise(F.col("q")))
+    """Benchmark texts as questions on a Chinese interface, every third in Han script, every third half in it."""
+    rows = A.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("q"))
+    half = F.translate("q", "abcdefghijklm", HAN[:13])
+    rows = rows.withColumn("q", F.when(F.col("item_id") % 3 == 0, F.translate(F.lower("q"), "abcdefghijklmnopqrstuvwxyz", HAN)).when(F.col("item_id") % 3 == 1, half).otherwise(F.col("q")))
     key = X.answer_language(X.count(F.col("q"), f"[{X.LANGUAGE_CJK}]"), X.count(F.col("q"), "[A-Za-z]{2,}"), "zh-Hans")
     return rows.select("item_id", key.alias("language"), F.concat("q", F.when(key != "zh-Hans", F.concat(F.lit(" Answer in "), key)).otherwise("")).alias("asked"))
 
 
 HAN = "".join(chr(0x4E00 + 37 * k) for k in range(26))
-ANSWER = f"""WITH r AS (SELECT item_id, array_to_string(string_split(text, ' ')[1:CAST(item_id % 6 + 1 AS INT)], ' ') AS q FROM benchmark),
-h AS (SELECT item_id, CASE item_id % 3 WHEN 0 THEN translate(lower(q), 'abcdefghijklmnopqrstuvwxyz', '{HAN}') ELSE q END AS q FROM r),
+ANSWER = f"""WITH h AS (SELECT item_id, CASE item_id % 3 WHEN 0 THEN translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', '{HAN}') WHEN 1 THEN translate(text, 'abcdefghijklm', '{HAN[:13]}') ELSE text END AS q FROM benchmark),
 c AS (SELECT *, len(regexp_extract_all(q, '[\\x{{3400}}-\\x{{4DBF}}\\x{{4E00}}-\\x{{9FFF}}]')) AS n, len(regexp_extract_all(q, '[A-Za-z]{{2,}}')) AS w FROM h),
 k AS (SELECT *, CASE WHEN n + w >= 4 AND w > n THEN 'en' ELSE 'zh-Hans' END AS language FROM c)
 SELECT item_id, language, q || CASE language WHEN 'en' THEN ' Answer in en' ELSE '' END AS asked FROM k"""

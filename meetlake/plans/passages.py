@@ -96,7 +96,7 @@ def lrc_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LRC = f"""WITH {A.UTT}, c AS (SELECT *, CAST(floor(start_s * 100) AS BIGINT) AS cs, trim(replace(text, chr(10), ' ')) AS x FROM utt)
-SELECT meeting_id, string_agg(printf('[%02d:%02d.%02d]', cs // 6000, cs // 100 % 60, cs % 100) || {NAME} || ': ' || x, chr(10) ORDER BY utt_idx) AS lyrics FROM c WHERE x <> '' GROUP BY ALL"""
+SELECT meeting_id, string_agg(printf('[%02d:%02d.%02d]', cs // 6000, cs // 100 % 60, cs % 100) || {NAME} || ': ' || x || chr(10), '' ORDER BY utt_idx) AS lyrics FROM c WHERE x <> '' GROUP BY ALL"""
 
 
 def srt_export(spark: SparkSession, sf_dir: str) -> DataFrame:

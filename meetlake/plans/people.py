@@ -155,18 +155,6 @@ EMAILS = """WITH a AS (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN c_name |
 SELECT c_custkey, address, c_custkey % 5 IN (0, 4) AS valid, CASE WHEN c_custkey % 5 IN (0, 4) THEN split_part(address, '@', 1) || '@' || lower(split_part(address, '@', 2)) END AS key FROM a"""
 
 
-def directory_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as edits of customers: renamed, voice on and off, deleted; the last of each kind counts."""
-    edits = A.table(spark, sf_dir, "events").select(F.col("user_id").alias("person_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("kind"), F.col("props").alias("value"))
-    people = A.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("person_id"), F.col("c_name").alias("name"))
-    return L.edited(people, edits.withColumn("kind", F.when(F.col("kind") == "click", "rename").when(F.col("kind") == "view", "voice_on").when(F.col("kind") == "purchase", "voice_off").when((F.col("kind") == "error") & (F.col("seq") % 50 == 0), "delete")).where("kind is not null"))
-
-
-EDITS = """WITH e AS (SELECT user_id AS id, event_id AS seq, CASE WHEN event_type = 'click' THEN 'rename' WHEN event_type = 'view' THEN 'voice_on' WHEN event_type = 'purchase' THEN 'voice_off' WHEN event_type = 'error' AND event_id % 50 = 0 THEN 'delete' END AS kind, props FROM events),
-f AS (SELECT id, arg_max(props, seq) FILTER (WHERE kind = 'rename') AS name, arg_max(kind, seq) FILTER (WHERE kind IN ('voice_on', 'voice_off')) AS voice, bool_or(kind = 'delete') AS gone FROM e WHERE kind IS NOT NULL GROUP BY ALL)
-SELECT c_custkey AS person_id, coalesce(f.name, c_name) AS name, coalesce(f.voice = 'voice_on', true) AS voice_enabled FROM customer LEFT JOIN f ON f.id = c_custkey WHERE NOT coalesce(f.gone, false)"""
-
-
 def library_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.days(A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("meeting_id"), F.col("o_orderdate").alias("date"), (F.col("o_orderstatus") == "F").alias("done"))).withColumn("day", F.col("day").cast("string"))
 
@@ -224,7 +212,6 @@ QUERIES = {
     "person_merge": (person_merge, MERGE),
     "meetings_by_person": (meetings_by_person, BY_PERSON),
     "email_rules": (email_rules, EMAILS),
-    "directory_edits": (directory_edits, EDITS),
     "library_days": (library_days, DAYS),
     "no_speech": (no_speech, SPEECH),
     "finalise": (finalise, FINALISE),

@@ -6,11 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meetlake.plans import edits, library, notes, passages, people, retrieval, streaming, timeline
+from meetlake.plans import directory, edits, library, notes, passages, people, retrieval, streaming, timeline
 
 FLAGSHIP = "hybrid_rrf_top3"
 
-_ALL = {name: both for part in (retrieval, timeline, passages, notes, people, streaming, edits, library) for name, both in part.QUERIES.items()}
+PARTS = (retrieval, timeline, passages, notes, people, streaming, edits, library, directory)
+
+
+def registered(parts=PARTS) -> dict:
+    """The queries of all parts; a name that two of them have is an error."""
+    found: dict = {}
+    for part in parts:
+        if twice := found.keys() & part.QUERIES.keys():
+            raise ValueError(f"registered twice: {sorted(twice)}")
+        found |= part.QUERIES
+    return found
+
+
+_ALL = registered()
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: query for name, (query, _) in _ALL.items()}
 

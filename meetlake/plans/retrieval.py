@@ -14,8 +14,9 @@ def folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.table(spark, sf_dir, "documents").select("doc_id", X.fold(F.col("text")).alias("text"))
 
 
-def keyword_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.bm25(folded(spark, sf_dir), A.queries(spark, sf_dir))
+def keyword_hits(spark: SparkSession, sf_dir: str, best: int | None = None, per: str | None = None) -> DataFrame:
+    """Documents by words, in twenty meetings; with ``best`` only what can be among so many of a question, or of a question and ``per``."""
+    return R.bm25(folded(spark, sf_dir).withColumn("meeting_id", F.col("doc_id") % 20), A.queries(spark, sf_dir), best=best, per=per)
 
 
 def dense_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +36,7 @@ dn AS (SELECT qv.query_id, v.vec_id, v.meeting_id, v.person, round(list_dot_prod
 
 
 def bm25_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = R.top(keyword_hits(spark, sf_dir), ["query_id"], [F.desc(F.round("score", 6)), "doc_id"], 10)
+    hits = R.top(keyword_hits(spark, sf_dir, 10), ["query_id"], [F.desc(F.round("score", 6)), "doc_id"], 10)
     return hits.select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
@@ -54,7 +55,7 @@ SELECT query_id, meeting_id, rank, vec_id, round(cosine, 6) AS cosine FROM r WHE
 
 def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, score and the lists of each query's hits: the best 16 of both lists, fused."""
-    words = R.top(keyword_hits(spark, sf_dir), ["query_id"], [F.desc(F.round("score", 6)), "doc_id"], 16)
+    words = R.top(keyword_hits(spark, sf_dir, 16), ["query_id"], [F.desc(F.round("score", 6)), "doc_id"], 16)
     near = R.top(dense_hits(spark, sf_dir).withColumnRenamed("vec_id", "doc_id"), ["query_id"], [F.desc("cosine"), "doc_id"], 16)
     return R.fused([(near, 1.0), (words, 1.0)], ["query_id", "doc_id"])
 
@@ -86,22 +87,24 @@ def library_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Meetings by their best fused passage, the lexical list weighing 0.3, plus a little for the number of their passages. Every fourth
     passage stands for its whole meeting."""
     kind = F.when(F.col("passage") % 4 == 0, "meeting").otherwise("chunk")
-    words = keyword_hits(spark, sf_dir).select("query_id", (F.col("doc_id") % 20).alias("meeting_id"), F.col("doc_id").alias("passage"), F.round("score", 6).alias("score")).withColumn("kind", kind)
+    words = keyword_hits(spark, sf_dir, 3, "meeting_id").select("query_id", "meeting_id", F.col("doc_id").alias("passage"), F.round("score", 6).alias("score")).withColumn("kind", kind)
     near = dense_hits(spark, sf_dir).select("query_id", "meeting_id", F.col("vec_id").alias("passage"), F.col("cosine").alias("score")).withColumn("kind", kind)
     return R.fused_library(near, words).select("query_id", "meeting_id", "passages", F.round("score", 6).alias("score"))
 
 
 LIBRARY_RRF = f"""WITH {BM25}, {A.VECTORS}, {DENSE},
 kb AS (SELECT *, doc_id % 20 AS meeting_id, CASE doc_id % 4 WHEN 0 THEN 'meeting' ELSE 'chunk' END AS kind FROM bm),
-k1 AS (SELECT *, row_number() OVER (PARTITION BY query_id, meeting_id ORDER BY round(score, 6) DESC, kind, doc_id) AS r1 FROM kb),
-kw AS (SELECT query_id, meeting_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, kind, doc_id) AS rank FROM k1 WHERE r1 <= 3),
+k1 AS (SELECT *, row_number() OVER (PARTITION BY query_id, meeting_id ORDER BY round(score, 6) DESC, kind, doc_id) AS r1, max(round(score, 6)) OVER (PARTITION BY query_id, meeting_id) AS lead_ FROM kb),
+kw AS (SELECT query_id, meeting_id, doc_id, lead_, row_number() OVER (PARTITION BY query_id ORDER BY lead_ DESC, meeting_id, r1) AS rank FROM k1 WHERE r1 <= 3),
 db AS (SELECT *, CASE vec_id % 4 WHEN 0 THEN 'meeting' ELSE 'chunk' END AS kind FROM dn),
 d0 AS (SELECT *, row_number() OVER (PARTITION BY query_id, meeting_id, kind ORDER BY cosine DESC, vec_id) AS r0 FROM db),
-d1 AS (SELECT *, row_number() OVER (PARTITION BY query_id, meeting_id ORDER BY cosine DESC, kind, vec_id) AS r1 FROM d0 WHERE kind = 'chunk' OR r0 = 1),
-dr AS (SELECT query_id, meeting_id, vec_id AS doc_id, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, kind, vec_id) AS rank FROM d1 WHERE r1 <= 3),
+d1 AS (SELECT *, row_number() OVER (PARTITION BY query_id, meeting_id ORDER BY cosine DESC, kind, vec_id) AS r1, max(cosine) OVER (PARTITION BY query_id, meeting_id) AS lead_ FROM d0 WHERE kind = 'chunk' OR r0 = 1),
+dr AS (SELECT query_id, meeting_id, vec_id AS doc_id, row_number() OVER (PARTITION BY query_id ORDER BY lead_ DESC, meeting_id, r1) AS rank FROM d1 WHERE r1 <= 3),
 fu AS (SELECT query_id, meeting_id, doc_id, sum(w) AS score FROM (
-  SELECT query_id, meeting_id, doc_id, 1.0::DOUBLE / (60 + rank - 1) AS w FROM dr UNION ALL SELECT query_id, meeting_id, doc_id, 0.3::DOUBLE / (60 + rank - 1) FROM kw) GROUP BY ALL)
-SELECT query_id, meeting_id, count(*) AS passages, round(max(score) + 0.1 * ln(count(*)), 6) AS score FROM fu GROUP BY ALL"""
+  SELECT query_id, meeting_id, doc_id, 1.0::DOUBLE / (60 + rank - 1) AS w FROM dr
+  UNION ALL SELECT query_id, meeting_id, doc_id, 0.3::DOUBLE / (60 + rank - 1) FROM kw WHERE query_id IN (SELECT query_id FROM dr)) GROUP BY ALL)
+SELECT query_id, meeting_id, count(*) AS passages, round(max(score) + 0.1 * ln(count(*)), 6) AS score FROM fu GROUP BY ALL
+UNION ALL SELECT query_id, meeting_id, count(*), max(lead_) FROM kw WHERE query_id NOT IN (SELECT query_id FROM dr) GROUP BY ALL"""
 
 
 def lexical_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,20 +131,20 @@ def bm25_han(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The search in Han script: every Latin letter of documents and benchmark texts stands for a character."""
     han = lambda c: F.translate(F.lower(c), "abcdefghijklmnopqrstuvwxyz", HAN)
     docs = A.table(spark, sf_dir, "documents").select("doc_id", han("text").alias("text"))
-    asked = A.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), han(F.split_part("text", F.lit(" "), F.lit(2))).alias("query"))
-    hits = R.top(R.bm25(docs, asked), ["query_id"], [F.desc(F.round("score", 6)), "doc_id"], 10)
+    asked = A.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), han("text").alias("query"))
+    hits = R.top(R.bm25(docs, asked, best=10), ["query_id"], [F.desc(F.round("score", 6)), "doc_id"], 10)
     return hits.select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
 _HAN_TERMS = rf"""flatten(list_transform(regexp_extract_all(x, '[\x{{4E00}}-\x{{9FFF}}]+|[^\P{{L}}\x{{4E00}}-\x{{9FFF}}]+|\p{{N}}+'), lambda w: CASE WHEN regexp_matches(w, '^[\x{{4E00}}-\x{{9FFF}}]') AND length(w) > 1 THEN list_transform(range(1, length(w)), lambda i: w[i:i+1]) ELSE [w] END))"""
 BM25_HAN = rf"""WITH dx AS (SELECT doc_id, translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', '{HAN}') AS x FROM documents), d AS (SELECT doc_id, {_HAN_TERMS} AS ts FROM dx),
-qx AS (SELECT item_id AS query_id, translate(lower(split_part(text, ' ', 2)), 'abcdefghijklmnopqrstuvwxyz', '{HAN}') AS x FROM benchmark), q AS (SELECT DISTINCT query_id, unnest({_HAN_TERMS}) AS term FROM qx),
+qx AS (SELECT item_id AS query_id, translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', '{HAN}') AS x FROM benchmark), q AS (SELECT DISTINCT query_id, unnest({_HAN_TERMS}) AS term FROM qx),
 {BM25[BM25.index("size AS"):]}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM bm)
 SELECT query_id, rank, doc_id, round(score, 6) AS score FROM r WHERE rank <= 10"""
 
 
 def meeting_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = keyword_hits(spark, sf_dir).select("query_id", (F.col("doc_id") % 20).alias("meeting_id"), F.round("score", 6).alias("score"))
+    words = keyword_hits(spark, sf_dir, 3, "meeting_id").select("query_id", "meeting_id", F.round("score", 6).alias("score"))
     near = dense_hits(spark, sf_dir).select("query_id", "meeting_id", F.col("cosine").alias("score"))
     return R.routed(near, words).select("query_id", "rank", "meeting_id", F.round("score", 6).alias("score"))
 

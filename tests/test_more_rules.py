@@ -188,7 +188,7 @@ def test_whole_exports(spark):
     assert plain == {"m": "T\n\nS\n\nAction items\n- do it [0:01]\n\n#1 [0:01] (ACTION) do it\n#2 [0:09] later\n\n[00:01] Ann: hi", "n": "\n\n[00:02] Bo: ho", "o": "\n\n"}
     assert marked["m"] == "# T\n\n## Summary\n\nS\n\n## Action items\n\n- do it [0:01]\n\n## Agent\n\n- #1 [0:01] (ACTION) do it\n- #2 [0:09] later\n\n## Transcript\n\n- `00:01` **Ann** hi\n"
     assert marked["o"] == "# Transcript\n\n## Transcript\n\n\n"
-    assert {r.meeting_id: r.lyrics for r in D.lyrics(lines, heads).collect()} == {"m": "[ti:T]\n[00:01.00]Ann: hi", "n": "[00:02.00]Bo: ho"}
+    assert {r.meeting_id: r.lyrics for r in D.lyrics(lines, heads).collect()} == {"m": "[ti:T]\n[00:01.00]Ann: hi\n", "n": "[00:02.00]Bo: ho\n"}
 
 
 def test_near_copies(spark):

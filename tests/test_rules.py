@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meetlake.functions import text as X
+from meetlake.operators import directory
 from meetlake.operators import library as L
 from meetlake.operators import notes as N
 from meetlake.operators import passages as P
@@ -186,19 +187,29 @@ def test_voices_and_suggestions(spark):
 
 
 def test_cues_are_cut_and_timed(spark):
-    lines = spark.createDataFrame([("m", 0, 0.0, 10.0, "A", "One. two")], "meeting_id string, utt_idx int, start_s double, end_s double, name string, text string")
-    found = D.cues(lines).orderBy("cue").collect()
-    assert [(r.text, r.start_s, r.end_s) for r in found] == [("One.", 0.0, 5.0), ("two", 5.0, 10.0)]
-    long = spark.createDataFrame([("m", 0, 0.0, 10.0, "A", "word " * 30)], lines.schema)
-    assert max(len(r.text) for r in D.cues(long).collect()) <= 64
-    text = D.subtitles(D.cues(lines)).first().subtitles
-    assert text.startswith("1\n00:00:00,000 --> 00:00:05,000\nA: One.\n\n2\n")
+    kinds = "meeting_id string, utt_idx int, start_s double, end_s double, name string, text string"
+    cut = lambda text, end=10.0: [(r.text, r.start_s, r.end_s) for r in D.cues(spark.createDataFrame([("m", 0, 0.0, end, "A", text)], kinds)).orderBy("cue").collect()]
+    assert cut("Yes. I agree.") == [("Yes. I agree.", 0.0, 10.0)]  # fits as it is
+    assert cut("\n \n one\n \n two \n") == [("one\n two", 0.0, 10.0)]
+    assert cut(" \n ") == [] and cut("x", 0.0) == [("x", 0.0, 1.0)]
+    assert cut("Short one. " + "w" * 60 + ".", 71.0) == [("Short one.", 0.0, 10.0), ("w" * 60 + ".", 10.0, 71.0)]  # trimmed before time is shared
+    spoken = "the whole board objected to postponing the remaining decisions until the spring of the year after"
+    assert [x for x, _, _ in cut(spoken)] == ["the whole board objected to postponing the remaining decisions", "until the spring of the year after"]
+    assert [x for x, _, _ in cut("字" * 40)] == ["字" * 32, "字" * 8]
+    assert [x for x, _, _ in cut("字" * 15 + "，" + "字" * 20)] == ["字" * 15 + "，", "字" * 20]
+    assert [x for x, _, _ in cut("字" * 14 + "，" + "字" * 20)] == ["字" * 14 + "，" + "字" * 17, "字" * 3]
+    lines = spark.createDataFrame([("m", 0, 0.0, 10.0, "A", "One. two")], kinds)
+    assert D.subtitles(D.cues(lines)).first().subtitles == "1\n00:00:00,000 --> 00:00:10,000\nA: One. two\n"
 
 
 def test_library_edits(spark):
-    people = spark.createDataFrame([(1, "A"), (2, "B"), (3, "C")], "person_id int, name string")
-    edits = spark.createDataFrame([(1, 1, "rename", "X"), (1, 2, "rename", "Y"), (2, 3, "voice_off", None), (3, 4, "delete", None)], "person_id int, seq int, kind string, value string")
-    assert {(r.person_id, r.name, r.voice_enabled) for r in L.edited(people, edits).collect()} == {(1, "Y", True), (2, "B", False)}
+    people = spark.createDataFrame([(k, k.upper(), None, ["Y"], 1, 1, True, False, [], None) for k in "abc"], directory.PEOPLE)
+    rows = [("a", 1, "rename", "X"), ("a", 2, "rename", " Y "), ("b", 3, "voice_off", None), ("c", 4, "delete", None), ("c", 5, "create", "again"), ("d", 6, "rename", "too early"), ("d", 7, "create", "D"), ("d", 8, "me", None), ("b", 9, "email_add", " b@X.org "), ("b", 10, "email_add", "b@x.ORG"), ("b", 11, "email_add", "nobody")]
+    edits = spark.createDataFrame([(p, n, n, k, v, False, None) for p, n, k, v in rows], directory.EDITS)
+    found = {r.person_id: r for r in directory.directory_after(people, edits).collect()}
+    assert {(r.person_id, r.name, r.voice_enabled, r.me, tuple(r.aliases)) for r in found.values()} == {("a", "Y", True, False, ()), ("b", "B", False, False, ("Y",)), ("d", "D", True, True, ())}
+    assert [(e.address, e["from"]) for e in found["b"].emails] == [("b@X.org", "user")] and found["d"].created == 7
+    assert {r.name for r in directory.directory_after(people, edits.where("false")).collect()} == set("ABC") and directory.directory_after(people.where("false"), edits).count() == 2  # "c" is new here
     gone = spark.createDataFrame([(1,)], "meeting_id int")
     audio = spark.createDataFrame([(1, "x"), (1, "y"), (2, "y")], "meeting_id int, audio string")
     assert [r.audio for r in L.kept_audio(gone, audio).collect()] == ["x"]
