@@ -183,6 +183,53 @@ def snapped(cites: DataFrame, known: DataFrame, within: int = 30) -> DataFrame:
     return cites.join(best, ["meeting_id", "cite_id"], "left")
 
 
+# The form of a time stamp's bracket, and what stands between its items.
+STAMP = r"(?<!\[)\[(?:[0-9:：\t\n\f\r\p{Z},，、;；\-–~～]*\p{Nd}[0-9:：\t\n\f\r\p{Z},，、;；\-–~～]*)\](?!\])"
+BETWEEN = r"[\t\n\f\r\p{Z},，、;；\-–~～]+"
+
+
+def spans_of(item: Column) -> Column:
+    """The ranges of seconds that a cited item can mean: m:ss or h:mm:ss one second; m:s that second, or a cut-off m:s0 to m:s9 where that is a
+    time. Null for a bare number or nonsense."""
+    kind = "array<struct<low:int,high:int>>"
+    span = lambda low, high: F.struct(low.cast("int").alias("low"), high.cast("int").alias("high"))
+    n = lambda k: F.get(F.split(item, ":"), F.lit(k)).try_cast("int")
+    whole, short = n(0) * 60 + n(1), n(0) * 60 + n(1) * 10
+    return (
+        F.when(item.rlike(r"^[0-9]{1,3}:[0-5][0-9]$"), F.array(span(whole, whole)))
+        .when(item.rlike(r"^[0-9]{1,3}:[0-5]$"), F.array(span(whole, whole), span(short, short + 9)))
+        .when(item.rlike(r"^[0-9]{1,3}:[6-9]$"), F.array(span(whole, whole)))
+        .when(item.rlike(r"^[0-9]{1,3}:[0-5][0-9]:[0-5][0-9]$"), F.array(span(n(0) * 3600 + n(1) * 60 + n(2), n(0) * 3600 + n(1) * 60 + n(2))))
+        .otherwise(F.lit(None).cast(kind))
+    )
+
+
+def repaired(texts: DataFrame, known: DataFrame, within: int = 30) -> DataFrame:
+    """texts (meeting_id, text_id, text and others) with ``repaired``: each time stamp tag is checked against the meeting's times. A tag may hold a list or
+    a range; each item becomes the closest known time (the earliest of equals) if that is within ``within`` seconds of what the item can mean,
+    else it goes; a time stands once in a tag. Other brackets, and tags in double brackets, stay. known: meeting_id, ts, pos (of several
+    spellings of a time the first counts). text_id is unique.
+
+    Texts are cut at their tags; only items travel. They meet the known times in buckets of ``within`` seconds.
+    """
+    cut = texts.withColumn("_tags", F.regexp_extract_all("text", F.lit(STAMP), F.lit(0)))
+    tags = cut.where(F.size("_tags") > 0).select("meeting_id", "text_id", F.posexplode("_tags").alias("tag", "_inner"))
+    listed = F.split(F.translate(F.regexp_replace("_inner", r"^\[|\]$", ""), "：", ":"), BETWEEN)
+    items = tags.select("meeting_id", "text_id", "tag", F.posexplode(listed).alias("item", "_item")).withColumn("_spans", spans_of(F.col("_item"))).where("_spans is not null").drop("_item")
+    number = lambda k: F.get(F.split("ts", ":"), F.lit(k)).try_cast("int")
+    second = F.when(F.col("ts").rlike(r"^-?\d+:-?\d+$"), number(0) * 60 + number(1)).when(F.col("ts").rlike(r"^-?\d+:-?\d+:-?\d+$"), number(0) * 3600 + number(1) * 60 + number(2))
+    times = known.withColumn("k", second).where("k is not null").groupBy("meeting_id", "k").agg(F.min_by("ts", "pos").alias("ts")).withColumn("_b", F.floor(F.col("k") / within))
+    spread = F.flatten(F.transform("_spans", lambda s: F.sequence(F.floor((s["low"] - within) / within), F.floor((s["high"] + within) / within))))
+    asked = items.withColumn("_b", F.explode(F.array_distinct(spread)))
+    far = F.array_min(F.transform("_spans", lambda s: F.when(F.col("k").between(s["low"], s["high"]), 0).otherwise(F.least(F.abs(F.col("k") - s["low"]), F.abs(F.col("k") - s["high"])))))
+    near = asked.join(times, ["meeting_id", "_b"]).withColumn("_far", far).where(F.col("_far") <= within)
+    best = near.groupBy("meeting_id", "text_id", "tag", "item").agg(F.min_by("ts", F.struct("_far", "k")).alias("ts"))
+    shown = F.array_join(F.transform(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("item", "ts"))), lambda x: x["ts"])), lambda t: F.concat(F.lit("["), t, F.lit("]"))), " ")
+    made = best.groupBy("meeting_id", "text_id", "tag").agg(shown.alias("_shown")).groupBy("meeting_id", "text_id").agg(F.map_from_entries(F.collect_list(F.struct("tag", "_shown"))).alias("_made"))
+    pieces = F.transform(F.split("text", STAMP, -1), lambda p, i: F.concat(p, F.coalesce(F.try_element_at("_made", i), F.lit(""))))
+    return cut.join(made, ["meeting_id", "text_id"], "left").withColumn("repaired", F.when(F.size("_tags") > 0, F.array_join(pieces, "")).otherwise(F.col("text"))).drop("_tags", "_made")
+
+
 def language(lines: DataFrame, least: int = 20) -> DataFrame:
     """zh or en by each meeting's CJK characters and Latin words of two letters and more; null where there are too few of both."""
     counts = lines.groupBy("meeting_id").agg(F.sum(X.count(F.col("text"), f"[{X.LANGUAGE_CJK}]")).alias("characters"), F.sum(X.count(F.col("text"), "[A-Za-z]{2,}")).alias("words"))

@@ -106,8 +106,9 @@ def dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def dense(passages: DataFrame, queries: DataFrame, floor: float = 0.45, block: int = 2_000) -> DataFrame:
-    """query_id, passages' columns without the vector, and cosine (to nine places), of all passages at or above the floor. Vectors of length one.
+def dense(passages: DataFrame, queries: DataFrame, floor: float = 0.45, block: int = 2_000, scale: float = 1.0) -> DataFrame:
+    """query_id, passages' columns without the vector, and cosine (to nine places), of all passages at or above the floor. Vectors of length one; products
+    are divided by ``scale``.
 
     A stated set of queries against all passages, in blocks: both sides are packed in rows of about ``block`` vectors, each two blocks meet in
     one row, and its products are one matrix product. Only what reaches the floor leaves a task.
@@ -130,7 +131,7 @@ def dense(passages: DataFrame, queries: DataFrame, floor: float = 0.45, block: i
         for batch in batches:
             for k in range(batch.num_rows):
                 rows, asked = (batch.column(x).slice(k, 1).flatten() for x in ("passages", "queries"))
-                cosine = np.round(vectors(rows) @ vectors(asked).T, 9)
+                cosine = np.round(vectors(rows) @ vectors(asked).T / scale, 9)
                 i, j = np.nonzero(cosine >= floor)
                 own = [rows.field(c).take(pa.array(i)) for c in fields]
                 yield pa.RecordBatch.from_arrays([*own, asked.field("query_id").take(pa.array(j)), pa.array(cosine[i, j])], names=found.names)
@@ -143,6 +144,12 @@ def quantised(vector: Column) -> Column:
     return F.transform(vector, lambda x: F.round(F.greatest(F.lit(-127.0), F.least(F.lit(127.0), x.cast("double") * 127))).cast("tinyint"))
 
 
+def quantised_hits(passages: DataFrame, queries: DataFrame, floor: float = 0.45, block: int = 2_000) -> DataFrame:
+    """dense() over codes of eight bits: the cosine is the sum of code times query entry, over 127. passages: ``codes`` in place of ``vector``. The
+    codes stay eight bits wide until they are multiplied."""
+    return dense(passages.withColumnRenamed("codes", "vector"), queries, floor, block, 127.0)
+
+
 def top(rows: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
     """The first k rows of each key, with ``rank`` from 1."""
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meetlake.plans import directory, edits, library, notes, passages, people, retrieval, streaming, timeline
+from meetlake.plans import directory, edits, index, library, notes, passages, people, retrieval, streaming, timeline
 
 FLAGSHIP = "hybrid_rrf_top3"
 
-PARTS = (retrieval, timeline, passages, notes, people, streaming, edits, library, directory)
+PARTS = (retrieval, timeline, passages, notes, people, streaming, edits, library, directory, index)
 
 
 def registered(parts=PARTS) -> dict:
