@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +19,10 @@ WIDE = r"\x{2E80}-\x{9FFF}\x{AC00}-\x{D7A3}\x{F900}-\x{FAFF}\x{FF00}-\x{FF60}"
 SENTENCE_ENDS = "。？！?!"
 
 
+_SIGNS = re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m[1], 16)), TOKEN_CJK)
+CJK_SIGNS, OTHER_WORDS = regex.compile(f"[{_SIGNS}]"), regex.compile(rf"(?V1)[[\p{{Alphabetic}}\p{{N}}]--[{_SIGNS}]]+")
+
+
 def count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
@@ -91,6 +97,12 @@ def token_estimate(text: Column) -> Column:
     return count(text, f"[{TOKEN_CJK}]") + F.floor((words * 4 + 2) / 3).cast("int")
 
 
+def estimated(text: str) -> int:
+    """token_estimate() of a string."""
+    cjk = len(CJK_SIGNS.findall(text))
+    return cjk + (len(OTHER_WORDS.findall(text)) * 4 + 2) // 3
+
+
 def width(text: Column) -> Column:
     """Cells on a display: two for wide characters."""
     return F.char_length(text) + count(text, f"[{WIDE}]")

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meetlake.functions import text as X
+from meetlake.sources.readers import note_journal, sectioned_notes
+from meetlake.sources.settled import settle
 
+# A speaker's short form in a text, and the Chinese characters that it stands beside.
 REF = r"(?<![A-Za-z0-9_])S(\d{1,2})(?![A-Za-z0-9_])"
 HAN = r"\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}"
 
@@ -112,3 +117,32 @@ def from_manifest(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame
     lines = each.select("meeting_id", F.coalesce("u.index", "p").alias("utt_idx"), "u.speaker", F.col("u.start").alias("start_s"), F.col("u.end").alias("end_s"), "u.text")
     links = rows.select("meeting_id", F.explode("m.speaker_names").alias("k", "v")).select("meeting_id", F.col("k").try_cast("int").alias("speaker"), "v.name", F.col("v.person").alias("person_id")).where("speaker is not null")
     return meetings, lines, links
+
+
+IMPORTED = "title string, summary string, notes string, action_items string, llm_model string, speaker_names map<string,struct<name:string,person:string>>, utterances array<struct<index:int,start:double,end:double,text:string,speaker:int>>"
+
+
+def imported(documents: DataFrame, derive: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Meetings, lines, links and notes of interchange documents (meeting_id, manifest); unreadable ones are dropped, missing fields default.
+
+    meetings: meeting_id, title, summary, seconds (the last line's end), reader, legacy_notes, actions_edited. Notes in the journal's form become notes;
+    where there are none, a text of sections is kept as it is. Action items are kept as the user's only if they aren't empty, "-", or what
+    ``derive`` (notes to meeting_id, actions) makes of the notes. Links are of speakers with a name.
+    """
+    rows = settle(documents.select("meeting_id", F.from_json("manifest", IMPORTED).alias("m")).where("m is not null and coalesce(m.title, m.summary, m.notes, m.action_items, to_json(m.utterances)) is not null"), "manifests")
+    each = rows.select("meeting_id", F.posexplode("m.utterances").alias("p", "u"))
+    lines = each.select("meeting_id", F.coalesce("u.index", "p").alias("utt_idx"), F.coalesce("u.speaker", F.lit(0)).alias("speaker"), F.col("u.start").alias("start_s"), F.col("u.end").alias("end_s"), "u.text")
+    links = rows.select("meeting_id", F.explode("m.speaker_names").alias("k", "v")).where("coalesce(v.name, '') <> ''").select("meeting_id", F.col("k").try_cast("int").alias("speaker"), "v.name", F.nullif("v.person", F.lit("")).alias("person_id")).where("speaker is not null")
+    written = rows.where("m.notes is not null").select("meeting_id", F.col("m.notes").alias("journal"))
+    notes = note_journal(written)
+    sections = sectioned_notes(written.withColumnRenamed("journal", "notes")).select("meeting_id").distinct().withColumn("_parses", F.lit(True))
+    counted = notes.groupBy("meeting_id").agg(F.count("*").alias("_notes"))
+    derived = derive(notes).select("meeting_id", F.col("actions").alias("_derived"))
+    asked = F.regexp_replace("m.action_items", r"^\s+|\s+$", "")
+    whole = rows.join(counted, "meeting_id", "left").join(sections, "meeting_id", "left").join(derived, "meeting_id", "left")
+    kept = F.when(~asked.isin("", "-") & ~asked.eqNullSafe(F.col("_derived")), asked)
+    legacy = F.when(F.col("_notes").isNull() & F.col("_parses"), F.col("m.notes"))
+    last = F.element_at("m.utterances", -1)["end"]
+    seconds = F.when(F.size("m.utterances") > 0, last).otherwise(0.0)
+    meetings = whole.select("meeting_id", F.coalesce("m.title", F.lit("")).alias("title"), F.coalesce("m.summary", F.lit("")).alias("summary"), F.coalesce(seconds, F.lit(0.0)).alias("seconds"), F.col("m.llm_model").alias("reader"), legacy.alias("legacy_notes"), kept.alias("actions_edited"))
+    return meetings, lines, links, notes

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meetlake.functions import text as X
+
+# Signs after which a line that is too long is cut.
+CUTS = frozenset("。？！?!；;，,")
+
 
 def in_order(lines: DataFrame, *fields: str) -> DataFrame:
     """One row for each meeting, with its lines as an array sorted by utt_idx. A meeting has at most some thousands of lines."""
@@ -93,3 +101,52 @@ def units(notes: DataFrame, chunks_: DataFrame, meetings: DataFrame, cut: int =
     shown = F.coalesce(F.nullif(F.trim("title"), F.lit("")), F.nullif(F.trim(F.substring_index(F.regexp_replace("summary", r"^\s+", ""), "\n", 1)), F.lit("")))
     whole = meetings.select("meeting_id", F.lit("meeting").alias("kind"), F.lit(-1).cast("long").alias("a"), F.lit(-1).cast("long").alias("b"), shown.alias("text")).where("text is not null")
     return note.unionByName(chunk).unionByName(whole).withColumn("text", F.substring("text", 1, cut))
+
+
+def cut_long(text: str, header: str, budget: int, tokens: Callable[[str], int]) -> list[str]:
+    """Pieces of a text, each with its header within the budget: as much as fits, back to a sign in its second half where there is one."""
+    rest, found = text, []
+    while rest:
+        low, high = 1, len(rest)
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if tokens(header + rest[:middle]) <= budget else (low, middle - 1)
+        sign = max((i for i, c in enumerate(rest[:low]) if c in CUTS), default=-1)
+        cut = sign + 1 if sign >= low // 2 else low
+        found.append(rest[:cut])
+        rest = rest[cut:]
+    return found
+
+
+def reading_segments(lines: DataFrame, budget: int, seconds: int = 20, tokens: Callable[[Column], Column] = X.token_estimate, count: Callable[[str], int] = X.estimated) -> DataFrame:
+    """meeting_id, utt_idx, piece, window, segment (from 0 in its window), text and tokens: how a note-writer reads a meeting.
+
+    A window closes before the line that would pass the budget of tokens. Within it a segment ends with the line that starts ``seconds`` or more after
+    the one before it ended (the first: after the window's first line). A line that alone is over the budget is read in pieces. Lines count with their
+    header. lines: meeting_id, utt_idx, start (whole seconds), label, text; tokens and count are the same rule for columns and for strings.
+    """
+    header = F.concat(F.lit("["), X.clock(F.col("start")), F.lit("] "), F.coalesce(F.concat("label", F.lit(": ")), F.lit("")))
+    sized = lines.withColumn("_h", header).withColumn("tokens", tokens(F.concat("_h", "text")))
+
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series, headers: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else cut_long(x, h, budget, count) for x, h in zip(texts, headers, strict=True)], dtype=object)
+
+    long = F.col("tokens") > budget
+    parts_ = sized.select("meeting_id", "utt_idx", "start", "_h", F.posexplode(F.coalesce(cut(F.when(long, F.col("text")), F.when(long, F.col("_h"))), F.array("text"))).alias("piece", "text"))
+    parts_ = parts_.withColumn("tokens", tokens(F.concat("_h", "text")).cast("int"))
+    rows = parts_.groupBy("meeting_id").agg(F.array_sort(F.collect_list(F.struct(F.col("utt_idx").cast("long").alias("utt_idx"), "piece", F.col("start").cast("int").alias("start"), "tokens"))).alias("lines"))
+    kind = "array<struct<utt_idx:bigint,piece:int,window:int,segment:int>>"
+
+    def step(s: Column, x: Column) -> Column:
+        opens = (s["n"] == 0) | (s["used"] + x["tokens"] > budget)
+        window = s["window"] + opens.cast("int")
+        segment = F.when(opens, 0).otherwise(s["segment"] + s["closed"].cast("int"))
+        end = F.when(opens, x["start"] + seconds).otherwise(s["end"])
+        closes = x["start"] >= end
+        out = F.concat(s["out"], F.array(F.struct(x["utt_idx"].alias("utt_idx"), x["piece"].alias("piece"), window.alias("window"), segment.alias("segment"))))
+        return F.struct(F.lit(1).alias("n"), F.when(opens, x["tokens"]).otherwise(s["used"] + x["tokens"]).alias("used"), window.alias("window"), segment.alias("segment"), closes.alias("closed"), F.when(closes, x["start"] + seconds).otherwise(end).alias("end"), out.alias("out"))
+
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("used"), F.lit(-1).alias("window"), F.lit(0).alias("segment"), F.lit(False).alias("closed"), F.lit(0).alias("end"), F.array().cast(kind).alias("out"))
+    placed = rows.select("meeting_id", F.explode(F.aggregate("lines", start, step)["out"]).alias("o")).select("meeting_id", "o.*")
+    return placed.join(parts_.select("meeting_id", F.col("utt_idx").cast("long").alias("utt_idx"), "piece", "text", "tokens"), ["meeting_id", "utt_idx", "piece"])

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meetlake.functions import text as X
 from meetlake.operators.retrieval import dot
+from meetlake.operators.script import folded
 
 
 def display_name(name: Column, speaker: Column) -> Column:
@@ -34,6 +37,29 @@ def bootstrap(names: DataFrame, people: DataFrame) -> DataFrame:
     )
 
 
+def linked_up(names: DataFrame, people: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The directory and all links after every speaker's name that isn't linked yet has been looked up by its key, or made a person.
+
+    names: meeting_id, date (epoch seconds), speaker, name, person_id (the link, or null); people: person_id, name, created, last_used. A link to
+    somebody in the directory stays and is no use of the person; one to nobody is looked up like no link. Labels like "Speaker 2" get none.
+    The first of the directory's people with a key (by person_id) has it; a new person's spelling is that of the newest meeting, then of
+    the smallest speaker, and its id the digest of the key. Run on its own result nothing changes. Returns people (person_id, name, created, last_used)
+    and links (meeting_id, speaker, name, person_id, added).
+    """
+    there = people.select(F.col("person_id").alias("_there"))
+    marked = names.join(there, F.col("person_id") == F.col("_there"), "left")
+    valid = marked.where("_there is not null").select("meeting_id", "speaker", "name", "person_id", F.lit(False).alias("added"))
+    free = marked.where("_there is null").where(X.is_person_name(F.col("name"))).withColumn("_key", X.name_key(F.col("name"))).drop("person_id")
+    known = people.withColumn("_key", X.name_key(F.col("name"))).groupBy("_key").agg(F.min("person_id").alias("person_id"))
+    first = free.groupBy("_key").agg(F.min_by(F.struct(F.trim("name").alias("name"), "date"), F.struct((-F.col("date")).alias("d"), "meeting_id", "speaker")).alias("f"), F.max("date").alias("used"))
+    owners = first.join(known, "_key", "left").withColumn("_new", F.col("person_id").isNull()).withColumn("person_id", F.coalesce("person_id", F.substring(F.sha2("_key", 256), 1, 16)))
+    made = owners.where("_new").select("person_id", F.col("f.name").alias("name"), F.col("f.date").alias("created"), F.col("used").alias("last_used"))
+    used = owners.where("not _new").select("person_id", "used")
+    touched = people.join(used, "person_id", "left").select("person_id", "name", "created", F.greatest("last_used", "used").alias("last_used"))
+    added = free.join(owners.select("_key", "person_id"), "_key").select("meeting_id", "speaker", F.trim("name").alias("name"), "person_id", F.lit(True).alias("added"))
+    return touched.unionByName(made), valid.unionByName(added)
+
+
 def usage(links: DataFrame, meetings: DataFrame) -> DataFrame:
     """Of each person: meetings, the newest date and that meeting's title. meetings: meeting_id, date, title."""
     each = links.where("person_id is not null").select("person_id", "meeting_id").distinct().join(meetings, "meeting_id")
@@ -47,13 +73,16 @@ def homonyms(people: DataFrame) -> DataFrame:
     return keyed.join(shared, "key").select("person_id", "name", "same")
 
 
-def mentioned(questions: DataFrame, names: DataFrame) -> DataFrame:
+def mentioned(questions: DataFrame, names: DataFrame, dictionaries: Sequence[DataFrame] = ()) -> DataFrame:
     """People that a question names: a name with Latin letters or digits as whole words, another one of two characters as a part.
     questions: query_id, query; names: person_id, name (aliases as rows of their own).
 
     Whole words are looked up by the name's first word, so that questions and names meet on a key; names without Latin letters meet by
-    their first two characters.
+    their first two characters. ``dictionaries`` bring questions and names to one script, phrases before characters.
     """
+    if dictionaries:
+        questions = folded(questions.withColumn("_low", F.lower("query")), "_low", dictionaries, "_one").select("query_id", F.col("_one").alias("query"))
+        names = folded(names.withColumn("_low", F.lower("name")), "_low", dictionaries, "_one").select("person_id", F.col("_one").alias("name"))
     keyed = names.select("person_id", X.name_key(F.col("name")).alias("_key")).where("_key <> ''").distinct()
     latin = F.col("_key").rlike("[a-z0-9]")
     first = F.regexp_extract("_key", r"[\p{IsAlphabetic}\p{N}]+", 0)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meetlake.functions.text import fold, has_all, pairs, terms
+from meetlake.operators.script import folded
 from meetlake.sources.settled import settle
 
 K1, B, RANK = 1.2, 0.75, 60
@@ -164,15 +165,28 @@ def fused(lists: list[tuple[DataFrame, float]], keys: list[str], first_rank: int
     return both.groupBy(*keys).agg(F.sum("_w").alias("score"), F.bit_or("_in").alias("found"))
 
 
-def routed(dense_hits: DataFrame, keyword_hits: DataFrame, n: int = 2) -> DataFrame:
+def routed(dense_hits: DataFrame, keyword_hits: DataFrame, n: int = 2, named: DataFrame | None = None) -> DataFrame:
     """The n meetings of each query that best answer it: a third of the three best cosines' sum, and the three best keyword scores' sum,
-    fused. Hits: query_id, meeting_id, score (dense: without summary hits)."""
-    def by_meeting(hits: DataFrame, divisor: float) -> DataFrame:
+    fused. Hits: query_id, meeting_id, score (dense: without summary hits).
+
+    named: query_id, meeting_id of meetings with people whom the question names. A question with such a meeting among its hits is answered by these
+    alone, by one at least; if none of them has a hit, by all. Hits are summed up once, before that is decided.
+    """
+    def by_meeting(hits: DataFrame, divisor: float, kind: int) -> DataFrame:
         best = top(hits, ["query_id", "meeting_id"], [F.desc("score")], 3).groupBy("query_id", "meeting_id").agg((F.sum("score") / divisor).alias("total"))
-        return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("total", 9)), "meeting_id")))
+        return best.withColumn("_list", F.lit(kind))
 
-    both = fused([(by_meeting(dense_hits, 3.0), 1.0), (by_meeting(keyword_hits, 1.0), 1.0)], ["query_id", "meeting_id"])
-    return top(both, ["query_id"], [F.desc(F.round("score", 9)), "meeting_id"], n)
+    totals = by_meeting(dense_hits, 3.0, 0).unionByName(by_meeting(keyword_hits, 1.0, 1))
+    if named is not None:
+        marked = totals.join(named.select("query_id", "meeting_id").distinct().withColumn("_named", F.lit(True)), ["query_id", "meeting_id"], "left")
+        any_named = F.max(F.coalesce("_named", F.lit(False))).over(Window.partitionBy("query_id"))
+        totals = marked.withColumn("_any", any_named).where("_named or not _any")
+    else:
+        totals = totals.withColumn("_any", F.lit(False))
+    place = F.row_number().over(Window.partitionBy("query_id", "_list").orderBy(F.desc(F.round("total", 9)), "meeting_id"))
+    scored = totals.withColumn("_w", F.lit(1.0) / (RANK + place)).groupBy("query_id", "meeting_id").agg(F.sum("_w").alias("score"), F.bool_or("_any").alias("_any"), F.sum(F.col("_list") + 1).alias("found"))
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "meeting_id")))
+    return ranked.where(F.col("rank") <= F.when(F.col("_any"), max(n, 1)).otherwise(n)).drop("_any")
 
 
 def fused_library(dense_hits: DataFrame, keyword_hits: DataFrame, weight: float = 0.3, depth: int = 3) -> DataFrame:
@@ -204,26 +218,53 @@ def per_meeting(hits: DataFrame, depth: int = 3) -> DataFrame:
     return top(hits.withColumn("_k", place).where(~whole | (F.col("_k") == 1)).drop("_k"), ["query_id", "meeting_id"], [F.desc("score"), "kind", "passage"], depth)
 
 
-def lexical(texts: DataFrame, queries: DataFrame, depth: int = 3) -> DataFrame:
-    """Texts that have every word of a query, folded: titles score 1, summary lines and notes 0.9, lines of the open meeting 0.8; the best
-    ``depth`` of each meeting, with ``rank``. texts: meeting_id, kind (title, summary, note, line), pos, text; queries: query_id, query,
-    open_meeting.
+def met(texts: DataFrame, text: str, asked: DataFrame, words: str) -> DataFrame:
+    """Which texts may have all of an array of words in them: texts' other columns (their key) with asked's other columns (theirs).
 
-    Words may lie inside others, so texts and queries meet on pairs of characters: on the query's first word's first pair, or its
-    only character.
+    A word may lie inside another one, so texts and words meet on pairs of characters, and single ones for words of one. Only keys and the pairs that
+    some word has travel, and each array of words is looked up by the pair of its own that the fewest texts have. What is found
+    must still be looked at: a pair is not yet the word.
+    """
+    keys, ids = [c for c in texts.columns if c != text], [c for c in asked.columns if c != words]
+    characters = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
+    bits = lambda w: F.when(F.char_length(w) > 1, pairs(w)).otherwise(F.array(w))
+    probes = settle(asked.select(*ids, F.explode(F.array_distinct(F.flatten(F.transform(words, bits)))).alias("_bit")), "probes")
+    wanted = probes.select("_bit").distinct()
+    single = not wanted.where(F.char_length("_bit") < 2).isEmpty()
+    places = F.concat(pairs(F.col(text)), F.array_distinct(characters(F.col(text)))) if single else pairs(F.col(text))
+    held = settle(texts.select(*keys, F.explode(places).alias("_bit")).join(wanted, "_bit", "left_semi"), "held")
+    rare = probes.join(held.groupBy("_bit").agg(F.count("*").alias("_n")), "_bit", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    chosen = rare.groupBy(*ids).agg(F.min_by("_bit", F.struct("_n", "_bit")).alias("_bit"))
+    return chosen.join(held, "_bit").select(*keys, *ids)
+
+
+def lexical(texts: DataFrame, queries: DataFrame, depth: int = 3, dictionaries: Sequence[DataFrame] = ()) -> DataFrame:
+    """Texts that have every word of a query, folded: titles score 1, summary lines and notes 0.9, lines of the open meeting 0.8; the best
+    ``depth`` of each meeting, with ``rank``. texts: meeting_id, kind (title, summary, note, line), pos, text; these three are a key; queries:
+    query_id, query, open_meeting. ``dictionaries`` bring both sides to one script, phrases before characters.
     """
     tiers = {"title": 1.0, "summary": 0.9, "note": 0.9, "line": 0.8}
     score = F.coalesce(*(F.when(F.col("kind") == k, v) for k, v in tiers.items()))
-    words = F.filter(F.split(F.trim(fold(F.col("query"))), " +"), lambda w: w != "")
-    asked = queries.select("query_id", "open_meeting", words.alias("_words")).where(F.size("_words") > 0).withColumn("_meet", F.substring(F.col("_words")[0], 1, 2))
-    shown = texts.withColumn("_text", fold(F.col("text"))).withColumn("score", score)
-    places = F.array_distinct(F.concat(F.array_distinct(F.filter(F.split("_text", ""), lambda c: c != "")), pairs(F.col("_text"))))
-    met = shown.withColumn("_meet", F.explode(places)).join(asked, "_meet")
-    found = met.where(has_all(F.col("_text"), F.col("_words"))).where((F.col("kind") != "line") | (F.col("meeting_id") == F.col("open_meeting")))
-    return top(found.select("query_id", "meeting_id", "kind", "pos", "text", "score"), ["query_id", "meeting_id"], [F.desc("score"), "kind", "pos"], depth)
+
+    def normal(rows: DataFrame, column: str, name: str) -> DataFrame:
+        lowered = rows.withColumn("_low", fold(F.regexp_replace(column, r"^\s+|\s+$", "")))
+        return folded(lowered, "_low", dictionaries, name).drop("_low") if dictionaries else lowered.withColumnRenamed("_low", name)
+
+    shown = normal(texts, "text", "_text").withColumn("score", score)
+    shown = settle(shown, "shown") if dictionaries else shown
+    words = F.filter(F.split("_query", " "), lambda w: w != "")
+    asked = settle(normal(queries, "query", "_query").select("query_id", "open_meeting", words.alias("_words")).where(F.size("_words") > 0), "asked")
+    keys = ["meeting_id", "kind", "pos"]
+    near = met(shown.select(*keys, "_text"), "_text", asked.select("query_id", "_words"), "_words").join(asked, "query_id")
+    near = near.where((F.col("kind") != "line") | (F.col("meeting_id") == F.col("open_meeting")))
+    found = near.join(shown, keys).where(has_all(F.col("_text"), F.col("_words")))
+    return top(found.select("query_id", *keys, "text", "score"), ["query_id", "meeting_id"], [F.desc("score"), "kind", "pos"], depth)
 
 
 def containing(texts: DataFrame, words: DataFrame, text: str, word: str) -> DataFrame:
-    """Texts joined with the words (two characters and more) that they contain, anywhere. They meet on the word's first two characters."""
-    asked = words.where(F.char_length(word) >= 2).withColumn("_meet", F.substring(word, 1, 2))
-    return texts.withColumn("_meet", F.explode(pairs(F.col(text)))).join(asked, "_meet").where(F.contains(text, word)).drop("_meet")
+    """Texts joined with the words (two characters and more) that they contain, anywhere. Texts meet words by a hash of the text, so equal ones
+    are looked up once, and join their other columns at the end."""
+    asked = settle(words.where(F.char_length(word) >= 2).select(F.col(word).alias("_word")).distinct(), "words")
+    shown = texts.withColumn("_hash", F.xxhash64(text))
+    near = met(shown.select("_hash", F.col(text).alias("_text")).distinct(), "_text", asked.select("_word", F.array("_word").alias("_words")), "_words").distinct()
+    return shown.join(near, "_hash").where(F.contains(text, "_word")).join(words, F.col("_word") == F.col(word)).drop("_hash", "_word")

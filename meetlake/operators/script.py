@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meetlake.sources.settled import settle
+
 #: Texts with these are left alone: Japanese and Korean.
 OTHER = r"[\x{3040}-\x{30FF}\x{AC00}-\x{D7A3}\x{1100}-\x{11FF}]"
 
 
-def converted(texts: DataFrame, dictionary: DataFrame, key: str = "id", longest: int = 16) -> DataFrame:
-    """Texts (key, text) with the dictionary's longest entries replaced from left to right. dictionary: key, to; entries of ``longest``
-    characters at most. Keys of texts are unique.
+def converted(texts: DataFrame, dictionary: DataFrame, key: str = "id") -> DataFrame:
+    """Texts (key, text) with the dictionary's longest entries replaced from left to right. dictionary: key, to (of several for a key the smallest
+    counts; an entry that stands for itself keeps shorter ones away). Keys of texts are unique.
 
     Entries apply only inside runs of characters that occur in entries (a script's characters, collected for a pattern). Texts are cut into
     such runs and what lies between; each distinct run is converted once: its places meet the entries by their first character, the longest
     at each place stays, and a fold drops those that an earlier one covers. Then the texts are put together again.
     """
-    entries = dictionary.select(F.col("key").alias("_k"), F.col("to").alias("_to"), F.substring("key", 1, 1).alias("_c")).where(f"_k <> '' and char_length(_k) <= {longest}")
+    entries = dictionary.where("key <> ''").groupBy(F.col("key").alias("_k")).agg(F.min("to").alias("_to")).withColumn("_c", F.substring("_k", 1, 1))
     letters = sorted(r.c for r in entries.select(F.explode(F.split("_k", "")).alias("c")).where("c <> ''").distinct().collect())
     if not letters:
         return texts
@@ -25,7 +29,7 @@ def converted(texts: DataFrame, dictionary: DataFrame, key: str = "id", longest:
     rows = texts.where(~F.col("text").rlike(OTHER)).select(F.col(key).alias("_id"), F.posexplode(F.regexp_extract_all("text", F.lit(rf"[{kind}]+|[^{kind}]+"), F.lit(0))).alias("_n", "_part"))
     runs = rows.where(F.col("_part").rlike(rf"^[{kind}]")).select(F.col("_part").alias("_run")).distinct()
     places = runs.select("_run", F.posexplode(F.split("_run", "")).alias("_p", "_c")).where("_c <> ''")
-    found = places.join(entries, "_c").where(F.startswith(F.col("_run").substr(F.col("_p") + 1, F.lit(longest)), "_k"))
+    found = places.join(entries, "_c").where(F.col("_run").substr(F.col("_p") + 1, F.char_length("_k")) == F.col("_k"))
     best = found.groupBy("_run", "_p").agg(F.max_by(F.struct(F.char_length("_k").alias("n"), F.col("_to").alias("to")), F.char_length("_k")).alias("m"))
     listed = best.groupBy("_run").agg(F.array_sort(F.collect_list(F.struct("_p", "m.n", "m.to"))).alias("_m"))
     between = lambda a, b: F.col("_run").substr(a + 1, b - a)
@@ -35,3 +39,17 @@ def converted(texts: DataFrame, dictionary: DataFrame, key: str = "id", longest:
     parts = rows.join(new, F.col("_part") == F.col("_run"), "left").select("_id", F.struct("_n", F.coalesce("_new", "_part").alias("_t")).alias("_x"))
     whole = parts.groupBy("_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("_x")), lambda x: x["_t"]), "").alias("_whole"))
     return texts.join(whole, F.col(key) == F.col("_id"), "left").withColumn("text", F.coalesce("_whole", "text")).drop("_id", "_whole")
+
+
+def staged(texts: DataFrame, dictionaries: Sequence[DataFrame], key: str = "id") -> DataFrame:
+    """Texts after several dictionaries, one after the other: what one has made is what the next one reads."""
+    for dictionary in dictionaries:
+        texts = converted(texts, dictionary, key)
+    return texts
+
+
+def folded(rows: DataFrame, column: str, dictionaries: Sequence[DataFrame], name: str) -> DataFrame:
+    """rows with ``name``: the column's text in one script. Each distinct text is folded once; null stays null."""
+    once = settle(rows.select(F.col(column).alias("text")).where("text is not null").distinct().withColumn("id", F.col("text")), "distinct")
+    done = staged(once, dictionaries).select(F.col("id").alias("_id"), F.col("text").alias(name))
+    return rows.join(done, F.col(column) == F.col("_id"), "left").drop("_id")

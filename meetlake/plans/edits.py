@@ -395,7 +395,7 @@ LEFT JOIN tx ON tx.meeting_id = m.meeting_id LEFT JOIN mx ON mx.meeting_id = m.m
 def script_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with German and French letters by a dictionary."""
     words = spark.createDataFrame(list(zip("äöüéèêç", "aoueeec", strict=True)), "key string, to string")
-    found = converted(A.table(spark, sf_dir, "documents").select("doc_id", "text"), words, "doc_id", 4)
+    found = converted(A.table(spark, sf_dir, "documents").select("doc_id", "text"), words, "doc_id")
     return found.select("doc_id", F.sha2("text", 256).alias("text_sha256"))
 
 
