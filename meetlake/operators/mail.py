@@ -68,7 +68,7 @@ def last_shares(shares: DataFrame, channel: str = "mail") -> DataFrame:
     return shares.where(F.col("channel") == channel).groupBy("meeting_id").agg(F.max_by(F.struct("at", "status"), "pos").alias("s")).select("meeting_id", "s.at", "s.status")
 
 
-#: What a mail goes without, one after another, until it fits: the most items of a tag, or the summary's paragraphs.
+# What a mail goes without, one after another, until it fits: the most items of a tag, or the summary's paragraphs.
 DROPS = (("PROPOSAL", 5), ("summary", 1), ("NUMBER", 5), ("PROPOSAL", 0), ("summary", 0), ("NUMBER", 0), ("OPEN-ISSUE", 3))
 
 

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meetlake.plans import directory, edits, index, library, notes, passages, people, retrieval, search, streaming, timeline
+from meetlake.plans import directory, edits, index, letters, library, notes, passages, people, retrieval, search, streaming, timeline
 
 FLAGSHIP = "hybrid_rrf_top3"
 
-PARTS = (retrieval, timeline, passages, notes, people, streaming, edits, library, directory, index, search)
+PARTS = (retrieval, timeline, passages, notes, people, streaming, edits, library, directory, index, search, letters)
 
 
 def registered(parts=PARTS) -> dict:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import datetime
 import os
 import re
 
 import pytest
 
-from meetlake.plans import passages, registry
+from meetlake.operators import letters as L
+from meetlake.plans import letters, passages, registry
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the tables aren't here")
@@ -59,3 +61,74 @@ def test_subtitles(spark, vtt):
     for m, own in want.items():
         parts = [("" if vtt else f"{k}\n") + f"{clock(a, '.' if vtt else ',')} --> {clock(b, '.' if vtt else ',')}\n{marked(name)}: {marked(text)}\n" for k, (name, text, a, b) in enumerate(own, 1)]
         assert close(found[m], ("WEBVTT\n\n" if vtt else "") + "\n".join(parts))
+
+
+STEPS = [("PROPOSAL", 5), ("summary", 1), ("NUMBER", 5), ("PROPOSAL", 0), ("summary", 0), ("NUMBER", 0), ("OPEN-ISSUE", 3)]
+
+
+def plain_letter(m, items: list, names: dict, budget: int | None, chat: bool) -> tuple[str, int]:
+    """A letter as it is written by hand, and how many steps it took."""
+    say = letters._EN | (letters._DE if m.lang == "de" else {})
+    heads = dict(zip(letters.TAGS, letters.HEADINGS.get(m.lang, letters.HEADINGS["en"]), strict=True))
+    named = lambda t: re.sub(r"(?<![A-Za-z0-9_])S(\d{1,2})(?![A-Za-z0-9_])", lambda x: names.get(int(x[1]) - 1, x[0]), t)
+    fill = lambda t, **kv: [t := t.replace("{" + k + "}", str(v)) for k, v in kv.items()][-1]
+    heading = lambda h: fill(say["plain_heading"], h=h, H=h.upper())
+    at = m.started
+    dates = {"y": at.year, "mo": at.month, "d": at.day, "wd": say["weekdays"].split("|")[at.weekday()], "mon": say["months"].split("|")[at.month - 1]}
+    about = {"title": m.title, "date_long": fill(say["date_long"], **dates), "date_short": fill(say["date_short"], **dates)}
+    minutes = round(m.seconds / 60)
+    end = at + datetime.timedelta(seconds=m.seconds)
+    long = fill(say["duration_hm"], h=minutes // 60, m=minutes % 60) if minutes >= 60 else fill(say["duration_m"], m=minutes)
+    people = say["list_sep"].join([*m.participants, *([fill(say["unnamed"], n=m.unnamed)] if m.unnamed else [])])
+    limits = {}
+    for step in range(len(STEPS) + 1):
+        if step:
+            limits[STEPS[step - 1][0]] = STEPS[step - 1][1]
+        out = ""
+        for tag in letters.TAGS:
+            every = [i for i in items if i.tag == tag]
+            kept = every[: limits.get(tag, len(every))]
+            if not kept:
+                continue
+            out += f"\n{heading(heads[tag])}\n"
+            owner = {i.pos: names.get(int(x[1]) - 1) for i in kept if tag == "ACTION" and (x := re.match(r"S(\d{1,2})(?![A-Za-z0-9_])", i.text))}
+            line = lambda i, text: f"{say['bullet']}{text}" + (f" [{i.ts}]" if i.ts else "") + "\n"
+            if any(owner.values()):
+                order = list(dict.fromkeys(x for i in kept if (x := owner.get(i.pos))))
+                for who in [*order, None]:
+                    own = [i for i in kept if owner.get(i.pos) == who]
+                    out += f"{who or say['owner_none']}\n" * bool(own) + "".join(line(i, named(i.text)[len(who) :].lstrip(" ") if who and named(i.text).startswith(who) else named(i.text)) for i in own)
+            else:
+                out += "".join(line(i, named(i.text)) for i in kept)
+            out += fill(say["more"], n=len(every) - len(kept)) + "\n" if len(every) > len(kept) else ""
+        if chat:
+            text = fill(say["chat_intro"], **about) + "\n" + out
+        else:
+            told = [p.strip() for p in named(m.summary or "").split("\n\n") if p.strip()]
+            told = told[: limits.get("summary", len(told))]
+            lead = f"\n{heading(say['summary_heading'])}\n" + "".join(p + "\n\n" for p in told) if told else ""
+            facts = "".join(f"{say[k]}{say['colon']}{v}\n" for k, v in (("label_date", about["date_long"]), ("label_time", f"{at:%H:%M}–{end:%H:%M}"), ("label_duration", long), ("label_participants", people)))
+            files = fill(say["attachments"], files=say["list_sep"].join(["minutes.pdf", "talk.srt"]))
+            text = f"{say['greeting']}\n\n{fill(say['intro'], **about)}\n\n{heading(say['facts_heading'])}\n{facts}{lead}{out}\n{files}\n\n--\n{say['disclaimer']}\n{say['footer']}\n"
+        if budget is None or len(text) <= budget:
+            break
+    return re.sub("\n{3,}", "\n\n", text).strip() + "\n", step
+
+
+def test_letters(spark):
+    meetings, items, names = letters.inputs(spark, SF)
+    found = {r.meeting_id: r for r in letters.meeting_letters(spark, SF).collect()}
+    own, called = {}, {}
+    for r in sorted(items.collect(), key=lambda r: r.pos):
+        own.setdefault(r.meeting_id, []).append(r)
+    for r in names.collect():
+        called.setdefault(r.meeting_id, {})[r.speaker] = r.name
+    rows = meetings.collect()
+    assert len(found) == len(rows) and any(r.truncated for r in found.values()) and any("Nobody yet" in r.plain for r in found.values())
+    for m in rows:
+        plain, cut = plain_letter(m, own[m.meeting_id], called.get(m.meeting_id, {}), 2500, False)
+        assert (found[m.meeting_id].plain, found[m.meeting_id].truncated) == (plain, cut > 0)
+        assert found[m.meeting_id].chat == plain_letter(m, own[m.meeting_id], called.get(m.meeting_id, {}), 2000, True)[0]
+    few = L.letters(meetings, items, names, *letters.tables(spark), summary=False, only=("DECISION",)).collect()
+    assert all("SUMMARY" not in r.plain and "ACTIONS" not in r.plain and not r.truncated for r in few)
+    assert all("DECISIONS" not in r.plain for r in L.letters(meetings, items, names, *letters.tables(spark), minutes=False).collect())
