@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meetlake.functions import text as X
-from meetlake.operators.retrieval import dot
+from meetlake.operators.retrieval import dense
 from meetlake.operators.script import folded
+from meetlake.sources.settled import settle
 
 
 def display_name(name: Column, speaker: Column) -> Column:
@@ -116,10 +117,16 @@ def voices(exemplars: DataFrame, keys: list[str], dims: int) -> DataFrame:
 def suggested(speakers: DataFrame, people: DataFrame, dims: int, excluded: DataFrame | None = None, low: float = 0.5, high: float = 0.7, margin: float = 0.05, most: int = 3) -> DataFrame:
     """Who a speaker may be, by voice: pairs are assigned one to one, the best first; up to ``most`` people that no other speaker owns;
     the first is likely if it is clearly ahead of the next in the speaker's whole list, else possible.
-    speakers: meeting_id, speaker, vector; people: person, vector. The people's voices are a stated set that all speakers are held against."""
+    speakers: meeting_id, speaker, vector; people: person, vector; excluded: meeting_id, speaker, person. The people's voices are a stated set that all
+    speakers are held against, in blocks; of pairs below ``low`` only those leave a task that may be the next of a speaker's list."""
     from meetlake.operators.timeline import one_to_one
 
-    pairs = speakers.crossJoin(people.select("person", F.col("vector").alias("voice"))).withColumn("score", F.round(dot("vector", "voice"), 9)).drop("vector", "voice")
+    asked = speakers.withColumn("spare", F.lit(1))
+    if excluded is not None:
+        counts = excluded.groupBy("meeting_id", "speaker").agg(F.count("*").alias("_n"))
+        asked = speakers.join(counts, ["meeting_id", "speaker"], "left").withColumn("spare", (F.coalesce("_n", F.lit(0)) + 1).cast("int"))
+    asked = asked.select(F.struct("meeting_id", "speaker").alias("query_id"), "vector", "spare")
+    pairs = settle(dense(people.select("person", "vector"), asked, low).select("query_id.meeting_id", "query_id.speaker", "person", F.col("cosine").alias("score")), "pairs")
     if excluded is not None:
         pairs = pairs.join(excluded, ["meeting_id", "speaker", "person"], "left_anti")
     w = Window.partitionBy("meeting_id", "speaker").orderBy(F.desc("score"), "person")

@@ -112,8 +112,10 @@ def dense(passages: DataFrame, queries: DataFrame, floor: float = 0.45, block: i
     are divided by ``scale``.
 
     A stated set of queries against all passages, in blocks: both sides are packed in rows of about ``block`` vectors, each two blocks meet in
-    one row, and its products are one matrix product. Only what reaches the floor leaves a task.
+    one row, and its products are one matrix product. Only what reaches the floor leaves a task; where queries have a column ``spare``, so many of
+    the best below it do, too, from each block.
     """
+    spared = "spare" in queries.columns
     fields = [c for c in passages.columns if c != "vector"]
 
     def packed(rows: DataFrame, name: str) -> tuple[DataFrame, int]:
@@ -122,7 +124,7 @@ def dense(passages: DataFrame, queries: DataFrame, floor: float = 0.45, block: i
         return rows.groupBy(number.alias(f"_{name}")).agg(F.collect_list(F.struct(*rows.columns)).alias(name)), blocks
 
     left, n = packed(passages.select(*fields, "vector"), "passages")
-    right, m = packed(queries.where("vector is not null").select("query_id", "vector"), "queries")
+    right, m = packed(queries.where("vector is not null").select("query_id", "vector", *(["spare"] if spared else [])), "queries")
     found = T.StructType([*(passages.schema[c] for c in fields), queries.schema["query_id"], T.StructField("cosine", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +135,12 @@ def dense(passages: DataFrame, queries: DataFrame, floor: float = 0.45, block: i
             for k in range(batch.num_rows):
                 rows, asked = (batch.column(x).slice(k, 1).flatten() for x in ("passages", "queries"))
                 cosine = np.round(vectors(rows) @ vectors(asked).T / scale, 9)
-                i, j = np.nonzero(cosine >= floor)
+                kept = cosine >= floor
+                if spared:
+                    for k_, n in enumerate(asked.field("spare").to_pylist()):
+                        below = np.flatnonzero(~kept[:, k_])
+                        kept[below[np.argsort(-cosine[below, k_], kind="stable")[:n]], k_] = True
+                i, j = np.nonzero(kept)
                 own = [rows.field(c).take(pa.array(i)) for c in fields]
                 yield pa.RecordBatch.from_arrays([*own, asked.field("query_id").take(pa.array(j)), pa.array(cosine[i, j])], names=found.names)
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import datetime
 import os
+import random
 import re
 
 import pytest
 
 from meetlake.operators import letters as L
+from meetlake.operators import people
 from meetlake.plans import letters, passages, registry
 
 SF = "/root/testdata/sf0.001"
@@ -132,3 +134,33 @@ def test_letters(spark):
     few = L.letters(meetings, items, names, *letters.tables(spark), summary=False, only=("DECISION",)).collect()
     assert all("SUMMARY" not in r.plain and "ACTIONS" not in r.plain and not r.truncated for r in few)
     assert all("DECISIONS" not in r.plain for r in L.letters(meetings, items, names, *letters.tables(spark), minutes=False).collect())
+
+
+def test_voices_are_suggested_as_by_a_plain_list(spark):
+    """Every speaker against everybody, with some pairs excluded."""
+    chance = random.Random(5)
+
+    def unit():
+        v = [chance.gauss(0, 1) + (2.5 if k == 0 else 0) for k in range(4)]
+        return [x / sum(y * y for y in v) ** 0.5 for x in v]
+
+    voices = {f"p{k}": unit() for k in range(30)}
+    speakers = {(m, s): unit() for m in range(12) for s in range(4)}
+    banned = {(m, s, f"p{chance.randrange(30)}") for m, s in speakers for _ in range(3)}
+    frames = [spark.createDataFrame(rows, kinds) for rows, kinds in (
+        ([(*k, v) for k, v in speakers.items()], "meeting_id int, speaker int, vector array<double>"), (list(voices.items()), "person string, vector array<double>"), (sorted(banned), "meeting_id int, speaker int, person string"))]
+    found = {(r.meeting_id, r.speaker, r["rank"]): (r.person, r.score, r.level) for r in people.suggested(frames[0], frames[1], 4, frames[2]).collect()}
+    want = {}
+    for m in range(12):
+        lists = {s: sorted(((-round(sum(a * b for a, b in zip(speakers[m, s], v, strict=True)), 9), p) for p, v in voices.items() if (m, s, p) not in banned)) for s in range(4)}
+        owner, taken = {}, set()
+        for score, s, p in sorted((score, s, p) for s, own in lists.items() for score, p in own if -score >= 0.5):
+            if s not in taken and p not in owner:
+                owner[p] = s
+                taken.add(s)
+        for s, own in lists.items():
+            shown = [(k, p, -score) for k, (score, p) in enumerate(own) if -score >= 0.5 and owner.get(p, s) == s][:3]
+            for rank, (k, p, score) in enumerate(shown, 1):
+                next_ = -own[k + 1][0] if k + 1 < len(own) else -1.0
+                want[m, s, rank] = (p, score, "likely" if rank == 1 and score >= 0.7 and score - next_ >= 0.05 else "possible")
+    assert {k: (p, round(x, 6), y) for k, (p, x, y) in found.items()} == {k: (p, round(x, 6), y) for k, (p, x, y) in want.items()} and len(want) > 60
