@@ -141,13 +141,39 @@ def enrolment(lines: DataFrame, until: DataFrame, each: float = 6.0, total: floa
     return ordered.select("meeting_id", F.posexplode(F.aggregate("rows", start, step)["out"]).alias("clip", "c")).select("meeting_id", "clip", "c.*")
 
 
+def laid_out(clips: DataFrame, gap: float) -> DataFrame:
+    """Clips with where they begin in the stream (``_at``) and where the gap after them ends (``_to``)."""
+    before = Window.partitionBy("meeting_id").orderBy("clip").rowsBetween(Window.unboundedPreceding, -1)
+    long = F.col("end_s") - F.col("start_s") + gap
+    return clips.withColumn("_at", F.coalesce(F.sum(long).over(before), F.lit(0.0))).withColumn("_to", F.col("_at") + long)
+
+
 def from_enrolment(times: DataFrame, clips: DataFrame, until: DataFrame, gap: float = 1.0) -> DataFrame:
     """Times of a stream that plays clips with gaps before the audio goes on, as times of the original: within a clip its own, in a gap the
     clip's end. times: meeting_id, q_id, t."""
-    before = Window.partitionBy("meeting_id").orderBy("clip").rowsBetween(Window.unboundedPreceding, -1)
-    long = F.col("end_s") - F.col("start_s") + gap
-    laid = clips.withColumn("_at", F.coalesce(F.sum(long).over(before), F.lit(0.0))).withColumn("_to", F.col("_at") + long)
+    laid = laid_out(clips, gap)
     whole = laid.groupBy("meeting_id").agg(F.max("_to").alias("_length"))
     asked = times.join(until, "meeting_id").join(whole, "meeting_id", "left").join(laid.select("meeting_id", "start_s", "end_s", "_at", "_to").withColumnRenamed("meeting_id", "_m"), (F.col("_m") == F.col("meeting_id")) & (F.col("t") >= F.col("_at")) & (F.col("t") < F.col("_to")), "left")
     inside = F.least(F.col("start_s") + F.col("t") - F.col("_at"), F.col("end_s"))
     return asked.select("meeting_id", "q_id", "t", F.coalesce(inside, F.col("t") - F.coalesce("_length", F.lit(0.0)) + F.col("offset_s")).alias("original"))
+
+
+def lines_from_enrolment(lines: DataFrame, clips: DataFrame, until: DataFrame, gap: float = 1.0) -> DataFrame:
+    """Lines of such a stream with original_start and original_end. A line that starts in a clip is cut at the clip's end. One that starts in a gap belongs to
+    what follows it: the clip in which it ends, or the audio after the clips; one that doesn't leave the gap is silence at the clip's end.
+    lines: meeting_id, utt_idx, start_s, end_s; a meeting has some sixty seconds of clips."""
+    laid = laid_out(clips, gap)
+    whole = laid.groupBy("meeting_id").agg(F.max("_to").alias("_length"))
+    first, last = (laid.select(F.col("meeting_id").alias(f"_m{k}"), *(F.col(c).alias(f"{n}{k}") for c, n in (("start_s", "_s"), ("end_s", "_e"), ("_at", "_a"), ("_to", "_t")))) for k in "12")
+    held = lambda k, t: (F.col(f"_m{k}") == F.col("meeting_id")) & (F.col(t) >= F.col(f"_a{k}")) & (F.col(t) < F.col(f"_t{k}"))
+    found = lines.join(until, "meeting_id").join(whole, "meeting_id", "left").join(first, held("1", "start_s"), "left").join(last, held("2", "end_s"), "left")
+    beyond = lambda t: F.col(t) - F.coalesce("_length", F.lit(0.0)) + F.col("offset_s")
+    inside = F.col("start_s") - F.col("_a1") < F.col("_e1") - F.col("_s1")
+    own = F.col("_s1") + (F.col("start_s") - F.col("_a1"))
+    start = F.when(F.col("_m1").isNull(), beyond("start_s")).when(inside, own).when(F.col("_m2").isNull(), F.col("offset_s")).when(F.col("_a2") == F.col("_a1"), F.col("_e1")).otherwise(F.col("_s2"))
+    to = F.when(F.col("_m2").isNull(), beyond("end_s")).otherwise(F.least(F.col("_s2") + F.col("end_s") - F.col("_a2"), F.col("_e2")))
+    end = (
+        F.when(F.col("_m1").isNull(), to).when(inside, F.greatest(own, F.least(F.col("_e1"), F.col("_s1") + (F.col("end_s") - F.col("_a1")))))
+        .when(F.col("_m2").isNull(), F.greatest("offset_s", beyond("end_s"))).when(F.col("_a2") == F.col("_a1"), F.col("_e1")).otherwise(F.least(F.col("_e2"), F.col("_s2") + (F.col("end_s") - F.col("_a2"))))
+    )
+    return found.select("meeting_id", "utt_idx", "start_s", "end_s", start.alias("original_start"), end.alias("original_end"))

@@ -21,6 +21,37 @@ def finalised(meetings: DataFrame, default: str = "Meeting") -> DataFrame:
     return meetings.select("meeting_id", title.alias("title"), F.when(spoken, F.col("notes")).alias("notes"), F.when(spoken, "done").otherwise("no speech").alias("status"))
 
 
+def finished(runs: DataFrame, stored: DataFrame, started: DataFrame, silent: str = "No speech", nothing: str = "No notes", default: str = "Meeting") -> DataFrame:
+    """What a run leaves in the library: meeting_id, title, summary, notes, reader, lines_from and names_from.
+
+    A meeting without speech has no notes and a status for title and summary (a summary that says more stays); else the generated title counts, then the
+    first line's first 20 characters, then the default. A title that came with the recording comes before all of these. A run that only wrote a new
+    summary keeps the stored lines and names as they are now, and the stored title if it isn't the one with which the run ``started``; a new
+    transcript of a meeting that has named speakers carries these names over (timeline.carried_names()).
+
+    runs: meeting_id, kind (new, summary, transcript), source_title, generated_title, first_line (null: no lines), summary, notes, reader, has_speech;
+    stored: meeting_id, title, named (has named speakers and lines); started: meeting_id, title.
+    """
+    said = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    now = stored.select("meeting_id", F.col("title").alias("_now"), F.col("named").alias("_named"))
+    both = runs.join(now, "meeting_id", "left").join(started.select("meeting_id", F.col("title").alias("_then")), "meeting_id", "left")
+    own = F.when(~F.col("has_speech"), silent).when(said("generated_title"), F.col("generated_title")).otherwise(F.coalesce(F.substring("first_line", 1, 20), F.lit(default)))
+    title = F.when(said("source_title"), F.col("source_title")).otherwise(own)
+    again = (F.col("kind") == "summary") & F.col("_now").isNotNull()
+    edited = again & ~F.col("_now").eqNullSafe(F.col("_then"))
+    summary = F.when(~F.col("has_speech") & (~said("summary") | (F.col("summary") == nothing)), silent).otherwise(F.coalesce("summary", F.lit("")))
+    carried = (F.col("kind") == "transcript") & F.coalesce("_named", F.lit(False)) & F.col("first_line").isNotNull()
+    return both.select(
+        "meeting_id", F.when(edited, F.col("_now")).otherwise(title).alias("title"), summary.alias("summary"), F.when(F.col("has_speech"), F.col("notes")).alias("notes"), F.when(F.col("has_speech") & (summary != ""), F.col("reader")).alias("reader"),
+        F.when(again, "stored").otherwise("run").alias("lines_from"), F.when(again, "stored").when(carried, "carried").otherwise("run").alias("names_from"),
+    )
+
+
+def found_first(meetings: DataFrame, hits: DataFrame) -> DataFrame:
+    """The meetings of a list that a search has found, with ``rank`` in the order of its hits. hits: query_id, meeting_id, rank."""
+    return meetings.join(hits.select("query_id", "meeting_id", "rank"), "meeting_id")
+
+
 def upserted(rows: DataFrame, updates: DataFrame, gone: DataFrame, key: str = "meeting_id", version: str = "version") -> DataFrame:
     """The latest version of each row that isn't deleted."""
     both = rows.withColumn("_new", F.lit(0)).unionByName(updates.withColumn("_new", F.lit(1)))  # of equal versions the update counts, then the larger row

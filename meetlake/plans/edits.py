@@ -113,6 +113,34 @@ def enrolment_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("meeting_id", "q_id", "t", F.round("original", 3).alias("original"))
 
 
+def enrolment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = A.turns(spark, sf_dir).withColumnRenamed("turn_id", "utt_idx")
+    played = turns.select("meeting_id", "utt_idx", F.round(F.col("start_s") / 500, 3).alias("start_s"), F.round(F.col("start_s") / 500 + F.col("utt_idx") % 9, 3).alias("end_s"))
+    found = E.lines_from_enrolment(played, E.enrolment(turns, offsets(turns)), offsets(turns))
+    return found.select("meeting_id", "utt_idx", F.round("original_start", 3).alias("original_start"), F.round("original_end", 3).alias("original_end"))
+
+
+CLIPS = f"""{A.TURNS}, us AS (SELECT t.*, f.o, row_number() OVER (PARTITION BY t.meeting_id ORDER BY f.o, t.start_s - t.end_s, t.turn_id) AS i FROM turns t JOIN (SELECT meeting_id, speaker, min(turn_id) AS o FROM turns GROUP BY ALL) f ON f.meeting_id = t.meeting_id AND f.speaker = t.speaker
+  WHERE t.end_s <= 40000 AND t.end_s - t.start_s >= 1),
+fo AS (SELECT meeting_id AS m, 0::BIGINT AS i, -1 AS speaker, 0.0::DOUBLE AS got, false AS shut, 0.0::DOUBLE AS total, NULL::DOUBLE AS a, NULL::DOUBLE AS b FROM (SELECT DISTINCT meeting_id FROM us)
+  UNION ALL SELECT m, u.i, u.speaker, g.got + CASE WHEN takes THEN n ELSE 0 END, NOT takes, total + CASE WHEN takes THEN n ELSE 0 END, CASE WHEN takes THEN u.start_s END, CASE WHEN takes THEN u.start_s + n END
+  FROM fo JOIN us u ON u.meeting_id = fo.m AND u.i = fo.i + 1, LATERAL (SELECT CASE WHEN fo.speaker = u.speaker THEN fo.got ELSE 0.0::DOUBLE END AS got, fo.speaker = u.speaker AND fo.shut AS closed) g,
+    LATERAL (SELECT least(-(u.start_s - u.end_s), 6 - g.got, 60 - fo.total) AS n) k, LATERAL (SELECT NOT g.closed AND n >= 1 AS takes) t),
+cl AS (SELECT m AS meeting_id, row_number() OVER (PARTITION BY m ORDER BY i) - 1 AS clip, speaker, a AS start_s, b AS end_s FROM fo WHERE a IS NOT NULL)"""
+ENROLMENT_CLIPS = f"WITH RECURSIVE {CLIPS} SELECT meeting_id, CAST(clip AS INT) AS clip, speaker, round(start_s, 3) AS start_s, round(end_s, 3) AS end_s FROM cl"
+_LAID = """la AS (SELECT *, coalesce(sum(end_s - start_s + 1.0::DOUBLE) OVER (PARTITION BY meeting_id ORDER BY clip ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS p FROM cl),
+lz AS (SELECT *, p + (end_s - start_s + 1.0::DOUBLE) AS z FROM la), le AS (SELECT meeting_id, max(z) AS w FROM lz GROUP BY ALL)"""
+ENROLMENT_MAP = f"""WITH RECURSIVE {CLIPS}, {_LAID}, t AS (SELECT meeting_id, turn_id AS q_id, round(start_s / 500, 3) AS t FROM turns)
+SELECT t.meeting_id, q_id, t, round(CASE WHEN lz.p IS NOT NULL THEN least(lz.start_s + t - lz.p, lz.end_s) ELSE t - coalesce(w, 0.0) + 40000 END, 3) AS original
+FROM t LEFT JOIN le ON le.meeting_id = t.meeting_id LEFT JOIN lz ON lz.meeting_id = t.meeting_id AND t.t >= lz.p AND t.t < lz.z"""
+ENROLMENT_LINES = f"""WITH RECURSIVE {CLIPS}, {_LAID}, t AS (SELECT meeting_id, turn_id AS utt_idx, round(start_s / 500, 3) AS a, round(start_s / 500 + turn_id % 9, 3) AS b FROM turns),
+j AS (SELECT t.*, coalesce(w, 0.0) AS w, x.start_s AS s1, x.end_s AS e1, x.p AS p1, y.start_s AS s2, y.end_s AS e2, y.p AS p2 FROM t LEFT JOIN le ON le.meeting_id = t.meeting_id
+  LEFT JOIN lz x ON x.meeting_id = t.meeting_id AND t.a >= x.p AND t.a < x.z LEFT JOIN lz y ON y.meeting_id = t.meeting_id AND t.b >= y.p AND t.b < y.z)
+SELECT meeting_id, utt_idx, round(CASE WHEN p1 IS NULL THEN a - w + 40000 WHEN a - p1 < e1 - s1 THEN s1 + (a - p1) WHEN p2 IS NULL THEN 40000 WHEN p2 = p1 THEN e1 ELSE s2 END, 3) AS original_start,
+  round(CASE WHEN p1 IS NULL THEN CASE WHEN p2 IS NULL THEN b - w + 40000 ELSE least(s2 + b - p2, e2) END WHEN a - p1 < e1 - s1 THEN greatest(s1 + (a - p1), least(e1, s1 + (b - p1)))
+    WHEN p2 IS NULL THEN greatest(40000, b - w + 40000) WHEN p2 = p1 THEN e1 ELSE least(e2, s2 + (b - p2)) END, 3) AS original_end FROM j"""
+
+
 def unindexed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations without an index, in chunks by estimated tokens, with their texts cut."""
     return P.span_texts(P.chunks(Q.counted(spark, sf_dir)), A.utterances(spark, sf_dir), 1200)
@@ -436,8 +464,9 @@ QUERIES = {
     "edit_log": (edit_log, None),
     "long_line_split": (long_line_split, None),
     "sentence_snap": (sentence_snap, SNAPPED),
-    "enrolment_clips": (enrolment_clips, None),
-    "enrolment_map": (enrolment_map, None),
+    "enrolment_clips": (enrolment_clips, ENROLMENT_CLIPS),
+    "enrolment_map": (enrolment_map, ENROLMENT_MAP),
+    "enrolment_lines": (enrolment_lines, ENROLMENT_LINES),
     "unindexed_chunks": (unindexed_chunks, UNINDEXED),
     "ask_fusion_routed": (ask_fusion_routed, ASK),
     "excerpt_selection": (excerpt_selection, None),

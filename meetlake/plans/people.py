@@ -184,6 +184,27 @@ FINALISE = """SELECT o_orderkey AS meeting_id, CASE WHEN o_orderkey % 5 = 0 THEN
 CASE WHEN o_orderkey % 7 <> 0 THEN 'notes' END AS notes, CASE WHEN o_orderkey % 7 <> 0 THEN 'done' ELSE 'no speech' END AS status FROM orders"""
 
 
+def finish_reruns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as runs that are new, write a summary again, or a transcript; half of the customers' meetings are stored, some under a title that was
+    changed while the run was on."""
+    k = F.col("o_orderkey")
+    rows = A.table(spark, sf_dir, "orders")
+    kind = F.get(F.array(F.lit("new"), F.lit("summary"), F.lit("transcript")), (k % 3).cast("int"))
+    runs = rows.select(
+        k.alias("meeting_id"), kind.alias("kind"), F.when(k % 5 == 0, F.col("o_orderpriority")).when(k % 5 == 1, "").alias("source_title"), F.when(k % 4 == 0, F.concat(F.lit("About "), "o_orderstatus")).when(k % 4 == 1, "").alias("generated_title"),
+        F.when(k % 2 == 0, F.lit("The first line of a meeting, whole")).alias("first_line"), F.when(k % 11 == 0, "No notes").when(k % 11 == 1, "").otherwise(F.concat(F.lit("For "), "o_orderpriority")).alias("summary"), F.lit("notes").alias("notes"), F.lit("m1").alias("reader"), (k % 7 != 0).alias("has_speech"),
+    )
+    stored = rows.where("o_custkey % 2 = 0").select(k.alias("meeting_id"), F.concat(F.lit("Title "), (k % 3 + F.when(k % 8 == 0, 1).otherwise(0)).cast("string")).alias("title"), (k % 10 != 0).alias("named"))
+    return L.finished(runs, stored, rows.select(k.alias("meeting_id"), F.concat(F.lit("Title "), (k % 3).cast("string")).alias("title")))
+
+
+FINISH = """WITH o AS (SELECT *, o_orderkey AS k, o_orderkey % 7 <> 0 AS sp, o_custkey % 2 = 0 AS st, CASE o_orderkey % 11 WHEN 0 THEN 'No notes' WHEN 1 THEN '' ELSE 'For ' || o_orderpriority END AS su FROM orders),
+s AS (SELECT *, CASE WHEN NOT sp AND su IN ('', 'No notes') THEN 'No speech' ELSE su END AS s2 FROM o)
+SELECT k AS meeting_id, CASE WHEN k % 3 = 1 AND st AND k % 8 = 0 THEN 'Title 2' WHEN k % 5 = 0 THEN o_orderpriority WHEN NOT sp THEN 'No speech' WHEN k % 4 = 0 THEN 'About ' || o_orderstatus WHEN k % 2 = 0 THEN 'The first line of a ' ELSE 'Meeting' END AS title,
+  s2 AS summary, CASE WHEN sp THEN 'notes' END AS notes, CASE WHEN sp AND s2 <> '' THEN 'm1' END AS reader, CASE WHEN k % 3 = 1 AND st THEN 'stored' ELSE 'run' END AS lines_from,
+  CASE WHEN k % 3 = 1 AND st THEN 'stored' WHEN k % 3 = 2 AND st AND k % 10 <> 0 AND k % 2 = 0 THEN 'carried' ELSE 'run' END AS names_from FROM s"""
+
+
 def upsert_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items after updates of their orders and deletions of cancelled ones: child rows go with their meeting."""
     orders = A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("meeting_id"), F.col("o_totalprice").alias("value"), F.lit(0).alias("version"))
@@ -215,5 +236,6 @@ QUERIES = {
     "library_days": (library_days, DAYS),
     "no_speech": (no_speech, SPEECH),
     "finalise": (finalise, FINALISE),
+    "finish_reruns": (finish_reruns, FINISH),
     "upsert_cascade": (upsert_cascade, UPSERT),
 }
