@@ -262,24 +262,34 @@ SELECT meeting_id, tag AS section, count(*) AS items, CAST(sum(length(t)) AS BIG
 
 
 def source_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as directory documents with keys of others, written by nation and read again."""
+    """Customers as directory documents with keys of others, in the person and in its contact, written by nation and read again; some entries are
+    broken, and some stand twice."""
     rows = A.table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    number = k.cast("string")
+    email = lambda at: F.struct(F.concat(F.lit("a"), number, F.lit(at)).alias("address"), F.when(k % 4 == 0, "contact").otherwise("").alias("from"))
+    contact = F.when(k % 6 == 0, F.struct(F.when(k % 12 == 0, "ios").alias("platform"), F.when(k % 18 == 0, " ").otherwise(F.concat(F.lit("k"), number)).alias("key"), k.alias("id"), F.lit(" Full ").alias("name"), F.lit(7).alias("linked"), F.lit("x").alias("theirs")))
     people = rows.select(
-        F.concat(F.lit("p"), F.col("c_custkey").cast("string")).alias("person_id"), F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 3 == 0, "met once").alias("note"), F.array(F.col("c_mktsegment")).alias("aliases"), F.col("c_custkey").alias("created"),
-        F.array(F.concat(F.lit("a"), F.col("c_custkey").cast("string"), F.lit("@x.org")), F.lit("not an address"), F.concat(F.lit("a"), F.col("c_custkey").cast("string"), F.lit("@X.org"))).alias("emails"),
-        F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit('{"name":"not this","rank":'), F.col("c_custkey").cast("string"), F.lit(',"tags":["a",{"b":1}]}'))).alias("extra"), "c_nationkey",
+        F.when(k % 50 == 0, "").otherwise(F.concat(F.lit("p"), number)).alias("person_id"), F.when(k % 51 == 0, "  ").otherwise(F.concat(F.lit(" "), "c_name")).alias("name"), F.when(k % 3 == 0, "met once").alias("note"), F.array(F.col("c_mktsegment"), F.lit(" ")).alias("aliases"), k.alias("created"), (k * 2).alias("lastUsed"),
+        F.when(k % 7 == 0, False).alias("voiceEnabled"), F.when(k == 1, True).alias("me"), F.array(email("@x.org"), email("@X.ORG"), email(" mail")).alias("emails"), contact.alias("contact"),
+        F.when(k % 2 == 0, F.concat(F.lit('{"name":"not this","rank":'), number, F.lit(',"tags":["a",{"b":1}]}'))).when(k % 5 == 0, '{"contact":"by phone"}').alias("extra"), "c_nationkey",
     )
-    documents = R.directory_documents(people.drop("c_nationkey")).join(people.select("person_id", "c_nationkey"), "person_id")
+    documents = R.directory_documents(people.drop("c_nationkey")).join(people.select("person_id", "c_nationkey"), "person_id").where("person_id <> ''")
+    documents = documents.unionByName(documents.select("person_id", F.replace("document", F.lit('"created"'), F.lit('"later"')).alias("document"), "c_nationkey").where("c_nationkey % 2 = 0"))
     path = fresh_path(spark, "people")
-    whole = documents.groupBy("c_nationkey").agg(F.concat(F.lit('{"people":['), F.array_join(F.array_sort(F.collect_list("document")), ","), F.lit("]}")).alias("value"))
+    ordered = F.array_join(F.array_sort(F.collect_list("document")), ",")
+    whole = documents.groupBy("c_nationkey").agg(F.concat(F.lit('{"people":[5,"text",{"id":7,"name":"no text"},'), ordered, F.lit("]}")).alias("value"))
     whole.repartition("c_nationkey").write.partitionBy("c_nationkey").text(path)
     found = R.people(spark, f"{path}/*")
-    kept = documents.select("person_id", F.get_json_object("document", "$.rank").alias("rank"), F.get_json_object("document", "$.tags").alias("tags"))
-    return found.join(kept, "person_id").select("person_id", "name", "note", F.array_join("aliases", ",").alias("aliases"), "created", "me", F.array_join("emails", ",").alias("emails"), "rank", "tags")
+    emails = F.array_join(F.transform("emails", lambda e: F.concat(e["address"], F.lit("/"), e["from"])), ",")
+    shown = F.concat_ws("|", "contact.platform", "contact.key", F.col("contact.id").cast("string"), "contact.name", F.col("contact.linked").cast("string"), "contact.raw")
+    return found.select("person_id", "name", "note", F.array_join("aliases", ",").alias("aliases"), "created", "last_used", "voice_enabled", "me", emails.alias("emails"), F.when(F.col("contact").isNotNull(), shown).alias("contact"), "extra")
 
 
-SOURCE_DIRECTORY = """SELECT 'p' || c_custkey AS person_id, c_name AS name, CASE c_custkey % 3 WHEN 0 THEN 'met once' END AS note, c_mktsegment AS aliases, c_custkey AS created, false AS me, 'a' || c_custkey || '@x.org' AS emails,
-CASE c_custkey % 2 WHEN 0 THEN CAST(c_custkey AS VARCHAR) END AS rank, CASE c_custkey % 2 WHEN 0 THEN '["a",{"b":1}]' END AS tags FROM customer"""
+SOURCE_DIRECTORY = """SELECT 'p' || k AS person_id, c_name AS name, CASE k % 3 WHEN 0 THEN 'met once' END AS note, c_mktsegment AS aliases, k AS created, k * 2 AS last_used, k % 7 <> 0 AS voice_enabled, k = 1 AS me,
+'a' || k || '@x.org/' || f || ',a' || k || ' mail/' || f AS emails, CASE WHEN k % 6 = 0 AND k % 18 <> 0 THEN CASE k % 12 WHEN 0 THEN 'ios' ELSE 'android' END || '|k' || k || '|' || k || '|Full|7|{"theirs":"x"}' END AS contact,
+CASE WHEN k % 2 = 0 THEN '{"rank":' || k || ',"tags":["a",{"b":1}]}' WHEN k % 5 = 0 THEN '{"contact":"by phone"}' END AS extra
+FROM (SELECT *, c_custkey AS k, CASE c_custkey % 4 WHEN 0 THEN 'contact' ELSE 'user' END AS f FROM customer WHERE c_custkey % 50 <> 0 AND c_custkey % 51 <> 0)"""
 
 
 def source_cards(spark: SparkSession, sf_dir: str) -> DataFrame:

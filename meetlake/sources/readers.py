@@ -13,7 +13,9 @@ MEETING = (
     f"id string, date timestamp, title string, summary string, seconds double, lines array<{LINE}>, notes array<{NOTE}>, audio string, speakerNames map<string,string>, "
     "speakerPeople map<string,string>, reader string, actionsEdited string, legacyNotes string, readerGuard struct<lines:int,notes:int,nonNote:int,unknownTag:int,malformed:int>, _corrupt_record string"
 )
-PERSON = "struct<id:string,name:string,note:string,aliases:array<string>,created:bigint,lastUsed:bigint,me:boolean,emails:array<string>>"
+# The keys of a person and of a contact in a directory document.
+KNOWN = ("id", "name", "note", "aliases", "created", "lastUsed", "voiceEnabled", "me", "emails", "contact")
+CONTACT = ("platform", "key", "id", "name", "org", "linked", "synced", "missing")
 
 
 def library(spark: SparkSession, path: str) -> DataFrame:
@@ -92,14 +94,38 @@ def transcript_lines(rows: DataFrame) -> DataFrame:
 
 
 def people(spark: SparkSession, path: str) -> DataFrame:
-    """A directory document: people with ids and names, of one id the first; e-mails as objects or strings, once by key."""
-    rows = spark.read.option("multiLine", True).schema(f"people array<{PERSON}>").json(path)
-    each = rows.select(F.posexplode("people").alias("pos", "p")).select("pos", "p.*").where("trim(coalesce(id, '')) <> '' and trim(coalesce(name, '')) <> ''")
-    first = each.withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy("pos"))).where("_r = 1").drop("_r")
-    address = lambda e: F.coalesce(F.get_json_object(e, "$.address"), e)
-    found = F.filter(F.transform(F.coalesce("emails", F.array().cast("array<string>")), address), X.is_email)
-    once = F.filter(found, lambda e, i: F.array_position(F.transform(found, X.email_key), X.email_key(e)) == i + 1)
-    return first.select(F.col("id").alias("person_id"), "name", "note", "aliases", "created", F.col("lastUsed").alias("last_used"), F.coalesce("me", F.lit(False)).alias("me"), once.alias("emails"))
+    """A directory document: people with a text as id and a name that isn't blank, of one id the first; broken entries are passed over, fields of
+    another kind than they should have count as missing.
+
+    person_id, name, note, aliases, created, last_used, voice_enabled, me, emails (address, from; objects or texts, once by key), contact (null where it
+    isn't an object with a key) and extra: a JSON object of the keys that aren't ours, which directory_documents() writes back.
+    """
+    rows = spark.read.option("multiLine", True).schema("people array<string>").json(path)
+    each = rows.select(F.posexplode("people").alias("pos", "_json")).withColumn("_v", F.try_parse_json("_json"))
+    kind = lambda v: F.schema_of_variant(v)
+    get = lambda v, key, to: F.try_variant_get(v, f"$.{key}", to)
+    trimmed = lambda c: F.nullif(F.regexp_replace(c, r"^\s+|\s+$", ""), F.lit(""))
+    text = lambda v, key: F.when(kind(get(v, key, "variant")) == "STRING", get(v, key, "string"))
+    listed = lambda key: F.coalesce(get(F.col("_v"), key, "array<variant>"), F.array().cast("array<variant>"))
+    each = each.where(F.startswith(kind(F.col("_v")), F.lit("OBJECT"))).withColumn("id", text(F.col("_v"), "id")).withColumn("name", trimmed(text(F.col("_v"), "name"))).where("trim(id) <> '' and name is not null")
+    first = each.withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy("pos"))).where("_r = 1")
+    own = lambda e: F.when(kind(e) == "STRING", F.struct(trimmed(e.cast("string")).alias("address"), F.lit("user").alias("from"))).when(F.startswith(kind(e), F.lit("OBJECT")), F.struct(trimmed(text(e, "address")).alias("address"), F.coalesce(F.nullif(text(e, "from"), F.lit("")), F.lit("user")).alias("from")))
+    found = F.filter(F.transform(listed("emails"), own), lambda e: e["address"].isNotNull())
+    key = lambda e: F.when(F.contains(e["address"], F.lit("@")), X.email_key(e["address"])).otherwise(e["address"])
+    once = F.filter("_e", lambda e, i: F.array_position(F.transform("_e", key), key(e)) == i + 1)
+    c = get(F.col("_v"), "contact", "variant")
+    linked = F.startswith(kind(c), F.lit("OBJECT"))
+    rest = lambda keys: F.map_filter(F.from_json(keys[0], "map<string,variant>"), lambda k, v: ~k.isin(*keys[1]) | ((k == "contact") & F.lit(keys[2]) & ~F.startswith(kind(v), F.lit("OBJECT"))))
+    written = lambda m: F.when(F.size(m) > 0, F.to_json(m))
+    contact = F.when(linked & (F.trim(text(c, "key")) != ""), F.struct(
+        F.coalesce(trimmed(text(c, "platform")), F.lit("android")).alias("platform"), text(c, "key").alias("key"), get(c, "id", "bigint").alias("id"), trimmed(text(c, "name")).alias("name"), trimmed(text(c, "org")).alias("org"),
+        F.coalesce(get(c, "linked", "bigint"), F.lit(0)).alias("linked"), F.coalesce(get(c, "synced", "bigint"), F.lit(0)).alias("synced"), F.coalesce(get(c, "missing", "boolean"), F.lit(False)).alias("missing"), written(rest((F.to_json(c), CONTACT, False))).alias("raw"),
+    ))
+    aliases = F.transform(F.filter(listed("aliases"), lambda a: (kind(a) == "STRING") & (F.trim(a.cast("string")) != "")), lambda a: a.cast("string"))
+    return first.withColumn("_e", found).select(
+        F.col("id").alias("person_id"), "name", trimmed(text(F.col("_v"), "note")).alias("note"), aliases.alias("aliases"), F.coalesce(get(F.col("_v"), "created", "bigint"), F.lit(0)).alias("created"), F.coalesce(get(F.col("_v"), "lastUsed", "bigint"), F.lit(0)).alias("last_used"),
+        F.coalesce(get(F.col("_v"), "voiceEnabled", "boolean"), F.lit(True)).alias("voice_enabled"), F.coalesce(get(F.col("_v"), "me", "boolean"), F.lit(False)).alias("me"), once.alias("emails"), contact.alias("contact"), written(rest(("_json", KNOWN, True))).alias("extra"),
+    )
 
 
 def podcast_feed(spark: SparkSession, path: str, most: int = 30) -> DataFrame:

@@ -46,9 +46,16 @@ def test_texts(spark):
 
 
 def test_people_and_feeds(spark, tmp_path):
-    doc = {"people": [{"id": "1", "name": "Ann", "emails": [{"address": "a@X.co"}, "a@x.co", "bad"]}, {"id": "1", "name": "Later"}, {"id": "", "name": "No"}, {"id": "2", "name": " "}]}
+    more = {"id": "3", "name": " Bo ", "note": 5, "aliases": ["B", "", 7], "emails": "none", "contact": {"key": "k", "org": " O ", "their": [1]}, "created": "x", "voiceEnabled": False, "my": {"a": 1}}
+    doc = {"people": [{"id": "1", "name": "Ann", "emails": [{"address": " a@X.co ", "from": "contact"}, "a@x.co", "bad", 5, {"address": " "}]}, {"id": "1", "name": "Later"}, {"id": "", "name": "No"}, {"id": "2", "name": " "}, {"id": 4, "name": "No"}, "text", None, more, {"id": "5", "name": "C", "contact": "call"}]}
     found = S.people(spark, write(tmp_path / "people.json", json.dumps(doc))).collect()
-    assert [(r.person_id, r.name, r.emails) for r in found] == [("1", "Ann", ["a@X.co"])]
+    ann, bo, c = sorted(found, key=lambda r: r.person_id)
+    assert (ann.person_id, ann.name, [tuple(e) for e in ann.emails], ann.contact, ann.extra) == ("1", "Ann", [("a@X.co", "contact"), ("bad", "user")], None, None)
+    assert (bo.name, bo.note, bo.aliases, bo.emails, bo.created, bo.voice_enabled, json.loads(bo.extra)) == ("Bo", None, ["B"], [], 0, False, {"my": {"a": 1}})
+    assert (bo.contact.platform, bo.contact.key, bo.contact.org, bo.contact.missing, json.loads(bo.contact.raw)) == ("android", "k", "O", False, {"their": [1]})
+    assert c.contact is None and json.loads(c.extra) == {"contact": "call"}
+    again = json.loads(S.directory_documents(S.people(spark, f"{tmp_path}/people.json")).where("person_id = '3'").first().document)
+    assert again["my"] == {"a": 1} and again["name"] == "Bo"
     feed = """<rss><channel><item><title>One</title><enclosure type="image/png" url="p.png"/><enclosure type="audio/mpeg" url="http://x/a.mp3?y"/></item>
     <item><title>None</title></item><item><title> </title><enclosure type="audio/mp4" url="http://x/b.m4a"/></item></channel></rss>"""
     found = S.podcast_feed(spark, write(tmp_path / "feed.xml", feed)).orderBy("pos").collect()
