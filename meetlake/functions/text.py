@@ -78,7 +78,10 @@ def terms(text: Column) -> Column:
     paired = lambda run: F.when(
         run.rlike(f"^[{SEARCH_CJK}]") & (F.char_length(run) > 1), F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length(run) - 1)), lambda k: F.substring(run, k, F.lit(2)))
     ).otherwise(F.array(run))
-    return F.when(text.rlike(f"[{SEARCH_CJK}]"), F.flatten(F.transform(runs, paired))).otherwise(runs)
+    # Most texts need no classes of characters: what splits them is chosen by what they hold
+    other = text.rlike(rf"[{SEARCH_CJK}\x{{10000}}-\x{{10FFFF}}]")
+    plain = F.regexp_extract_all(text, F.lit("[A-Za-z0-9]+"), F.lit(0))
+    return F.when(~text.rlike(r"[^\x00-\x7F]"), plain).when(other, F.flatten(F.transform(runs, paired))).otherwise(simple_terms(text))
 
 
 def has_all(text: Column, words: Column) -> Column:

@@ -13,6 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """A table as it is read, dealt to all cores if its files give fewer tasks: for what works hard on each text. A large table's files give more."""
+    tasks = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= tasks else rows.repartition(tasks)
+
+
 def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as utterances: 15 characters take a second, one at least."""
     rows = table(spark, sf_dir, "conversations")

@@ -71,7 +71,7 @@ HOMONYMS = f"WITH {PEOPLE}, k AS (SELECT *, count(*) OVER (PARTITION BY {KEY}) A
 def name_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as questions; the benchmark texts' first two words as names."""
     names = A.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("person_id"), F.regexp_extract("text", r"^([A-Za-z]+)\s+([A-Za-z]+)", 0).alias("name"))
-    asked = A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+    asked = A.spread(A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query")))
     return O.mentioned(asked, names)
 
 

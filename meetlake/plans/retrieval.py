@@ -11,7 +11,7 @@ from meetlake.plans import adapters as A
 
 
 def folded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.table(spark, sf_dir, "documents").select("doc_id", X.fold(F.col("text")).alias("text"))
+    return A.spread(A.table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", X.fold(F.col("text")).alias("text"))
 
 
 def keyword_hits(spark: SparkSession, sf_dir: str, best: int | None = None, per: str | None = None) -> DataFrame:
@@ -130,7 +130,7 @@ HAN = "".join(chr(0x4E00 + 37 * k) for k in range(26))
 def bm25_han(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The search in Han script: every Latin letter of documents and benchmark texts stands for a character."""
     han = lambda c: F.translate(F.lower(c), "abcdefghijklmnopqrstuvwxyz", HAN)
-    docs = A.table(spark, sf_dir, "documents").select("doc_id", han("text").alias("text"))
+    docs = A.spread(A.table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", han("text").alias("text"))
     asked = A.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), han("text").alias("query"))
     hits = R.top(R.bm25(docs, asked, best=10), ["query_id"], [F.desc(F.round("score", 6)), "doc_id"], 10)
     return hits.select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))

@@ -6,6 +6,8 @@ import json
 import random
 
 
+from pyspark.sql import functions as F
+
 from meetlake.functions import text as X
 from meetlake.operators import mail as M
 from meetlake.operators import passages as P
@@ -127,3 +129,9 @@ def test_links_are_added_once(spark):
     after2, links2 = O.linked_up(again, after)
     assert {(r.meeting_id, r.speaker): (r.name, r.person_id) for r in links2.collect()} == {k: v[:2] for k, v in got.items()} and not any(r.added for r in links2.collect())
     assert sorted(map(str, after2.collect())) == sorted(map(str, after.collect()))
+
+
+def test_terms_of_texts_of_all_kinds(spark):
+    texts = ["plain words 12 a_b", "Füße été №5", "禮券多少 mixed 字 x", "𝒳𝒴 astral a", "", "a\x00b", "ｗｉｄｅ ひら"]
+    found = [r.t for r in spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", X.terms(F.col("text")).alias("t")).orderBy("i").collect()]
+    assert found == [["plain", "words", "12", "a", "b"], ["Füße", "été", "5"], ["禮券", "券多", "多少", "mixed", "字", "x"], ["astral", "a"], [], ["a", "b"], ["ｗｉｄｅ", "ひら"]]
