@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet and reads it again for the next one. All but
 the last return the columns of ``docs``, whatever these are.
+
+Null, empty and blank texts pass all stages but for exact de-duplication, of which they are one group; texts are read whole, however long. Repeated rows
+fall to one in exact de-duplication. A null doc_id passes where it doesn't stand for a copy. Of an empty table nothing is left.
 """
 
 from __future__ import annotations
