@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Seconds: how far a turn may be, what a turn is padded by, how long after its start a change stands, a pause that holds, and the longest move.
 NEAR, PAD, LEAD, PAUSE, FAR = 3.0, 0.45, 0.30, 0.5, 0.4
+#: Turns are looked up by so many seconds.
+HELD = 60.0
 SPOKEN = re.compile(r"[^\W_]", re.ASCII)
 SILENT = re.compile("[ -⁯　-〿＀-／：-＠［-｀｛-･]")
 WORD = re.compile(r"[A-Za-z0-9']")
@@ -20,16 +22,19 @@ def spoken(ch: str) -> bool:
 
 
 def targets(chars: DataFrame, turns: DataFrame) -> DataFrame:
-    """meeting_id, pos and target (seconds) of each change that has a turn of its speaker near, at whose start nobody else speaks."""
+    """meeting_id, pos and target (seconds) of each change that has a turn of its speaker near, at whose start nobody else speaks. Changes meet starts in
+    buckets of NEAR seconds, and starts what others say in buckets of HELD, so a meeting's turns aren't all compared with each other."""
     before = F.lag("label").over(Window.partitionBy("meeting_id").orderBy("pos"))
     changes = chars.withColumn("_b", before).where("_b <> label").select("meeting_id", "pos", "label", F.col("start_s").alias("t"))
-    own = turns.select("meeting_id", F.col("label"), F.col("start_s").alias("_start"))
+    own = turns.select("meeting_id", F.col("label"), F.col("start_s").alias("_start")).withColumn("_k", F.floor((F.col("_start") + LEAD) / NEAR))
     off = F.abs(F.col("_start") + LEAD - F.col("t"))
-    best = changes.join(own, ["meeting_id", "label"]).where(off <= NEAR).groupBy("meeting_id", "pos", "label").agg(F.min_by("_start", F.struct(off, "_start")).alias("_start"))
+    here = F.floor(F.col("t") / NEAR)
+    best = changes.withColumn("_k", F.explode(F.array(here - 1, here, here + 1))).join(own, ["meeting_id", "label", "_k"]).where(off <= NEAR).groupBy("meeting_id", "pos", "label").agg(F.min_by("_start", F.struct(off, "_start")).alias("_start"))
     unpadded = lambda c: F.when(c == 0, 0.0).otherwise(c + PAD)
-    core = best.withColumn("_core", unpadded(F.col("_start")))
-    others = turns.select(F.col("meeting_id").alias("_m"), F.col("label").alias("_l"), unpadded(F.col("start_s")).alias("_a"), (F.col("end_s") - PAD).alias("_e"))
-    crossed = (F.col("meeting_id") == F.col("_m")) & (F.col("_l") != F.col("label")) & (F.col("_a") < F.col("_core")) & (F.col("_e") > F.col("_core"))
+    core = best.withColumn("_core", unpadded(F.col("_start"))).withColumn("_k", F.floor(F.col("_core") / HELD))
+    others = turns.select(F.col("meeting_id").alias("_m"), F.col("label").alias("_l"), unpadded(F.col("start_s")).alias("_a"), (F.col("end_s") - PAD).alias("_e")).where("_e > _a")
+    others = others.withColumn("_h", F.explode(F.sequence(F.floor(F.col("_a") / HELD), F.floor(F.col("_e") / HELD))))
+    crossed = (F.col("meeting_id") == F.col("_m")) & (F.col("_k") == F.col("_h")) & (F.col("_l") != F.col("label")) & (F.col("_a") < F.col("_core")) & (F.col("_e") > F.col("_core"))
     return core.join(others, crossed, "left_anti").select("meeting_id", "pos", (F.col("_start") + LEAD).alias("target"))
 
 
