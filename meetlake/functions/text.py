@@ -47,6 +47,13 @@ def seconds_of(text: Column) -> Column:
     return F.when(text.rlike(r"^(?:\d+:[0-5]?\d:[0-5]\d|\d+:[0-5]\d)$"), number(1) * 3600 + number(2) * 60 + number(3))
 
 
+def lenient_seconds(text: Column) -> Column:
+    """Seconds of a note's time however it is written: its parts that are numbers, as h:m:s or m:s; 0 where they are neither two nor three."""
+    n = F.filter(F.transform(F.split(text, ":"), lambda x: x.try_cast("double")), lambda x: x.isNotNull())
+    part = lambda k: F.get(n, F.lit(k))
+    return F.when(F.size(n) == 3, part(0) * 3600 + part(1) * 60 + part(2)).when(F.size(n) == 2, part(0) * 60 + part(1)).otherwise(0.0)
+
+
 def subtitle_clock(seconds: Column, separator: str) -> Column:
     """hh:mm:ss and milliseconds, rounded."""
     ms = F.greatest(F.lit(0), F.round(seconds * 1000)).cast("long")

@@ -67,6 +67,23 @@ def usage(links: DataFrame, meetings: DataFrame) -> DataFrame:
     return each.groupBy("person_id").agg(F.count("*").alias("meetings"), F.max("date").alias("newest"), F.max_by("title", F.struct("date", "meeting_id")).alias("title"))
 
 
+def chips(people: DataFrame, used: DataFrame, sign: str = " · ", one: str = "meeting", many: str = "meetings") -> DataFrame:
+    """person_id, ord and chip, a person's name with the number of meetings: who was in most meetings first, then by name. used: as of usage()."""
+    counted = people.join(used.select("person_id", "meetings"), "person_id", "left").withColumn("meetings", F.coalesce("meetings", F.lit(0)))
+    text = F.concat("name", F.lit(sign), F.col("meetings").cast("string"), F.lit(" "), F.when(F.col("meetings") == 1, one).otherwise(many))
+    return ordered(counted.withColumn("chip", text), [F.desc("meetings"), F.asc("name"), F.asc("person_id")], "ord").select("person_id", "ord", "chip")
+
+
+def ordered(rows: DataFrame, order: list, name: str) -> DataFrame:
+    """rows with their place in one order over all of them, from 1: sorted over all tasks, each of which counts on from the rows before it."""
+    placed = settle(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id()), "placed")
+    part = F.shiftright("_place", 33)  # the task's number; the lower bits are the row's within it
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_part", before.alias("_start"))
+    return placed.join(starts, part == F.col("_part")).withColumn(name, F.col("_start") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_place", "_part", "_start")
+
+
 def homonyms(people: DataFrame) -> DataFrame:
     """People whose name's key others have too."""
     keyed = people.withColumn("key", X.name_key(F.col("name")))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meetlake.functions import text as X
+from meetlake.operators import library as L
 from meetlake.operators import mail as M
 from meetlake.operators import notes as N
 from meetlake.operators import passages as P
@@ -15,7 +16,7 @@ from meetlake.operators.script import OTHER, staged
 from meetlake.plans import adapters as A
 from meetlake.plans import people as Q
 from meetlake.plans.passages import TOKENS
-from meetlake.plans.retrieval import LEXICAL, ROUTING, dense_hits, keyword_hits
+from meetlake.plans.retrieval import LEXICAL, LIBRARY_RRF, ROUTING, dense_hits, keyword_hits, library_rrf
 
 #: A dictionary of phrases that overlap and lie inside each other, and one of characters that also reads what the first one writes.
 PHRASES = (("tion", "XN"), ("ing", "NG"), ("the", "D7"), ("ti", "7"), ("in", "1"), ("he", "H"), ("and", "and"), ("nd", "Q"))
@@ -151,6 +152,36 @@ w AS (SELECT pp.person_id, pp.name, greatest(2, coalesce(o.used, 2)) AS last_use
 l AS (SELECT * FROM v UNION ALL SELECT f.meeting_id, f.speaker, trim(f.name), o.person_id, true FROM f JOIN o ON o.key = f.key)
 SELECT l.meeting_id, l.speaker, l.name, l.person_id, l.added, w.name AS person, w.last_used FROM l JOIN w ON w.person_id = l.person_id"""
 
+def person_chips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.chips(Q.directory(spark, sf_dir), Q.usage(spark, sf_dir))
+
+
+CHIPS = f"""WITH {Q.PEOPLE}, u AS ({Q.USAGE}), c AS (SELECT pp.person_id, pp.name, coalesce(meetings, 0) AS n FROM pp LEFT JOIN u ON u.person_id = pp.person_id)
+SELECT person_id, row_number() OVER (ORDER BY n DESC, name, person_id) AS ord, name || ' · ' || n || CASE n WHEN 1 THEN ' meeting' ELSE ' meetings' END AS chip FROM c"""
+
+
+def library_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of twenty meetings those that are done and found by each question, in the order of its hits."""
+    meetings = spark.range(20).select(F.col("id").alias("meeting_id"), F.concat(F.lit("Meeting "), F.col("id").cast("string")).alias("title"), (F.col("id") % 4 != 0).alias("done"), F.lit(1).alias("date"))
+    hits = R.top(library_rrf(spark, sf_dir), ["query_id"], [F.desc("score"), "meeting_id"], 20)
+    return L.found_first(L.filtered(meetings, hits, done_only=True), hits).select("query_id", "rank", "meeting_id", "title")
+
+
+FOUND = f"""WITH h AS ({LIBRARY_RRF}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, meeting_id) AS rank FROM h)
+SELECT query_id, rank, meeting_id, 'Meeting ' || meeting_id AS title FROM r WHERE meeting_id % 4 <> 0"""
+
+
+def lenient_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times of events in forms good and bad."""
+    n = F.col("event_id")
+    text = F.get(F.array(F.concat((n % 70).cast("string"), F.lit(":"), (n % 60).cast("string")), F.concat(F.lit("1:"), (n % 60).cast("string"), F.lit(":7.5")), F.concat(F.lit("x:"), n.cast("string"), F.lit(":9")), n.cast("string"), F.lit("1:2:3:4"), F.lit("")), (n % 6).cast("int"))
+    return A.table(spark, sf_dir, "events").select("event_id", X.lenient_seconds(text).alias("seconds"))
+
+
+LENIENT = """WITH t AS (SELECT event_id AS n, CASE event_id % 6 WHEN 0 THEN (event_id % 70) || ':' || (event_id % 60) WHEN 1 THEN '1:' || (event_id % 60) || ':7.5' WHEN 2 THEN 'x:' || event_id || ':9' WHEN 3 THEN CAST(event_id AS VARCHAR) WHEN 4 THEN '1:2:3:4' ELSE '' END AS x FROM events),
+p AS (SELECT n, list_filter(list_transform(string_split(x, ':'), lambda y: TRY_CAST(y AS DOUBLE)), lambda y: y IS NOT NULL) AS p FROM t)
+SELECT n AS event_id, CASE len(p) WHEN 3 THEN p[1] * 3600 + p[2] * 60 + p[3] WHEN 2 THEN p[1] * 60 + p[2] ELSE 0.0 END AS seconds FROM p"""
+
 QUERIES = {
     "script_stages": (script_stages, STAGES),
     "lexical_script": (lexical_script, LEXICAL_SCRIPT),
@@ -158,4 +189,7 @@ QUERIES = {
     "reading_segments": (reading_segments, SEGMENTS),
     "import_documents": (import_documents, IMPORT),
     "directory_links": (directory_links, LINKED),
+    "person_chips": (person_chips, CHIPS),
+    "library_found": (library_found, FOUND),
+    "lenient_times": (lenient_times, LENIENT),
 }
