@@ -14,6 +14,7 @@ from meetlake.operators import passages as P
 from meetlake.operators import render as D
 from meetlake.operators import retrieval as T
 from meetlake.operators import voice as V
+from meetlake.operators.people import ordered
 from meetlake.operators.script import converted
 from meetlake.operators.snap import snapped_changes
 from meetlake.plans import adapters as A
@@ -350,8 +351,10 @@ def picker_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumn("within", F.col("c_nationkey") == 1).withColumn("meetings", F.coalesce("meetings", F.lit(0)))
     recent = rows.where("not within and newest is not null").orderBy(F.desc("newest"), "person_id").limit(5).select("person_id", F.lit(True).alias("recent"))
     section = F.when(F.col("within"), 0).when(F.col("recent"), 1).otherwise(2)
-    listed = rows.join(recent, "person_id", "left").select("person_id", "name", "meetings", section.alias("section"))
-    return listed.withColumn("ord", F.row_number().over(Window.partitionBy("section").orderBy(F.desc("meetings"), X.name_key(F.col("name")), "person_id")))
+    listed = rows.join(recent, "person_id", "left").select("person_id", "name", "meetings", section.alias("section"), X.name_key(F.col("name")).alias("key"))
+    placed = ordered(listed, [F.asc("section"), F.desc("meetings"), F.asc("key"), F.asc("person_id")], "place")  # nearly all people are in one section
+    starts = placed.groupBy("section").agg(F.min("place").alias("start"))
+    return placed.join(starts, "section").select("person_id", "name", "meetings", "section", (F.col("place") - F.col("start") + 1).alias("ord"))
 
 
 PICKER = f"""WITH {O.LINKS}, {O.PEOPLE}, u AS (SELECT person_id, count(*) AS meetings, max(date) AS newest FROM lk WHERE person_id IS NOT NULL GROUP BY ALL),
