@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meetlake.operators.retrieval import RANK, top
+from meetlake.operators.timeline import asof_join
 
 BUDGET, HEADER, MOST = 800, 24, 8
 
@@ -99,10 +100,24 @@ def collapsed(text: str):
 
 
 def checked(cites: DataFrame, excerpts: DataFrame) -> DataFrame:
-    """Citations (conversation, cite_id, meeting_id, sec) moved to the nearest excerpt of their meeting in the conversation; without one they
-    are dropped. excerpts: conversation, k, meeting_id, sec."""
-    same = cites.join(excerpts.withColumnRenamed("sec", "_sec"), ["conversation", "meeting_id"])
-    return same.groupBy("conversation", "cite_id", "meeting_id").agg(F.min_by("_sec", F.struct(F.abs(F.col("_sec") - F.col("sec")), "k")).alias("sec"))
+    """Citations (conversation, cite_id, meeting_id, sec) moved to the nearest excerpt of their meeting in the conversation (of equally near ones the
+    smallest k; a citation without a second goes to the smallest k of all); without one they are dropped. excerpts: conversation, k, meeting_id, sec.
+
+    Equal places count once on either side; the nearest is the last at or before a place or the first from it on: two sorted passes, no pairs.
+    """
+    keys = ["conversation", "meeting_id"]
+    known = excerpts.where("sec is not null")
+    places = known.groupBy(*keys, F.col("sec").alias("_sec")).agg(F.min("k").alias("_k"))
+    asked = cites.where("sec is not null").select(*keys, "sec").distinct()
+    past = asof_join(asked, places.select(*keys, F.col("_sec").alias("p_sec"), F.col("_k").alias("p_k")), keys, "sec", "p_sec", ["p_sec", "p_k"], ["sec"])
+    late = places.select(*keys, (-F.col("_sec")).alias("_at"), F.col("_sec").alias("n_sec"), F.col("_k").alias("n_k"))
+    both = asof_join(past.withColumn("_e", -F.col("sec")), late, keys, "_e", "_at", ["n_sec", "n_k"], ["sec"])
+    side = lambda s, k: F.when(F.col(s).isNotNull(), F.struct(F.abs(F.col(s) - F.col("sec")).alias("far"), F.col(k).alias("k"), F.col(s).alias("to")))
+    best = both.select(*keys, "sec", F.least(side("p_sec", "p_k"), side("n_sec", "n_k")).alias("_best")).where("_best is not null")
+    first = known.groupBy(*keys).agg(F.min(F.struct(F.lit(0).cast("long").alias("far"), "k", F.col("sec").alias("to"))).alias("_best"))
+    found = cites.join(best, [*keys, "sec"]).select(*keys, "cite_id", "_best.far", "_best.k", "_best.to")
+    bare = cites.where("sec is null").join(first, keys).select(*keys, "cite_id", "_best.far", "_best.k", "_best.to")
+    return found.unionByName(bare).groupBy("conversation", "cite_id", "meeting_id").agg(F.min_by("to", F.struct("far", "k")).alias("sec"))
 
 
 def pooled(excerpts: DataFrame) -> DataFrame:
