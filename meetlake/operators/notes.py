@@ -210,24 +210,26 @@ def repaired(texts: DataFrame, known: DataFrame, within: int = 30) -> DataFrame:
     else it goes; a time stands once in a tag. Other brackets, and tags in double brackets, stay. known: meeting_id, ts, pos (of several
     spellings of a time the first counts). text_id is unique.
 
-    Texts are cut at their tags; only items travel. They meet the known times in buckets of ``within`` seconds.
+    Texts are cut at their tags; only items travel. Each distinct item of a meeting meets the known times once, in buckets of ``within`` seconds. What is
+    made of them is merged with the texts: a planner that estimates it by the texts' file takes it for small and would send it through the driver.
     """
     cut = texts.withColumn("_tags", F.regexp_extract_all("text", F.lit(STAMP), F.lit(0)))
     tags = cut.where(F.size("_tags") > 0).select("meeting_id", "text_id", F.posexplode("_tags").alias("tag", "_inner"))
     listed = F.split(F.translate(F.regexp_replace("_inner", r"^\[|\]$", ""), "：", ":"), BETWEEN)
-    items = tags.select("meeting_id", "text_id", "tag", F.posexplode(listed).alias("item", "_item")).withColumn("_spans", spans_of(F.col("_item"))).where("_spans is not null").drop("_item")
+    items = tags.select("meeting_id", "text_id", "tag", F.posexplode(listed).alias("item", "_item"))
+    kinds = items.select("meeting_id", "_item").distinct().withColumn("_spans", spans_of(F.col("_item"))).where("_spans is not null")
     number = lambda k: F.get(F.split("ts", ":"), F.lit(k)).try_cast("int")
     second = F.when(F.col("ts").rlike(r"^-?\d+:-?\d+$"), number(0) * 60 + number(1)).when(F.col("ts").rlike(r"^-?\d+:-?\d+:-?\d+$"), number(0) * 3600 + number(1) * 60 + number(2))
     times = known.withColumn("k", second).where("k is not null").groupBy("meeting_id", "k").agg(F.min_by("ts", "pos").alias("ts")).withColumn("_b", F.floor(F.col("k") / within))
     spread = F.flatten(F.transform("_spans", lambda s: F.sequence(F.floor((s["low"] - within) / within), F.floor((s["high"] + within) / within))))
-    asked = items.withColumn("_b", F.explode(F.array_distinct(spread)))
+    asked = kinds.withColumn("_b", F.explode(F.array_distinct(spread)))
     far = F.array_min(F.transform("_spans", lambda s: F.when(F.col("k").between(s["low"], s["high"]), 0).otherwise(F.least(F.abs(F.col("k") - s["low"]), F.abs(F.col("k") - s["high"])))))
     near = asked.join(times, ["meeting_id", "_b"]).withColumn("_far", far).where(F.col("_far") <= within)
-    best = near.groupBy("meeting_id", "text_id", "tag", "item").agg(F.min_by("ts", F.struct("_far", "k")).alias("ts"))
+    best = near.groupBy("meeting_id", "_item").agg(F.min_by("ts", F.struct("_far", "k")).alias("ts"))
     shown = F.array_join(F.transform(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("item", "ts"))), lambda x: x["ts"])), lambda t: F.concat(F.lit("["), t, F.lit("]"))), " ")
-    made = best.groupBy("meeting_id", "text_id", "tag").agg(shown.alias("_shown")).groupBy("meeting_id", "text_id").agg(F.map_from_entries(F.collect_list(F.struct("tag", "_shown"))).alias("_made"))
+    made = items.join(best.hint("merge"), ["meeting_id", "_item"]).groupBy("meeting_id", "text_id", "tag").agg(shown.alias("_shown")).groupBy("meeting_id", "text_id").agg(F.map_from_entries(F.collect_list(F.struct("tag", "_shown"))).alias("_made"))
     pieces = F.transform(F.split("text", STAMP, -1), lambda p, i: F.concat(p, F.coalesce(F.try_element_at("_made", i), F.lit(""))))
-    return cut.join(made, ["meeting_id", "text_id"], "left").withColumn("repaired", F.when(F.size("_tags") > 0, F.array_join(pieces, "")).otherwise(F.col("text"))).drop("_tags", "_made")
+    return cut.join(made.hint("merge"), ["meeting_id", "text_id"], "left").withColumn("repaired", F.when(F.size("_tags") > 0, F.array_join(pieces, "")).otherwise(F.col("text"))).drop("_tags", "_made")
 
 
 def language(lines: DataFrame, least: int = 20) -> DataFrame:

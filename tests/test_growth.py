@@ -10,6 +10,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from meetlake.operators import ask as K
+from meetlake.operators import notes as N
 from meetlake.operators import retrieval as R
 
 
@@ -49,3 +51,42 @@ def test_scores_hold_a_bounded_part(spark):
             best.setdefault(q // 3, []).append((-s, k))
     for q in range(200):
         assert [k for _, k in sorted(best[q])[:5]] == np.argsort(-want[:, q], kind="stable")[:5].tolist()
+
+
+def plan_of(rows) -> str:
+    return rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_repaired_texts_pass_no_driver(spark, tmp_path):
+    """What is made of the items of texts isn't broadcast, however small the planner takes it for, and equal items meet the times once."""
+    texts = spark.createDataFrame([(1, k, "at [0:05] [[0:05]] and [0:5, 9:00] x") for k in range(3)] + [(2, 9, "[1:00]")], "meeting_id long, text_id long, text string")
+    known = spark.createDataFrame([(1, "0:07", 1), (1, "0:52", 2)], "meeting_id long, ts string, pos long")
+    for rows, name in ((texts, "texts"), (known, "known")):
+        rows.write.parquet(f"{tmp_path}/{name}")
+    found = N.repaired(*(spark.read.parquet(f"{tmp_path}/{name}") for name in ("texts", "known")))
+    assert plan_of(found).count("BroadcastHashJoin") <= 1
+    assert {(r.text_id, r.repaired) for r in found.collect()} == {(k, "at [0:07] [[0:05]] and [0:52] x") for k in range(3)} | {(9, "")}
+
+
+def test_citations_make_no_pairs(spark):
+    """2,000 citations and 2,000 excerpts of one meeting, a few seconds each: no join has more rows than both."""
+    cites = spark.range(2000).selectExpr("1L as conversation", "id as cite_id", "1L as meeting_id", "if(id = 7, null, id % 300) as sec")
+    excerpts = spark.range(2000).selectExpr("1L as conversation", "1999 - id as k", "1L as meeting_id", "if(id % 5 = 0, 0L, (id * 7) % 211) as sec").where("sec % 9 <> 4")
+    found = K.checked(cites, excerpts)
+    rows = {r.cite_id: r.sec for r in found.collect()}
+    places = [(r.k, r.sec) for r in excerpts.collect()]
+    for r in cites.collect():
+        assert rows[r.cite_id] == (min(places)[1] if r.sec is None else min((abs(s - r.sec), k, s) for k, s in places)[2])
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        run = K.checked(cites, excerpts)._jdf.queryExecution()
+        run.executedPlan().executeCollect()
+        plan, most = [run.executedPlan()], 0
+        while plan:
+            node = plan.pop()
+            if "Join" in node.nodeName():
+                most = max(most, node.metrics().apply("numOutputRows").value())
+            plan += [node.children().apply(i) for i in range(node.children().size())]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert most <= 4000
