@@ -2,43 +2,62 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meetlake.sources.settled import settle
-
 #: Texts with these are left alone: Japanese and Korean.
 OTHER = r"[\x{3040}-\x{30FF}\x{AC00}-\x{D7A3}\x{1100}-\x{11FF}]"
 
+#: Up to so many entries are looked for by one pattern.
+FEW = 300
+
+
+def conversion(dictionary: DataFrame) -> Callable[[Column], Column]:
+    """The dictionary as a function of texts: its longest entries are replaced from left to right. dictionary: key, to (of several for a key the smallest
+    counts; an entry that stands for itself keeps shorter ones away). A dictionary's size doesn't follow the texts', so it is sent to the tasks; texts stay
+    where they are. Few entries make one pattern; with more, each place where one may begin is looked up by its entries' lengths."""
+    rows = dictionary.where("key <> ''").groupBy("key").agg(F.min("to").alias("to")).where("to is not null").collect()
+    shared = dictionary.sparkSession.sparkContext.broadcast({r.key: r.to for r in rows})
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        entries, lengths = shared.value, {}
+        for key in entries:
+            lengths.setdefault(key[0], set()).add(len(key))
+        lengths = {c: sorted(n, reverse=True) for c, n in lengths.items()}
+        begins = re.compile(f"[{''.join(map(re.escape, sorted(lengths)))}]").search
+        if len(entries) <= FEW:
+            whole = re.compile("|".join(map(re.escape, sorted(entries, key=len, reverse=True))))
+            for texts in batches:
+                yield texts.map(lambda text: whole.sub(lambda m: entries[m[0]], text), na_action="ignore")
+            return
+
+        def replaced(text: str | None) -> str | None:
+            if text is None:
+                return None
+            out, done, at = [], 0, begins(text)
+            while at:
+                here = at.start()
+                length = next((n for n in lengths[text[here]] if text[here : here + n] in entries), 0)
+                if length:
+                    out += (text[done:here], entries[text[here : here + length]])
+                    done = here + length
+                at = begins(text, here + max(length, 1))
+            return "".join([*out, text[done:]])
+
+        for texts in batches:
+            yield texts.map(replaced)
+
+    return lambda text: F.when(text.rlike(OTHER), text).otherwise(run(text)) if rows else text
+
 
 def converted(texts: DataFrame, dictionary: DataFrame, key: str = "id") -> DataFrame:
-    """Texts (key, text) with the dictionary's longest entries replaced from left to right. dictionary: key, to (of several for a key the smallest
-    counts; an entry that stands for itself keeps shorter ones away). Keys of texts are unique.
-
-    Entries apply only inside runs of characters that occur in entries (a script's characters, collected for a pattern). Texts are cut into
-    such runs and what lies between; each distinct run is converted once: its places meet the entries by their first character, the longest
-    at each place stays, and a fold drops those that an earlier one covers. Then the texts are put together again.
-    """
-    entries = dictionary.where("key <> ''").groupBy(F.col("key").alias("_k")).agg(F.min("to").alias("_to")).withColumn("_c", F.substring("_k", 1, 1))
-    letters = sorted(r.c for r in entries.select(F.explode(F.split("_k", "")).alias("c")).where("c <> ''").distinct().collect())
-    if not letters:
-        return texts
-    kind = "".join(rf"\x{{{ord(c):X}}}" for c in letters)
-    rows = texts.where(~F.col("text").rlike(OTHER)).select(F.col(key).alias("_id"), F.posexplode(F.regexp_extract_all("text", F.lit(rf"[{kind}]+|[^{kind}]+"), F.lit(0))).alias("_n", "_part"))
-    runs = rows.where(F.col("_part").rlike(rf"^[{kind}]")).select(F.col("_part").alias("_run")).distinct()
-    places = runs.select("_run", F.posexplode(F.split("_run", "")).alias("_p", "_c")).where("_c <> ''")
-    found = places.join(entries, "_c").where(F.col("_run").substr(F.col("_p") + 1, F.char_length("_k")) == F.col("_k"))
-    best = found.groupBy("_run", "_p").agg(F.max_by(F.struct(F.char_length("_k").alias("n"), F.col("_to").alias("to")), F.char_length("_k")).alias("m"))
-    listed = best.groupBy("_run").agg(F.array_sort(F.collect_list(F.struct("_p", "m.n", "m.to"))).alias("_m"))
-    between = lambda a, b: F.col("_run").substr(a + 1, b - a)
-    step = lambda s, m: F.when(m["_p"] < s["at"], s).otherwise(F.struct((m["_p"] + m["n"]).alias("at"), F.concat(s["out"], between(s["at"], m["_p"]), m["to"]).alias("out")))
-    done = F.aggregate("_m", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    new = listed.withColumn("_done", done).select("_run", F.concat("_done.out", between(F.col("_done.at"), F.char_length("_run"))).alias("_new"))
-    parts = rows.join(new, F.col("_part") == F.col("_run"), "left").select("_id", F.struct("_n", F.coalesce("_new", "_part").alias("_t")).alias("_x"))
-    whole = parts.groupBy("_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("_x")), lambda x: x["_t"]), "").alias("_whole"))
-    return texts.join(whole, F.col(key) == F.col("_id"), "left").withColumn("text", F.coalesce("_whole", "text")).drop("_id", "_whole")
+    """Texts (key, text) after conversion() with the dictionary."""
+    return texts.withColumn("text", conversion(dictionary)(F.col("text")))
 
 
 def staged(texts: DataFrame, dictionaries: Sequence[DataFrame], key: str = "id") -> DataFrame:
@@ -49,7 +68,8 @@ def staged(texts: DataFrame, dictionaries: Sequence[DataFrame], key: str = "id")
 
 
 def folded(rows: DataFrame, column: str, dictionaries: Sequence[DataFrame], name: str) -> DataFrame:
-    """rows with ``name``: the column's text in one script. Each distinct text is folded once; null stays null."""
-    once = settle(rows.select(F.col(column).alias("text")).where("text is not null").distinct().withColumn("id", F.col("text")), "distinct")
-    done = staged(once, dictionaries).select(F.col("id").alias("_id"), F.col("text").alias(name))
-    return rows.join(done, F.col(column) == F.col("_id"), "left").drop("_id")
+    """rows with ``name``: the column's text in one script. Null stays null."""
+    rows = rows.withColumn(name, F.col(column))
+    for dictionary in dictionaries:
+        rows = rows.withColumn(name, conversion(dictionary)(F.col(name)))
+    return rows

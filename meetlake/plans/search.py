@@ -39,7 +39,7 @@ def fold_sql(text: str) -> str:
 
 def script_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents through both dictionaries."""
-    found = staged(A.table(spark, sf_dir, "documents").select("doc_id", "text"), dictionaries(spark), "doc_id")
+    found = staged(A.spread(A.table(spark, sf_dir, "documents").select("doc_id", "text")), dictionaries(spark), "doc_id")
     return found.select("doc_id", F.sha2("text", 256).alias("text_sha256"))
 
 
