@@ -94,19 +94,27 @@ def followed(exemplars: DataFrame, edits: DataFrame) -> DataFrame:
     """Exemplars after directory edits in the order of ``seq``: a meeting, a person, or a person's exemplar of a meeting is removed; a person's
     exemplars, or the one of a meeting, move to another person.
 
-    edits: seq, kind (remove or move), person (null: anybody), meeting_id (null: any), to. Each round applies to every exemplar the first edit
-    that concerns it after its last one, so rounds are as many as an exemplar has moves.
+    edits: seq, kind (remove or move), person (null: anybody), meeting_id (null: any), to. What an edit concerns is a person and a meeting, so
+    exemplars that share both move as one. Each round applies to each such pair the first edit that concerns it after its last one, found by one sort
+    of pairs and edits, so rounds are as many as a pair has moves.
     """
-    rows = settle(exemplars.withColumn("_row", F.monotonically_increasing_id()), "exemplars")
-    state = rows.select("_row", "person", "meeting_id", F.lit(-1).cast("long").alias("_at"))
-    log = settle(edits.select(F.col("seq").cast("long").alias("seq"), "kind", F.col("person").alias("_p"), F.col("meeting_id").alias("_m"), "to"), "edits")
-    after = F.col("seq") > F.col("_at")
+    state = settle(exemplars.select("person", "meeting_id").distinct().select(F.col("person").alias("_of"), "person", "meeting_id", F.lit(-1).cast("long").alias("_at")), "pairs")
+    log = settle(edits.where("person is not null or meeting_id is not null").select(F.col("person").alias("_p"), F.col("meeting_id").alias("_m"), F.struct(F.col("seq").cast("long").alias("seq"), "kind", "to").alias("_e")), "edits")
+    marks = log.select("_p", "_m", F.col("_e.seq").alias("_t"), F.lit(1).alias("_side"), "_e")
+    nobody, nowhere = (F.lit(None).cast(exemplars.schema[c].dataType) for c in ("person", "meeting_id"))
+    keys = [(F.col("person"), F.col("meeting_id")), (F.col("person"), nowhere), (nobody, F.col("meeting_id"))]
+    kept = None
     while True:
-        by_person = state.join(log.where("_p is not null"), F.col("person") == F.col("_p")).where(after & (F.col("_m").isNull() | (F.col("_m") == F.col("meeting_id"))))
-        by_meeting = state.join(log.where("_p is null and _m is not null"), F.col("meeting_id") == F.col("_m")).where(after)
-        hits = by_person.unionByName(by_meeting).groupBy("_row").agg(F.min_by(F.struct("seq", "kind", "to"), "seq").alias("_e"))
-        hits = settle(hits, "hits")
-        if hits.isEmpty():
-            return rows.drop("person").join(state.select("_row", "person"), "_row").select(*exemplars.columns)
-        moved = state.join(hits, "_row", "left").where("_e is null or _e.kind = 'move'")
-        state = settle(moved.select("_row", F.coalesce("_e.to", "person").alias("person"), "meeting_id", F.coalesce("_e.seq", "_at").alias("_at")), "state")
+        # At one number a pair stands before the edit in falling order, so its own last edit doesn't count again.
+        asked = state.withColumn("_k", F.explode(F.array(*(F.struct(p.alias("p"), m.alias("m")) for p, m in keys)))).select(F.col("_k.p").alias("_p"), F.col("_k.m").alias("_m"), F.col("_at").alias("_t"), F.lit(0).alias("_side"), F.struct("_of", "person", "meeting_id", "_at").alias("_row"))
+        until = Window.partitionBy("_p", "_m").orderBy(F.desc("_t"), "_side").rowsBetween(Window.unboundedPreceding, 0)
+        met = marks.unionByName(asked, allowMissingColumns=True).withColumn("_next", F.last("_e", ignorenulls=True).over(until)).where("_side = 0")
+        first = settle(met.groupBy("_row").agg(F.min_by("_next", "_next.seq").alias("_e")).select("_row.*", "_e"), "hits")
+        done = first.where("_e is null").select("_of", "person", "meeting_id")
+        kept = done if kept is None else kept.unionByName(done)
+        state = first.where("_e.kind = 'move'").select("_of", F.coalesce("_e.to", "person").alias("person"), "meeting_id", F.col("_e.seq").alias("_at"))
+        if state.isEmpty():
+            break
+    now = kept.select(F.col("_of"), F.col("meeting_id").alias("_in"), F.col("person").alias("_now"))
+    same = F.col("person").eqNullSafe(F.col("_of")) & F.col("meeting_id").eqNullSafe(F.col("_in"))
+    return exemplars.join(now, same).withColumn("person", F.col("_now")).select(*exemplars.columns)

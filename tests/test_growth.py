@@ -11,10 +11,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from meetlake.operators import ask as K
+from meetlake.operators import mail as M
 from meetlake.operators import notes as N
 from meetlake.operators import retrieval as R
 from meetlake.operators import script
 from meetlake.operators import timeline
+from meetlake.operators import voice as V
 
 
 def scored(passages: int, terms: int, queries: int, share: float, best: int | None):
@@ -156,3 +158,43 @@ def test_common_seconds_make_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(timeline, "overlap_join", None)
     old, new = (spark.createDataFrame(rows, "meeting_id long, speaker int, start_s double, end_s double") for rows in sides)
     assert {(r.meeting_id, r.old_speaker, r.new_speaker): r.seconds for r in timeline.overlap_matrix(old, new, 16.0).collect()} == want
+
+
+def test_moves_follow_pairs_not_exemplars(spark, monkeypatch):
+    """Exemplars of one person and meeting move as one; a plain version of the log."""
+    rng = np.random.default_rng(6)
+    rows = [(k, None if k % 41 == 0 else int(k % 4), int(k % 3), 1.0) for k in range(300)]
+    edits = [(n, "remove" if n % 9 == 0 else "move", None if n % 7 == 0 else int(rng.integers(0, 5)), int(rng.integers(0, 3)) if n % 7 == 0 or n % 2 else None, int(rng.integers(0, 5))) for n in range(0, 40)]
+    want = {}
+    for k, p, m, _ in rows:
+        for _, kind, of, at, to in edits:
+            if p == "gone" or of is not None and of != p or at is not None and at != m:
+                continue
+            p = to if kind == "move" else "gone"
+        if p != "gone":
+            want[k] = p
+    sizes = []
+    monkeypatch.setattr(V, "settle", lambda df, name: (sizes.append(df.count()) if name != "edits" else None, df.localCheckpoint())[1])
+    found = V.followed(spark.createDataFrame(rows, "speaker long, person long, meeting_id long, seconds double"), spark.createDataFrame(edits, "seq long, kind string, person long, meeting_id long, to long"))
+    assert {r.speaker: r.person for r in found.collect()} == want and want
+    assert max(sizes) <= 15
+
+
+def test_mails_repeat_no_item(spark):
+    """Items stand once, not once for each variant."""
+    items = spark.createDataFrame([(1, k, t, f"item {k} " * 9, None) for k, t in enumerate(["PROPOSAL", "NUMBER", "OPEN-ISSUE", "DECISION"] * 8)], "meeting_id long, pos long, tag string, text string, ts string")
+    meetings = spark.createDataFrame([(1, "t", "facts", "one\n\ntwo")], "meeting_id long, title string, facts string, summary string")
+    sections = spark.createDataFrame([(0, "D", "DECISION"), (1, "O", "OPEN-ISSUE"), (2, "P", "PROPOSAL"), (3, "N", "NUMBER")], "ord int, heading string, tag string")
+    texts = {b: M.mails(meetings, items, sections, b) for b in (10_000, 2_000, 1_500, 900, 10)}
+    seen = {b: f.first() for b, f in texts.items()}
+    assert [seen[b].variant for b in seen] == [0, 3, 6, 7, 7] and all(len(r.text) <= b for b, r in seen.items() if b >= 1_500)
+    assert "Generate" not in plan_of(texts[10])
+
+
+def test_names_cut_a_text_once(spark):
+    text = "S1 and S2, " * 400
+    names = F.create_map(F.lit("0"), F.lit("Ann"))
+    frame = spark.createDataFrame([(text,), ("no short form",), (None,)], "t string")
+    found = frame.select(M.with_names(F.col("t"), names).alias("x"))
+    assert [r.x for r in found.collect()] == ["Ann and S2, " * 400, "no short form", None]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 1
