@@ -61,10 +61,10 @@ def word_vote(chars: DataFrame) -> DataFrame:
     inner = F.col("ch").rlike("^[A-Za-z0-9']$")
     joined = inner & F.coalesce(F.lag(inner).over(w), F.lit(False))
     words = chars.withColumn("_new", (~joined).cast("int")).withColumn("word", F.sum("_new").over(w))
-    votes = words.groupBy("meeting_id", "word", "label", "snapped").agg(F.count("*").alias("n"), F.min("confidence").alias("confidence"))
-    won = votes.groupBy("meeting_id", "word").agg(F.min_by(F.struct("label", "snapped", "confidence"), F.struct(-F.col("n"), "label", "snapped")).alias("v"))
-    texts = words.groupBy("meeting_id", "word").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ch"))), lambda c: c["ch"]), "").alias("text"))
-    return texts.join(won, ["meeting_id", "word"]).select("meeting_id", "word", "text", "v.label", "v.snapped", "v.confidence")
+    votes = words.groupBy("meeting_id", "word", "label", "snapped").agg(F.count("*").alias("n"), F.min("confidence").alias("confidence"), F.collect_list(F.struct("pos", "ch")).alias("_c"))
+    text = F.array_join(F.transform(F.array_sort(F.flatten(F.collect_list("_c"))), lambda c: c["ch"]), "")
+    won = votes.groupBy("meeting_id", "word").agg(text.alias("text"), F.min_by(F.struct("label", "snapped", "confidence"), F.struct(-F.col("n"), "label", "snapped")).alias("v"))
+    return won.select("meeting_id", "word", "text", "v.label", "v.snapped", "v.confidence")
 
 
 def place_characters(deltas: DataFrame, per_char: float = 0.09) -> DataFrame:
