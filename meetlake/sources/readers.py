@@ -18,9 +18,9 @@ KNOWN = ("id", "name", "note", "aliases", "created", "lastUsed", "voiceEnabled",
 CONTACT = ("platform", "key", "id", "name", "org", "linked", "synced", "missing")
 
 
-def library(spark: SparkSession, path: str) -> DataFrame:
-    """A folder of meeting documents, one JSON file each, newest first; unreadable ones are passed over."""
-    rows = spark.read.schema(MEETING).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+def library(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A folder of meeting documents, one JSON file each (or with ``lines`` one a line), newest first; unreadable ones are passed over."""
+    rows = spark.read.schema(MEETING).option("multiLine", not lines).option("mode", "PERMISSIVE").json(path)
     return rows.where("_corrupt_record is null and id is not null").drop("_corrupt_record").orderBy(F.desc("date"), "id")
 
 

@@ -198,3 +198,11 @@ def test_names_cut_a_text_once(spark):
     found = frame.select(M.with_names(F.col("t"), names).alias("x"))
     assert [r.x for r in found.collect()] == ["Ann and S2, " * 400, "no short form", None]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 1
+
+
+def test_library_of_lines(spark, tmp_path):
+    """Documents one a line of few files; a broken one costs no other."""
+    from meetlake.sources import readers
+
+    spark.createDataFrame([('{"id":"a","lines":[{"speaker":1,"start":0.0,"end":1.0,"text":"x\\ny"}]}',), ('{"id":"b","li',), ('{"id":"c","lines":[]}',)], "value string").coalesce(1).write.text(f"{tmp_path}/lib")
+    assert [(r.id, len(r.lines)) for r in readers.library(spark, f"{tmp_path}/lib", lines=True).collect()] == [("a", 1), ("c", 0)]
