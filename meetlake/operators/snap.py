@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,11 +23,9 @@ def spoken(ch: str) -> bool:
     return bool(SPOKEN.match(ch)) if ch.isascii() else not SILENT.match(ch)
 
 
-def targets(chars: DataFrame, turns: DataFrame) -> DataFrame:
-    """meeting_id, pos and target (seconds) of each change that has a turn of its speaker near, at whose start nobody else speaks. Changes meet starts in
-    buckets of NEAR seconds, and starts what others say in buckets of HELD, so a meeting's turns aren't all compared with each other."""
-    before = F.lag("label").over(Window.partitionBy("meeting_id").orderBy("pos"))
-    changes = chars.withColumn("_b", before).where("_b <> label").select("meeting_id", "pos", "label", F.col("start_s").alias("t"))
+def aimed(changes: DataFrame, turns: DataFrame) -> DataFrame:
+    """meeting_id, pos and target (seconds) of each change (meeting_id, pos, label, t) that has a turn of its speaker near, at whose start nobody else speaks.
+    Changes meet starts in buckets of NEAR seconds, and starts what others say in buckets of HELD, so a meeting's turns aren't all compared with each other."""
     own = turns.select("meeting_id", F.col("label"), F.col("start_s").alias("_start")).withColumn("_k", F.floor((F.col("_start") + LEAD) / NEAR))
     off = F.abs(F.col("_start") + LEAD - F.col("t"))
     here = F.floor(F.col("t") / NEAR)
@@ -38,6 +38,46 @@ def targets(chars: DataFrame, turns: DataFrame) -> DataFrame:
     return core.join(others, crossed, "left_anti").select("meeting_id", "pos", (F.col("_start") + LEAD).alias("target"))
 
 
+def targets(chars: DataFrame, turns: DataFrame) -> DataFrame:
+    """aimed() of the changes between characters."""
+    before = F.lag("label").over(Window.partitionBy("meeting_id").orderBy("pos"))
+    return aimed(chars.withColumn("_b", before).where("_b <> label").select("meeting_id", "pos", "label", F.col("start_s").alias("t")), turns)
+
+
+def kinds(text: str) -> tuple[list[bool], list[bool]]:
+    """Of each character whether it is spoken, and whether it is part of a word; each distinct one is looked at once."""
+    known, which = np.unique(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
+    return tuple(np.array([bool(rule(chr(c))) for c in known], bool)[which].tolist() for rule in (spoken, WORD.match))
+
+
+def moved(marks: list, at: list[float], until: list[float], said: list[bool], words: list[bool], wanted: dict[int, float]) -> list:
+    """The labels of one meeting's characters after its changes have moved; ``wanted``: targets by the places of changes."""
+    edges = [0, *(i for i in range(1, len(marks)) if marks[i] != marks[i - 1]), len(marks)]
+
+    def pause(i: int) -> float:
+        left = next((j for j in range(i - 1, -1, -1) if said[j]), None)
+        right = next((j for j in range(i, len(said)) if said[j]), None)
+        return 0.0 if left is None or right is None else at[right] - until[left]
+
+    new, floor = list(marks), 0
+    for begin, here, end in zip(edges, edges[1:], edges[2:], strict=False):
+        if here not in wanted:
+            continue
+        span = range(max(begin, floor) + 1, end)
+        to = next((j for j in span if at[j] >= wanted[here]), None)
+        if to is None:
+            continue
+        while to > span[0] and words[to - 1] and words[to]:
+            to -= 1
+        inside = words[to - 1] and words[to]
+        both = any(said[max(begin, floor) : to]) and any(said[to:end])
+        if to == here or inside or not both or not any(said[min(to, here) : max(to, here)]) or abs(at[to] - at[here]) > FAR or pause(here) >= PAUSE and pause(to) < pause(here):
+            continue
+        new[min(to, here) : max(to, here)] = [marks[here] if to < here else marks[here - 1]] * abs(to - here)
+        floor = to
+    return new
+
+
 def snapped_changes(chars: DataFrame, turns: DataFrame) -> DataFrame:
     """Characters (meeting_id, pos, ch, start_s, end_s, label) with labels after the changes have moved.
 
@@ -48,34 +88,9 @@ def snapped_changes(chars: DataFrame, turns: DataFrame) -> DataFrame:
 
     def move(key: tuple, text: pd.DataFrame, aims: pd.DataFrame) -> pd.DataFrame:
         text = text.sort_values("pos").reset_index(drop=True)
-        marks, at = list(text.label), list(text.start_s)
-        said = [spoken(c) for c in text.ch]
-        words = [bool(WORD.match(c)) for c in text.ch]
         where = {p: i for i, p in enumerate(text.pos)}
-        edges = [0, *(i for i in range(1, len(marks)) if marks[i] != marks[i - 1]), len(marks)]
-
-        def pause(i: int) -> float:
-            left = next((j for j in range(i - 1, -1, -1) if said[j]), None)
-            right = next((j for j in range(i, len(said)) if said[j]), None)
-            return 0.0 if left is None or right is None else at[right] - text.end_s[left]
-
-        wanted, floor = {where[p]: t for p, t in zip(aims["at"], aims.target, strict=True) if p in where}, 0
-        new = list(marks)
-        for begin, here, end in zip(edges, edges[1:], edges[2:], strict=False):
-            if here not in wanted:
-                continue
-            span = range(max(begin, floor) + 1, end)
-            to = next((j for j in span if at[j] >= wanted[here]), None)
-            if to is None:
-                continue
-            while to > span[0] and words[to - 1] and words[to]:
-                to -= 1
-            inside = words[to - 1] and words[to]
-            both = any(said[max(begin, floor) : to]) and any(said[to:end])
-            if to == here or inside or not both or not any(said[min(to, here) : max(to, here)]) or abs(at[to] - at[here]) > FAR or pause(here) >= PAUSE and pause(to) < pause(here):
-                continue
-            new[min(to, here) : max(to, here)] = [marks[here] if to < here else marks[here - 1]] * abs(to - here)
-            floor = to
+        wanted = {where[p]: t for p, t in zip(aims["at"], aims.target, strict=True) if p in where}
+        new = moved(list(text.label), list(text.start_s), list(text.end_s), [spoken(c) for c in text.ch], [bool(WORD.match(c)) for c in text.ch], wanted)
         return pd.DataFrame({"meeting_id": text.meeting_id, "pos": text.pos, "ch": text.ch, "label": new})
 
     aims = targets(chars, turns).select(F.col("meeting_id").alias("of"), F.col("pos").alias("at"), "target")
@@ -83,6 +98,49 @@ def snapped_changes(chars: DataFrame, turns: DataFrame) -> DataFrame:
     return chars.groupBy("meeting_id").cogroup(aims.groupBy("of")).applyInPandas(move, kept)
 
 
+def snapped_pieces(pieces: DataFrame, turns: DataFrame) -> DataFrame:
+    """snapped_changes() of characters that stand in pieces, of which none has a row of its own: meeting_id, pos, text and label, cut where labels change.
+
+    pieces: meeting_id, pos (a long, of its first character), text, label, start_s, step_s, first: its character k, from 0, has the number pos + k and
+    lasts from start_s + (first + k) * step_s for step_s seconds. The label is no null.
+    """
+
+    def move(text: pa.Table, aims: pa.Table) -> pa.Table:
+        text = text.sort_by("pos")
+        parts, labels = text.column("text").to_pylist(), text.column("label").to_pylist()
+        sizes = np.array([len(x) for x in parts], np.int64)
+        ends = np.cumsum(sizes)
+        pos, start, step, first = (np.repeat(text.column(c).to_numpy(), sizes) for c in ("pos", "start_s", "step_s", "first"))
+        k = np.arange(len(pos)) - np.repeat(ends - sizes, sizes)
+        places, at, until = pos + k, start + (first + k) * step, start + (first + k + 1) * step
+        asked = aims.column("at").to_numpy()
+        held = np.minimum(np.searchsorted(places, asked), max(0, len(places) - 1))
+        wanted = {int(i): t for i, p, t in zip(held, asked, aims.column("target").to_pylist(), strict=True) if places[i] == p} if len(places) else {}
+        marks = [x for x, n in zip(labels, sizes.tolist(), strict=True) for _ in range(n)]
+        new = moved(marks, at.tolist(), until.tolist(), *kinds("".join(parts)), wanted)
+        cut = [(row, a, b) for row, (b_, n) in enumerate(zip(ends.tolist(), sizes.tolist(), strict=True)) for a, b in runs(new, b_ - n, b_)]
+        rows = text.take(pa.array([x[0] for x in cut], pa.int64()))
+        base = ends - sizes
+        whole = [parts[row][a - base[row] : b - base[row]] for row, a, b in cut]
+        fields = {"meeting_id": rows.column("meeting_id"), "pos": pa.array([int(places[a]) for _, a, _ in cut], pa.int64()), "text": pa.array(whole, pa.string()), "label": pa.array([new[a] for _, a, _ in cut], text.schema.field("label").type)}
+        return pa.table(fields)
+
+    order = Window.partitionBy("meeting_id").orderBy("pos")
+    filled = pieces.where(F.char_length("text") > 0)
+    changes = filled.withColumn("_b", F.lag("label").over(order)).where("_b <> label")
+    aims = aimed(changes.select("meeting_id", "pos", "label", (F.col("start_s") + F.col("first") * F.col("step_s")).alias("t")), turns)
+    types = dict(filled.dtypes)
+    kept = f"meeting_id {types['meeting_id']}, pos long, text string, label {types['label']}"
+    rows = filled.select("meeting_id", "pos", "text", "label", "start_s", "step_s", "first").groupBy("meeting_id")
+    return rows.cogroup(aims.select(F.col("meeting_id").alias("of"), F.col("pos").alias("at"), "target").groupBy("of")).applyInArrow(move, kept)
+
+
+def runs(marks: list, begin: int, end: int) -> list[tuple[int, int]]:
+    """Stretches of equal labels between two places."""
+    edges = [begin, *(i for i in range(begin + 1, end) if marks[i] != marks[i - 1]), end]
+    return list(zip(edges, edges[1:], strict=False))
+
+
 def aligned_times(lines: DataFrame, ahead: int = 12) -> DataFrame:
     """Token starts of lines from the recogniser's raw characters: each character of a token takes the next equal raw one, at most ``ahead``
     further on; null where fewer than half find one. lines: meeting_id, utt_idx, tokens (array of text), raw, starts (one for each raw character)."""

@@ -16,7 +16,7 @@ from meetlake.operators import retrieval as T
 from meetlake.operators import voice as V
 from meetlake.operators.people import ordered
 from meetlake.operators.script import converted
-from meetlake.operators.snap import snapped_changes
+from meetlake.operators.snap import snapped_pieces
 from meetlake.plans import adapters as A
 from meetlake.plans import notes as N
 from meetlake.plans import passages as Q
@@ -445,14 +445,22 @@ ELSE regexp_replace(regexp_extract(substring(t, 1, 61), '(?s)^(.*) ', 1), '[,;:\
 
 def speaker_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Characters of the conversations, labels late by three characters, moved to the turns' starts: how many have which label."""
-    lines = A.utterances(spark, sf_dir)
-    whole = lines.withColumn("_n", F.greatest(F.lit(1), F.char_length("text"))).select("meeting_id", "utt_idx", "speaker", "start_s", "end_s", "_n", F.posexplode(F.split("text", "")).alias("i", "ch")).where("ch <> ''")
+    lines = A.utterances(spark, sf_dir).withColumn("label", F.col("speaker").cast("string"))
+    whole = lines.withColumn("_n", F.char_length("text")).where("_n > 0")
+    order = Window.partitionBy("meeting_id").orderBy("utt_idx")
+    # A line's first three characters have the labels of the three before it, which the three lines before it hold; a meeting's first three keep their own.
+    near = F.collect_list(F.struct("label", F.least(F.lit(3), F.col("_n")).alias("n"))).over(order.rowsBetween(-3, -1))
+    before = F.flatten(F.transform("_near", lambda x: F.array_repeat(x["label"], x["n"])))
+    late = F.slice("_before", F.greatest(F.lit(1), F.size("_before") - 2), F.lit(3))
+    whole = whole.withColumn("_near", near).withColumn("_pos", F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_before", before)
+    heads = F.slice(F.concat(F.array_repeat("label", F.lit(3) - F.least(F.lit(3), F.size("_before"))), late), F.lit(1), F.least(F.lit(3), F.col("_n")))
+    cuts = F.concat(F.transform(heads, lambda x, i: F.struct(i.alias("first"), F.lit(1).alias("n"), x.alias("label"))), F.when(F.col("_n") > 3, F.array(F.struct(F.lit(3).alias("first"), (F.col("_n") - 3).alias("n"), "label"))).otherwise(F.array()))
     step = (F.col("end_s") - F.col("start_s")) / F.col("_n")
-    pos = F.row_number().over(Window.partitionBy("meeting_id").orderBy("utt_idx", "i"))
-    chars = whole.select("meeting_id", pos.alias("pos"), "ch", (F.col("start_s") + F.col("i") * step).alias("start_s"), (F.col("start_s") + (F.col("i") + 1) * step).alias("end_s"), F.col("speaker").cast("string").alias("label"))
-    late = chars.withColumn("label", F.coalesce(F.lag("label", 3).over(Window.partitionBy("meeting_id").orderBy("pos")), "label"))
-    turns = lines.select("meeting_id", F.col("speaker").cast("string").alias("label"), F.greatest(F.lit(0.0), F.col("start_s") - 0.3).alias("start_s"), "end_s")
-    return snapped_changes(late, turns).groupBy("meeting_id", "label").agg(F.count("*").alias("characters"), F.sum(F.crc32("ch")).alias("digest"))
+    pieces = whole.select("meeting_id", "_pos", "text", "start_s", step.alias("step_s"), F.inline(cuts))
+    pieces = pieces.select("meeting_id", (F.col("_pos") + F.col("first")).alias("pos"), F.substring("text", F.col("first") + 1, F.col("n")).alias("text"), "label", "start_s", "step_s", "first")
+    turns = lines.select("meeting_id", "label", F.greatest(F.lit(0.0), F.col("start_s") - 0.3).alias("start_s"), "end_s")
+    chars = snapped_pieces(pieces, turns).select("meeting_id", "label", F.explode(F.split("text", "")).alias("ch")).where("ch <> ''")
+    return chars.groupBy("meeting_id", "label").agg(F.count("*").alias("characters"), F.sum(F.crc32("ch")).alias("digest"))
 
 
 QUERIES = {

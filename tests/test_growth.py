@@ -206,3 +206,29 @@ def test_library_of_lines(spark, tmp_path):
 
     spark.createDataFrame([('{"id":"a","lines":[{"speaker":1,"start":0.0,"end":1.0,"text":"x\\ny"}]}',), ('{"id":"b","li',), ('{"id":"c","lines":[]}',)], "value string").coalesce(1).write.text(f"{tmp_path}/lib")
     assert [(r.id, len(r.lines)) for r in readers.library(spark, f"{tmp_path}/lib", lines=True).collect()] == [("a", 1), ("c", 0)]
+
+
+def test_changes_in_pieces(spark, tmp_path):
+    """Pieces give what characters give, short and empty lines and signs beyond 16 bits among them, and no character has a row before the fold."""
+    from pyspark.sql import Window
+
+    from meetlake.operators.snap import snapped_changes
+    from meetlake.plans import adapters as A
+    from meetlake.plans import edits
+
+    rng = np.random.default_rng(8)
+    texts = ["I", "ok", "", "yes!", None, "it's on \U0001f600 now, really", "我覺得好，對嗎", "... well ... so we go there", " - ", "The plan is fine. And then?"]
+    rows = [(m, t, ["system", "user", "assistant"][int(rng.integers(0, 3))], texts[int(rng.integers(0, len(texts)))]) for m in range(60) for t in range(int(rng.integers(1, 12)))]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = edits.speaker_snap(spark, str(tmp_path))
+    assert "split(" not in plan_of(found).split("FlatMapCoGroupsInArrow")[1]
+    lines = A.utterances(spark, str(tmp_path)).withColumn("label", F.col("speaker").cast("string"))
+    order = Window.partitionBy("meeting_id").orderBy("utt_idx", "i")
+    step = (F.col("end_s") - F.col("start_s")) / F.greatest(F.lit(1), F.char_length("text"))
+    each = lines.withColumn("_s", step).select("*", F.posexplode(F.split("text", "")).alias("i", "ch")).where("ch <> ''").withColumn("pos", F.row_number().over(order))
+    late = each.select("meeting_id", "pos", "ch", (F.col("start_s") + F.col("i") * F.col("_s")).alias("start_s"), (F.col("start_s") + (F.col("i") + 1) * F.col("_s")).alias("end_s"), F.coalesce(F.lag("label", 3).over(order), "label").alias("label"))
+    turns = lines.select("meeting_id", "label", F.greatest(F.lit(0.0), F.col("start_s") - 0.3).alias("start_s"), "end_s")
+    moved = snapped_changes(late, turns)
+    want = moved.groupBy("meeting_id", "label").agg(F.count("*").alias("characters"), F.sum(F.crc32("ch")).alias("digest"))
+    assert set(map(tuple, found.collect())) == set(map(tuple, want.collect()))
+    assert moved.join(late.select("meeting_id", "pos", F.col("label").alias("was")), ["meeting_id", "pos"]).where("was <> label").count() > 20
