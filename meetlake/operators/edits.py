@@ -81,26 +81,40 @@ def edit_state(log: DataFrame, keep: int = 50) -> DataFrame:
 
 def long_lines(lines: DataFrame, seconds: float = 20.0, characters: int = 100, close: int = 90, tail: int = 30) -> DataFrame:
     """Long lines in pieces that end with sentences: from ``close`` characters on a sentence's end closes a piece, and a short rest joins the
-    last one; times by share of characters. Other lines stay. A fold over sentences."""
+    last one; times by share of characters. Other lines stay. A fold over a long line's sentences, of lengths alone; the sentences are cut once."""
     long = (F.col("end_s") - F.col("start_s") > seconds) & (F.char_length("text") > characters)
     sentences = F.regexp_extract_all("text", F.lit(r"[^。？！?!.；;]*(?:[。？！?!；;]|\.(?= |$)|\.|$)"), F.lit(0))
-    ends = lambda s: s.rlike(r"[。？！?!.；;]$")
+    none = F.expr("cast(array() as array<string>)")
+    cut = lines.withColumn("_t", F.when(long, F.filter(sentences, lambda x: x != "")).otherwise(none))
+    after = F.concat(F.slice("_t", F.lit(2), F.size("_t")), F.array(F.lit(None).cast("string")))
     # A full stop ends a sentence before a space or at the end alone: what follows another one starts without a space.
-    step = lambda s, x: F.when(
-        ends(F.concat(s["cur"], x["t"])) & (F.char_length(F.concat(s["cur"], x["t"])) >= close) & x["stops"], F.struct(F.lit("").alias("cur"), F.concat(s["out"], F.array(F.concat(s["cur"], x["t"]))).alias("out"))
-    ).otherwise(F.struct(F.concat(s["cur"], x["t"]).alias("cur"), s["out"].alias("out")))
-    parts = F.filter(sentences, lambda x: x != "")
-    marked = F.transform(parts, lambda x, i: F.struct(x.alias("t"), (~x.endswith(".") | F.coalesce(F.get(parts, i + 1).startswith(" "), F.lit(True))).alias("stops")))
-    folded = lines.withColumn("_s", F.aggregate(marked, F.struct(F.lit("").alias("cur"), F.expr("cast(array() as array<string>)").alias("out")), step))
-    out, cur = F.col("_s.out"), F.col("_s.cur")
-    whole = F.when(F.trim(cur) == "", out).when((F.size(out) > 0) & (F.char_length(cur) < tail), F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(F.concat(F.element_at(out, -1), cur)))).otherwise(F.concat(out, F.array(cur)))
-    each = folded.withColumn("_p", F.when(long, whole).otherwise(F.array("text"))).select(*lines.columns, F.posexplode("_p").alias("piece", "_x"))
-    w = Window.partitionBy("meeting_id", "utt_idx")
-    n = F.char_length("_x")
-    before, all_ = F.coalesce(F.sum(n).over(w.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), F.greatest(F.lit(1), F.sum(n).over(w))
+    marks = F.transform(F.arrays_zip(F.col("_t").alias("t"), after.alias("next")), lambda x: F.struct(F.char_length(x["t"]).alias("n"), x["t"].rlike(r"[。？！?!.；;]$").alias("ends"), (~x["t"].endswith(".") | F.coalesce(x["next"].startswith(" "), F.lit(True))).alias("stops"), (F.trim(x["t"]) == "").alias("blank"), x["t"].rlike(r"^(?:\r\n|[\n\r\x{85}\x{2028}\x{2029}])\z").alias("turn")))
+    marked = cut.withColumn("_m", marks)
+    # The piece that is open (its sentences, characters, whether it is blank) and those that are closed.
+    state = lambda k, n, blank, out: F.struct(k.alias("k"), n.alias("n"), blank.alias("blank"), out.alias("out"))
+    piece = lambda k, n: F.struct(k.alias("k"), n.alias("n"))
+
+    def step(s: Column, x: Column) -> Column:
+        k, n = s["k"] + 1, s["n"] + x["n"]
+        # A line's end after a sentence's, as the last one, leaves that the end.
+        closes = (x["ends"] | x["turn"] & (s["k"] > 0)) & (n >= close) & x["stops"]
+        return F.when(closes, state(F.lit(0), F.lit(0), F.lit(True), F.concat(s["out"], F.array(piece(k, n))))).otherwise(state(k, n, s["blank"] & x["blank"], s["out"]))
+
+    folded = marked.withColumn("_s", F.aggregate("_m", state(F.lit(0), F.lit(0), F.lit(True), F.expr("cast(array() as array<struct<k:int,n:int>>)")), step)).drop("_m")
+    out, rest = F.col("_s.out"), piece(F.col("_s.k"), F.col("_s.n"))
+    last = F.element_at(out, -1)
+    joins = (F.size(out) > 0) & (F.col("_s.n") < tail)
+    whole = F.when(F.col("_s.blank"), out).when(joins, F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(piece(last["k"] + F.col("_s.k"), last["n"] + F.col("_s.n"))))).otherwise(F.concat(out, F.array(rest)))
+    # Pieces with the sentences and characters before them.
+    placed = F.aggregate("_p", F.struct(F.lit(0).alias("k"), F.lit(0).alias("n"), F.expr("cast(array() as array<struct<k0:int,n0:int,k:int,n:int>>)").alias("out")), lambda s, x: F.struct((s["k"] + x["k"]).alias("k"), (s["n"] + x["n"]).alias("n"), F.concat(s["out"], F.array(F.struct(s["k"].alias("k0"), s["n"].alias("n0"), x["k"].alias("k"), x["n"].alias("n")))).alias("out")))
+    one = F.array(piece(F.lit(0), F.char_length("text")))
+    each = folded.withColumn("_long", long).withColumn("_p", F.when(F.col("_long"), whole).otherwise(one)).withColumn("_q", placed)
+    # Outer: what Spark infers from a plain explode, that the array isn't empty, it works out below, by folding each line over and over.
+    each = each.select(*lines.columns, "_t", "_long", F.col("_q.n").alias("_all"), F.posexplode_outer("_q.out").alias("piece", "_x")).where("piece is not null")
+    text = F.when(F.col("_long"), F.array_join(F.slice("_t", F.col("_x.k0") + 1, F.col("_x.k")), "")).otherwise(F.col("text"))
+    n, before, all_ = F.col("_x.n"), F.col("_x.n0"), F.greatest(F.lit(1), F.col("_all"))
     span = F.col("end_s") - F.col("start_s")
-    timed = each.withColumn("_a", F.col("start_s") + span * before / all_).withColumn("_b", F.col("start_s") + span * (before + n) / all_)
-    return timed.select("meeting_id", "utt_idx", "piece", "speaker", F.col("_a").alias("start_s"), F.col("_b").alias("end_s"), F.trim("_x").alias("text"))
+    return each.select("meeting_id", "utt_idx", "piece", "speaker", (F.col("start_s") + span * before / all_).alias("start_s"), (F.col("start_s") + span * (before + n) / all_).alias("end_s"), F.trim(text).alias("text"))
 
 
 def sentence_snapped(pieces: DataFrame) -> DataFrame:

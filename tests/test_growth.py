@@ -232,3 +232,38 @@ def test_changes_in_pieces(spark, tmp_path):
     want = moved.groupBy("meeting_id", "label").agg(F.count("*").alias("characters"), F.sum(F.crc32("ch")).alias("digest"))
     assert set(map(tuple, found.collect())) == set(map(tuple, want.collect()))
     assert moved.join(late.select("meeting_id", "pos", F.col("label").alias("was")), ["meeting_id", "pos"]).where("was <> label").count() > 20
+
+
+def test_long_lines_cut_a_text_once(spark):
+    """Against a plain fold over sentences; the text is taken apart at one place of the plan."""
+    import re
+
+    from meetlake.operators import edits as E
+
+    rng = np.random.default_rng(9)
+    bits = ["word ", "a longer stretch of words without an end ", "x.y", ". ", ".", "? ", "!", "。", ";", "…", "  ", "3.14 ", "\n", "And so on. ", "想法", "一。"]
+    texts = ["".join(bits[int(k)] for k in rng.integers(0, len(bits), int(rng.integers(5, 60)))) + end for end in ("", ".\n", ".\n\n", "!\r", "x" * 40, "   ") for _ in range(25)]
+    texts += [" " * 120, "x" * 130, "a.b" * 60, "short. ", "", None, "y" * 95 + ".\n", "y" * 95 + ".\n\n", "y" * 95 + ". " + "z" * 29, "y" * 95 + ". " + "z" * 28, "y" * 95 + ".z" * 3]
+    rows = [(1, k, 0, 10.0, 10.0 + (30.0 if k % 7 else 5.0), t) for k, t in enumerate(texts)]
+
+    def pieces(text: str) -> list[str]:
+        parts, cur, out = [x for x in re.findall(r"[^。？！?!.；;]*[。？！?!；;.]|[^。？！?!.；;]+\Z", text)], "", []
+        for i, x in enumerate(parts):
+            cur += x
+            stops = not x.endswith(".") or i + 1 == len(parts) or parts[i + 1].startswith(" ")
+            if stops and len(cur) >= 90 and re.search("[。？！?!.；;](\r\n|[\n\r\x85  ])?\\Z", cur):
+                out, cur = [*out, cur], ""
+        if not cur.strip(" "):
+            return out
+        return [*out[:-1], out[-1] + cur] if out and len(cur) < 30 else [*out, cur]
+
+    want = {}
+    for _, k, _, a, b, t in rows:
+        cut = pieces(t) if t and b - a > 20 and len(t) > 100 else [t]
+        whole, before = max(1, sum(len(x or "") for x in cut)), 0
+        for n, x in enumerate(cut):
+            want[k, n] = (a + (b - a) * before / whole, None if x is None else a + (b - a) * (before + len(x)) / whole, None if x is None else x.strip(" "))
+            before += len(x or "")
+    found = E.long_lines(spark.createDataFrame(rows, "meeting_id long, utt_idx int, speaker int, start_s double, end_s double, text string"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    assert {(r.utt_idx, r.piece): (r.start_s, r.end_s, r.text) for r in found.collect()} == want and len(want) > len(rows) + 60
