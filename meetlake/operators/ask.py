@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from meetlake.operators.retrieval import RANK, top
 from meetlake.operators.timeline import asof_join
+from meetlake.sources.settled import settle
 
 BUDGET, HEADER, MOST = 800, 24, 8
 
@@ -127,11 +128,20 @@ def pooled(excerpts: DataFrame) -> DataFrame:
 
 def in_meeting(query_notes: DataFrame, query_lines: DataFrame, near: DataFrame, most: int = 50) -> DataFrame:
     """Results in one meeting: notes by time, then lines by place; what was found by meaning is added where no found note has its text and
-    no found line lies in its span. query_notes: query_id, pos, t, text; query_lines: query_id, utt_idx; near: query_id, is_note, t, a, b, text."""
+    no found line lies in its span. query_notes: query_id, pos, t, text; query_lines: query_id, utt_idx; near: query_id, is_note, t, a, b, text.
+
+    Spans and lines make no pairs: a span has a line in it if the last line by its end isn't ahead of its start. Of the notes and lines found only those move
+    that may stand beside something found by meaning. Both are read twice, so they should be cheap to read.
+    """
     notes = query_notes.select("query_id", F.lit(0).alias("kind"), F.col("t").cast("double").alias("at"), F.col("pos").cast("long").alias("pos"), "text", F.lit(False).alias("by_meaning"))
     lines = query_lines.select("query_id", F.lit(1).alias("kind"), F.col("utt_idx").cast("double").alias("at"), F.lit(0).cast("long").alias("pos"), F.lit(None).cast("string").alias("text"), F.lit(False).alias("by_meaning"))
-    more_notes = near.where("is_note").join(query_notes.select("query_id", "text"), ["query_id", "text"], "left_anti").select("query_id", F.lit(0).alias("kind"), F.col("t").cast("double").alias("at"), F.lit(2**40).cast("long").alias("pos"), "text", F.lit(True).alias("by_meaning"))
-    inside = (F.col("n.query_id") == F.col("l.query_id")) & (F.col("l.utt_idx") >= F.col("n.a")) & (F.col("l.utt_idx") <= F.greatest("n.a", "n.b"))
-    more_lines = near.where("not is_note").alias("n").join(query_lines.alias("l"), inside, "left_anti").select("query_id", F.lit(1).alias("kind"), F.col("a").cast("double").alias("at"), F.lit(0).cast("long").alias("pos"), F.lit(None).cast("string").alias("text"), F.lit(True).alias("by_meaning"))
+    meant, spans = near.where("is_note"), near.where("not is_note").select("query_id", "a", F.greatest("a", "b").alias("_end"))
+    asked = settle(meant.select("query_id", "text").distinct(), "asked")
+    same = query_notes.select("query_id", "text").join(asked, ["query_id", "text"], "left_semi").distinct()
+    more_notes = meant.join(same, ["query_id", "text"], "left_anti").select("query_id", F.lit(0).alias("kind"), F.col("t").cast("double").alias("at"), F.lit(2**40).cast("long").alias("pos"), "text", F.lit(True).alias("by_meaning"))
+    around = settle(spans.groupBy("query_id").agg(F.min("a").alias("_first"), F.max("_end").alias("_last")), "around")
+    told = query_lines.join(around, "query_id").where("utt_idx between _first and _last").select("query_id", "utt_idx").distinct()
+    bare = asof_join(spans, told, ["query_id"], "_end", "utt_idx", ["utt_idx"], ["a", "_end"]).where("not coalesce(utt_idx >= a, false)")
+    more_lines = bare.select("query_id", F.lit(1).alias("kind"), F.col("a").cast("double").alias("at"), F.lit(0).cast("long").alias("pos"), F.lit(None).cast("string").alias("text"), F.lit(True).alias("by_meaning"))
     every = notes.unionByName(lines).unionByName(more_notes).unionByName(more_lines)
     return top(every, ["query_id"], ["kind", "at", "pos", F.col("text")], most)

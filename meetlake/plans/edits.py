@@ -222,7 +222,8 @@ def in_meeting_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes and lines with a word, and passages near it, in order, for each of the words."""
     words = A.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lower(F.split_part("text", F.lit(" "), F.lit(2))).alias("q")).where("char_length(q) >= 4")
     lines = A.lines(spark, sf_dir).where("text <> ''").withColumn("pos", F.col("meeting_id") * 1_048_576 + F.col("utt_idx"))
-    found = T.containing(lines.withColumn("t", F.lower("text")), words, "t", "q")
+    hits = T.containing(lines.withColumn("t", F.lower("text")), words, "t", "q")
+    found = settle(hits.select("query_id", "pos", "utt_idx", F.when(F.col("utt_idx") % 2 == 0, F.col("text")).alias("text")), "found")  # only notes show their text
     notes = found.where("utt_idx % 2 = 0").select("query_id", "pos", (F.col("utt_idx") * 10).alias("t"), "text")
     said = found.where("utt_idx % 2 = 1").select("query_id", F.col("pos").alias("utt_idx"))
     vec = A.table(spark, sf_dir, "embeddings")

@@ -283,3 +283,56 @@ def test_long_lines_cut_a_text_once(spark):
     found = E.long_lines(spark.createDataFrame(rows, "meeting_id long, utt_idx int, speaker int, start_s double, end_s double, text string"))
     assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
     assert {(r.utt_idx, r.piece): (r.start_s, r.end_s, r.text) for r in found.collect()} == want and len(want) > len(rows) + 60
+
+
+def test_grams_in_blocks():
+    """Numbers of four bytes and fewer, whatever the blocks; no gram reaches from a text into the next one."""
+    texts = ["the movers", None, "", "abc", "d", "出租车很慢 now", "aaaaaaaa", "\U0001f600" * 3, "rs ab"]
+    cut = lambda t, n: {t.encode()[k : k + n] for k in range(len(t.encode()) - n + 1)}
+    for n in (1, 2, 3, 4):
+        asked = sorted(set().union(*(cut(t, n) for t in texts if t)) | {b"zq"[:n], b"rsab"[:n]})
+        number = {g: int(R.coded(np.frombuffer(g, np.uint8), n)[0]) for g in asked if len(g) == n}
+        wanted = np.array(sorted(number.values()), np.int32)
+        for step in (1, 3, 1000):
+            for rows in (pa.array(texts), pa.array(["pad", *texts])[1:], pa.array(texts, pa.large_string())):
+                assert [set(x) for x in R.grams(rows, wanted, step).to_pylist()] == [{number[g] for g in cut(t or "", n)} for t in texts]
+    assert R.grams(pa.array([], pa.string()), wanted).to_pylist() == [] and R.grams(pa.array(texts), wanted[:0]).to_pylist() == [[]] * len(texts)
+
+
+def test_words_in_texts_without_walking_to_each_character(spark):
+    """Against a plain search; the cost of a text follows its length, also where it is one line of 300,000 characters."""
+    rng = np.random.default_rng(11)
+    bits = ["th", "e", "ä", "ß", "出", "租车", "\U0001f600", " ", ".", "\n", "rare", "zq"]
+    texts = [(k, "".join(bits[int(x)] for x in rng.integers(0, len(bits), int(rng.integers(0, 40))))) for k in range(200)] + [(900, None), (901, ""), (902, "the ä" * 60_000 + "zqzq")]
+    words = sorted({"".join(bits[int(x)] for x in rng.integers(0, len(bits), int(rng.integers(1, 4)))) for _ in range(60)} | {"zqzq", "不在", "ab"})
+    found = R.containing(spark.createDataFrame(texts, "id int, t string"), spark.createDataFrame([(w,) for w in words], "w string"), "t", "w")
+    assert {(r.id, r.w) for r in found.collect()} == {(k, w) for k, t in texts for w in words if len(w) > 1 and t and w in t}
+    assert "substring(" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_found_lines_and_spans_make_no_pairs(spark, seed):
+    """Against a plain version, with repeated rows, spans that end ahead of their start, and nulls."""
+    rng = np.random.default_rng(seed)
+    notes = [(int(q), k, int(t), f"vec {t}") for k, (q, t) in enumerate(zip(rng.integers(0, 6, 60), rng.integers(0, 40, 60), strict=True))]
+    lines = [(int(q), int(i)) for q, i in zip(rng.integers(0, 6, 50), rng.integers(0, 300, 50), strict=True)] + [(0, None), (7, 5)]
+    near = [(int(q), bool(k % 2), int(t), int(a), int(a + n), f"vec {t}") for k, (q, t, a, n) in enumerate(zip(rng.integers(0, 8, 120), rng.integers(0, 40, 120), rng.integers(0, 300, 120), rng.integers(-5, 20, 120), strict=True))]
+    near += [near[0], near[1], (1, False, 3, None, 250, "x"), (1, False, 3, 9, None, "x"), (1, False, 3, None, None, "x"), (2, True, 4, 1, 2, None), (None, False, 1, 1, 400, "x"), (9, None, 1, 1, 4, "x")]
+    rows = [(q, 0, t, k, x) for q, k, t, x in notes] + [(q, 1, i, 0, None) for q, i in lines]
+    rows += [(q, 0, t, 2**40, x) for q, note, t, _, _, x in near if note and not any(q == n[0] and x == n[3] for n in notes)]
+    inside = lambda q, a, b: a is not None and any(q == p and i is not None and a <= i <= max(a, a if b is None else b) for p, i in lines)
+    rows += [(q, 1, a, 0, None) for q, note, _, a, b, _ in near if note is False and not inside(q, a, b)]
+    nulls_first = lambda r: tuple((x is not None, x) if x is not None else (False,) for x in r)
+    want = {q: sorted((r[1:] for r in rows if r[0] == q), key=nulls_first)[:30] for q in {r[0] for r in rows}}
+    found = K.in_meeting(spark.createDataFrame(notes, "query_id long, pos long, t long, text string"), spark.createDataFrame(lines, "query_id long, utt_idx long"), spark.createDataFrame(near, "query_id long, is_note boolean, t long, a long, b long, text string"), 30)
+    got = {(r.query_id, r["rank"]): (r.kind, r["at"], r.text) for r in found.collect()}
+    assert got == {(q, k + 1): (kind, at, x) for q, own in want.items() for k, (kind, at, _, x) in enumerate(own)} and len(got) > 100
+    assert not [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "LeftAnti" in x and ">=" in x]
+
+
+def test_results_in_a_meeting_search_once(spark):
+    """What the words are found in isn't read again for each use of the hits."""
+    from meetlake.plans import edits
+
+    found = edits.in_meeting_results(spark, "/root/testdata/sf0.001")
+    assert not [x for x in found.inputFiles() if "documents" in x] and found.count() > 100
